@@ -1,6 +1,7 @@
 """A toxicity classifier with a counterfactual penalty, learnt here and applied to whole texts.
 
-Features say whether a word, or a beginning of one, occurs in a text. Training minimises logistic loss, an L2 penalty, and
+Features say whether a word, or a beginning of one, occurs in a text. Weights are evidence for
+toxicity and never negative. Training minimises logistic loss, an L2 penalty, and
 the squared change of the score when identity terms of a labelled text are swapped for others of their kind: what a text
 says about a group must not depend on which group it names. The model is a bounded list of hashes and weights.
 """
@@ -72,7 +73,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, n_features: int = FEATURES, penalty: float = PENALTY, l2: float = 1e-3, steps: int = 400) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, n_features: int = FEATURES, penalty: float = PENALTY, l2: float = 1e-3, steps: int = 600) -> Model:
     """rows: of each labelled text the distinct hashes of its features. Without labels of both kinds the score is constant."""
     n, n_pos = len(rows), int(labels.sum())
     prior = (n_pos + 0.5) / (n + 1)
@@ -84,9 +85,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, tuple[str,
     df = np.bincount(inverse, minlength=len(every))
     pos = np.bincount(inverse, weights=labels[owner].astype(float), minlength=len(every))
     expected = df * (n_pos / n)
-    chi = np.where(df >= 3, (np.abs(pos - expected) - 0.5) ** 2 / np.maximum(expected * (1 - n_pos / n), 1e-9), 0)
+    # Only evidence for toxicity counts: what is merely usual in other texts would let a long text hide it.
+    chi = np.where((df >= 3) & (pos > expected), (np.abs(pos - expected) - 0.5) ** 2 / np.maximum(expected * (1 - n_pos / n), 1e-9), 0)
     identity = {kind: np.array(sorted({word_hash(t) for t in words}), np.uint64) for kind, words in terms.items()}
-    chosen = np.union1d(every[np.argsort(-chi, kind="stable")[:n_features]], np.concatenate(list(identity.values())) if identity else np.empty(0, np.uint64))
+    chosen = np.union1d(every[np.argsort(-chi, kind="stable")[: min(n_features, int((chi > 0).sum()))]], np.concatenate(list(identity.values())) if identity else np.empty(0, np.uint64))
     place = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
     hit = chosen[place] == flat
     r, c = owner[hit], place[hit]
@@ -115,6 +117,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, tuple[str,
         m_b, v_b = 0.9 * m_b + 0.1 * g_b, 0.999 * v_b + 0.001 * g_b**2
         rate = 0.1 * (1 - t / (steps + 1))
         w -= rate * (m_w / (1 - 0.9**t)) / (np.sqrt(v_w / (1 - 0.999**t)) + 1e-8)
+        np.maximum(w, 0, out=w)
         b -= rate * (m_b / (1 - 0.9**t)) / (np.sqrt(v_b / (1 - 0.999**t)) + 1e-8)
     return Model(chosen, w, float(b))
 

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import decontaminate, fingerprints, secrets, tokens, toxicity
-from shelfmark.llm.common import table
+from shelfmark.llm import chat, decontaminate, fingerprints, secrets, tokens, toxicity, warc
+from shelfmark.llm.common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,13 +33,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.digests(spark, path)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op4_toxicity, op7_fingerprints, op8_secrets, op10_token_counts)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_toxicity, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_decontamination": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

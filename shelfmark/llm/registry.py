@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, fingerprints, packing, secrets, tokens, toxicity, warc
+from shelfmark.llm import chat, decontaminate, fingerprints, jaccard, packing, secrets, tokens, toxicity, warc
 from shelfmark.llm.common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, fingerprints, jaccard, packing, secrets, tokens, toxicity, warc
+from shelfmark.llm import chat, decontaminate, fingerprints, jaccard, packing, secrets, substrings, tokens, toxicity, warc
 from shelfmark.llm.common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op5_substring_dedup, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

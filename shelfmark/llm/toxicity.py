@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.hashing import ALNUM_LOWER, Words, _powers, mix, runs_by_bytes
 
-SAMPLE = 20_000  # labelled texts that the classifier is fitted on, at most about so many
+SAMPLE = 12_000  # labelled texts that the classifier is fitted on, at most about so many
 FEATURES = 3_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -73,25 +73,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, n_features: int = FEATURES, penalty: float = PENALTY, l2: float = 1e-3, steps: int = 600) -> Model:
-    """rows: of each labelled text the distinct hashes of its features. Without labels of both kinds the score is constant."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, n_features: int = FEATURES, penalty: float = PENALTY, l2: float = 1e-3, steps: int = 600) -> Model:
+    """known: sorted feature hashes; rows: of each labelled text the numbers of those that it has. Without labels of both kinds the score is constant."""
     n, n_pos = len(rows), int(labels.sum())
     prior = (n_pos + 0.5) / (n + 1)
     if n_pos in (0, n):
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
     flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    every, inverse = np.unique(flat, return_inverse=True)
-    df = np.bincount(inverse, minlength=len(every))
-    pos = np.bincount(inverse, weights=labels[owner].astype(float), minlength=len(every))
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    df = np.bincount(flat, minlength=len(known))
+    pos = np.bincount(flat[labels[owner] == 1], minlength=len(known))
     expected = df * (n_pos / n)
     # Only evidence for toxicity counts: what is merely usual in other texts would let a long text hide it.
     chi = np.where((df >= 3) & (pos > expected), (np.abs(pos - expected) - 0.5) ** 2 / np.maximum(expected * (1 - n_pos / n), 1e-9), 0)
     identity = {kind: np.array(sorted({word_hash(t) for t in words}), np.uint64) for kind, words in terms.items()}
-    chosen = np.union1d(every[np.argsort(-chi, kind="stable")[: min(n_features, int((chi > 0).sum()))]], np.concatenate(list(identity.values())) if identity else np.empty(0, np.uint64))
-    place = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
-    hit = chosen[place] == flat
-    r, c = owner[hit], place[hit]
+    best = np.argsort(-chi, kind="stable")[: min(n_features, int((chi > 0).sum()))]
+    chosen = np.union1d(known[best], np.concatenate(list(identity.values())) if identity else np.empty(0, np.uint64))
+    to = np.full(len(known), -1, np.int32)
+    at = np.minimum(np.searchsorted(known, chosen), max(len(known) - 1, 0))
+    there = known[at] == chosen
+    to[at[there]] = np.flatnonzero(there)
+    hit = to[flat] >= 0
+    r, c = owner[hit], to[flat[hit]]
     # The swaps: in each text, each identity term for each other of its kind; a swap changes the score by the difference of two weights.
     swaps: dict[tuple[int, int], int] = {}
     for group in identity.values():
@@ -127,30 +130,46 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[str, tuple[str, ...]] = IDENTITY_TERMS, **options) -> Model:
     """Fit on a bounded sample of labelled rows that are not held out; rows without label or doc_id teach nothing.
 
     A doc_id labelled twice is toxic if any label says so. The sample is by a hash of doc_id, so it is the same each time.
+    Features are those of two toxic texts of the sample or more; only their numbers come to the driver.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic")).filter(~held_out(F.col("_id")))
     n = known.count()
     if n > sample:
         known = known.filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    taught = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_toxic", F.coalesce("text", F.lit("")).alias("_text"))
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            out = []
-            for a, b in runs_by_bytes(texts):
-                found, owner = features(texts[a:b])
-                order = np.argsort(owner, kind="stable")
-                cuts = np.searchsorted(owner[order], np.arange(b - a + 1))
-                out += [np.unique(found[order[x:y]]).astype("<u8").tobytes() for x, y in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "x"])
-
-    rows = taught.mapInArrow(extract, "y int, x binary").toArrow().to_pydict()
-    return fit([np.frombuffer(x, "<u8") for x in rows["x"]], np.array(rows["y"], int), **options)
+    taught = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_toxic", F.coalesce("text", F.lit("")).alias("_text"))  # sample rows at most, about
+
+    def extract(chosen):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = chosen.value if chosen else None
+            for batch in batches:
+                texts = [t.encode() for t in batch.column(1).to_pylist()]
+                out = []
+                for a, b in runs_by_bytes(texts):
+                    found, owner = features(texts[a:b])
+                    if wanted is not None:
+                        at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                        hit = wanted[at] == found
+                        found, owner = at[hit].astype(np.int32), owner[hit]
+                    order = np.argsort(owner, kind="stable")
+                    cuts = np.searchsorted(owner[order], np.arange(b - a + 1))
+                    out += [np.unique(found[order[x:y]]).tobytes() for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "x"])
+
+        return work
+
+    toxic = taught.filter("_toxic = 1").mapInArrow(extract(None), "y int, x binary").toArrow()
+    hashes = [np.frombuffer(x.as_py(), np.uint64) for x in toxic["x"]]
+    del toxic
+    every, often = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.empty(0, np.uint64), np.empty(0, int))
+    identity = np.array(sorted({word_hash(t) for group in terms.values() for t in group}), np.uint64)
+    candidates = np.union1d(every[often > 1], identity)
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+    rows = taught.mapInArrow(extract(shared), "y int, x binary").toArrow()
+    return fit([np.frombuffer(x.as_py(), np.int32) for x in rows["x"]], np.array(rows["y"], int), candidates, terms, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,21 +1,434 @@
-"""Queries of the catalog engine and the SQL that says the same."""
+"""Queries of the catalog engine over a directory of Parquet tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.functions import text as T
+from shelfmark.operators import catalog, chunks, graph, ledger, reports, retrieval
+from shelfmark.oracles import ORACLES
+from shelfmark.plans import planner
+from shelfmark.schema import PROMOTE_AT, Search
+from shelfmark.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return search_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+LISTED = ("name", "type", "visibility", "excluded", "has_references", "agent_bound")
+
+
+@query
+def catalog_entries(spark, d):
+    return tables.entries(spark, d).select("id", *LISTED, F.length("description").alias("description_chars"), F.array_join("triggers", "|").alias("triggers"))
+
+
+@query
+def catalog_list_ready(spark, d):
+    return reports.listed(tables.entries(spark, d), kind="skill", with_references=True).select("name", "type", "visibility")
+
+
+@query
+def catalog_lookup(spark, d):
+    e = tables.entries(spark, d)
+    return reports.lookup(e, e.filter("doc_id % 50 = 7").select(F.upper("name").alias("name")))
+
+
+@query
+def pool_truth_flags(spark, d):
+    e, out = tables.entries(spark, d), None
+    for flag, options in (("default", Search()), ("off_list", Search(include_off_list=True)), ("agent_only", Search(agent_only=True)), ("all", Search(include_excluded=True))):
+        one = retrieval.pool(e, options).select(F.lit(flag).alias("flag"), "name")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+GLOBS = [("en1*", "first"), ("*-?7", "second"), ("[fd]?2*", "third")]
+
+
+@query
+def exclude_glob(spark, d):
+    return reports.excluded_by_globs(tables.entries(spark, d), GLOBS)
+
+
+@query
+def terms_explode(spark, d):
+    return graph.entry_terms(tables.entries(spark, d))
+
+
+@query
+def term_df(spark, d):
+    return retrieval.document_frequency(graph.entry_terms(tables.entries(spark, d)))
+
+
+@query
+def term_idf(spark, d):
+    found = retrieval.pool(tables.entries(spark, d))
+    n = found.agg(F.count("*").alias("n"))
+    return retrieval.document_frequency(graph.entry_terms(found)).crossJoin(F.broadcast(n)).select("term", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))
+
+
+QUESTIONS = [(1, "如何 重算 excel 公式"), (2, "帮我写一个周报"), (3, "为什么 pipeline 失败"), (4, "code review")]
+
+
+@query
+def stop_terms(spark, d):
+    q = spark.createDataFrame(QUESTIONS, "qid bigint, query string")
+    return q.select("qid", F.explode(T.without_stop_words(T.terms(F.col("query")))).alias("term"))
+
+
+@query
+def bridge_terms(spark, d):
+    q = spark.createDataFrame(QUESTIONS, "qid bigint, query string")
+    return retrieval.query_terms(q, T.bridge_table(spark)).select("qid", "term")
+
+
+GAPS = [(1, "代码审查", ["decision", "review"]), (2, "代码审查", ["代码"]), (3, "code review", ["code"]), (4, "合同管理", ["合同双"]), (5, "合同", [])]
+
+
+@query
+def gap_notice(spark, d):
+    rows = spark.createDataFrame(GAPS, "qid bigint, query string, evidence array<string>")
+    return rows.select("qid", T.uncovered_gap(F.col("query"), F.col("evidence"), F.size("evidence")).alias("gap"))
+
+
+@query
+def search_candidates(spark, d):
+    return retrieval.candidates(tables.queries(spark, d), tables.entries(spark, d)).groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
+
+
+@query
+def search_evidence(spark, d):
+    return retrieval.scored(tables.queries(spark, d), tables.entries(spark, d)).select("qid", "name", "score", "ev", F.array_join(F.array_sort("evidence"), " ").alias("evidence"))
+
+
+@query
+def search_topk(spark, d):
+    return retrieval.search(tables.queries(spark, d), tables.entries(spark, d)).select("qid", "rank", "name", "score")
+
+
+@query
+def search_ties(spark, d):
+    return retrieval.search(tables.queries(spark, d), tables.entries(spark, d)).filter("tied").select("qid", "rank", "name")
+
+
+@query
+def single_char_search(spark, d):
+    q = spark.createDataFrame([(1, "q"), (2, "Z"), (3, "7")], "qid bigint, query string")
+    return retrieval.single_character(q, tables.entries(spark, d))
+
+
+@query
+def name_twins(spark, d):
+    e = tables.entries(spark, d)
+    short = e.filter("doc_id % 12 = 0").withColumn("name", F.substring_index("name", "-", 1)).withColumn("ord", F.concat("type", F.lit(" "), F.lower("name")))
+    return retrieval.name_twins(e.unionByName(short))
+
+
+@query
+def overlap_candidates(spark, d):
+    return graph.overlap_candidates(tables.entries(spark, d)).withColumn("weight", F.round("weight", 3))
+
+
+@query
+def overlap_edges_capped(spark, d):
+    return graph.capped(graph.overlap_candidates(tables.entries(spark, d)).select("u", "v", "weight"))
+
+
+@query
+def family_edges(spark, d):
+    return graph.family_edges(tables.entries(spark, d))
+
+
+@query
+def contains_edges(spark, d):
+    return graph.contains_edges(tables.entries(spark, d))
+
+
+def _with_references(e: DataFrame) -> DataFrame:
+    """Entries whose descriptions name entry i div 2, and what is no whole name, at their start."""
+    named = e.select(F.col("doc_id").alias("_k"), F.col("name").alias("_n"))
+    both = e.join(named, F.expr("doc_id div 2") == F.col("_k"))
+    return both.withColumn("description", F.concat(F.lit("uses "), F.when(F.col("doc_id") % 3 == 0, F.concat("_n", F.lit("x"))).otherwise(F.col("_n")), F.lit(". "), "description")).drop("_k", "_n")
+
+
+@query
+def name_refs(spark, d):
+    return graph.name_references(_with_references(tables.entries(spark, d))).select("source", "target")
+
+
+def _files(spark, d) -> DataFrame:
+    lines = tables.read(spark, d, "documents")
+    return lines.select("source", "doc_id", F.col("source").alias("skill"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.split("text", "\n").alias("lines"))
+
+
+@query
+def similar_pairs(spark, d):
+    posted = tables.entries(spark, d).select(F.col("name").alias("skill"), F.explode(T.terms(F.col("description"))).alias("term"))
+    return graph.similar_pairs(posted)
+
+
+def _edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = tables.entries(spark, d)
+    edges = graph.family_edges(e).unionByName(graph.contains_edges(e)).unionByName(tables.dependencies(e))
+    return e, edges
+
+
+@query
+def all_edges(spark, d):
+    e = tables.entries(spark, d)
+    return graph.all_edges(e, graph.overlap_candidates(e)).withColumn("weight", F.round("weight", 3))
+
+
+@query
+def related_top5(spark, d):
+    e, edges = _edges(spark, d)
+    return graph.related(edges, e)
+
+
+@query
+def one_hop(spark, d):
+    e, edges = _edges(spark, d)
+    return graph.neighbours(edges, e).select("node", "other", "type", "weight", "name")
+
+
+@query
+def impact_two_hop(spark, d):
+    return graph.impact(_edges(spark, d)[1])
+
+
+@query
+def graph_degree(spark, d):
+    return graph.degrees(_edges(spark, d)[1])
+
+
+@query
+def graph_isolated(spark, d):
+    e = tables.entries(spark, d)
+    return graph.isolated(graph.family_edges(e), e)
+
+
+@query
+def graph_conflicts(spark, d):
+    deps = tables.dependencies(tables.entries(spark, d))
+    back = deps.filter(F.length("source") % 4 == 0).select(F.col("target").alias("source"), F.col("source").alias("target"), "type", "direction", "weight")
+    return graph.conflicts(deps.unionByName(back))
+
+
+@query
+def graph_hubs(spark, d):
+    e, edges = _edges(spark, d)
+    return graph.hubs(edges, e)
+
+
+@query
+def graph_dangling(spark, d):
+    e = tables.entries(spark, d)
+    return graph.dangling(graph.contains_edges(e), e.filter("doc_id % 9 <> 0"))
+
+
+@query
+def graph_repair(spark, d):
+    e, edges = _edges(spark, d)
+    return graph.repaired(edges, e.filter("doc_id % 9 <> 0"))
+
+
+@query
+def plain_chunks(spark, d):
+    return chunks.plain_chunks(_files(spark, d)).select("skill", "file", "s", "e", "summary", F.length("text").alias("chars"))
+
+
+@query
+def chunk_postings(spark, d):
+    return chunks.chunk_postings(chunks.plain_chunks(_files(spark, d))).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query
+def content_search(spark, d):
+    return chunks.content_search(tables.queries(spark, d), chunks.plain_chunks(_files(spark, d)))
+
+
+@query
+def markdown_chunks(spark, d):
+    files = _files(spark, d).withColumn("lines", F.transform("lines", lambda x, i: F.when(i % 7 == 3, F.concat(F.lit("## "), x)).otherwise(x)))
+    return chunks.markdown_chunks(files).select("skill", "file", "s", "e", "summary")
+
+
+@query
+def python_chunks(spark, d):
+    source = F.expr("array('import os', '', concat('def f_', cast(doc_id as string), '(x):'), '    a = x', '    b = a', '    c = b', '    return c', 'y = 1', if(doc_id % 5 = 0, 'def broken(', 'z = 2'))")
+    files = tables.read(spark, d, "documents").select(F.col("source").alias("skill"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), source.alias("lines"))
+    return chunks.python_chunks(files).select("skill", "file", "s", "e", "summary")
+
+
+@query
+def coverage(spark, d):
+    return reports.coverage(tables.entries(spark, d))
+
+
+@query
+def coverage_rollup(spark, d):
+    return reports.coverage_by(tables.entries(spark, d), "rollup", "type", "visibility").withColumn("level", F.col("level").cast("bigint"))
+
+
+@query
+def coverage_cube(spark, d):
+    return reports.coverage_by(tables.entries(spark, d), "cube", "source", "type").withColumn("level", F.col("level").cast("bigint"))
+
+
+@query
+def token_economy(spark, d):
+    return reports.token_economy(tables.entries(spark, d))
+
+
+@query
+def dense_lines(spark, d):
+    return reports.dense_lines(tables.entries(spark, d))
+
+
+@query
+def heaviest_entries(spark, d):
+    return reports.heaviest(tables.entries(spark, d))
+
+
+@query
+def doctor_findings(spark, d):
+    e = tables.entries(spark, d)
+    twice = e.filter("doc_id % 97 = 3").withColumn("type", F.lit("mcp"))
+    return reports.doctor(e.unionByName(twice))
+
+
+def _snapshots(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = e.select("doc_id", F.col("name").alias("path"), F.length("full_text").cast("bigint").alias("mtime"))
+    return rows.filter("doc_id % 10 <> 1"), rows.filter("doc_id % 10 <> 2").withColumn("mtime", F.when(F.col("doc_id") % 10 == 3, F.col("mtime") + 1).otherwise(F.col("mtime")))
+
+
+@query
+def merge_incremental(spark, d):
+    old, new = _snapshots(tables.entries(spark, d))
+    return catalog.incremental(old, new)
+
+
+@query
+def merge_registry(spark, d):
+    e = tables.entries(spark, d)
+    registry = e.filter("visibility <> 'off-list'").withColumn("description", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.left("description", F.lit(40))))
+    disk = e.filter("doc_id % 5 <> 0").withColumn("description", F.left("description", F.lit(60)))
+    return catalog.merge_registry(registry, disk)
+
+
+@query
+def upsert_import(spark, d):
+    e = tables.entries(spark, d).select("doc_id", "name", F.left("description", F.lit(30)).alias("description"), F.col("source").alias("path"), "triggers")
+    new = e.filter("doc_id % 3 <> 0").withColumn("description", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("new "), "description")).otherwise(F.col("description")))
+    return catalog.upsert(e.filter("doc_id % 4 <> 0"), new).select("name", "description", "path", "change")
+
+
+@query
+def registry_backfill(spark, d):
+    e = tables.entries(spark, d).select("doc_id", "name", F.left("description", F.lit(20)).alias("description"), F.col("source").alias("category"), F.lit(None).cast("string").alias("platform"), F.col("visibility").alias("status"))
+    old = e.filter("doc_id % 4 <> 0").withColumn("agents", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(T.none()))
+    new = e.filter("doc_id % 3 = 0").withColumn("agents", F.array(F.lit("b"), F.lit("c"))).withColumn("category", F.lit(""))
+    return catalog.backfill(old, new).select("name", "description", "category", "status", F.array_join("agents", ",").alias("agents"))
+
+
+@query
+def variants(spark, d):
+    e = tables.entries(spark, d)
+    off = e.filter("doc_id % 6 = 1").withColumn("name", F.concat("name", F.lit("-v2")))
+    return catalog.variants(e.filter("visibility = 'ready'"), off)
+
+
+@query
+def catalog_fingerprint(spark, d):
+    return catalog.fingerprint(tables.entries(spark, d))
+
+
+@query
+def ledger_gap(spark, d):
+    return ledger.gaps(tables.hit_events(spark, d))
+
+
+@query
+def ledger_hits(spark, d):
+    return ledger.hits(tables.hit_events(spark, d))
+
+
+@query
+def ledger_adopt(spark, d):
+    return ledger.adoptions(tables.hit_events(spark, d))
+
+
+@query
+def ledger_zombies(spark, d):
+    names = spark.range(0, 200).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("name"))
+    return ledger.zombies(names, tables.hit_events(spark, d))
+
+
+@query
+def promotion(spark, d):
+    return ledger.promotions(tables.hit_events(spark, d), ["k1", "k2"], PROMOTE_AT)
+
+
+@query
+def usage_summary(spark, d):
+    return ledger.usage(tables.hit_events(spark, d).select(F.col("kind").alias("cmd"), F.floor("value").cast("bigint").alias("chars")))
+
+
+@query
+def ledger_tumbling(spark, d):
+    return ledger.windows(tables.hit_events(spark, d), "1 day")
+
+
+@query
+def ledger_sliding(spark, d):
+    return ledger.windows(tables.hit_events(spark, d), "2 days", "1 day")
+
+
+@query
+def ledger_session(spark, d):
+    return ledger.sessions(tables.hit_events(spark, d), "6 hours")
+
+
+@query
+def route_intents(spark, d):
+    rows = tables.read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, ("find ", "export the ", "plan for ", "what is ", "@alpha "))), (F.pmod(F.col("conv_id"), F.lit(5)) + 1).cast("int")), F.left("text", F.lit(60))).alias("text"))
+    return planner.route(rows).select("conv_id", "turn", "command", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+@query
+def dag_layers(spark, d):
+    e = tables.entries(spark, d)
+    return planner.layers(e.select(F.lit(1).alias("task"), "id"), tables.dependencies(e)).select("id", F.col("layer").cast("bigint").alias("layer"), "cyclic")
+
+
+@query
+def pipeline_stages(spark, d):
+    e = tables.entries(spark, d)
+    return planner.plan(tables.queries(spark, d), e, tables.dependencies(e))
+
+
+@query
+def lifecycle_stages(spark, d):
+    tasks = spark.createDataFrame([(1, "develop a feature module"), (2, "write a letter"), (3, "fix the tool")], "qid bigint, query string")
+    return planner.lifecycle(tasks, tables.entries(spark, d))

@@ -63,15 +63,34 @@ def solve(demand: dict[int, int], room: int, most_columns: int = MOST_COLUMNS, g
     if not len(sizes):
         return [], 0.0
     d = np.array([demand[s] for s in sizes], float)
-    columns = np.diag((room // sizes).astype(float))
-    inverse, x = np.diag(1 / np.diag(columns)), d / np.diag(columns)
+    # A first basis: the fullest pattern of what is left, large rests first, until it uses up a class, and so on; each
+    # pattern ends a class that no later one has, so the columns are triangular.
+    columns, x, cost, rest = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes)), np.ones(len(sizes)), d.copy()
+    open_ = np.ones(len(sizes), bool)
+    for i in range(len(sizes)):
+        here = np.flatnonzero(open_)
+        _, part = price(sizes[here] * (1.0 + 1e-3 * sizes[here] / room), sizes[here], room)
+        columns[here, i] = part
+        times = np.where(part > 0, rest[here] / np.where(part > 0, part, 1), np.inf)
+        ends = int(times.argmin())
+        x[i] = times[ends]
+        rest[here] = np.maximum(rest[here] - x[i] * part, 0)
+        open_[here[ends]] = False
+    inverse = np.linalg.inv(columns)
     bound = 0.0
     for _ in range(most_columns):
-        duals = np.maximum(inverse.sum(axis=0), 0)
-        value, column = price(duals, sizes, room)
-        bound = max(bound, float(duals @ d) / max(value, 1.0))
-        if value <= 1 + 1e-9 or x.sum() - bound <= gap * x.sum():
-            break
+        duals = cost @ inverse
+        least = int(duals.argmin())
+        if duals[least] < -1e-9:  # too much of a class may be cut: its surplus enters, so duals stay in bounds
+            column, price_of = np.zeros(len(sizes)), 0.0
+            column[least] = -1.0
+        else:
+            duals = np.maximum(duals, 0)
+            value, column = price(duals, sizes, room)
+            price_of = 1.0
+            bound = max(bound, float(duals @ d) / max(value, 1.0))
+            if value <= 1 + 1e-9 or cost @ x - bound <= gap * (cost @ x):
+                break
         u = inverse @ column
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
@@ -82,7 +101,8 @@ def solve(demand: dict[int, int], room: int, most_columns: int = MOST_COLUMNS, g
         others = u.copy()
         others[out] = 0
         inverse -= np.outer(others, inverse[out])
-        columns[:, out] = column
+        columns[:, out], cost[out] = column, price_of
+    x, columns = x[cost > 0], columns[:, cost > 0]
     left = d.astype(int)
     counts = np.floor(x + 1e-9).astype(int)
     for i in np.argsort(-x, kind="stable"):  # rounding errors must not overdraw a class

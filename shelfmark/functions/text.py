@@ -10,7 +10,7 @@ STRINGS = "array<string>"
 #: Words of questions, which are dropped from queries of content search.
 STOP_WORDS = ("如何", "怎么", "怎样", "为何", "为什么", "什么", "哪些", "哪里", "帮我", "请问", "一下", "能否", "吗", "我想", "我要", "想要", "需要")
 
-#: Default concept pairs for querying across languages; a table of (zh, en) replaces them.
+#: Concept pairs for querying across languages, the most usual ones; a table of (zh, en) replaces them.
 CONCEPTS = {
     "周报": "report weekly", "报表": "report dashboard", "技能": "skill", "检索": "search retrieve", "搜索": "search", "修复": "fix repair",
     "测试": "test testing", "审查": "review audit", "翻译": "translate translation", "文档": "document doc", "数据": "data", "邮件": "email mail",
@@ -91,16 +91,22 @@ def identifier_parts(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), F.filter(parts, lambda p: F.length(p) > 1)))
 
 
-def extracted_triggers(description: Column, most: int = 8) -> Column:
-    """Triggers named in a description: after a CJK or English label, or else after "use when" up to the sentence's end."""
-    one = lambda p: F.nullif(F.regexp_extract(description, p, 1), F.lit(""))
-    found = F.coalesce(one("触发词[：:]\\s*([^。\\n]+)"), one("(?i)triggers?[：:]\\s*([^.\\n]+)"), one("(?i)(?:use|trigger) when\\s+([^.\\n]+)"))
-    parts = F.transform(F.split(F.coalesce(found, F.lit("")), "[、,，;；/|]+"), lambda p: F.trim(BOTH_QUOTES(p)))
-    return F.slice(F.array_distinct(F.filter(parts, lambda p: (F.length(p) > 0) & (F.size(F.split(p, "\\s+")) <= 5))), 1, most)
+#: Words that a "use when" clause may begin with and that are no part of a trigger.
+CLAUSE_WORDS = "the a an user users you your they someone want wants need needs ask asks asking require requires for to and or of when is are please help with into"
+
 
+def extracted_triggers(description: Column, most: int = 8, words: int = 5) -> Column:
+    """Triggers named in a description: listed after a CJK or English label, or else the phrases of a "use when" clause.
 
-def BOTH_QUOTES(part: Column) -> Column:
-    return F.regexp_replace(part, "^[\\s\"'“”‘’「」]+|[\\s\"'“”‘’「」]+$", "")
+    A clause ends with its sentence; its phrases lose the function words in front and are cut to `words` words.
+    """
+    one = lambda p: F.nullif(F.regexp_extract(description, p, 1), F.lit(""))
+    listed = F.coalesce(one("触发词[：:]\\s*([^\n]+)"), one("(?i)\\bTriggers?\\b[：:]\\s*([^\n]+)"))
+    clause = one("(?i)(?:trigger when|use when)[：:]?\\s*([^。.；;！？!?]+)")
+    front = "(?i)^(?:(?:" + "|".join(CLAUSE_WORDS.split()) + ")[.,;:!?]*(?:\\s+|$))+"
+    phrase = lambda p: F.regexp_replace(F.array_join(F.slice(F.split(F.regexp_replace(F.trim(p), front, ""), "\\s+"), 1, words), " "), "^[.,;:!?]+|[.,;:!?]+$", "")
+    found = F.when(listed.isNotNull(), F.split(listed, "[、,，;；/|\\s]+")).otherwise(F.transform(F.split(F.coalesce(clause, F.lit("")), "[、,，;；/|]+"), phrase))
+    return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, most)
 
 
 def safe_dirname(name: Column) -> Column:

@@ -12,7 +12,7 @@ from shelfmark.functions import text as T
 from shelfmark.operators.retrieval import document_frequency
 from shelfmark.schema import CHUNK_LINES, CHUNK_MIN_LINES, CHUNK_OVERLAP, CHUNK_SUMMARY, CHUNKS_PER_SKILL, FED_PER_SKILL
 
-#: Default words that mark a section worth feeding to dependents.
+#: Words that mark a section worth feeding to dependents; replaceable.
 KEY_SECTION = r"(?i)\b(usage|example|quick ?start|install|api|parameters?|options?|config(uration)?|overview|workflow|rules?|constraints?|output|input)\b|用法|示例|参数|配置|流程|规则"
 
 

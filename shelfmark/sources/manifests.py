@@ -13,7 +13,7 @@ from shelfmark.functions import text as T
 from shelfmark.schema import FILE_BYTES, HIT_EVENT, USAGE_EVENT
 
 #: Statuses of a registry that block an entry.
-BLOCKED = ("blocked", "disabled", "unavailable", "inactive", "off", "forbidden", "deprecated", "removed")
+BLOCKED = ("blocked", "disabled", "unavailable", "off", "停用", "不可用", "已停用")
 #: Default directories and files that are never read.
 IGNORED = (".git/", "node_modules/", "__pycache__/", ".venv/", "dist/", "build/", "*.pyc", "*.lock")
 

@@ -49,6 +49,13 @@ def test_terms(spark):
     assert set(one(spark, T.terms, "技能索引器 Code2")) == {"技能", "能索", "索引", "引器", "技能索", "能索引", "索引器", "code2"}
 
 
+def test_triggers(spark):
+    find = lambda text: one(spark, T.extracted_triggers, text)
+    assert find("Advanced chart library. Use when user asks for G2 charts, bar charts, line charts, and pie charts.") == ["G2 charts", "bar charts", "line charts", "pie charts"]
+    assert find("Visual tool. Use when users want to create data interpretations. 叙事文本可视化") == ["create data interpretations"]
+    assert find("图表技能。触发词：柱状图、折线图、可视化") == ["柱状图", "折线图", "可视化"] and find("nothing here") == []
+
+
 def test_pool(spark):
     rows = entries(spark, [("a", "", (), "ready", True), ("b", "", (), "off-list", True), ("c", "", (), "blocked", True), ("shelfmark", "", ()), ("d", "", (), "ready", None), ("e", "", (), "ready", False)])
     names = lambda **o: [r.name for r in retrieval.pool(rows, Search(**o)).orderBy("name").collect()]

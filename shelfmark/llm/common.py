@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -46,3 +47,10 @@ def whole_text(name: str = "text") -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def release_worker_memory() -> None:
+    """In a Python worker that was reused: let go the token maps that an earlier task of another operator has left."""
+    tokens = sys.modules.get("shelfmark.llm.tokens")
+    if tokens is not None:
+        tokens._ENCODERS.clear()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import release_worker_memory, written
 from shelfmark.llm.components import components
 from shelfmark.llm.hashing import mix, odd_constants, shingle_sets
 
@@ -29,7 +29,7 @@ DEPTH = 3
 TOKENS = 64  # minima kept of each set
 SMALL = 32  # members up to which a bucket is not split
 BLOCK = 1000  # members, and
-BLOCK_HASHES = 2_000_000  # shingles, that one comparison takes of each side
+BLOCK_HASHES = 1_000_000  # shingles, that one comparison takes of each side
 FILTER_BITS = 1 << 23
 
 
@@ -124,6 +124,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, reca
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_memory()
         for batch in batches:
             nodes, sizes, mins = [], [], []
             for h in shingle_sets([t.encode() for t in batch.column(2).to_pylist()], k):
@@ -167,6 +168,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, reca
     shared = spark.sparkContext.broadcast(mask)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_memory()
         flags = shared.value.view(np.uint64)
         for batch in batches:
             bit = batch.column(3).to_numpy()
@@ -182,6 +184,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, reca
     dealt = dealt.repartition("run", "bucket", "a", "b").sortWithinPartitions("run", "bucket", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_memory()
         unit, members = None, []
         found: list[tuple] = []
 

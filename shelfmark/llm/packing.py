@@ -57,6 +57,24 @@ def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), column
 
 
+def _product(subscripts: str, *arrays: np.ndarray) -> np.ndarray:
+    """A product of arrays without BLAS, whose threads may hang in a driver that has forked to start its JVM."""
+    return np.einsum(subscripts, *arrays, optimize=False)
+
+
+def _inverse(columns: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """The inverse of a basis that is lower triangular once its rows are in the order in which classes ended."""
+    lower, solved = columns[ended], np.zeros_like(columns)
+    for i in range(len(lower)):
+        solved[i, i] = 1
+        if i:
+            solved[i] -= _product("i,ij->j", lower[i, :i], solved[:i])
+        solved[i] /= lower[i, i]
+    inverse = np.empty_like(solved)
+    inverse[:, ended] = solved
+    return inverse
+
+
 def solve(demand: dict[int, int], room: int, most_columns: int = MOST_COLUMNS, gap: float = GAP, fill: float = FILL) -> tuple[list[Pattern], float]:
     """Patterns that fill a sequence, with whole counts that no class's demand falls short of, and the linear program's bound on sequences."""
     sizes = np.array(sorted(s for s, n in demand.items() if n), int)
@@ -66,7 +84,7 @@ def solve(demand: dict[int, int], room: int, most_columns: int = MOST_COLUMNS, g
     # A first basis: the fullest pattern of what is left, large rests first, until it uses up a class, and so on; each
     # pattern ends a class that no later one has, so the columns are triangular.
     columns, x, cost, rest = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes)), np.ones(len(sizes)), d.copy()
-    open_ = np.ones(len(sizes), bool)
+    open_, ended = np.ones(len(sizes), bool), []
     for i in range(len(sizes)):
         here = np.flatnonzero(open_)
         _, part = price(sizes[here] * (1.0 + 1e-3 * sizes[here] / room), sizes[here], room)
@@ -76,10 +94,11 @@ def solve(demand: dict[int, int], room: int, most_columns: int = MOST_COLUMNS, g
         x[i] = times[ends]
         rest[here] = np.maximum(rest[here] - x[i] * part, 0)
         open_[here[ends]] = False
-    inverse = np.linalg.inv(columns)
+        ended.append(here[ends])
+    inverse = _inverse(columns, np.array(ended))
     bound = 0.0
     for _ in range(most_columns):
-        duals = cost @ inverse
+        duals = _product("i,ij->j", cost, inverse)
         least = int(duals.argmin())
         if duals[least] < -1e-9:  # too much of a class may be cut: its surplus enters, so duals stay in bounds
             column, price_of = np.zeros(len(sizes)), 0.0
@@ -88,10 +107,10 @@ def solve(demand: dict[int, int], room: int, most_columns: int = MOST_COLUMNS, g
             duals = np.maximum(duals, 0)
             value, column = price(duals, sizes, room)
             price_of = 1.0
-            bound = max(bound, float(duals @ d) / max(value, 1.0))
-            if value <= 1 + 1e-9 or cost @ x - bound <= gap * (cost @ x):
+            bound, used_up = max(bound, float((duals * d).sum()) / max(value, 1.0)), float((cost * x).sum())
+            if value <= 1 + 1e-9 or used_up - bound <= gap * used_up:
                 break
-        u = inverse @ column
+        u = _product("ij,j->i", inverse, column)
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]

@@ -34,6 +34,14 @@ def written(df: DataFrame, path: str | None = None, partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be no column of df (by Spark, in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions a shuffle gets; it is set in proportion to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

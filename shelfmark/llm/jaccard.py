@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import release_worker_memory, written
+from shelfmark.llm.common import free_name, release_worker_memory, written
 from shelfmark.llm.components import components
 from shelfmark.llm.hashing import mix, odd_constants, shingle_sets
 
@@ -111,13 +111,22 @@ def compare(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], weight
     return links.astype(np.int64), label
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links, copy_of, n_shingles for each row of docs.
 
     n_links: other rows of similarity from `similarity` on, copies included; class_id: the least doc_id that links lead
     to; copy_of: the least doc_id of an equal set. Words are lower-cased runs of letters and digits; texts of fewer than
     k words are one shingle; null texts and texts without words link to nothing. Rows of one doc_id are rows of their
-    own; a null doc_id is no class's least unless all of it are null. An empty table gives no rows.
+    own; a null doc_id is no class's least unless all of it are null. An empty table gives no rows. Options are those of
+    `classified`.
+    """
+    return classified(docs, **options).select("doc_id", "class_id", "n_links", "copy_of", "n_shingles")
+
+
+def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """The columns of `join`, and of each row _row (a hash of its doc_id and text), worded, and stays.
+
+    stays: whether the row has no words, or is the first of its class by doc_id (null last), then by _row.
     """
     spark = docs.sparkSession
     runs = runs_for(recall, similarity, depth)
@@ -137,7 +146,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, reca
 
     sketched = written(rows.mapInArrow(sketch, "_row bigint, doc_id bigint, node bigint, n bigint, way array<bigint>"))
     nodes = sketched.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("copy_of"), F.count("*").alias("weight"), F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("way").alias("way"))
+        F.min("doc_id").alias("copy_of"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"), F.count("*").alias("weight"), F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("way").alias("way"))
     nodes = written(nodes)
     way = lambda level: F.get("way", F.col("run") * depth + level)
     steps = nodes.select("node", "n", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "way").select("node", "n", F.col("run"), *[way(x).alias(f"p{x}") for x in range(depth)])
@@ -211,12 +220,15 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, reca
 
     links = written(dealt.mapInArrow(verify, "node bigint, links bigint, label bigint"))
     labels = components(links.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    per_node = nodes.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(labels, "node", "left")
+    per_node = nodes.select("node", "copy_of", "first", "weight").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(labels, "node", "left")
     per_node = per_node.withColumn("label", F.coalesce("label", "node"))
-    classes = per_node.groupBy("label").agg(F.min("copy_of").alias("class_id"))
-    per_node = per_node.join(classes, "label").select("node", "class_id", "copy_of", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketched.select("doc_id", "node", F.col("n").alias("n_shingles")).join(per_node, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), "n_shingles")
+    classes = per_node.groupBy("label").agg(F.min("first").alias("head"))
+    per_node = per_node.join(classes, "label").select("node", "head", "copy_of", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sketched.select("_row", "doc_id", "node", F.col("n").alias("n_shingles")).join(per_node, "node", "left")
+    worded = F.col("node").isNotNull()
+    return out.select(
+        "_row", "doc_id", F.when(worded, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.when(worded, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"), "n_shingles", worded.alias("worded"), (~worded | (F.col("_row") == F.col("head._row"))).alias("stays"))
 
 
 def _links(found: list[tuple]) -> pa.RecordBatch:
@@ -224,11 +236,18 @@ def _links(found: list[tuple]) -> pa.RecordBatch:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its class, with all their columns, unchanged.
+    """One row of each class, with all its columns, unchanged: that of the least doc_id.
 
-    Rows that share that doc_id are told apart by a hash of their text, and one of each text stays. Rows without words or
-    doc_id stay.
+    A null doc_id comes last; rows of one doc_id are told apart by a hash of their text, and one of a class stays. Of rows
+    repeated in doc_id and text one stays, whichever its other columns. All rows without words stay.
     """
-    spare = join(docs, **options).filter("doc_id <> class_id").select(F.col("doc_id").alias("_spare")).distinct()
-    kept = docs.join(spare, F.col("doc_id") == F.col("_spare"), "left_anti")
-    return kept
+    marks = written(classified(docs, **options).select("_row", "worded", "stays"))
+    spare = marks.filter(~F.col("stays")).select(F.col("_row").alias("_spare")).distinct()
+    again = marks.filter(F.col("worded") & F.col("stays")).groupBy("_row").count().filter("count > 1").select(F.col("_row").alias("_again"))
+    mark = free_name(docs, "_mark")
+    keyed = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    kept = keyed.join(spare, keyed[mark] == spare["_spare"], "left_anti")
+    if not again.isEmpty():
+        is_again = F.col(mark) == again["_again"]
+        kept = kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates([mark]))
+    return kept.drop(mark)

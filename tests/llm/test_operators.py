@@ -2,8 +2,11 @@
 
 import hashlib
 import json
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -17,6 +20,7 @@ from shelfmark.llm.common import scratch_dir
 from shelfmark.llm.components import components
 from shelfmark.llm.hashing import ALNUM_LOWER, NOT_SPACE, Words
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 EXTRA = "lang string, source string, n_chars bigint, node bigint, _row bigint, score double, n_words bigint, rest int, found string, ids string, word string"
 SCHEMA = f"doc_id bigint, text string, {EXTRA}"
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -127,6 +131,12 @@ def test_packing_round_trip(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_column_generation_after_a_fork():
+    code = "import os\nfrom shelfmark.llm import packing\np = os.fork()\nif p == 0: os._exit(0)\nos.waitpid(p, 0)\nprint(len(packing.solve({s: 50 + s % 7 for s in range(1, 513)}, 512)[0]))"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=60, check=True)
+    assert int(done.stdout) > 0
+
+
 def test_column_generation():
     rng = random.Random(3)
     demand = Counter(rng.randint(1, 512) for _ in range(20_000))
@@ -144,7 +154,8 @@ def test_column_generation():
     assert packing.solve({}, 512) == ([], 0.0)
 
 
-def brute_jaccard(rows):
+def brute_classes(rows):
+    """Of each row the number of its links, a number of its class, and whether it has words."""
     sets = []
     for _, t in rows:
         w = WORD.findall(low(t))
@@ -162,12 +173,16 @@ def brute_jaccard(rows):
                 links[a] += 1
                 links[b] += 1
                 parent[find(a)] = find(b)
+    return links, [find(x) for x in range(len(rows))], [bool(s) for s in sets]
+
+
+def brute_jaccard(rows):
+    links, root, _ = brute_classes(rows)
     least = {}
-    for x in range(len(rows)):
+    for x, r in enumerate(root):
         i = rows[x][0]
-        r = find(x)
         least[r] = i if least.get(r) is None else least[r] if i is None else min(least[r], i)
-    return Counter((rows[x][0], least[find(x)], links[x]) for x in range(len(rows)))
+    return Counter((rows[x][0], least[r], links[x]) for x, r in enumerate(root))
 
 
 def test_jaccard_join(docs, rows, empty):
@@ -176,10 +191,23 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard.join(empty).count() == 0
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    got = {r.doc_id for r in kept.collect()}
+    kept = [(r.doc_id, r.text or "") for r in kept.collect()]
+    got = {i for i, _ in kept}
+    _, root, worded = brute_classes(rows)
+    assert len(kept) == len({r for r, w in zip(root, worded) if w}) + worded.count(False)
+    assert not brute_classes(kept)[0] and Counter(kept) <= Counter(rows)
     assert 3 in got and not {30, 31, 32} & got and {0, 40, 41} <= got and 33 not in got
 
 
+def test_one_of_each_where_doc_ids_and_names_clash(spark):
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(5, a, 1), (5, b, 2), (3, b, 3), (None, a, 4), (None, c, 5), (None, c, 6), (9, c, 7), (8, None, 8), (8, None, 9), (4, "", 10)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, _MARK int"))
+    assert kept.columns == ["doc_id", "text", "_MARK"]
+    assert sorted(r["_MARK"] for r in kept.collect()) == [1, 3, 7, 8, 9, 10]
+
+
 def test_near_copies_in_a_large_group(spark):
     rng = random.Random(11)
     words = prose(rng, 200).split()

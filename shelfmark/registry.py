@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,12 @@ def query(f: Query) -> Query:
     return f
 
 
+def also_whole(f: Query) -> Query:
+    """Registers f, whose SQL takes beginnings of texts, and NAME_whole, the same over whole texts."""
+    QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
+    return query(f)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_topk(spark, sf_dir)
 
@@ -71,19 +78,19 @@ def exclude_glob(spark, d):
     return reports.excluded_by_globs(tables.entries(spark, d), GLOBS)
 
 
-@query
-def terms_explode(spark, d):
-    return graph.entry_terms(tables.entries(spark, d))
+@also_whole
+def terms_explode(spark, d, whole=False):
+    return graph.entry_terms(tables.entries(spark, d, whole))
 
 
-@query
-def term_df(spark, d):
-    return retrieval.document_frequency(graph.entry_terms(tables.entries(spark, d)))
+@also_whole
+def term_df(spark, d, whole=False):
+    return retrieval.document_frequency(graph.entry_terms(tables.entries(spark, d, whole)))
 
 
-@query
-def term_idf(spark, d):
-    found = retrieval.pool(tables.entries(spark, d))
+@also_whole
+def term_idf(spark, d, whole=False):
+    found = retrieval.pool(tables.entries(spark, d, whole))
     n = found.agg(F.count("*").alias("n"))
     return retrieval.document_frequency(graph.entry_terms(found)).crossJoin(F.broadcast(n)).select("term", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
@@ -112,24 +119,24 @@ def gap_notice(spark, d):
     return rows.select("qid", T.uncovered_gap(F.col("query"), F.col("evidence"), F.size("evidence")).alias("gap"))
 
 
-@query
-def search_candidates(spark, d):
-    return retrieval.candidates(tables.queries(spark, d), tables.entries(spark, d)).groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
+@also_whole
+def search_candidates(spark, d, whole=False):
+    return retrieval.candidates(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
 
 
-@query
-def search_evidence(spark, d):
-    return retrieval.scored(tables.queries(spark, d), tables.entries(spark, d)).select("qid", "name", "score", "ev", F.array_join(F.array_sort("evidence"), " ").alias("evidence"))
+@also_whole
+def search_evidence(spark, d, whole=False):
+    return retrieval.scored(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).select("qid", "name", "score", "ev", F.array_join(F.array_sort("evidence"), " ").alias("evidence"))
 
 
-@query
-def search_topk(spark, d):
-    return retrieval.search(tables.queries(spark, d), tables.entries(spark, d)).select("qid", "rank", "name", "score")
+@also_whole
+def search_topk(spark, d, whole=False):
+    return retrieval.search(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).select("qid", "rank", "name", "score")
 
 
-@query
-def search_ties(spark, d):
-    return retrieval.search(tables.queries(spark, d), tables.entries(spark, d)).filter("tied").select("qid", "rank", "name")
+@also_whole
+def search_ties(spark, d, whole=False):
+    return retrieval.search(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).filter("tied").select("qid", "rank", "name")
 
 
 @query
@@ -145,14 +152,14 @@ def name_twins(spark, d):
     return retrieval.name_twins(e.unionByName(short))
 
 
-@query
-def overlap_candidates(spark, d):
-    return graph.overlap_candidates(tables.entries(spark, d)).withColumn("weight", F.round("weight", 3))
+@also_whole
+def overlap_candidates(spark, d, whole=False):
+    return graph.overlap_candidates(tables.entries(spark, d, whole)).withColumn("weight", F.round("weight", 3))
 
 
 @query
 def overlap_edges_capped(spark, d):
-    return graph.capped(graph.overlap_candidates(tables.entries(spark, d)).select("u", "v", "weight"))
+    return graph.capped(graph.overlap_candidates(tables.entries(spark, d, whole=True)).select("u", "v", "weight"))
 
 
 @query
@@ -182,21 +189,21 @@ def _files(spark, d) -> DataFrame:
     return lines.select("source", "doc_id", F.col("source").alias("skill"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.split("text", "\n").alias("lines"))
 
 
-@query
-def similar_pairs(spark, d):
-    posted = tables.entries(spark, d).select(F.col("name").alias("skill"), F.explode(T.terms(F.col("description"))).alias("term"))
+@also_whole
+def similar_pairs(spark, d, whole=False):
+    posted = tables.entries(spark, d, whole).select(F.col("name").alias("skill"), F.explode(T.terms(F.col("description"))).alias("term"))
     return graph.similar_pairs(posted)
 
 
-def _edges(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = tables.entries(spark, d)
+def _edges(spark, d, whole=False) -> tuple[DataFrame, DataFrame]:
+    e = tables.entries(spark, d, whole)
     edges = graph.family_edges(e).unionByName(graph.contains_edges(e)).unionByName(tables.dependencies(e))
     return e, edges
 
 
-@query
-def all_edges(spark, d):
-    e = tables.entries(spark, d)
+@also_whole
+def all_edges(spark, d, whole=False):
+    e = tables.entries(spark, d, whole)
     return graph.all_edges(e, graph.overlap_candidates(e)).withColumn("weight", F.round("weight", 3))
 
 
@@ -249,7 +256,7 @@ def graph_dangling(spark, d):
 
 @query
 def graph_repair(spark, d):
-    e, edges = _edges(spark, d)
+    e, edges = _edges(spark, d, whole=True)
     return graph.repaired(edges, e.filter("doc_id % 9 <> 0"))
 
 
@@ -318,6 +325,10 @@ def doctor_findings(spark, d):
     return reports.doctor(e.unionByName(twice))
 
 
+def _start(name: str, most: int, whole: bool):
+    return F.col(name) if whole else F.left(name, F.lit(most))
+
+
 def _snapshots(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = e.select("doc_id", F.col("name").alias("path"), F.length("full_text").cast("bigint").alias("mtime"))
     return rows.filter("doc_id % 10 <> 1"), rows.filter("doc_id % 10 <> 2").withColumn("mtime", F.when(F.col("doc_id") % 10 == 3, F.col("mtime") + 1).otherwise(F.col("mtime")))
@@ -329,32 +340,32 @@ def merge_incremental(spark, d):
     return catalog.incremental(old, new)
 
 
-@query
-def merge_registry(spark, d):
-    e = tables.entries(spark, d)
-    registry = e.filter("visibility <> 'off-list'").withColumn("description", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.left("description", F.lit(40))))
-    disk = e.filter("doc_id % 5 <> 0").withColumn("description", F.left("description", F.lit(60)))
+@also_whole
+def merge_registry(spark, d, whole=False):
+    e = tables.entries(spark, d, whole)
+    registry = e.filter("visibility <> 'off-list'").withColumn("description", F.when(F.col("doc_id") % 4 == 0, "").otherwise(_start("description", 40, whole)))
+    disk = e.filter("doc_id % 5 <> 0").withColumn("description", _start("description", 60, whole))
     return catalog.merge_registry(registry, disk)
 
 
-@query
-def upsert_import(spark, d):
-    e = tables.entries(spark, d).select("doc_id", "name", F.left("description", F.lit(30)).alias("description"), F.col("source").alias("path"), "triggers")
+@also_whole
+def upsert_import(spark, d, whole=False):
+    e = tables.entries(spark, d, whole).select("doc_id", "name", _start("description", 30, whole).alias("description"), F.col("source").alias("path"), "triggers")
     new = e.filter("doc_id % 3 <> 0").withColumn("description", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("new "), "description")).otherwise(F.col("description")))
     return catalog.upsert(e.filter("doc_id % 4 <> 0"), new).select("name", "description", "path", "change")
 
 
-@query
-def registry_backfill(spark, d):
-    e = tables.entries(spark, d).select("doc_id", "name", F.left("description", F.lit(20)).alias("description"), F.col("source").alias("category"), F.lit(None).cast("string").alias("platform"), F.col("visibility").alias("status"))
+@also_whole
+def registry_backfill(spark, d, whole=False):
+    e = tables.entries(spark, d, whole).select("doc_id", "name", _start("description", 20, whole).alias("description"), F.col("source").alias("category"), F.lit(None).cast("string").alias("platform"), F.col("visibility").alias("status"))
     old = e.filter("doc_id % 4 <> 0").withColumn("agents", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(T.none()))
     new = e.filter("doc_id % 3 = 0").withColumn("agents", F.array(F.lit("b"), F.lit("c"))).withColumn("category", F.lit(""))
     return catalog.backfill(old, new).select("name", "description", "category", "status", F.array_join("agents", ",").alias("agents"))
 
 
-@query
-def variants(spark, d):
-    e = tables.entries(spark, d)
+@also_whole
+def variants(spark, d, whole=False):
+    e = tables.entries(spark, d, whole)
     off = e.filter("doc_id % 6 = 1").withColumn("name", F.concat("name", F.lit("-v2")))
     return catalog.variants(e.filter("visibility = 'ready'"), off)
 
@@ -410,9 +421,9 @@ def ledger_session(spark, d):
     return ledger.sessions(tables.hit_events(spark, d), "6 hours")
 
 
-@query
-def route_intents(spark, d):
-    rows = tables.read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, ("find ", "export the ", "plan for ", "what is ", "@alpha "))), (F.pmod(F.col("conv_id"), F.lit(5)) + 1).cast("int")), F.left("text", F.lit(60))).alias("text"))
+@also_whole
+def route_intents(spark, d, whole=False):
+    rows = tables.read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, ("find ", "export the ", "plan for ", "what is ", "@alpha "))), (F.pmod(F.col("conv_id"), F.lit(5)) + 1).cast("int")), _start("text", 60, whole)).alias("text"))
     return planner.route(rows).select("conv_id", "turn", "command", F.array_join("alternatives", ",").alias("alternatives"))
 
 
@@ -424,8 +435,8 @@ def dag_layers(spark, d):
 
 @query
 def pipeline_stages(spark, d):
-    e = tables.entries(spark, d)
-    return planner.plan(tables.queries(spark, d), e, tables.dependencies(e))
+    e = tables.entries(spark, d, whole=True)
+    return planner.plan(tables.queries(spark, d, whole=True), e, tables.dependencies(e))
 
 
 @query

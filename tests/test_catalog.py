@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -44,6 +45,30 @@ def test_oracle(spark, name):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", sorted(n for n in registry.queries() if n.endswith("_whole")))
+def test_whole_texts(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
+    sql = re.sub(r"\b(?:substr|left)\((text|description)(?:, 1)?, \d+\)", r"\1", registry.oracle_sql()[name.removesuffix("_whole")])
+    got = registry.queries()[name](spark, DATA)
+    columns = sorted(got.columns)
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    assert expected and sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
+
+
+def test_words_after_the_beginning_count(spark, tmp_path):
+    text = "filler " * 100
+    spark.createDataFrame([(i, text + w, "en", "s", 800) for i, w in enumerate(("quokka wombat", "quokka wombat", "other"), 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(3, 6)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "x " * 60 + "quokka")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.name for r in at("search_topk_whole")} == {"en0-3", "en0-4"} and not at("search_topk")
+    assert {r.id for r in at("pipeline_stages")} >= {"skill:en0-3", "skill:en0-4"}
+    assert sorted(r.weight for r in at("overlap_edges_capped")) == [0.4, 0.4, 1.0]
+
+
 def test_terms(spark):
     assert one(spark, T.terms, "a b c") == []
     assert set(one(spark, T.terms, "技能索引器 Code2")) == {"技能", "能索", "索引", "引器", "技能索", "能索引", "索引器", "code2"}

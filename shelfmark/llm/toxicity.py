@@ -1,6 +1,7 @@
 """A toxicity classifier with a counterfactual penalty, learnt here and applied to whole texts.
 
-Features say whether a word, or a beginning of one, occurs in a text. Weights are evidence for
+Features say whether a word, or a beginning of one, occurs in a text; identity terms have no beginnings, so that a swap of
+them changes a text's features in those words only. Weights are evidence for
 toxicity and never negative. Training minimises logistic loss, an L2 penalty, and
 the squared change of the score when identity terms of a labelled text are swapped for others of their kind: what a text
 says about a group must not depend on which group it names. The model is a bounded list of hashes and weights.
@@ -34,8 +35,11 @@ IDENTITY_TERMS = {
 }
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and beginnings of longer words of each text, with the text's number, for all texts together."""
+def features(texts: list[bytes], bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and beginnings of longer words of each text, with the text's number, for all texts together.
+
+    bare: sorted hashes of the words that have no beginnings.
+    """
     words = Words(texts, ALNUM_LOWER)
     raw = np.frombuffer(words.joined.translate(ALNUM_LOWER), np.uint8)
     up, down = _powers(len(raw) + 1)
@@ -43,6 +47,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(up[:-1] * raw, out=sums[1:])
     owner = np.repeat(np.arange(len(texts)), words.last - words.first)
     length = words.ends - words.starts
+    if len(bare):
+        length = np.where(bare[np.minimum(np.searchsorted(bare, words.hashes), len(bare) - 1)] == words.hashes, 0, length)
     hashes, owners = [words.hashes], [owner]
     for n in PREFIXES:
         at = np.flatnonzero(length > n)
@@ -55,17 +61,22 @@ def word_hash(word: str) -> int:
     return int(Words([word.encode()], ALNUM_LOWER).hashes[0])
 
 
+def identity_hashes(terms: dict[str, tuple[str, ...]]) -> np.ndarray:
+    return np.array(sorted({word_hash(t) for group in terms.values() for t in group}), np.uint64)
+
+
 @dataclass
 class Model:
     hashes: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
+    bare: np.ndarray  # sorted hashes of the identity terms
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         for a, b in runs_by_bytes(texts):
             if len(self.hashes):
-                found, owner = features(texts[a:b])
+                found, owner = features(texts[a:b], self.bare)
                 at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
                 hit = self.hashes[at] == found
                 pairs = np.unique(owner[hit] * len(self.hashes) + at[hit])
@@ -78,7 +89,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, terms: di
     n, n_pos = len(rows), int(labels.sum())
     prior = (n_pos + 0.5) / (n + 1)
     if n_pos in (0, n):
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
+        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))), identity_hashes(terms))
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(flat, minlength=len(known))
@@ -122,7 +133,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, terms: di
         w -= rate * (m_w / (1 - 0.9**t)) / (np.sqrt(v_w / (1 - 0.999**t)) + 1e-8)
         np.maximum(w, 0, out=w)
         b -= rate * (m_b / (1 - 0.9**t)) / (np.sqrt(v_b / (1 - 0.999**t)) + 1e-8)
-    return Model(chosen, w, float(b))
+    return Model(chosen, w, float(b), identity_hashes(terms))
 
 
 def held_out(doc_id) -> F.Column:
@@ -142,6 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
         known = known.filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
     taught = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_toxic", F.coalesce("text", F.lit("")).alias("_text"))  # sample rows at most, about
 
+    identity = identity_hashes(terms)
+
     def extract(chosen):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = chosen.value if chosen else None
@@ -149,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
                 texts = [t.encode() for t in batch.column(1).to_pylist()]
                 out = []
                 for a, b in runs_by_bytes(texts):
-                    found, owner = features(texts[a:b])
+                    found, owner = features(texts[a:b], identity)
                     if wanted is not None:
                         at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
                         hit = wanted[at] == found
@@ -165,7 +178,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
     hashes = [np.frombuffer(x.as_py(), np.uint64) for x in toxic["x"]]
     del toxic
     every, often = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.empty(0, np.uint64), np.empty(0, int))
-    identity = np.array(sorted({word_hash(t) for group in terms.values() for t in group}), np.uint64)
     candidates = np.union1d(every[often > 1], identity)
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
     rows = taught.mapInArrow(extract(shared), "y int, x binary").toArrow()

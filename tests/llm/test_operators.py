@@ -442,6 +442,29 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, blank).filter("score between 0 and 1").count() == docs.count()
 
 
+def test_swapped_sentences_score_alike(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in range(900):
+        words, toxic = prose(rng, 30).split(), n % 4 == 0
+        if toxic:
+            words[rng.randrange(30)] = "idiotic"
+        if n % 2 == 0:
+            words[rng.randrange(30)] = "immigrant" if toxic else "european"
+        texts.append((n, " ".join(words), int(toxic)))
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(n, y) for n, _, y in texts], "doc_id bigint, toxic int")
+
+    def change(model):
+        p = model.score([f"these {w} families moved here".encode() for w in ("immigrant", "european")])
+        return float(np.diff(np.log(p / (1 - p)))[0])
+
+    fair, free = (toxicity.train(df, labels, penalty=p) for p in (toxicity.PENALTY, 0.0))
+    assert abs(change(fair)) < 0.2 * abs(change(free))
+    of = dict(zip(fair.hashes.tolist(), fair.weights))
+    assert change(fair) == pytest.approx(of[toxicity.word_hash("european")] - of[toxicity.word_hash("immigrant")])
+
+
 def test_chat_links_and_orders(spark):
     calls = spark.createDataFrame([
         (1, "a", "get", '{"y": {"d": 1, "c": [2, 1]}, "x": 1}', ["b"], 0), (1, "b", "get", '{"x": 2}', [], 3), (1, "c", "get", '{"x": "no"}', [], 1), (1, "c", "get", "{}", [], 2),

@@ -89,9 +89,9 @@ class FingerprintIndex:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """_d orders documents, nulls last; _tag tells texts of one doc_id apart."""
+    """_d orders documents, nulls last; _tag, a hash of the whole text, tells texts of one doc_id apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_d"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFF)).alias("_tag"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_d"), F.xxhash64(text).alias("_tag"), text.alias("text"))
 
 
 def count_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -113,9 +113,9 @@ def count_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
 
 def occurrences(docs: DataFrame, mask, number: int, passes: int, window: int, gram: int) -> DataFrame:
-    """g, _d, at, n, hashes: a row for each stretch of windows under one repeated fingerprint.
+    """g, _d, _tag, at, n, hashes: a row for each stretch of windows under one repeated fingerprint.
 
-    at is the first window's start, with the text's tag in the low bits. Windows that an earlier one in the same piece of
+    at is the first window's start. Windows that an earlier one in the same piece of
     input equals are known repeats: their stretch goes without hashes, under a key of its own.
     """
 
@@ -145,10 +145,10 @@ def occurrences(docs: DataFrame, mask, number: int, passes: int, window: int, gr
                 key = np.where(known[first], mix(doc[first].astype(np.uint64) ^ at[first].astype(np.uint64)), g[first])
                 hashes = [b"" if k else raw[8 * x : 8 * (x + m)] for k, x, m in zip(known[first].tolist(), first.tolist(), many.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64)), pa.array(doc[first]), pa.array((at[first] << 16) | tags[a:b][owner[first]]), pa.array(many, pa.int32()), pa.array(hashes, pa.binary())],
-                    names=["g", "_d", "at", "n", "hashes"])
+                    [pa.array(key.astype(np.int64)), pa.array(doc[first]), pa.array(tags[a:b][owner[first]]), pa.array(at[first], pa.int32()), pa.array(many, pa.int32()), pa.array(hashes, pa.binary())],
+                    names=["g", "_d", "_tag", "at", "n", "hashes"])
 
-    return _keyed(docs).select("_d", "_tag", "text").mapInArrow(work, "g bigint, _d bigint, at bigint, n int, hashes binary")
+    return _keyed(docs).select("_d", "_tag", "text").mapInArrow(work, "g bigint, _d bigint, _tag bigint, at int, n int, hashes binary")
 
 
 def repeats(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -171,9 +171,8 @@ def verify(dealt: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_g, seen, seen_doc, seen_at = None, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            g, doc, at = (batch.column(i).to_numpy() for i in range(3))
-            n, hashes = batch.column(3).to_numpy().astype(np.int64), batch.column(4)
-            start, tag = at >> 16, at & 0xFFFF
+            g, doc, tag = (batch.column(i).to_numpy() for i in range(3))
+            start, n, hashes = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64), batch.column(5)
             sizes = np.fromiter((len(x) // 8 for x in hashes.to_pylist()), np.int64, len(hashes))
             told = np.flatnonzero(sizes == 0)  # known repeats
             out = [(doc[told], tag[told], start[told], start[told] + n[told])]

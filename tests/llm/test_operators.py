@@ -256,6 +256,21 @@ def test_substring_removal(docs, rows, batches):
     assert got == brute_removal(rows)
 
 
+def test_texts_without_id_keep_their_own_ranges(spark):
+    rng = random.Random(9)
+    long = prose(rng, 90)
+    texts = [long + f" {n} " + long if n % 2 else prose(rng, 25) + f" {n}" for n in range(1500)]
+    tags = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) & 32767").collect()]
+    seen = {}
+    for n, tag in enumerate(tags):
+        seen.setdefault(tag, [[], []])[n % 2].append(n)
+    pair = next((even[0], odd[0]) for even, odd in seen.values() if even and odd)
+    for key in (None, 3):
+        rows = [(key, texts[n]) for n in pair]
+        got = multiset(substrings.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), 1), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert got == brute_removal(rows) and (key, 26, 0) in {k[:3] for k in got}
+
+
 def test_substring_filter_passes(docs, rows, empty, monkeypatch):
     monkeypatch.setattr(substrings, "FILTER_BITS", (64, 1024))
     got = multiset(substrings.deduplicate(docs, 2), "doc_id", "n_words", "n_removed", "kept_sha256")

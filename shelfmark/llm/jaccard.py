@@ -90,7 +90,9 @@ def compare(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], weight
             there = np.zeros((k, wide), np.float32)
             there[owner[lo:hi], column[lo:hi] - a] = 1
             both += there @ there.T
-    alike = both * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-3
+    # Counts are whole in float32; the limit is in float64, as a step of float32 at large sizes is more than the slack.
+    share = sizes.astype(float) * (similarity / (1 + similarity))
+    alike = both >= share[:, None] + (share - 1e-6)[None, :]
     i, j = np.nonzero(np.triu(alike, 1))
     if run and len(i):
         earlier = np.zeros(len(i), bool)
@@ -202,7 +204,7 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
                 node = np.array([m[1] for m in members], np.int64)
                 sets = [np.frombuffer(m[4], "<u8") for m in members]
                 side = np.array([m[0] for m in members]) if unit[2] != unit[3] else None
-                links, label = compare(node, np.array([len(s) for s in sets], np.float32), sets, np.array([m[2] for m in members], float), np.array([m[3] for m in members], np.int64), unit[0], side, similarity)
+                links, label = compare(node, np.array([len(s) for s in sets]), sets, np.array([m[2] for m in members], float), np.array([m[3] for m in members], np.int64), unit[0], side, similarity)
                 found.extend((n, c, b) for n, c, b in zip(node.tolist(), links.tolist(), label.tolist()) if c)
 
         for batch in batches:

@@ -199,6 +199,16 @@ def test_jaccard_join(docs, rows, empty):
     assert 3 in got and not {30, 31, 32} & got and {0, 40, 41} <= got and 33 not in got
 
 
+def test_exact_threshold_of_long_texts():
+    missed = []
+    for m in range(2276, 2600):  # 8m of 10m shingles are common
+        sets = [np.arange(9 * m), np.arange(m, 10 * m), np.arange(m + 1, 10 * m + 1)]  # the third falls short of the first
+        links, _ = jaccard.compare(np.arange(3), np.full(3, 9 * m, np.float32), sets, np.ones(3), np.zeros((3, 1), int), 0, None, 0.8)
+        if links.tolist() != [1, 2, 1]:
+            missed.append(m)
+    assert not missed
+
+
 def test_one_of_each_where_doc_ids_and_names_clash(spark):
     rng = random.Random(2)
     a, b, c = (prose(rng, 40) for _ in range(3))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as T
 from shelfmark.operators.retrieval import document_frequency, idf
 from shelfmark.schema import (
-    EDGE_CLIQUE, EDGE_DF, EDGE_GROUP, EDGE_MIN_JACCARD, EDGE_TOP_K, EDGE_WEIGHT, HUB_FACTOR, HUB_LEAST, HUB_PRUNES, SIMILAR_MIN_SHARED, SIMILAR_PAIR_BUDGET,
+    EDGE_CLIQUE, EDGE_DF, EDGE_GROUP, EDGE_MIN_JACCARD, EDGE_TOP_K, EDGE_WEIGHT, HUB_FACTOR, HUB_LEAST, HUB_PRUNES, SIMILAR_MIN_SHARED, SIMILAR_PAIR_BUDGET, SIMILAR_TOP_K,
 )
 
 
@@ -117,8 +117,20 @@ def name_references(entries: DataFrame) -> DataFrame:
     return by_word.unionByName(by_text).distinct().withColumns({"type": F.lit("depends_on"), "direction": F.lit("directed"), "weight": F.lit(EDGE_WEIGHT["depends_on"])})
 
 
-def similar_pairs(chunk_terms: DataFrame, df_range: tuple[int, int] = EDGE_DF, min_shared: int = SIMILAR_MIN_SHARED, budget: int = SIMILAR_PAIR_BUDGET) -> DataFrame:
+def similar_pairs(chunk_terms: DataFrame, **options) -> DataFrame:
     """u, v, shared, weight of skills by weighted Jaccard of rare terms (skill, term), rarest terms first within a pair budget."""
+    return _similar(chunk_terms, **options).withColumn("weight", F.round("weight", 6))
+
+
+def similar_edges(chunk_terms: DataFrame, entries: DataFrame, least: float = EDGE_MIN_JACCARD, cap: int = SIMILAR_TOP_K) -> DataFrame:
+    """u, v, weight of skills by id whose chunks' terms (skill by name, term) are alike from `least` on, at most `cap` at a node."""
+    ids = entries.filter("type = 'skill'").groupBy(F.lower("name").alias("low")).agg(F.max(F.struct("ord", "id"))["id"].alias("id"))
+    pairs = _similar(chunk_terms.withColumn("skill", F.lower("skill"))).filter(F.col("weight") >= least)
+    pairs = pairs.join(ids.select(F.col("low").alias("u"), F.col("id").alias("a")), "u").join(ids.select(F.col("low").alias("v"), F.col("id").alias("b")), "v")
+    return capped(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.bround("weight", 3).alias("weight")), cap)
+
+
+def _similar(chunk_terms: DataFrame, df_range: tuple[int, int] = EDGE_DF, min_shared: int = SIMILAR_MIN_SHARED, budget: int = SIMILAR_PAIR_BUDGET) -> DataFrame:
     posted = chunk_terms.select("skill", "term").distinct()
     n = posted.agg(F.countDistinct("skill").alias("n"))
     df = document_frequency(posted).filter(F.col("df").between(*df_range))
@@ -131,7 +143,7 @@ def similar_pairs(chunk_terms: DataFrame, df_range: tuple[int, int] = EDGE_DF, m
     total = rare.groupBy("skill").agg(F.sum("idf").alias("w"))
     pairs = rare.select("term", "idf", F.col("skill").alias("u")).join(rare.select("term", F.col("skill").alias("v")), "term").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("shared"), F.sum("idf").alias("s")).filter(F.col("shared") >= min_shared)
     both = pairs.join(total.select(F.col("skill").alias("u"), F.col("w").alias("wu")), "u").join(total.select(F.col("skill").alias("v"), F.col("w").alias("wv")), "v")
-    return both.select("u", "v", "shared", F.round(F.col("s") / (F.col("wu") + F.col("wv") - F.col("s")), 6).alias("weight"))
+    return both.select("u", "v", "shared", (F.col("s") / (F.col("wu") + F.col("wv") - F.col("s"))).alias("weight"))
 
 
 def all_edges(entries: DataFrame, overlap: DataFrame | None = None, similar: DataFrame | None = None) -> DataFrame:

@@ -195,8 +195,17 @@ def similar_pairs(spark, d, whole=False):
     return graph.similar_pairs(posted)
 
 
+def _every_kind(e: DataFrame) -> DataFrame:
+    """Edges of all five kinds, overlap and similar ones capped; similar ones are of the terms of skills' chunks."""
+    files = e.filter("type = 'skill'").select(F.col("name").alias("skill"), F.concat("name", F.lit(".txt")).alias("file"), F.split("full_text", "\n").alias("lines"))
+    similar = graph.similar_edges(chunks.chunk_postings(chunks.plain_chunks(files)), e)
+    return graph.all_edges(e, graph.capped(graph.overlap_candidates(e).select("u", "v", "weight")), similar)
+
+
 def _edges(spark, d, whole=False) -> tuple[DataFrame, DataFrame]:
     e = tables.entries(spark, d, whole)
+    if whole:
+        return e, _every_kind(e).unionByName(tables.dependencies(e)).dropDuplicates(["source", "target", "type"])
     edges = graph.family_edges(e).unionByName(graph.contains_edges(e)).unionByName(tables.dependencies(e))
     return e, edges
 
@@ -204,18 +213,20 @@ def _edges(spark, d, whole=False) -> tuple[DataFrame, DataFrame]:
 @also_whole
 def all_edges(spark, d, whole=False):
     e = tables.entries(spark, d, whole)
+    if whole:
+        return _every_kind(e)
     return graph.all_edges(e, graph.overlap_candidates(e)).withColumn("weight", F.round("weight", 3))
 
 
-@query
-def related_top5(spark, d):
-    e, edges = _edges(spark, d)
+@also_whole
+def related_top5(spark, d, whole=False):
+    e, edges = _edges(spark, d, whole)
     return graph.related(edges, e)
 
 
-@query
-def one_hop(spark, d):
-    e, edges = _edges(spark, d)
+@also_whole
+def one_hop(spark, d, whole=False):
+    e, edges = _edges(spark, d, whole)
     return graph.neighbours(edges, e).select("node", "other", "type", "weight", "name")
 
 
@@ -224,9 +235,9 @@ def impact_two_hop(spark, d):
     return graph.impact(_edges(spark, d)[1])
 
 
-@query
-def graph_degree(spark, d):
-    return graph.degrees(_edges(spark, d)[1])
+@also_whole
+def graph_degree(spark, d, whole=False):
+    return graph.degrees(_edges(spark, d, whole)[1])
 
 
 @query
@@ -242,9 +253,9 @@ def graph_conflicts(spark, d):
     return graph.conflicts(deps.unionByName(back))
 
 
-@query
-def graph_hubs(spark, d):
-    e, edges = _edges(spark, d)
+@also_whole
+def graph_hubs(spark, d, whole=False):
+    e, edges = _edges(spark, d, whole)
     return graph.hubs(edges, e)
 
 

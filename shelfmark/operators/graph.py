@@ -44,16 +44,19 @@ def overlap_candidates(entries: DataFrame) -> DataFrame:
     return overlap_pairs(entries).filter(F.col("jaccard") >= EDGE_MIN_JACCARD).select("u", "v", "shared", F.bround("jaccard", 3).alias("weight"))
 
 
-def capped(pairs: DataFrame, cap: int = EDGE_TOP_K, most_rounds: int = 200) -> DataFrame:
+def capped(pairs: DataFrame, cap: int = EDGE_TOP_K, most_rounds: int | None = None) -> DataFrame:
     """u, v, weight accepted greedily by weight, then u, v, with at most `cap` at a node.
 
     Rounds of locally dominant pairs: a pair is taken when it ranks within what is left at both its ends. Each round cuts
-    its lineage by a checkpoint; the outcome equals the sequential one. A node takes part in a few rounds only.
+    its lineage by a checkpoint; the outcome equals the sequential one. A node takes part in a few rounds only. Rounds go on
+    until no pair is live; where most_rounds is given and does not suffice, an error says so.
     """
     live, taken = pairs.select("u", "v", "weight").checkpoint(), None
-    for _ in range(most_rounds):
-        if live.isEmpty():
-            break
+    rounds = 0
+    while not live.isEmpty():
+        if rounds == most_rounds:
+            raise RuntimeError(f"capping did not settle in {most_rounds} rounds")
+        rounds += 1
         room = live.select(F.col("u").alias("node")).unionByName(live.select(F.col("v").alias("node"))).distinct()
         if taken is not None:
             used = taken.select(F.col("u").alias("node")).unionByName(taken.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("used"))

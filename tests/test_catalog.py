@@ -123,6 +123,18 @@ def test_greedy_cap(spark, cap):
     assert {(r.u, r.v) for r in got} == brute_cap(pairs, cap)
 
 
+def test_used_up_rounds_are_told(spark):
+    chain = [(f"n{i}", f"n{i + 1}", 0.5) for i in range(6)]
+    pairs = spark.createDataFrame(chain, "u string, v string, weight double")
+    with pytest.raises(RuntimeError):
+        graph.capped(pairs, 1, most_rounds=2)
+    assert {(r.u, r.v) for r in graph.capped(pairs, 1).collect()} == brute_cap(chain, 1)
+    nodes, edges = spark.createDataFrame([(1, f"n{i}") for i in range(7)], "task int, id string"), pairs.select(F.col("u").alias("source"), F.col("v").alias("target"))
+    with pytest.raises(RuntimeError):
+        planner.layers(nodes, edges, most_rounds=2)
+    assert [r.layer for r in planner.layers(nodes, edges).orderBy("id").collect()] == list(range(7, 0, -1))
+
+
 def test_every_kind_of_edge(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(400)}" for _ in range(12)] for _ in range(3)]

@@ -292,8 +292,10 @@ def markdown_chunks(spark, d):
     return chunks.markdown_chunks(files).select("skill", "file", "s", "e", "summary")
 
 
-@query
-def python_chunks(spark, d):
+@also_whole
+def python_chunks(spark, d, whole=False):
+    if whole:  # the texts' own lines
+        return chunks.python_chunks(_files(spark, d).select("skill", F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), "lines")).select("skill", "file", "s", "e", "summary")
     source = F.expr("array('import os', '', concat('def f_', cast(doc_id as string), '(x):'), '    a = x', '    b = a', '    c = b', '    return c', 'y = 1', if(doc_id % 5 = 0, 'def broken(', 'z = 2'))")
     files = tables.read(spark, d, "documents").select(F.col("source").alias("skill"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), source.alias("lines"))
     return chunks.python_chunks(files).select("skill", "file", "s", "e", "summary")

@@ -45,8 +45,8 @@ def test_oracle(spark, name):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
 
 
-#: Over whole texts these read edges of all kinds, which their SQL does not.
-UNION = {f"{n}_whole" for n in ("all_edges", "related_top5", "one_hop", "graph_degree", "graph_hubs")}
+#: Over whole texts these read edges of all kinds, or texts' own lines, which their SQL does not.
+UNION = {f"{n}_whole" for n in ("all_edges", "related_top5", "one_hop", "graph_degree", "graph_hubs", "python_chunks")}
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -170,6 +170,22 @@ def test_markdown_chunks(spark):
     assert got == [(1, 1, "intro"), (2, 10, "One"), (11, 19, "Two")]
 
 
+def test_files_of_each_kind_and_feeding(spark, tmp_path):
+    code, broken = ["def f(x):", *["    x += 1"] * 6, "", "class C:", *["    a = 1"] * 6], ["def broken("]
+    rows = [("s", "a.md", ["# Usage", *["a"] * 6, "# Other", *["b"] * 6]), ("s", "b.PY", code), ("s", "c.py", broken), ("s", "d.txt", ["w"] * 60), ("big", "e.txt", ["w"] * 45 * 260)]
+    cut = chunks.chunk_files(spark.createDataFrame(rows, "skill string, file string, lines array<string>")).cache()
+    got = sorted((r.file, r.s, r.e, r.summary) for r in cut.filter("skill = 's'").collect())
+    assert got == [("a.md", 1, 7, "Usage"), ("a.md", 8, 14, "Other"), ("b.PY", 1, 7, "f"), ("b.PY", 9, 15, "C"), ("c.py", 1, 1, "def broken("), ("d.txt", 1, 50, "w"), ("d.txt", 46, 60, "w")]
+    big = [r.s for r in cut.filter("skill = 'big'").orderBy("s").collect()]
+    assert big == [45 * i + 1 for i in range(200)]
+    edges = spark.createDataFrame([("t", "s", "depends_on"), ("s", "u", "contains"), ("x", "s", "overlap")], "source string, target string, type string")
+    fed = {(r.skill, r.file, r.s, r.fed_from) for r in chunks.cross_feed(edges, cut).collect()}
+    assert fed == {("t", "a.md", 1, "s"), ("u", "a.md", 1, "s")}
+    spark.createDataFrame([(1, "\n".join(code), "src"), (2, "plain words (\nmore", "src")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = registry.queries()["python_chunks_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.file, r.s, r.e, r.summary) for r in own) == [("1.py", 1, 7, "f"), ("1.py", 9, 15, "C"), ("2.py", 1, 2, "plain words (")]
+
+
 def test_manifest_grammar():
     m = manifests.parse_manifest("﻿---\r\nname: \"x y\"\r\ndescription: |-\r\n  line one\r\n  line two\r\nnested:\r\n  a: b\r\ntriggers: [p, 'q']\r\n---\r\n# Title *bold*\r\n")
     assert (m["name"], m["description"], m["triggers"], m["h1"]) == ("x y", "line one\nline two", ["p", "q"], "Title bold") and "nested" not in m

@@ -1,101 +1,136 @@
 """Chat formatting with tool-call linking, in DataFrame functions only.
 
 Calls and results are hash-joined by identifier within their conversation, ordered so that each call follows the calls it
-depends on and each result its call, checked against the schema of their tool, and written as canonical JSON: no blanks,
-keys in order at every depth.
+depends on and each result its call, checked against the schema of their tool at every depth, and written as canonical
+JSON: no blanks, keys in order at every depth.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.shared import settled
+
 CALLS = "conv_id bigint, call_id string, name string, arguments string, after array<string>, place bigint"
-SCHEMA_TYPE = "struct<required:array<string>,properties:map<string,struct<type:string>>>"
+DEPTH = 4  # levels of nested values that are checked against a schema, from the arguments themselves on
+#: What can be wrong with a call; the first that holds is told.
+FAULTS = ("unknown_tool", "not_json", "missing", "type", "extra", "value")
 
 #: The schemas of the two tools that plain turns are read as calls of.
 TURN_SCHEMAS = (
-    ("answer", '{"type":"object","required":["text","turn"],"properties":{"text":{"type":"string"},"turn":{"type":"integer"}}}'),
-    ("configure", '{"type":"object","required":["text"],"properties":{"text":{"type":"string"},"turn":{"type":"integer"}}}'),
+    ("answer", '{"type":"object","required":["text","turn"],"additionalProperties":false,"properties":{"text":{"type":"string","maxLength":300},"turn":{"type":["integer","null"],"minimum":0},"detail":{"type":"object","required":["lines","words"],"properties":{"lines":{"type":"integer","maximum":6},"words":{"type":"array","items":{"type":"integer","minimum":1,"maximum":45}}}}}}'),
+    ("configure", '{"type":"object","required":["text"],"properties":{"text":{"type":"string","minLength":40},"turn":{"type":"integer"},"detail":{"type":"object"}}}'),
 )
 
 
 def _levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level for conversations where a call depends on one at a later place.
 
-    Rounds of removing what depends on nothing that is left: each is a join on identifiers and cuts its lineage by a
-    checkpoint. What stays when a round removes nothing is in a cycle, or behind one, and gets level -1.
+    A round gives the next level to calls that wait for nothing, and takes them off the counts of those that wait for them;
+    it is a join on identifiers and cuts its lineage by a checkpoint. What still waits when a round frees nothing is in a
+    cycle, or behind one, and gets level -1.
     """
-    spark = calls.sparkSession
-    links = calls.select("conv_id", "call_id", "place", F.explode("after").alias("dep")).join(
-        calls.select("conv_id", F.col("call_id").alias("dep"), F.col("place").alias("dep_place")), ["conv_id", "dep"]).filter("dep <> call_id")
-    odd = links.filter("dep_place > place").select("conv_id").distinct().checkpoint()
-    if odd.isEmpty():
-        return spark.createDataFrame([], "conv_id bigint, call_id string, level int")
-    left = calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id").distinct().checkpoint()
-    links = links.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct().checkpoint()
-    done, level = None, 0
-    while True:
-        free = left.join(links, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free).checkpoint()
-        left = left.join(free, ["conv_id", "call_id"], "left_anti").checkpoint()
-        links = links.join(free.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti").checkpoint()
-        level += 1
-    stuck = left.withColumn("level", F.lit(-1))
-    return stuck if done is None else done.unionByName(stuck)
-
-
-def _is(kind: Column, value: Column) -> Column:
-    """Whether a variant is of a JSON schema type."""
-    t = F.schema_of_variant(value)
-    number = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+    deps = calls.select("conv_id", "call_id", "place", F.explode("after").alias("dep"))
+    links = deps.join(calls.select("conv_id", F.col("call_id").alias("dep"), F.col("place").alias("dep_place")), ["conv_id", "dep"]).filter("dep <> call_id")
+    odd = links.filter("dep_place > place").select("conv_id").distinct()
+    links = settled(links.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct())
+    if links.isEmpty():
+        return calls.sparkSession.createDataFrame([], "conv_id bigint, call_id string, level int")
+    waits = links.groupBy("conv_id", "call_id").agg(F.count("*").alias("waits"))
+    state = calls.join(links.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "call_id").distinct()
+    state = state.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("level"))
+    for level in count():
+        state = settled(state.withColumn("level", F.coalesce("level", F.when(F.col("waits") == 0, F.lit(level)))))
+        freed = state.filter(F.col("level") == level).select("conv_id", F.col("call_id").alias("dep"))
+        if freed.isEmpty():
+            return state.select("conv_id", "call_id", F.coalesce("level", F.lit(-1)).alias("level"))
+        less = links.join(freed, ["conv_id", "dep"], "left_semi").groupBy("conv_id", "call_id").agg(F.count("*").alias("less"))
+        state = state.join(less, ["conv_id", "call_id"], "left").select("conv_id", "call_id", (F.col("waits") - F.coalesce("less", F.lit(0))).alias("waits"), "level")
+
+
+def _is(kind: Column, t: Column) -> Column:
+    """Whether a variant whose type is t is of a JSON schema type."""
+    whole = t.isin("BIGINT", "TINYINT", "SMALLINT", "INT") | t.rlike(r"^DECIMAL\(\d+,0\)$")
     return (
-        F.when(kind.isNull(), True).when(kind == "string", t == "STRING").when(kind == "integer", (t == "BIGINT") | t.rlike(r"^DECIMAL\(\d+,0\)$"))
-        .when(kind == "number", number).when(kind == "boolean", t == "BOOLEAN").when(kind == "array", t.startswith("ARRAY"))
-        .when(kind == "object", t.startswith("OBJECT")).when(kind == "null", t == "VOID").otherwise(False)
+        F.when(kind == "string", t == "STRING").when(kind == "integer", whole).when(kind == "number", whole | t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"))
+        .when(kind == "boolean", t == "BOOLEAN").when(kind == "array", t.startswith("ARRAY")).when(kind == "object", t.startswith("OBJECT")).when(kind == "null", t == "VOID").otherwise(False)
     )
 
 
+def faults(value: Column, schema: Column, depth: int = DEPTH) -> Column:
+    """What of FAULTS a variant has against a JSON schema (a variant): type (one or a list), required, properties,
+    additionalProperties false, items, enum, minimum, maximum, minLength and maxLength, nested `depth` levels deep."""
+    strings, none = "array<string>", F.array().cast("array<string>")
+    of = lambda path, kind: F.try_variant_get(schema, path, kind)
+    t = F.schema_of_variant(value)
+    kinds = F.coalesce(of("$.type", strings), F.when(F.schema_of_variant(of("$.type", "variant")) == "STRING", F.array(of("$.type", "string"))), none)
+    keys_of = lambda m: F.coalesce(F.map_keys(m), none)
+    given = F.when(t.startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>"))
+    known = of("$.properties", "map<string,variant>")
+    is_number, is_text = _is(F.lit("number"), t), t == "STRING"
+    number, size = F.try_variant_get(value, "$", "double"), F.length(F.try_variant_get(value, "$", "string"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    enum = of("$.enum", "array<variant>")
+    found = F.array_compact(F.array(
+        F.when(no(F.exists(F.coalesce(of("$.required", strings), none), lambda r: given.isNotNull() & ~F.array_contains(keys_of(given), r))), "missing"),
+        F.when((F.size(kinds) > 0) & ~no(F.exists(kinds, lambda k: _is(k, t))), "type"),
+        F.when(given.isNotNull() & no(~of("$.additionalProperties", "boolean")) & no(F.exists(keys_of(given), lambda k: ~F.array_contains(keys_of(known), k))), "extra"),
+        F.when(no(~F.exists(enum, lambda e: F.to_json(e) == F.to_json(value))) | no(is_number & ((number < of("$.minimum", "double")) | no(number > of("$.maximum", "double"))))
+            | no(is_number & (number > of("$.maximum", "double"))) | no(is_text & (size < of("$.minLength", "bigint"))) | no(is_text & (size > of("$.maxLength", "bigint"))), "value"),
+    ))
+    if depth > 1:
+        entries = F.filter(F.coalesce(F.map_entries(given), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: F.array_contains(keys_of(known), e["key"]))
+        items = of("$.items", "variant")
+        elements = F.when(t.startswith("ARRAY") & items.isNotNull(), F.try_variant_get(value, "$", "array<variant>"))
+        within = F.concat(
+            F.transform(entries, lambda e: F.struct(e["value"].alias("v"), F.element_at(known, e["key"]).alias("s"))),
+            F.transform(F.coalesce(elements, F.array().cast("array<variant>")), lambda v: F.struct(v.alias("v"), items.alias("s"))))
+        found = F.concat(found, F.flatten(F.transform(within, lambda x: faults(x["v"], x["s"], depth - 1))))
+    return found
+
+
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls with arguments as a variant (`parsed`) and `fault`: null, or unknown_tool, not_json, missing or type."""
-    known = schemas.groupBy("name").agg(F.min("schema").alias("schema")).select("name", F.from_json("schema", SCHEMA_TYPE).alias("schema"))
+    """calls with arguments as a variant (`parsed`) and `fault`: null, or the first of FAULTS that holds.
+
+    Of several schemas of one name the least text is the schema; a schema that is no JSON object allows any object.
+    """
+    known = schemas.filter("name is not null").groupBy("name").agg(F.min("schema").alias("schema")).select("name", F.lit(True).alias("known"), F.try_parse_json("schema").alias("schema"))
     both = calls.join(known, "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
-    is_object = F.schema_of_variant("parsed").startswith("OBJECT")
-    given = F.when(is_object, F.try_variant_get("parsed", "$", "map<string,variant>"))
-    keys = F.map_keys(given)
-    missing = F.exists(F.coalesce(F.col("schema.required"), F.array().cast("array<string>")), lambda r: ~F.coalesce(F.array_contains(keys, r), F.lit(False)))
-    properties = F.col("schema.properties")
-    wrong = F.exists(F.coalesce(F.map_entries(given), F.array().cast("array<struct<key:string,value:variant>>")),
-        lambda e: F.array_contains(F.coalesce(F.map_keys(properties), F.array().cast("array<string>")), e["key"]) & ~_is(F.element_at(properties, e["key"])["type"], e["value"]))
-    fault = F.when(F.col("schema").isNull(), "unknown_tool").when(F.col("parsed").isNull() | ~is_object, "not_json").when(missing, "missing").when(wrong, "type")
-    return both.withColumn("fault", fault).drop("schema")
+    is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
+    found = faults(F.col("parsed"), F.col("schema"))
+    told = F.coalesce(*[F.when(F.array_contains(found, f), f) for f in FAULTS[2:]])
+    fault = F.when(F.col("known").isNull(), "unknown_tool").when(~is_object, "not_json").otherwise(told)
+    return both.withColumn("fault", fault).drop("schema", "known")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, n_calls, n_results, n_linked, n_invalid, n_orphans, n_cyclic, messages (canonical JSON) per conversation.
 
     calls: see CALLS; results: conv_id, call_id, content, place; schemas: name, schema (JSON). Of calls that share an
-    identifier the first by place is the call, the rest count as invalid but stay in messages; of results of one call the
-    first is linked and later ones stay as orphans. Null identifiers link to nothing. Calls stand in dependency order, by
-    place among free ones; calls in cycles come last; each linked result follows its call; orphans come after all calls.
+    identifier the first by place, then by arguments and name, is the call, the rest count as invalid but stay in messages;
+    of results of one call the first by place, then by content, is linked and later ones stay as orphans. Null identifiers
+    link to nothing. Calls stand in dependency order, by place among free ones; calls in cycles come last; each linked result
+    follows its call; orphans come after all calls. Null arguments are not JSON, null contents stay null, texts of any length
+    stay whole; empty tables give no conversations; other columns are not read.
     """
-    ranked = calls.withColumn("parsed_after", F.coalesce("after", F.array().cast("array<string>"))).drop("after").withColumnRenamed("parsed_after", "after")
-    levels = _levels(ranked.filter("call_id is not null"))
-    told = checked(ranked, schemas)
-    firsts = told.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("place").alias("place")).withColumn("first", F.lit(True))
-    told = told.join(firsts, ["conv_id", "call_id", "place"], "left").join(levels, ["conv_id", "call_id"], "left")
-    first_result = results.filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("place").alias("place")).withColumn("first_result", F.lit(True))
-    known = told.filter("first").select("conv_id", "call_id", F.col("place").alias("call_place"), F.col("level").alias("call_level")).dropDuplicates(["conv_id", "call_id"])
-    answers = results.join(first_result, ["conv_id", "call_id", "place"], "left").join(known, ["conv_id", "call_id"], "left")
-    linked = F.coalesce(F.col("first_result"), F.lit(False)) & F.col("call_place").isNotNull()
+    calls = calls.select("conv_id", "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"), "place")
+    levels = _levels(calls.filter("call_id is not null").select("conv_id", "call_id", "after", "place"))
+    of_call = Window.partitionBy("conv_id", "call_id")
+    told = checked(calls, schemas).withColumn("first", F.col("call_id").isNotNull() & (F.row_number().over(of_call.orderBy("place", "arguments", "name")) == 1))
+    told = told.join(levels, ["conv_id", "call_id"], "left")
+    answers = results.select("conv_id", "call_id", "content", "place").withColumn("first", F.col("call_id").isNotNull() & (F.row_number().over(of_call.orderBy("place", "content")) == 1))
+    known = told.filter("first").select("conv_id", "call_id", F.col("place").alias("call_place"), F.col("level").alias("call_level"))
+    answers = answers.join(known.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
+    linked = F.col("first") & F.col("call_place").isNotNull()
     last = F.lit(2147483647)
     rank = lambda level: F.when(level == -1, last - 1).otherwise(F.coalesce(level, F.lit(0)))
     call_message = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.col("call_id"), F.col("fault"), F.col("name"), F.lit("call").alias("role")))
     result_message = F.to_json(F.struct("call_id", "content", linked.alias("linked"), F.lit("result").alias("role")))
     one = told.select("conv_id", F.struct(rank(F.col("level")).alias("level"), F.col("place"), F.lit(0).alias("after"), call_message.alias("json")).alias("m"),
-        F.lit(1).alias("call"), F.lit(0).alias("linked"), (F.col("fault").isNotNull() | F.col("first").isNull()).cast("int").alias("invalid"), F.coalesce((F.col("level") == -1).cast("int"), F.lit(0)).alias("cyclic"))
+        F.lit(1).alias("call"), F.lit(0).alias("linked"), (F.col("fault").isNotNull() | ~F.col("first")).cast("int").alias("invalid"), (F.col("first") & F.coalesce(F.col("level") == -1, F.lit(False))).cast("int").alias("cyclic"))
     two = answers.select("conv_id", F.struct(F.when(linked, rank(F.col("call_level"))).otherwise(last).alias("level"), F.when(linked, F.col("call_place")).otherwise(F.col("place")).alias("place"), F.lit(1).alias("after"), result_message.alias("json")).alias("m"),
         F.lit(0).alias("call"), linked.cast("int").alias("linked"), F.lit(0).alias("invalid"), F.lit(0).alias("cyclic"))
     grouped = one.unionByName(two).groupBy("conv_id").agg(
@@ -109,45 +144,62 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A turn whose text is a JSON object with a call_id is what it says: with a name a call, else a result. Other turns of
     users are calls of `answer`, of systems of `configure`, with identifier turn-N; any other turn is the result of the
-    user's turn before it in number (N - 1). Null text is empty.
+    user's turn before it in number (N - 1). A plain call waits for the call two turns before it, and for that of the turn
+    whose number is its number of words modulo 8, which may come later, or wait for it in turn. Null text is empty.
     """
     body = F.coalesce("text", F.lit(""))
     parsed = F.when(F.ltrim(body).startswith("{"), F.try_parse_json(body))
     get = lambda path, kind="string": F.try_variant_get("parsed", path, kind)
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("place"), F.coalesce("role", F.lit("")).alias("role"), body.alias("text"), parsed.alias("parsed"))
     rows = rows.withColumn("given", F.when(F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False)), get("$.call_id")))
-    is_call = F.when(F.col("given").isNotNull(), get("$.name").isNotNull()).otherwise(F.col("role").isin("user", "system"))
-    args = F.when(F.col("given").isNotNull(), F.to_json(get("$.arguments", "variant"))).otherwise(F.to_json(F.struct("text", F.col("place").alias("turn"))))
-    name = F.when(F.col("given").isNotNull(), get("$.name")).when(F.col("role") == "user", "answer").otherwise("configure")
-    before = F.array(F.concat(F.lit("turn-"), (F.col("place") - 2).cast("string")))
+    given = F.col("given").isNotNull()
+    is_call = F.when(given, get("$.name").isNotNull()).otherwise(F.col("role").isin("user", "system"))
+    words = F.size(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""))
+    detail = F.struct((F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"), F.array(words).alias("words"))
+    args = F.when(given, F.to_json(get("$.arguments", "variant"))).otherwise(F.to_json(F.struct(detail.alias("detail"), "text", F.col("place").alias("turn"))))
+    name = F.when(given, get("$.name")).when(F.col("role") == "user", "answer").otherwise("configure")
+    turn = lambda n: F.concat(F.lit("turn-"), n.cast("string"))
+    plain = F.array_compact(F.array(turn(F.col("place") - 2), turn(words % 8)))
     calls = rows.filter(is_call).select(
-        "conv_id", F.coalesce("given", F.concat(F.lit("turn-"), F.col("place").cast("string"))).alias("call_id"), name.alias("name"), args.alias("arguments"),
-        F.when(F.col("given").isNotNull(), F.coalesce(get("$.after", "array<string>"), F.array().cast("array<string>"))).otherwise(F.coalesce(before, F.array().cast("array<string>"))).alias("after"), "place")
+        "conv_id", F.coalesce("given", turn(F.col("place"))).alias("call_id"), name.alias("name"), args.alias("arguments"),
+        F.when(given, F.coalesce(get("$.after", "array<string>"), F.array().cast("array<string>"))).otherwise(plain).alias("after"), "place")
     results = rows.filter(~is_call).select(
-        "conv_id", F.coalesce("given", F.concat(F.lit("turn-"), (F.col("place") - 1).cast("string"))).alias("call_id"),
-        F.when(F.col("given").isNotNull(), F.coalesce(get("$.content"), F.lit(""))).otherwise(F.col("text")).alias("content"), "place")
+        "conv_id", F.coalesce("given", turn(F.col("place") - 1)).alias("call_id"),
+        F.when(given, F.coalesce(get("$.content"), F.lit(""))).otherwise(F.col("text")).alias("content"), "place")
     return calls, results
 
 
 def format_conversations(conversations: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """link() over a table of turns."""
+    """link() over a table of turns, as `turns_as_calls` reads them; nulls, empty and long texts, repeated rows and an empty
+    table as there, and columns other than conv_id, turn, role and text are not read."""
     schemas = schemas if schemas is not None else conversations.sparkSession.createDataFrame(list(TURN_SCHEMAS), "name string, schema string")
     calls, results = turns_as_calls(conversations)
     return link(calls, results, schemas)
 
 
 ORACLE_SQL = """
-WITH t AS (SELECT conv_id, turn, role IN ('user', 'system') AS is_call, role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, turn, 'turn-' || turn AS call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, text FROM t WHERE is_call),
-r AS (SELECT a.conv_id, a.turn, 'turn-' || (a.turn - 1) AS call_id, a.text, c.turn AS call_turn FROM t a LEFT JOIN c ON a.conv_id = c.conv_id AND c.turn = a.turn - 1 WHERE NOT a.is_call),
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role IN ('user', 'system') AS is_call, role, coalesce(text, '') AS text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda w: w <> '')) AS words,
+         length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS lines FROM conversations),
+c AS (
+  SELECT conv_id, turn, 'turn-' || turn AS call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, text, words, lines,
+         CASE WHEN role = 'user' AND (length(text) > 300 OR turn < 0 OR lines > 6 OR words < 1 OR words > 45) THEN 'value' WHEN role = 'system' AND length(text) < 40 THEN 'value' END AS fault
+  FROM t WHERE is_call),
+d AS (SELECT DISTINCT a.conv_id, a.turn, b.turn AS dep FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 2, a.words % 8) WHERE a.turn <> b.turn),
+odd AS (SELECT DISTINCT conv_id FROM d WHERE dep > turn),
+walk AS (SELECT conv_id, turn, turn AS at, 0 AS steps FROM c WHERE conv_id IN (SELECT conv_id FROM odd)
+  UNION SELECT w.conv_id, w.turn, d.dep, w.steps + 1 FROM walk w JOIN d ON d.conv_id = w.conv_id AND d.turn = w.at WHERE w.steps < 10),
+levels AS (SELECT conv_id, turn, CASE WHEN max(steps) = 10 THEN 2147483646 ELSE max(steps) END AS level FROM walk GROUP BY conv_id, turn),
+lc AS (SELECT c.*, coalesce(level, 0) AS level FROM c LEFT JOIN levels USING (conv_id, turn)),
+r AS (SELECT a.conv_id, a.turn, 'turn-' || (a.turn - 1) AS call_id, a.text, c.turn AS call_turn, c.level FROM t a LEFT JOIN lc c ON a.conv_id = c.conv_id AND c.turn = a.turn - 1 WHERE NOT a.is_call),
 m AS (
-  SELECT conv_id, 0 AS orphan, turn AS place, 0 AS after, 1 AS is_call,
-         '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"call_id":"' || call_id || '","name":"' || name || '","role":"call"}' AS j FROM c
+  SELECT conv_id, 0 AS orphan, level, turn AS place, 0 AS after, 1 AS is_call, CAST(fault IS NOT NULL AS INT) AS invalid, CAST(level = 2147483646 AS INT) AS cyclic,
+         '{"arguments":{"detail":{"lines":' || lines || ',"words":[' || words || ']},"text":' || to_json(text) || ',"turn":' || turn || '},"call_id":"' || call_id || '",' || CASE WHEN fault IS NULL THEN '' ELSE '"fault":"' || fault || '",' END || '"name":"' || name || '","role":"call"}' AS j FROM lc
   UNION ALL
-  SELECT conv_id, CAST(call_turn IS NULL AS INT), coalesce(call_turn, turn), 1, 0,
+  SELECT conv_id, CAST(call_turn IS NULL AS INT), CASE WHEN call_turn IS NULL THEN 2147483647 ELSE level END, coalesce(call_turn, turn), 1, 0, 0, 0,
          '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"linked":' || CASE WHEN call_turn IS NULL THEN 'false' ELSE 'true' END || ',"role":"result"}' FROM r)
 SELECT conv_id, CAST(sum(is_call) AS BIGINT) AS n_calls, CAST(sum(1 - is_call) AS BIGINT) AS n_results, CAST(sum((1 - is_call) * (1 - orphan)) AS BIGINT) AS n_linked,
-       CAST(0 AS BIGINT) AS n_invalid, CAST(sum((1 - is_call) * orphan) AS BIGINT) AS n_orphans, CAST(0 AS BIGINT) AS n_cyclic,
-       '[' || string_agg(j, ',' ORDER BY orphan, place, after, j) || ']' AS messages
+       CAST(sum(invalid) AS BIGINT) AS n_invalid, CAST(sum((1 - is_call) * orphan) AS BIGINT) AS n_orphans, CAST(sum(cyclic) AS BIGINT) AS n_cyclic,
+       '[' || string_agg(j, ',' ORDER BY level, place, after, j) || ']' AS messages
 FROM m GROUP BY conv_id
 """

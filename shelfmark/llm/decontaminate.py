@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import dealt_join, free_name, parted, slices, text_key, tidy, whole_text, written
 from shelfmark.llm.hashing import ALNUM_LOWER
 
 WINDOW = 13
@@ -24,9 +25,13 @@ SHARE = 20  # a document is contaminated from a twentieth of its words
 BLOCK_CHARS = 8_000_000
 
 
-def words_of(text: str | None) -> list[bytes]:
+def split_words(text: bytes) -> list[bytes]:
     """Lower-cased words: runs of letters and digits of ASCII and of all other characters."""
-    return text.encode().translate(ALNUM_LOWER).split() if text else []
+    return text.translate(ALNUM_LOWER).split()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return split_words(text.encode()) if text else []
 
 
 @dataclass
@@ -99,101 +104,89 @@ def document_frequency(docs: DataFrame, vocabulary: set[bytes], text: str = "tex
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, seen = shared.value, Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(vocab & set(words_of(t)))
+            for _, texts in slices(batch, 0):
+                for t in texts:
+                    seen.update(vocab & set(split_words(t)))
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(tidy(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return Counter({bytes(w): n for w, n in counted.collect()})
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, share: int = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
+def _judged(docs: DataFrame, benchmark: DataFrame, k: int, share: int, block_chars: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, _h1, _h2, n_words of each row of docs; and of each text with hits its _h1, _h2, n_hit, n_items, items_sha256, contaminated.
 
-    Null and empty texts have no words and no hits; items without words have no windows; equal windows of several items
-    count for each; repeated items count once; a null item_id goes by the name null; repeated rows and null doc_ids keep
-    their rows; an empty table on either side gives rows without hits or none. Other columns are not read.
+    A block of items is searched, its hits are written and its index given up before the next one is made, so only one is in
+    memory. Hits are told by two hashes of the text, so nothing depends on the order of rows; equal texts are judged once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = []
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"), *text_key(F.col("text")))
+    every, hits = None, None
     for items in _blocks(benchmark, block_chars):
-        rarity = document_frequency(docs, {w for _, words in items for w in words})
-        parts.append(spark.sparkContext.broadcast(build_index(items, rarity, k)))
-    alone = len(parts) == 1
+        index_of = spark.sparkContext.broadcast(build_index(items, document_frequency(docs, {w for _, words in items for w in words}), k))
 
-    def search(index_of):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], index_of=index_of, all_rows=every is None) -> Iterator[pa.RecordBatch]:
             index = index_of.value
             for batch in batches:
-                out: list[list] = [[], [], [], []]
-                for t in batch.column(2).to_pylist():
-                    words = words_of(t)
-                    starts, ends, items = hits_of(words, index)
-                    for column, value in zip(out, (len(words), starts, ends, sorted(items))):
-                        column.append(value)
-                yield _result(batch.column(0), batch.column(1), *out, share) if alone else pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in out[1:3]), pa.array(out[3], pa.list_(pa.string()))],
-                    names=["_row", "doc_id", "n_words", "starts", "ends", "items"])
-
-        return work
-
-    if alone:
-        return rows.mapInArrow(search(parts[0]), RESULT)
-    found = None
-    for part in parts:
-        one = rows.mapInArrow(search(part), "_row bigint, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>")
-        found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("_row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+                for part, texts in slices(batch, 1):
+                    n_words, spans, named = [], [], []
+                    for t in texts:
+                        words = split_words(t)
+                        starts, ends, items = hits_of(words, index)
+                        n_words.append(len(words))
+                        spans.append([x for span in zip(starts, ends) for x in span])
+                        named.append(sorted(items))
+                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))], names=["doc_id", "_h1", "_h2", "n_words", "spans", "items"])
+                    yield out if all_rows else out.filter(pa.array([bool(x) for x in named], pa.bool_()))
+
+        found = written(rows.mapInArrow(tidy(search), "doc_id bigint, _h1 bigint, _h2 bigint, n_words bigint, spans array<int>, items array<string>"))
+        index_of.destroy()
+        every = found.select("doc_id", "_h1", "_h2", "n_words") if every is None else every
+        once = found.filter("size(items) > 0").groupBy("_h1", "_h2").agg(F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"))
+        hits = once if hits is None else hits.unionByName(once)
+    hits = hits.groupBy("_h1", "_h2").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row for each block at most
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _result(batch.column(0), batch.column(1), *(batch.column(i).to_pylist() for i in range(2, 6)), share)
+            n_hit = [covered(list(zip(x[::2], x[1::2]))) for x in batch.column(3).to_pylist()]
+            items = batch.column(4).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                 pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, batch.column(2).to_pylist())], pa.bool_())],
+                names=["_h1", "_h2", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return merged.mapInArrow(close, RESULT)
+    return every, hits.mapInArrow(tidy(close), "_h1 bigint, _h2 bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, share: int = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
 
-def _result(_row, doc_id, n_words: list, starts: list, ends: list, items: list, share: int) -> pa.RecordBatch:
-    n_hit = [covered(list(zip(a, b))) for a, b in zip(starts, ends)]
-    return pa.RecordBatch.from_arrays(
-        [doc_id, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-         pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
-         pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, n_words)], pa.bool_())],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    Null and empty texts have no words and no hits; items without words have no windows; equal windows of several items
+    count for each; repeated items count once; a null item_id goes by the name null; repeated rows and null doc_ids keep
+    their rows; an empty table on either side gives rows without hits or none. Other columns are not read. Of very many
+    copies of one text no more than their keys meet.
+    """
+    every, hits = _judged(docs, benchmark, k, share, block_chars)
+    both = dealt_join(every, written(hits), ["_h1", "_h2"], every.count())
+    zero = F.lit(0).cast("bigint")
+    return both.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, share: int = SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns, unchanged.
+    """The rows of docs that are not contaminated, with all their columns, unchanged, whatever their names.
 
-    The verdict is joined by doc_id and a hash of the text, so that rows of one doc_id are each judged by their own text.
+    Each row is judged by its own text, known by two hashes; null and empty texts stay, an empty table stays empty, and
+    all repeated rows stay or go together. Only rows whose text may be one of the contaminated ones are shuffled.
     """
-    spark = docs.sparkSession
-    blocks = list(_blocks(benchmark, block_chars))
-    if len(blocks) != 1:
-        verdict = contamination(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text").dropDuplicates(["doc_id"]), benchmark, k, share, block_chars)
-        bad = verdict.filter("contaminated").select(F.col("doc_id").alias("_bad"))
-        return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bad"), "left_anti")
-    items = blocks[0]
-    rarity = document_frequency(docs, {w for _, words in items for w in words})
-    shared = spark.sparkContext.broadcast(build_index(items, rarity, k))
-    where = docs.columns.index("text")
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            kept = []
-            for t in batch.column(where).to_pylist():
-                words = words_of(t)
-                starts, ends, _ = hits_of(words, index)
-                n = covered(list(zip(starts, ends)))
-                kept.append(not (n > 0 and share * n >= len(words)))
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    _, hits = _judged(docs, benchmark, k, share, block_chars)
+    bad = written(hits.filter("contaminated").select(F.col("_h1").alias("_bad"), F.col("_h2").alias("_bad2")))
+    one, two = free_name(docs, "_h1"), free_name(docs, "_h2")
+    h1, h2 = text_key(docs["text"])
+    some, others = parted(docs.withColumn(one, h1).withColumn(two, h2), F.col(one), bad.select("_bad"))
+    kept = some.join(bad, (some[one] == bad["_bad"]) & (some[two] == bad["_bad2"]), "left_anti")
+    return others.unionByName(kept).drop(one, two)
 
 
 ORACLE_SQL = r"""

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import shuffle_width
+from shelfmark.llm.common import shuffle_width, slices, tidy, whole_text
 from shelfmark.llm.hashing import mix, shingle_sets
 
 FRACTION = 0.25
@@ -54,14 +55,18 @@ def likeness(a: Sketch, b: Sketch) -> tuple[float, float]:
 
 
 def fingerprint(docs: DataFrame, fraction: float = FRACTION, k: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fingerprint of each row. Null text counts as empty; other columns are not read; no shuffle."""
+    """key and fingerprint of each row, without a shuffle.
+
+    Null text counts as empty, and an empty text has the fingerprint of no shingles; texts of any length are taken whole;
+    repeated rows and null keys give a row each; an empty table gives none; other columns are not read.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Sketch(h, fraction).text() for h in shingle_sets(texts, k)], pa.string())], names=[key, "fingerprint"])
+            for part, texts in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([Sketch(h, fraction).text() for h in shingle_sets(texts, k)], pa.string())], names=[key, "fingerprint"])
 
-    return docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(work, f"{key} {docs.schema[key].dataType.simpleString()}, fingerprint string")
+    return docs.select(key, whole_text(text).alias("_text")).mapInArrow(tidy(work), f"{key} {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
 def edited(own: str, following: str) -> str:
@@ -70,33 +75,63 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - half] + following[:half]
 
 
+NO_ID = (1 << 63) - 1  # where a null doc_id stands among bitwise complements of others
+
+
+def _image(text: Column) -> Column:
+    """The first seven bytes as a number: it ascends with texts."""
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+
+
+def _spot(a: Column, b: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of the ascending cuts stand at (a, b) or before it, by halving."""
+    first, second = (F.array(*[F.lit(c[i]).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>") for i in (0, 1))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts).bit_length())))])
+
+    def halve(at: Column, step: Column) -> Column:
+        x, y = F.get(first, at + step - 1), F.get(second, at + step - 1)  # null beyond the last
+        return F.when((x < a) | ((x == a) & (y <= b)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
+def _cuts(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Fewer than parts places (a, b) that share rows out evenly; a value of a that holds several shares is cut by b."""
+    found = rows.agg(F.percentile_approx("a", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else None
+    shares = Counter(found or [])
+    many = [a for a, n in shares.items() if n > 1]  # each holds a share of rows at least, so they are fewer than parts
+    cuts = [(a, -1) for a in shares]
+    if many:
+        most = max(shares.values())
+        within = rows.filter(F.col("a").isin(many)).groupBy("a").agg(F.percentile_approx("b", [i / most for i in range(1, most)], 20 * most).alias("q"))
+        for a, q in within.collect():
+            cuts += [(a, q[i * most // shares[a] - 1]) for i in range(1, shares[a])]
+    return sorted(set(cuts))
+
+
 def with_edits(docs: DataFrame, fraction: float = FRACTION, k: int = SHINGLE) -> DataFrame:
     """Fingerprints of each document and of its text edited with the next document's, and their likeness.
 
     The next document is that of the next smaller doc_id; after the last comes the first. Rows of one doc_id follow each
     other by text; a null doc_id comes last; null text is empty; an empty table gives no rows; a lone document follows
-    itself. Rows are dealt once by ranges of doc_id; each range also gets the first document of the next one.
+    itself; other columns are not read. Rows are dealt once by ranges of doc_id, and of texts where very many rows have
+    one doc_id or none; each range also gets the first document of the next one.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.bitwise_not(F.col("doc_id").cast("bigint")), F.lit(NO_ID)).alias("a"), _image(text).alias("b"))
     parts = shuffle_width(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))  # fewer than the partitions
-    lit_cuts = F.array(*[F.lit(int(c)).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    spot = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(lit_cuts, lambda c: c > F.col("doc_id"))))
-    heads = sorted((r[0], r[1]) for r in rows.select("doc_id", spot.alias("spot")).groupBy("spot").agg(F.max("doc_id")).collect())  # a row for each range
-    copy = F.lit(None).cast("int")
-    for (_, head), (before, _) in zip(heads, [heads[-1], *heads[:-1]] if heads else []):
-        copy = F.when(F.col("doc_id").eqNullSafe(F.lit(head).cast("bigint")), F.lit(before)).otherwise(copy) if len(heads) <= 8 else copy
-    if len(heads) > 8:
-        known = [(h, b) for (_, h), (b, _) in zip(heads, [heads[-1], *heads[:-1]]) if h is not None]
-        copy = F.element_at(F.map_from_arrays(F.array(*[F.lit(h).cast("bigint") for h, _ in known]), F.array(*[F.lit(b) for _, b in known])), F.col("doc_id"))
-        if heads[-1][1] is None:
-            copy = F.when(F.col("doc_id").isNull(), F.lit(heads[-2][0])).otherwise(copy)
-    places = F.filter(F.array(F.struct(spot.alias("spot"), F.lit(0).alias("borrowed")), F.struct(copy.alias("spot"), F.lit(1).alias("borrowed"))), lambda p: p["spot"].isNotNull())
+    cuts = _cuts(rows.select("a", "b"), parts)
+    spot = _spot(F.col("a"), F.col("b"), cuts)
+    heads = sorted((r.spot, r.h.a, r.h.b) for r in rows.select("a", "b", spot.alias("spot")).groupBy("spot").agg(F.min(F.struct("a", "b")).alias("h")).collect())  # a row for each range
+    at = {s: (a, b, before) for (s, a, b), (before, _, _) in zip(heads, [heads[-1], *heads[:-1]] if heads else [])}
+    known = [F.array(*[F.lit(at[s][i] if s in at else None).cast("bigint") for s in range(len(cuts) + 1)]) for i in range(3)]
+    is_head = (F.get(known[0], F.col("spot")) == F.col("a")) & (F.get(known[1], F.col("spot")) == F.col("b"))
+    copy = F.when(is_head, F.get(known[2], F.col("spot")).cast("int"))
+    places = F.filter(F.array(F.struct(F.col("spot").alias("spot"), F.lit(0).alias("borrowed")), F.struct(copy.alias("spot"), F.lit(1).alias("borrowed"))), lambda p: p["spot"].isNotNull())
     dealt = (
-        rows.withColumn("place", F.explode(places)).select("doc_id", "text", "place.spot", "place.borrowed")
-        .repartition(parts, "spot").sortWithinPartitions("spot", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
+        rows.withColumn("spot", spot).withColumn("place", F.explode(places)).select("doc_id", "text", "place.spot", "place.borrowed")
+        .repartitionById(max(parts, len(cuts) + 1), "spot").sortWithinPartitions("spot", "borrowed", F.col("doc_id").desc_nulls_last(), "text")
     )
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_in_edited", "contained_in_next"]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
@@ -129,4 +164,4 @@ def with_edits(docs: DataFrame, fraction: float = FRACTION, k: int = SHINGLE) ->
                 if not borrowed:
                     ids.append(doc_id)
 
-    return dealt.mapInArrow(work, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_edited double, contained_in_next double")
+    return dealt.mapInArrow(tidy(work), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_in_edited double, contained_in_next double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import free_name, release_worker_memory, written
+from shelfmark.llm.common import HEAVY_KEYS, dealt_join, dropped, free_name, mask_of, masked, parted, scratch_dir, slices, tidy, written
 from shelfmark.llm.components import components
 from shelfmark.llm.hashing import mix, odd_constants, shingle_sets
 
@@ -29,8 +29,7 @@ DEPTH = 3
 TOKENS = 64  # minima kept of each set
 SMALL = 32  # members up to which a bucket is not split
 BLOCK = 1000  # members, and
-BLOCK_HASHES = 1_000_000  # shingles, that one comparison takes of each side
-FILTER_BITS = 1 << 23
+BLOCK_HASHES = 400_000  # shingles, that one comparison takes of each side
 
 
 def runs_for(recall: float, similarity: float, depth: int) -> int:
@@ -135,18 +134,18 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker_memory()
         for batch in batches:
-            nodes, sizes, mins = [], [], []
-            for h in shingle_sets([t.encode() for t in batch.column(2).to_pylist()], k):
-                nodes.append(node_of(h) if len(h) else None)
-                sizes.append(len(h))
-                mins.append(minima(h, tokens))
-            way = paths(np.array(mins, np.uint64).reshape(-1, tokens), runs, depth).astype(np.int64)
-            offsets = pa.array(np.arange(len(way) + 1) * runs * depth, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(way.reshape(-1)))], names=["_row", "doc_id", "node", "n", "way"])
-
-    sketched = written(rows.mapInArrow(sketch, "_row bigint, doc_id bigint, node bigint, n bigint, way array<bigint>"))
+            for part, texts in slices(batch, 2):
+                nodes, sizes, mins = [], [], []
+                for h in shingle_sets(texts, k):
+                    nodes.append(node_of(h) if len(h) else None)
+                    sizes.append(len(h))
+                    mins.append(minima(h, tokens))
+                way = paths(np.array(mins, np.uint64).reshape(-1, tokens), runs, depth).astype(np.int64)
+                offsets = pa.array(np.arange(len(way) + 1) * runs * depth, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(way.reshape(-1)))], names=["_row", "doc_id", "node", "n", "way"])
+
+    sketched = written(rows.mapInArrow(tidy(sketch), "_row bigint, doc_id bigint, node bigint, n bigint, way array<bigint>"))
     nodes = sketched.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("copy_of"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"), F.count("*").alias("weight"), F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("way").alias("way"))
     nodes = written(nodes)
@@ -157,11 +156,13 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     for level in range(1, depth):
         large = steps.groupBy("bucket").agg(F.count("*").alias("_c")).filter(F.col("_c") > small).select(F.col("bucket").alias("_b"))
         steps = steps.join(large, F.col("bucket") == F.col("_b"), "left").withColumn("bucket", F.when(F.col("_b").isNotNull(), F.col(f"p{level}")).otherwise(F.col("bucket"))).drop("_b")
-    steps = written(steps.select("node", "n", "run", "bucket"))
+    steps_at, placed_at = scratch_dir(spark), scratch_dir(spark)
+    steps = written(steps.select("node", "n", "run", "bucket"), steps_at)
     met = steps.groupBy("bucket").agg(F.count("*").alias("_c")).filter("_c > 1").select(F.col("bucket").alias("_b"))
     placed = steps.join(met, F.col("bucket") == F.col("_b"), "left_semi")
     ids = F.array(*[F.coalesce(F.max(F.when(F.col("run") == r, F.col("bucket"))), F.lit(0)) for r in range(runs)])
-    placed = written(placed.groupBy("node").agg(F.first("n").alias("n"), ids.alias("ids")))
+    placed = written(placed.groupBy("node").agg(F.first("n").alias("n"), ids.alias("ids")), placed_at)
+    dropped(spark, steps_at)
     member = placed.select("node", "n", "ids", F.posexplode("ids").alias("run", "bucket")).filter("bucket <> 0")
     # A bucket whose members all share one of an earlier run has nothing to add.
     told = member.groupBy("run", "bucket").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), *[F.min(F.get("ids", F.lit(r))).alias(f"lo{r}") for r in range(runs)], *[F.max(F.get("ids", F.lit(r))).alias(f"hi{r}") for r in range(runs)])
@@ -172,22 +173,18 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     units = told.filter(~again).select(F.col("run").alias("_run"), F.col("bucket").alias("_bucket"), parts.alias("parts"))
     chosen = member.join(units, (F.col("run") == F.col("_run")) & (F.col("bucket") == F.col("_bucket"))).select("node", "ids", "run", "bucket", "parts")
     by_node = written(chosen.groupBy("node").agg(F.first("ids").alias("ids"), F.collect_list(F.struct("run", "bucket", "parts")).alias("units")).join(nodes.select("node", "weight", "_row"), "node"))
-    # Whole sets of the nodes that meet another; a filter of fixed size keeps most other texts out of the shuffle.
-    bits = by_node.select(F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    mask[bits["word"].to_numpy()] = bits["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(mask)
+    dropped(spark, placed_at)
+    # Whole sets of the nodes that meet another; a mask keeps most other texts out of the shuffle.
+    shared = spark.sparkContext.broadcast(mask_of(by_node.select("_row")))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker_memory()
-        flags = shared.value.view(np.uint64)
+        mask = shared.value
         for batch in batches:
-            bit = batch.column(3).to_numpy()
-            batch = batch.filter(pa.array((flags[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            sets = [h.astype("<u8").tobytes() for h in shingle_sets([t.encode() for t in batch.column(2).to_pylist()], k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_row", "set"])
+            batch = batch.filter(pa.array(masked(batch.column(0).to_numpy(), mask)))
+            for part, texts in slices(batch, 2):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h.astype("<u8").tobytes() for h in shingle_sets(texts, k)], pa.binary())], names=["_row", "set"])
 
-    sets = rows.withColumn("bit", F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS))).mapInArrow(whole, "_row bigint, set binary").dropDuplicates(["_row"])
+    sets = rows.mapInArrow(tidy(whole), "_row bigint, set binary").dropDuplicates(["_row"])
     full = by_node.join(sets, "_row").select("node", "weight", "ids", "set", F.explode("units").alias("u")).select("node", "weight", "ids", "set", "u.*")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b")))
@@ -195,7 +192,6 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     dealt = dealt.repartition("run", "bucket", "a", "b").sortWithinPartitions("run", "bucket", "a", "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker_memory()
         unit, members = None, []
         found: list[tuple] = []
 
@@ -220,13 +216,15 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
         if found:
             yield _links(found)
 
-    links = written(dealt.mapInArrow(verify, "node bigint, links bigint, label bigint"))
+    links = written(dealt.mapInArrow(tidy(verify), "node bigint, links bigint, label bigint"))
     labels = components(links.select(F.col("node").alias("u"), F.col("label").alias("v")))
     per_node = nodes.select("node", "copy_of", "first", "weight").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(labels, "node", "left")
-    per_node = per_node.withColumn("label", F.coalesce("label", "node"))
+    per_node = written(per_node.withColumn("label", F.coalesce("label", "node")))
     classes = per_node.groupBy("label").agg(F.min("first").alias("head"))
-    per_node = per_node.join(classes, "label").select("node", "head", "copy_of", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = sketched.select("_row", "doc_id", "node", F.col("n").alias("n_shingles")).join(per_node, "node", "left")
+    per_node = written(dealt_join(per_node, classes, ["label"], per_node.count(), "inner").select("node", "head", "copy_of", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    n = sketched.count()
+    heavy = per_node.filter(F.col("weight") * HEAVY_KEYS > n).select("node")
+    out = dealt_join(sketched.select("_row", "doc_id", "node", F.col("n").alias("n_shingles")), per_node.drop("weight"), ["node"], n, "left", heavy)
     worded = F.col("node").isNotNull()
     return out.select(
         "_row", "doc_id", F.when(worded, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
@@ -247,9 +245,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     spare = marks.filter(~F.col("stays")).select(F.col("_row").alias("_spare")).distinct()
     again = marks.filter(F.col("worded") & F.col("stays")).groupBy("_row").count().filter("count > 1").select(F.col("_row").alias("_again"))
     mark = free_name(docs, "_mark")
-    keyed = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
-    kept = keyed.join(spare, keyed[mark] == spare["_spare"], "left_anti")
-    if not again.isEmpty():
-        is_again = F.col(mark) == again["_again"]
-        kept = kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates([mark]))
-    return kept.drop(mark)
+    some, others = parted(docs.withColumn(mark, F.xxhash64("doc_id", "text")), F.col(mark), spare.unionByName(again.withColumnRenamed("_again", "_spare")))
+    some = some.join(spare, some[mark] == spare["_spare"], "left_anti")
+    is_again = F.col(mark) == again["_again"]
+    once = some.join(again, is_again, "left_semi").dropDuplicates([mark])
+    return others.unionByName(some.join(again, is_again, "left_anti")).unionByName(once).drop(mark)

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import shuffle_width, written
-from shelfmark.llm.tokens import BYTE_BPE, byte_balanced, encoder
+from shelfmark.llm.common import shuffle_width, slices, tidy, whole_text, written
+from shelfmark.llm.tokens import BYTE_BPE, encoder
 
 WIDTH = 2048
 UNIT = 4  # tokens; rests are rounded up to it within patterns
@@ -141,19 +141,19 @@ def measure(docs: DataFrame, tokenizer: str, width: int, end_id: int) -> DataFra
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, step = encoder(tokenizer), 4 * width
         for batch in batches:
-            lengths, crcs, rests = [], [], []
-            for run in byte_balanced(batch.column(2).to_pylist()):
-                for parts in encode.encode(run):
-                    ids = b"".join(parts) + end
-                    lengths.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[a : a + 4 * width]) for a in range(0, len(ids), 4 * width)])
-                    rests.append(ids[len(ids) // (4 * width) * (4 * width) :])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], names=["_row", "doc_id", "n", "crcs", "ids"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(work, "_row bigint, doc_id bigint, n bigint, crcs array<bigint>, ids binary")
+            for part, texts in slices(batch, 2):
+                lengths, crcs, rests = [], [], []
+                for ids in encode.ids(texts):
+                    raw = ids.astype("<u4").tobytes() + end
+                    lengths.append(len(raw) // 4)
+                    crcs.append([zlib.crc32(raw[a : a + step]) for a in range(0, len(raw), step)])
+                    rests.append(raw[len(raw) // step * step :])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lengths, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary())], names=["_row", "doc_id", "n", "crcs", "ids"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    return rows.mapInArrow(tidy(work, keep_tokens=True), "_row bigint, doc_id bigint, n bigint, crcs array<bigint>, ids binary")
 
 
 def _running(rows: DataFrame, amount: str, within: list[str], salts: int, name: str) -> DataFrame:

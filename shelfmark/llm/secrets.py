@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import whole_text
+from shelfmark.llm.common import dealt_join, free_name, text_key, whole_text
 
 SCOPE = 200
 
@@ -24,6 +24,9 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
 WEAK_ID = r"""(?i:client|account|access_?key|user)[_-]?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{4,}"""
 ENDPOINT = r"""(?i:https?|jdbc:[a-z]+|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?"""
 
+#: What any match of any of them holds, so that texts without it are passed by after one look.
+GUARD = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/]{40}|(?i:client|account|access_?key|user)[_-]?(?i:id)|://"
+
 #: kind, pattern, its place in orders by kind, whether it stands by itself, what it is part of a credential as.
 KINDS = (
     ("assign", ASSIGN, 0, True, "secret"),
@@ -35,6 +38,9 @@ KINDS = (
 )
 
 
+MATCHES = "array<struct<kind:string,nth:int,gap:int,len:int,passes:boolean>>"
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """Of each match: kind, its number, code points between it and the one before, its own, and whether it passes."""
     regex = F.lit(pattern)
@@ -44,7 +50,7 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
         F.filter(zipped, lambda z: z["hit"].isNotNull()),
         lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("len"), (F.length(z["value"]) >= 6).alias("passes")),
     )
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast("array<struct<kind:string,nth:int,gap:int,len:int,passes:boolean>>"))
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(MATCHES))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,12 +58,14 @@ def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
 
     Base spans always stay. A weak one stays if it overlaps no base span and its complement lies within `scope` code
     points: an identifier for a secret, a secret for an identifier, both for an endpoint. Null and empty texts have
-    nothing; repeated rows and null keys each get their row; other columns are not read. One shuffle, of matches.
+    nothing; a text may have any number of matches; repeated rows and null keys each get their row; an empty table gives
+    none; other columns are not read. One shuffle, of matches.
     """
     body = whole_text(text)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("text_hash"), F.monotonically_increasing_id().alias("_row"), body.alias("_text"))
-    parts = rows.select("_key", "text_hash", "_row", F.explode_outer(F.concat(*[_matches(F.col("_text"), kind, pattern) for kind, pattern, *_ in KINDS])).alias("m"))
-    parts = parts.select("_key", "text_hash", "_row", "m.*")
+    found = F.when(F.col("_text").rlike(GUARD), F.concat(*[_matches(F.col("_text"), kind, pattern) for kind, pattern, *_ in KINDS])).otherwise(F.array().cast(MATCHES))
+    parts = rows.select("_key", "text_hash", "_row", F.explode_outer(found).alias("m"))
+    parts = parts.select("_key", "text_hash", "_row", "m.*").repartition("_row")  # all that follows is within a row
     in_kind = Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(in_kind)
     at = lambda i: F.element_at(F.create_map(*[F.lit(x) for k in KINDS for x in (k[0], k[i])]), F.col("kind"))
@@ -84,7 +92,11 @@ def _digest(found: Column) -> Column:
 
 
 def digests(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Counts of base kinds, the digest of base spans and all spans of each document."""
+    """Counts of base kinds, the digest of base spans and all spans of each document.
+
+    Null and empty texts have none; every row of docs gives a row, whatever its doc_id; an empty table gives none; only
+    doc_id and text are read.
+    """
     found = scan(docs, scope)
     base = F.filter("found", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -94,9 +106,10 @@ def digests(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """docs with every found span of text replaced by `mask`; all rows and columns stay, n_chars follows the text.
 
-    Overlapping spans are masked as one. Null texts stay null.
+    Overlapping spans are masked as one. Null and empty texts stay as they are, an empty table stays empty, repeated rows
+    are each masked, and other columns keep their values whatever their names. Spans follow from the text alone, so they are
+    joined by two hashes of it, and only rows that may have any take part.
     """
-    with_hash = docs.withColumn("_text_hash", F.xxhash64(whole_text()))
     empty = "array<struct<start:bigint,end:bigint>>"
     # Spans are sorted by start; each begins no earlier than the furthest end so far, or it joins what is open.
     joined = F.aggregate(
@@ -105,16 +118,21 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
             F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))))),
     )
-    found = scan(docs, scope).filter(F.size("found") > 0).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash"), joined.alias("_cuts")).dropDuplicates(["_doc_id", "_hash"])
-    both = with_hash.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    n = F.size("_cuts")
+    maybe = F.coalesce(F.col("text").rlike(GUARD), F.lit(False))
+    one, two, cuts = (free_name(docs, n) for n in ("_h1", "_h2", "_cuts"))
+    h1, h2 = text_key(F.col("text"))
+    keyed = docs.filter(maybe).withColumn(one, h1).withColumn(two, h2)
+    key = F.struct(one, two)
+    spans = scan(keyed.select(key.alias("doc_id"), "text"), scope).filter(F.size("found") > 0)
+    spans = spans.select(F.col(f"doc_id.{one}").alias(one), F.col(f"doc_id.{two}").alias(two), joined.alias(cuts)).dropDuplicates([one, two])
+    both = dealt_join(keyed, spans, [one, two], keyed.count())
+    n, at = F.size(cuts), F.col(cuts)
     pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
         F.col("text"),
-        F.when(i == 0, F.lit(1)).otherwise(F.get("_cuts", i - 1)["end"].cast("int") + 1),
-        (F.when(i == n, F.length("text")).otherwise(F.get("_cuts", i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("_cuts", i - 1)["end"])).cast("int"),
+        F.when(i == 0, F.lit(1)).otherwise(F.get(at, i - 1)["end"].cast("int") + 1),
+        (F.when(i == n, F.length("text")).otherwise(F.get(at, i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["end"])).cast("int"),
     ))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, mask))
-    out = both.withColumn("text", text)
+    out = both.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(F.array_join(pieces, mask)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(at.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return docs.filter(~maybe).unionByName(out.select(*docs.columns))

@@ -1,154 +1,72 @@
-"""Removal of repeated passages, with a log-structured index of window fingerprints.
+"""Removal of repeated passages, with a log-structured index of window hashes.
 
-A window is 20 consecutive words; its fingerprint is the least hash of the five-word grams in it, which windows share with
-their neighbours, so a document has a fingerprint for each eight words or so, and equal windows have equal fingerprints.
-The index is a list of immutable runs of fingerprints, sorted. A new batch's fingerprints are sorted into a run of their
-own and merge-joined with the runs before; only windows under fingerprints that repeat are then compared, whole, where
-all occurrences of a fingerprint meet in order. Runs are compacted into one when there are several.
+A window is 20 consecutive words. The index is a list of immutable runs: tables of sorted 64-bit window hashes, each with
+16 more bits to verify it by, bucketed by ranges of the hash, with a manifest that is replaced as a whole, so that a later
+session can go on with it. A new batch is cut into pieces in order of documents; the distinct hashes of a piece go, sorted,
+to their ranges, and there one pass merges the pieces of the batch with the runs before: neither the documents of the index
+nor its runs are shuffled. What a range finds goes back to each piece as the hashes that stand in history or in an earlier
+piece, and those of which the first stands in this piece. The hashes that are new become a run; runs are compacted into
+one when they are many.
 
-Which fingerprints repeat goes to the scan as a bit filter of bounded size: it only saves work, so a saturated filter
-costs time, never a result, and where the repeated ones are many the scan is made once for each share of them.
+No group grows with how often a window occurs: a piece names it once. Pieces and ranges are of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import scratch_dir
-from shelfmark.llm.hashing import NOT_SPACE, Words, mix, runs_by_bytes
+from shelfmark.llm.common import dropped, scratch_dir, shuffle_width, shuffles_dropped, slices, tidy
+from shelfmark.llm.hashing import NOT_SPACE, Words
 
 WINDOW = 20
-GRAM = 5
-MOST_RUNS = 4
-FILTER_BITS = (1 << 20, 1 << 28)  # least and most bits of a filter
-BITS_PER_KEY = 16
-VERIFY_WINDOWS = 1_000_000
+BATCHES = 4
+MOST_RUNS = 2
+LEAST_RANGES = 64
+RANGE_HASHES = 1 << 22  # that a range is meant to hold at most
+ROW_HASHES = 1 << 20
+PIECE_BYTES = (4 << 20, 32 << 20)  # least and most of a piece of a batch; a longer text is a piece by itself
 NO_ID = (1 << 63) - 1
+LATER = 1 << 40  # a place after all starts within a document
 
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+_RUN = "range int, kind int, piece bigint, hashes binary, gone binary, first binary"
 
-def fingerprints(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of whole windows, their fingerprints, and their own hashes."""
-    own, whole = words.windows(window)
-    starts = np.flatnonzero(whole)
-    if not len(starts):
-        return starts, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    least, _ = words.windows(gram, seed=1)
-    wide, reach = window - gram + 1, 1  # grams in a window; grams that `least` covers so far
-    while reach < wide:
-        step = min(reach, wide - reach)
-        least = np.minimum(least[:-step], least[step:])
-        reach += step
-    return starts, least[starts], own[starts]
 
+def planes(values: np.ndarray) -> bytes:
+    """Little-endian bytes of numbers, all first bytes, then all second ones: of sorted numbers the upper ones compress."""
+    width = values.dtype.itemsize
+    return values.view(np.uint8).reshape(-1, width).T.tobytes()
 
-class FingerprintIndex:
-    """Sorted immutable runs of fingerprints of all documents so far, in a folder that executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = MOST_RUNS) -> None:
-        self.spark, self.path, self.most_runs = spark, path or scratch_dir(spark), most_runs
-        self.runs: list[str] = []
-        self.made = 0
+def of_planes(raw: bytes | memoryview, kind: str = "<u8") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
 
-    def _write(self, rows: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.path}/run-{self.made}"
-        rows.sortWithinPartitions("g").write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return path
-
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("g bigint, n bigint").parquet(path)
-
-    def add(self, counted: DataFrame) -> DataFrame:
-        """Append a run (g, n) of a new batch; returns the fingerprints of it that repeat, within it or in a run before."""
-        path = self._write(counted)
-        new = self.read(path)
-        repeated = new.filter("n > 1").select("g")
-        for old in self.runs:
-            repeated = repeated.unionByName(new.join(self.read(old), "g", "left_semi").select("g"))
-        self.runs.append(path)
-        return repeated.distinct() if len(self.runs) > 1 else repeated
 
-    def compact(self) -> None:
-        """Merge the runs into one when they are more than most_runs."""
-        if len(self.runs) > self.most_runs:
-            every = self.read(self.runs[0])
-            for path in self.runs[1:]:
-                every = every.unionByName(self.read(path))
-            merged = self._write(every.groupBy("g").agg(F.sum("n").alias("n")))
-            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-            for path in self.runs:
-                place = hadoop.Path(path)
-                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-            self.runs = [merged]
+def stored(hashes: np.ndarray, checks: np.ndarray) -> bytes:
+    return planes(hashes) + planes(checks)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """_d orders documents, nulls last; _tag, a hash of the whole text, tells texts of one doc_id apart."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_d"), F.xxhash64(text).alias("_tag"), text.alias("text"))
+def restored(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and checks of `stored`: 8 and 2 bytes of each."""
+    n = len(raw) // 10
+    return of_planes(raw[: 8 * n]), of_planes(raw[8 * n :], "<u2")
 
 
-def count_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """g, n: how many stretches of windows have a fingerprint, 2 at least where a window repeats; counted in each batch before they are dealt."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column(0).to_pylist()]
-            for a, b in runs_by_bytes(texts):
-                starts, g, own = fingerprints(words := Words(texts[a:b], NOT_SPACE), window, gram)
-                owner = np.searchsorted(words.last, starts, side="right")
-                fresh = np.r_[True, (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])] if len(g) else np.empty(0, bool)
-                _, at, often = np.unique(own, return_index=True, return_counts=True)  # windows may repeat within a stretch
-                within = g[at[often > 1]]
-                keys, n = np.unique(np.r_[g[fresh], within, within], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], names=["g", "n"])
-
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def occurrences(docs: DataFrame, mask, number: int, passes: int, window: int, gram: int) -> DataFrame:
-    """g, _d, _tag, at, n, hashes: a row for each stretch of windows under one repeated fingerprint.
-
-    at is the first window's start. Windows that an earlier one in the same piece of
-    input equals are known repeats: their stretch goes without hashes, under a key of its own.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = mask.value.view(np.uint64)
-        size = np.uint64(len(flags) * 64)
-        for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            for a, b in runs_by_bytes(texts):
-                starts, g, own = fingerprints(words := Words(texts[a:b], NOT_SPACE), window, gram)
-                spot = mix(g)
-                bit = (spot >> np.uint64(12)) % size
-                hit = (flags[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                if passes > 1:
-                    hit &= (spot >> np.uint64(52)) % np.uint64(passes) == number
-                starts, g, own = starts[hit], g[hit], own[hit]
-                if not len(starts):
-                    continue
-                owner = np.searchsorted(words.last, starts, side="right")
-                doc, at = ids[a:b][owner], starts - words.first[owner]
-                known = repeats(mix(own ^ g), doc, at)
-                new = np.r_[True, (g[1:] != g[:-1]) | (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1) | (known[1:] != known[:-1])]
-                first = np.flatnonzero(new)
-                many = np.diff(np.r_[first, len(starts)])
-                raw = own.astype("<u8").tobytes()
-                key = np.where(known[first], mix(doc[first].astype(np.uint64) ^ at[first].astype(np.uint64)), g[first])
-                hashes = [b"" if k else raw[8 * x : 8 * (x + m)] for k, x, m in zip(known[first].tolist(), first.tolist(), many.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.astype(np.int64)), pa.array(doc[first]), pa.array(tags[a:b][owner[first]]), pa.array(at[first], pa.int32()), pa.array(many, pa.int32()), pa.array(hashes, pa.binary())],
-                    names=["g", "_d", "_tag", "at", "n", "hashes"])
-
-    return _keyed(docs).select("_d", "_tag", "text").mapInArrow(work, "g bigint, _d bigint, _tag bigint, at int, n int, hashes binary")
+def held(ascending: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among ascending ones, and where."""
+    at = np.minimum(np.searchsorted(ascending, values), max(len(ascending) - 1, 0))
+    return (ascending[at] == values if len(ascending) else np.zeros(len(values), bool)), at
 
 
 def repeats(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -161,132 +79,313 @@ def repeats(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def verify(dealt: DataFrame) -> DataFrame:
-    """_d, _tag, a, b: ranges of words in windows that occur earlier. dealt is sorted by g, _d, at within partitions.
+class Windows:
+    """Windows of the texts of a piece: first word of each in the piece, hash, the text's number, and start within it."""
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        self.words = Words(texts, NOT_SPACE)
+        hashes, whole = self.words.windows(window)
+        self.word = np.flatnonzero(whole)
+        self.hashes = hashes[self.word]
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), self.words.last - self.words.first)[self.word]
+        self.start = (self.word - self.words.first[self.text]).astype(np.int32)
+
+    def checks(self, window: int) -> np.ndarray:
+        return (self.words.windows(window, seed=2)[0][self.word] >> np.uint64(48)).astype("<u2")
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _ids(table: pa.Table) -> np.ndarray:
+    return table.column("_d").to_numpy()
+
+
+def blocks_of(window: int, ranges: int):
+    """Of a piece a row for each range: its distinct hashes there, those that it has again, and where those of its first and last document start."""
+    shift = np.uint64(64 - ranges.bit_length() + 1)
+
+    def work(table: pa.Table) -> pa.Table:
+        docs, w = _ids(table), Windows(_texts(table), window)
+        d = docs[w.text]
+        order = np.argsort(w.hashes, kind="stable")
+        ordered = w.hashes[order]
+        head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, int)
+        hashes, firsts = ordered[head], order[head]  # rows ascend by document, so the first is of the least document
+        again = np.diff(np.r_[head, len(ordered)]) > 1
+        checks = w.checks(window)[firsts]
+        # Pieces meet in one document at most, their first or last: only there starts decide which is earlier.
+        side = np.where(d[firsts] == docs[0], 1, np.where(d[firsts] == docs[-1], 2, 0)).astype(np.uint8)
+        start = w.start[firsts]
+        if len(docs) > len(np.unique(docs)):  # of several texts of one document the least start counts
+            near = np.flatnonzero((d == docs[0]) | (d == docs[-1]))
+            near = near[np.lexsort((w.start[near], d[near], w.hashes[near]))]
+            near = near[np.r_[True, w.hashes[near][1:] != w.hashes[near][:-1]]] if len(near) else near
+            inside, at = held(hashes, w.hashes[near])
+            at, near = at[inside], near[inside]
+            same = d[near] == d[firsts[at]]
+            start[at[same]] = w.start[near[same]]
+        cuts = np.r_[np.flatnonzero(np.r_[True, (hashes[1:] >> shift) != (hashes[:-1] >> shift)]) if len(hashes) else [], len(hashes)].astype(int)
+        rows = []
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            edge = np.flatnonzero(side[a:b])
+            rows.append((int(hashes[a] >> shift) if ranges > 1 else 0, stored(hashes[a:b], checks[a:b]), planes(hashes[a:b][again[a:b]]), edge.astype("<i4").tobytes(), side[a:b][edge].tobytes(), start[a:b][edge].astype("<i4").tobytes()))
+        piece = table.column("piece")[0].as_py()
+        many = len(rows)
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.table({
+            "range": pa.array(columns[0], pa.int32()), "piece": pa.array([piece] * many, pa.int64()), "lo": pa.array([int(docs[0])] * many, pa.int64()), "hi": pa.array([int(docs[-1])] * many, pa.int64()),
+            "hashes": pa.array(columns[1], pa.binary()), "again": pa.array(columns[2], pa.binary()), "edge": pa.array(columns[3], pa.binary()), "side": pa.array(columns[4], pa.binary()), "start": pa.array(columns[5], pa.binary())})
+
+    return work
+
+
+_BLOCKS = "range int, piece bigint, lo bigint, hi bigint, hashes binary, again binary, edge binary, side binary, start binary"
+
+
+def merged(key: tuple, old: pa.Table | None, new: pa.Table) -> pa.Table:
+    """One range: what is new of the batch, for the run, and of each piece the hashes that go and those that stay once."""
+    out: list[tuple] = []
+    rows = new.to_pylist()
+    if rows:
+        both = [restored(r["hashes"]) for r in rows]
+        hashes, checks = (np.concatenate(c) for c in zip(*both))
+        sizes = np.array([len(h) for h, _ in both])
+        from_ = np.repeat(np.arange(len(rows)), sizes)
+        base = np.cumsum(sizes) - sizes
+        order = np.argsort(hashes, kind="stable")
+        h, c = hashes[order], checks[order]
+        head = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]  # equal in both: the same window
+        group = np.cumsum(head) - 1
+        h1, c1 = h[head], c[head]
+        known = np.zeros(len(h1), bool)
+        for raw in old.column("hashes").to_pylist() if old is not None else ():
+            if raw:
+                run, verify = restored(raw)
+                inside, at = held(run, h1)
+                known |= inside & (verify[at] == c1 if len(run) else inside)
+        many = np.bincount(group) > 1
+        # Place of each piece's first occurrence: exact where the document may be another piece's too, else after its first document.
+        doc, start = np.array([r["lo"] for r in rows])[from_], np.full(len(hashes), LATER)
+        for i, r in enumerate(rows):
+            if r["edge"]:
+                at = base[i] + np.frombuffer(r["edge"], "<i4")
+                doc[at] = np.where(np.frombuffer(r["side"], np.uint8) == 1, r["lo"], r["hi"])
+                start[at] = np.frombuffer(r["start"], "<i4")
+        shared = np.flatnonzero((many & ~known)[group])
+        gone = known[group]
+        gone[shared] = repeats(group[shared].astype(np.uint64), doc[order][shared], start[order][shared])
+        goes = np.empty(len(hashes), bool)
+        goes[order] = gone
+        for i, r in enumerate(rows):
+            mine, mask = both[i][0], goes[base[i] : base[i] + sizes[i]]
+            twice = of_planes(r["again"])
+            if len(twice):
+                twice = twice[~mask[held(mine, twice)[1]]]
+            if mask.any() or len(twice):
+                out.append((1, r["piece"], None, planes(mine[mask]), planes(twice)))
+        h1, c1 = h1[~known], c1[~known]
+        out += [(0, None, stored(h1[a : a + ROW_HASHES], c1[a : a + ROW_HASHES]), None, None) for a in range(0, len(h1), ROW_HASHES)]
+    kind, piece, run, go, once = list(zip(*out)) or [()] * 5
+    return pa.table({
+        "range": pa.array([key[0].as_py()] * len(out), pa.int32()), "kind": pa.array(kind, pa.int32()), "piece": pa.array(piece, pa.int64()),
+        "hashes": pa.array(run, pa.binary()), "gone": pa.array(go, pa.binary()), "first": pa.array(once, pa.binary())})
+
+
+def compacted(key: tuple, table: pa.Table) -> pa.Table:
+    """One range of several runs in one; they have no hash in common."""
+    both = [restored(raw) for raw in table.column("hashes").to_pylist()]
+    hashes, checks = (np.concatenate(c) for c in zip(*both))
+    order = np.argsort(hashes, kind="stable")
+    hashes, checks = hashes[order], checks[order]
+    rows = [stored(hashes[a : a + ROW_HASHES], checks[a : a + ROW_HASHES]) for a in range(0, len(hashes), ROW_HASHES)]
+    none = pa.array([None] * len(rows), pa.binary())
+    return pa.table({"range": pa.array([key[0].as_py()] * len(rows), pa.int32()), "kind": pa.array([0] * len(rows), pa.int32()), "piece": pa.array([None] * len(rows), pa.int64()), "hashes": pa.array(rows, pa.binary()), "gone": none, "first": none})
+
+
+def stripped(window: int):
+    """A piece's rows less the words of windows that go, or that occur earlier in the piece."""
+
+    def work(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        texts = _texts(table)
+        removed = None
+        if told.num_rows:
+            w = Windows(texts, window)
+            gone, twice = (np.sort(np.concatenate([of_planes(x or b"") for x in told.column(c).to_pylist()])) for c in ("gone", "first"))
+            goes = held(gone, w.hashes)[0]
+            near = np.flatnonzero(held(twice, w.hashes)[0])
+            goes[near] |= repeats(w.hashes[near], _ids(table)[w.text[near]], w.start[near])
+            at = w.word[goes]
+            n = len(w.words.hashes)
+            removed = np.cumsum(np.bincount(at, minlength=n + window + 1) - np.bincount(at + window, minlength=n + window + 1))[:n] > 0
+            first, last = w.words.first.tolist(), w.words.last.tolist()
+        rows: list[list] = [[], [], [], []]
+        for i, text in enumerate(texts):
+            words = kept = text.split()
+            if removed is not None and (mine := removed[first[i] : last[i]]).any():
+                kept = list(compress(words, (~mine).tolist()))
+            left = b" ".join(kept)
+            for column, value in zip(rows, (len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode())):
+                column.append(value)
+        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(rows[0], pa.int64()), "n_removed": pa.array(rows[1], pa.int64()), "kept_sha256": pa.array(rows[2], pa.string()), "kept": pa.array(rows[3], pa.string())})
+
+    return work
 
-    Pieces of the stream are compared by whole hashes; from one piece to the next only the windows met under the last
-    fingerprint go on, so a fingerprint of very many occurrences passes through without being held.
-    """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_g, seen, seen_doc, seen_at = None, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            g, doc, tag = (batch.column(i).to_numpy() for i in range(3))
-            start, n, hashes = batch.column(3).to_numpy().astype(np.int64), batch.column(4).to_numpy().astype(np.int64), batch.column(5)
-            sizes = np.fromiter((len(x) // 8 for x in hashes.to_pylist()), np.int64, len(hashes))
-            told = np.flatnonzero(sizes == 0)  # known repeats
-            out = [(doc[told], tag[told], start[told], start[told] + n[told])]
-            if sizes.sum():
-                own = np.frombuffer(b"".join(hashes.to_pylist()), "<u8")
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                s = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keys = mix(own ^ g[row].astype(np.uint64))
-                if last_g is not None and g[0] != last_g:
-                    seen, seen_doc, seen_at = seen[:0], seen_doc[:0], seen_at[:0]
-                every = np.r_[seen, keys], np.r_[seen_doc, doc[row]], np.r_[seen_at, s]
-                again = repeats(*every)
-                mine = again[len(seen) :]
-                last_g = g[-1]
-                tail = np.r_[np.full(len(seen), g[0] == last_g), g[row] == last_g] & ~again
-                seen, seen_doc, seen_at = (x[tail] for x in every)
-                x = np.flatnonzero(mine)
-                if len(x):
-                    cut = np.r_[True, (row[x][1:] != row[x][:-1]) | (x[1:] != x[:-1] + 1)]
-                    i, j = x[cut], x[np.r_[np.flatnonzero(cut)[1:] - 1, len(x) - 1]]
-                    out.append((doc[row[i]], tag[row[i]], s[i], s[j] + 1))
-            d, t, a, b = (np.concatenate(c) for c in zip(*out))
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_d", "_tag", "a", "b"])
-
-    return dealt.mapInArrow(work, "_d bigint, _tag bigint, a int, b int")
-
-
-def repeated_ranges(history: DataFrame | None, batch: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """_d, _tag, a, b: starts from a to before b of windows of batch that occur earlier in history or batch.
-
-    history holds the documents of the index so far; all of them come before those of batch. The batch joins the index.
+class FingerprintIndex:
+    """Window hashes of all documents so far, in a folder that executors share; opened again, it goes on where it was.
+
+    expected_bytes: of all texts that the index is meant for; it fixes how many ranges there are when the index is made.
     """
-    repeated = index.add(count_fingerprints(batch, window, gram))
-    # The scan asks by mix(g), as numpy has it; so the filter is made over that.
-    repeated = repeated.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array(mix(b.column(0).to_numpy().astype(np.uint64)).astype(np.int64))], names=["g"]) for b in bs), "g bigint")
-    found = None
-    for number, passes, mask in _filters(repeated):
-        shared = batch.sparkSession.sparkContext.broadcast(mask)
-        rows = occurrences(batch, shared, number, passes, window, gram).withColumn("_new", F.lit(1))
-        if history is not None:
-            rows = rows.unionByName(occurrences(history, shared, number, passes, window, gram).withColumn("_new", F.lit(0)))
-        dealt = rows.filter("_new = 1 or length(hashes) > 0").drop("_new").repartition("g").sortWithinPartitions("g", "_d", "at")
-        one = verify(dealt)
-        found = one if found is None else found.unionByName(one)
-    index.compact()
-    return found
-
-
-def _filters(keys: DataFrame) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Number, count and bits of the filters of hashed keys (g); each is of bounded size."""
-    spark = keys.sparkSession
-    path = scratch_dir(spark)
-    keys.write.parquet(path)
-    keys = spark.read.schema("g bigint").parquet(path)
-    n = keys.count()
-    least, most = FILTER_BITS
-    passes = -(-n * BITS_PER_KEY // most) or 1
-    bits = min(most, max(least, 1 << max(0, n * BITS_PER_KEY // passes - 1).bit_length()))
-    for k in range(passes):
-        here = keys.filter(F.expr(f"shiftrightunsigned(g, 52) % {passes} = {k}")) if passes > 1 else keys
-        bit = F.expr(f"shiftrightunsigned(g, 12) % {bits}L")  # not negative: the upper bits are gone
-        words = here.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
-        mask = np.zeros(bits // 64, np.int64)
-        mask[words["word"].to_numpy()] = words["bits"].to_numpy()
-        yield k, passes, mask
-
-
-def strip(docs: DataFrame, ranges: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept of each row of docs, less the words of windows in ranges."""
-    gathered = ranges.groupBy("_d", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    both = _keyed(docs).join(gathered, ["_d", "_tag"], "left").select("doc_id", "text", F.col("ranges.a").alias("a"), F.col("ranges.b").alias("b"))
+
+    def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, most_runs: int = MOST_RUNS, expected_bytes: int = 0) -> None:
+        self.spark, self.path, self.most_runs = spark, (path or scratch_dir(spark)).rstrip("/"), most_runs
+        found = self._manifests()
+        if found:
+            state = json.loads(self.spark.read.text(found[max(found)], wholetext=True).first()[0])
+            if state["window"] != window:
+                raise ValueError(f"the index in {self.path} is of windows of {state['window']} words")
+            self.number, self.runs, self.made = max(found), state["runs"], state["made"]
+            self.ranges, self.buckets, self.window = state["ranges"], state["buckets"], window
+        else:
+            self.number, self.runs, self.made, self.window = 0, [], 0, window
+            self.ranges = max(LEAST_RANGES, 1 << (expected_bytes // 6 // RANGE_HASHES).bit_length())
+            self.buckets = min(self.ranges, max(shuffle_width(spark), 12))
+
+    def _hadoop(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifests(self) -> dict[int, str]:
+        place, fs = self._hadoop(f"{self.path}/manifest")
+        if not fs.exists(place):
+            return {}
+        return {int(s.getPath().getName().removesuffix(".json")): s.getPath().toString() for s in fs.listStatus(place) if s.getPath().getName().endswith(".json")}
+
+    def _commit(self) -> None:
+        """The state as a file of its own that appears at once; the one before goes."""
+        self.number += 1
+        draft, fs = self._hadoop(f"{self.path}/manifest/{self.number}.draft")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps({"window": self.window, "ranges": self.ranges, "buckets": self.buckets, "runs": self.runs, "made": self.made}).encode()))
+        out.close()
+        fs.rename(draft, self._hadoop(f"{self.path}/manifest/{self.number}.json")[0])
+        dropped(self.spark, f"{self.path}/manifest/{self.number - 1}.json")
+
+    def _bucketed(self, rows: DataFrame, path: str, by: str, partition_by: tuple[str, ...] = ()) -> None:
+        name = f"shelfmark_{uuid.uuid4().hex}"
+        writer = rows.write.mode("overwrite").option("compression", "zstd").option("path", path)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        with shuffles_dropped(self.spark):
+            writer.bucketBy(self.buckets, by).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
+    def _table(self, path: str, columns: str, by: str, partitions: str = "") -> str:
+        """A name for bucketed files that are there."""
+        name = f"shelfmark_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {partitions} CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return name
+
+    def history(self) -> tuple[str | None, DataFrame | None]:
+        """range, hashes of the live runs, read bucket by bucket, and the name of the table, to be dropped when it was read."""
+        if not self.runs:
+            return None, None
+        name = self._table(f"{self.path}/runs", f"{_RUN}, run int", "range", "PARTITIONED BY (run, kind)")
+        self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return name, self.spark.table(name).filter(F.col("run").isin(self.runs) & (F.col("kind") == 0)).select("range", "hashes")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256, kept of each row of a batch, which joins the index.
+
+        All documents of the index count as earlier than those of the batch; within it order is by doc_id, then start. The
+        batch is written in pieces, its hashes merged, and its run committed, when this returns; only the removal itself
+        is still to be run. Rows as in `deduplicate`.
+        """
+        text, key = F.coalesce("text", F.lit("")), F.col("doc_id").cast("bigint")
+        rows = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(NO_ID)).alias("_d"), F.xxhash64(text).alias("_tag"), text.alias("text"))
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        most = min(PIECE_BYTES[1], max(PIECE_BYTES[0], 64 * self.ranges))
+        parts = max(1, min(-(-size // most), 4 * self.buckets))
+        cut = rows.repartitionByRange(parts, "_d", "_tag").sortWithinPartitions("_d", "_tag").drop("_tag").mapInArrow(tidy(_pieces(most)), "doc_id bigint, _d bigint, text string, piece bigint")
+        place = f"{self.path}/batch-{uuid.uuid4().hex}"
+        self._bucketed(cut, place, "piece")
+        name = self._table(place, "doc_id bigint, _d bigint, text string, piece bigint", "piece")
+        pieces = self.spark.table(name)
+        blocks = pieces.groupBy("piece").applyInArrow(blocks_of(self.window, self.ranges), _BLOCKS)
+        old_name, old = self.history()
+        if old is None:
+            rows = blocks.groupBy("range").applyInArrow(_first_batch, _RUN)
+        else:
+            rows = old.groupBy("range").cogroup(blocks.groupBy("range")).applyInArrow(merged, _RUN)
+        self.made += 1
+        run = f"{self.path}/runs/run={self.made}"
+        self._bucketed(rows, run, "range", ("kind",))
+        told = self.spark.read.schema(_RUN).parquet(run).filter("kind = 1").select("piece", "gone", "first")
+        out = pieces.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(stripped(self.window), RESULT)
+        for table in (name, old_name):
+            if table:
+                self.spark.sql(f"DROP TABLE {table}")
+        self.runs = [*self.runs, self.made]
+        self._commit()
+        return out
+
+    def compact(self) -> None:
+        """Merge the runs into one when they are more than most_runs; what runs tell of their batches stays."""
+        if len(self.runs) <= self.most_runs:
+            return
+        name, rows = self.history()
+        self.made += 1
+        self._bucketed(rows.groupBy("range").applyInArrow(compacted, _RUN), f"{self.path}/runs/run={self.made}", "range", ("kind",))
+        self.spark.sql(f"DROP TABLE {name}")
+        old, self.runs = self.runs, [self.made]
+        self._commit()
+        dropped(self.spark, *[f"{self.path}/runs/run={r}/kind=0" for r in old])
+
+
+def _first_batch(key: tuple, table: pa.Table) -> pa.Table:
+    return merged(key, None, table)
+
+
+def _pieces(most: int):
+    """Rows in order with the number of their piece, which ascends with partitions and rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for text, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                words = text.encode().split()
-                kept = words
-                if a:
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, a, 1)
-                    np.add.at(gone, np.minimum(np.array(b) + window - 1, len(words)), -1)
-                    stays = np.cumsum(gone)[:-1] == 0
-                    kept = [w for w, s in zip(words, stays.tolist()) if s]
-                left = b" ".join(kept)
-                for column, value in zip(rows, (len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return both.mapInArrow(work, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
-
-
-def deduplicate(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, path: str | None = None) -> DataFrame:
+            for part, texts in slices(batch, 2, most):
+                here = sum(map(len, texts))
+                if size and size + here > most:
+                    piece, size = piece + 1, 0
+                size += here
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([piece] * part.num_rows, pa.int64())], names=["doc_id", "_d", "text", "piece"])
+
+    return work
+
+
+def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, path: str | None = None, most_runs: int = MOST_RUNS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept for each row of docs, which join the index in batches by doc_id.
 
     Every word in a window of `window` words that also starts earlier (smaller doc_id, or same document and earlier start)
     is removed; windows are of the input, not of what is left. Null and empty texts have no words; texts of fewer words
     than a window lose none. Repeated rows have one doc_id and start, so neither is earlier than the other; of several
-    texts of one doc_id earlier starts count. A null doc_id comes after all others. An empty table gives no rows.
+    texts of one doc_id earlier starts count. A null doc_id comes after all others. An empty table gives no rows. Other
+    columns are not read, so their names may clash with any here.
     """
-    index = FingerprintIndex(docs.sparkSession, path)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    rows = docs.select("doc_id", "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    index = FingerprintIndex(docs.sparkSession, path, window, most_runs, size)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    ranges = None
+    key, out = F.col("doc_id").cast("bigint"), None
     for i in range(len(cuts) + 1):
-        here: Column = F.lit(True)
+        here: Column = F.lit(True) if i < len(cuts) else F.lit(True)
         if i:
-            here = here & (key > cuts[i - 1])
+            here = here & (F.coalesce(key > cuts[i - 1], F.lit(True)) if i == len(cuts) else key > cuts[i - 1])
         if i < len(cuts):
             here = here & (key <= cuts[i])
-        found = repeated_ranges(docs.filter(key <= cuts[i - 1]) if i else None, docs.filter(here), index, window, gram)
-        if i:
-            found = found.filter(F.col("_d") > cuts[i - 1])
-        ranges = found if ranges is None else ranges.unionByName(found)
-    return strip(docs, ranges, window)
+        done = index.add(rows.filter(here))
+        index.compact()
+        out = done if out is None else out.unionByName(done)
+    return out

@@ -1,9 +1,10 @@
 """Token ids and token counts of whole texts with the public tokenizers, in Arrow functions.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts: between a character that is not white space and
-one that is. No alternative of a byte-level pattern reaches over such a place, and no added token contains white space,
-so ids of the parts joined are ids of the whole. The parts repeat a lot; each worker keeps ids of short parts in a
-bounded map and encodes only those it has not met, in batches of a bounded number of bytes.
+ASCII white space after it. No alternative of a byte-level pattern reaches over such a place, and no added token contains
+white space, so ids of the parts joined are ids of the whole. The parts of many texts are found and told apart by 64-bit
+hashes at once; those that a worker has not met are encoded in batches of a bounded number of bytes, and what is kept of
+them is bounded in bytes too.
 """
 
 from __future__ import annotations
@@ -11,26 +12,26 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BYTE_BPE = "byte_bpe_50k.json"
-#: What the pattern of byte-level tokenizers takes as white space.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PART = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-EDGE = re.compile(f"^[{SPACE}]|[{SPACE}]$|^$")
+from shelfmark.llm.common import slices, tidy, whole_text
+from shelfmark.llm.hashing import CHUNK_BYTES, runs_by_bytes, spans_hashed
 
-MARKS = frozenset(".,;:!?)")
+BYTE_BPE = "byte_bpe_50k.json"
+#: What the pattern of byte-level tokenizers takes as white space: of one byte in UTF-8, and of more.
+ONE_BYTE_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WIDE_SPACE_BYTES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+SAFE_CUT = re.compile(rb"(?<![\t-\r ])(?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)(?<!\xe3\x80\x80)[\t-\r ]")
+_END = b"\xff"  # between texts; no UTF-8 has it
 
-BATCH_BYTES = 1 << 18
-CHUNK_CHARS = 1 << 21
-KEEP_CHARS = 64
-KEEP_PARTS = 1_000_000
+BATCH_BYTES = 1 << 18  # of parts that are encoded at once
+KEEP_BYTES = 32 << 20  # of ids of parts that a worker has met
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,7 +41,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def direct_bpe(model: dict):
-    """The merges of a byte-level file in tiktoken, which gives the same ids faster; None where the file is of another kind.
+    """The merges of a byte-level file in tiktoken, which gives the same ids faster, and each id's length in bytes; None where the file is of another kind.
 
     That holds where nothing normalises, the usual pattern cuts words, and merged entries are numbered in merge order.
     """
@@ -61,7 +62,62 @@ def direct_bpe(model: dict):
     if len(vocab) - len(added & vocab.keys()) != 256 + len(merges) or merged != sorted(merged) or max((vocab[c] for c in byte), default=0) > min(merged, default=256):
         return None
     ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in added}
-    return tiktoken.Encoding("direct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    widths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        widths[i] = len(token)
+    return tiktoken.Encoding("direct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), widths
+
+
+def safe_pieces(text: bytes, most: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """Pieces of a text of about `most` bytes, cut where a part begins; without such a place a piece is longer."""
+    at = 0
+    while len(text) - at > most:
+        cut = None
+        for reach in (1 << 10, 1 << 14, most - 1):  # the last place before the limit
+            for cut in SAFE_CUT.finditer(text, at + most - min(reach, most - 1), at + most):
+                pass
+            if cut:
+                break
+        cut = cut or SAFE_CUT.search(text, at + most)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+@dataclass
+class Parts:
+    """Parts of texts: bytes from starts to before ends of `joined`, their hashes, and of each text the number of its first part, then of all."""
+
+    joined: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+    plain: np.ndarray  # begins with one-byte white space, and ends with something else
+
+
+def parts_of(texts: list[bytes]) -> Parts:
+    joined = _END.join(texts) + _END
+    raw = np.frombuffer(joined, np.uint8)
+    ends_at = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    space = ONE_BYTE_SPACE[raw]
+    begins = np.empty(len(raw), bool)
+    begins[0] = True
+    np.greater(space[1:], space[:-1], out=begins[1:])
+    wide = np.fromiter((m.end() for m in WIDE_SPACE_BYTES.finditer(joined)), np.int64)
+    begins[wide] = False  # white space goes on after wide white space
+    begins[ends_at[:-1] + 1] = True
+    begins[ends_at] = True
+    marks = np.flatnonzero(begins)
+    real = raw[marks] != 0xFF
+    starts, ends = marks[real], np.r_[marks[1:], len(raw)][real]
+    first = np.r_[np.searchsorted(starts, np.r_[0, ends_at[:-1] + 1]), len(starts)]
+    plain = space[starts] & ~space[ends - 1]
+    if len(wide):
+        plain &= ~np.isin(ends, wide)
+    return Parts(joined, starts, ends, spans_hashed(raw, starts, ends)[0], first, plain)
 
 
 class JsonEncoder:
@@ -74,89 +130,110 @@ class JsonEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content for t in added.values()]
-        self.direct = direct_bpe(json.loads(self.tokenizer.to_str()))
-        self.known: dict[str, bytes] = {}  # parts as they are
-        self.after_space: dict[str, bytes | None] = {}  # parts less the one space before them; None: not to be cut there
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.direct is None or any(a in t for t in texts for a in self.added):
-            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        word, text = self.direct._core_bpe.encode_single_piece, self.direct.encode_ordinary
-        packed = [word(t.encode()) if t.lstrip(" ").isalpha() else text(t) for t in texts]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in packed]
-
-    def _met(self, missing: set[str]) -> list[str]:
-        """Encode parts that are a word, or a word and one mark, each of which the pattern takes by itself; return the others."""
-        word, others, kept = self.direct._core_bpe.encode_single_piece, [], self.after_space
-        for p in missing:
-            if p.isalpha():
-                if p not in kept:
-                    ids = word(f" {p}".encode())
-                    kept[p] = struct.pack(f"<{len(ids)}I", *ids)
-            elif p[-1:] in MARKS and p[:-1].isalpha():
-                if (head := kept.get(p[:-1])) is None:
-                    ids = word(f" {p[:-1]}".encode())
-                    head = kept[p[:-1]] = struct.pack(f"<{len(ids)}I", *ids)
-                ids = word(p[-1:].encode())
-                kept[p] = head + struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                others.append(p)
-        return others
-
-    def _batched(self, texts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
-        batch, size = [], 0
-        for t in texts:
-            if size + len(t) > BATCH_BYTES and batch:
-                yield from zip(batch, self._encode(batch))
-                batch, size = [], 0
-            batch.append(t)
-            size += len(t)
-        if batch:
-            yield from zip(batch, self._encode(batch))
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, ...] | list[bytes]]:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        direct = direct_bpe(json.loads(self.tokenizer.to_str()))
+        self.direct, self.widths = direct if direct else (None, None)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.offsets, self.sizes, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _encoded(self, parts: Parts, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The wanted parts in the order in which they were encoded, how many ids each has, and the ids; a batch of them is one call of the library."""
+        special = np.zeros(len(wanted), bool)
+        for a in self.added:
+            if a.encode() in parts.joined:
+                at = np.fromiter((m.start() for m in re.finditer(re.escape(a.encode()), parts.joined)), np.int64)
+                special |= np.searchsorted(at, parts.starts[wanted]) < np.searchsorted(at, parts.ends[wanted])
+        by_merges = ~special if self.direct is not None else np.zeros(len(wanted), bool)
+        together = by_merges & parts.plain[wanted]
+        order, sizes, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for kind, group in enumerate((wanted[together], wanted[by_merges & ~together], wanted[~by_merges])):
+            length = parts.ends[group] - parts.starts[group]
+            batch = np.cumsum(length) // BATCH_BYTES
+            for some in np.split(group, np.flatnonzero(np.diff(batch)) + 1) if len(group) else ():
+                cut = [parts.joined[a:b] for a, b in zip(parts.starts[some].tolist(), parts.ends[some].tolist())]
+                if kind == 0:  # the pattern cuts plain parts where they meet
+                    ids = [self.direct.encode_to_numpy(b"".join(cut).decode())]
+                    until = np.searchsorted(np.cumsum(self.widths[ids[0]]), np.cumsum(parts.ends[some] - parts.starts[some])) + 1
+                    many = np.diff(until, prepend=0)
+                elif kind == 1:
+                    ids = [np.asarray(self.direct.encode_ordinary(p.decode()), np.uint32) for p in cut]
+                    many = np.fromiter(map(len, ids), np.int64, len(ids))
+                else:
+                    ids = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([p.decode() for p in cut], add_special_tokens=False)]
+                    many = np.fromiter(map(len, ids), np.int64, len(ids))
+                order.append(some)
+                sizes.append(many)
+                flat += ids
+        return np.concatenate(order), np.concatenate(sizes), np.concatenate(flat)
+
+    def _numbered(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each part of the texts its number among what is kept, and of each text the number of its first part, then of all."""
+        parts = parts_of(texts)
+        unique, at, back = np.unique(parts.hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, unique)
+        known = np.zeros(len(unique), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == unique[inside]
+        if not known.all():
+            if self.hashes.nbytes * 3 + self.flat.nbytes > KEEP_BYTES:  # what is not met here goes
+                kept = place[known]
+                sizes = self.sizes[kept]
+                self.flat = self._gathered(kept)
+                self.hashes, self.sizes, self.offsets = self.hashes[kept], sizes, np.cumsum(sizes) - sizes
+            order, sizes, flat = self._encoded(parts, at[~known])
+            hashes, offsets = parts.hashes[order], len(self.flat) + np.cumsum(sizes) - sizes
+            by_hash = np.argsort(hashes)
+            spot = np.searchsorted(self.hashes, hashes[by_hash])
+            self.hashes, self.sizes, self.offsets = (np.insert(old, spot, new[by_hash]) for old, new in ((self.hashes, hashes), (self.sizes, sizes), (self.offsets, offsets)))
+            self.flat = np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.hashes, unique)
+        return place[back], parts.first
+
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of parts one after another."""
+        sizes = self.sizes[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.offsets[numbers] - before, sizes) + np.arange(sizes.sum())]
+
+    def _runs(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """Pieces of texts in runs of about CHUNK_BYTES, each with its text's number."""
+        pieces: list[tuple[int, bytes]] = []
+        for i, t in enumerate(texts):
+            pieces += [(i, t)] if len(t) <= CHUNK_BYTES else [(i, p) for p in safe_pieces(t)]
+        for a, b in runs_by_bytes([p for _, p in pieces]):
+            yield np.array([i for i, _ in pieces[a:b]]), [p for _, p in pieces[a:b]]
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """How many ids each text has."""
+        out = np.zeros(len(texts), np.int64)
+        for owner, run in self._runs(texts):
+            numbers, first = self._numbered(run)
+            total = np.r_[0, np.cumsum(self.sizes[numbers], dtype=np.int64)]
+            np.add.at(out, owner, total[first[1:]] - total[first[:-1]])
+        return out
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        held: list[np.ndarray] = []
+        at = 0
+        for owner, run in self._runs(texts):
+            numbers, first = self._numbered(run)
+            flat = self._gathered(numbers)
+            total = np.r_[0, np.cumsum(self.sizes[numbers], dtype=np.int64)]
+            for i, a, b in zip(owner.tolist(), total[first[:-1]].tolist(), total[first[1:]].tolist()):
+                if i != at:
+                    yield np.concatenate(held)
+                    held, at = [], i
+                held.append(flat[a:b])
+        if held:
+            yield np.concatenate(held)
+
+    def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
         """For each text its ids as parts of little-endian unsigned 32-bit numbers."""
-        if len(self.known) + len(self.after_space) > KEEP_PARTS:
-            self.known.clear()
-            self.after_space.clear()
-        plain = []
-        missing: set[str] = set()
-        for t in texts:
-            parts = t.split(" ")
-            plain.append(parts)
-            missing.update(parts[1:])
-        missing.difference_update(self.after_space)
-        sound = self._met(missing) if self.direct else missing
-        sound = [" " + p for p in sound if not EDGE.search(p)]
-        self.after_space.update(dict.fromkeys(missing.difference(self.after_space)))
-        for p, ids in self._batched(sound):
-            self.after_space[p[1:]] = ids
-        heads, odd, rest = set(), {}, []
-        for i, parts in enumerate(plain):
-            ids = list(map(self.after_space.__getitem__, parts[1:]))
-            rest.append(ids)
-            if parts[0] and not EDGE.search(parts[0]) and None not in ids:
-                heads.add(parts[0])
-            elif texts[i]:
-                odd[i] = PART.findall(texts[i])
-                heads.update(odd[i])
-            plain[i] = parts[0]
-        for p, ids in self._batched(heads.difference(self.known)):
-            self.known[p] = ids
-        for i, ids in enumerate(rest):
-            if i in odd:
-                yield [self.known[p] for p in odd[i]]
-            elif texts[i]:
-                ids.insert(0, self.known[plain[i]])
-                yield ids
-            else:
-                yield []
-        for p in [p for p in missing if len(p) > KEEP_CHARS]:
-            del self.after_space[p]
-        for p in [p for p in heads if len(p) > KEEP_CHARS]:
-            del self.known[p]
+        for ids in self.ids([t.encode() for t in texts]):
+            yield [ids.astype("<u4").tobytes()]
 
 
 class PieceEncoder:
@@ -167,9 +244,17 @@ class PieceEncoder:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for a, b in runs_by_bytes(texts, BATCH_BYTES):
+            for ids in self.model.encode([t.decode() for t in texts[a:b]], num_threads=1):
+                yield np.asarray(ids, np.uint32)
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, self.ids(texts)), np.int64, len(texts))
+
     def encode(self, texts: list[str]) -> Iterator[list[bytes]]:
-        for ids in self.model.encode(texts, num_threads=1):
-            yield [np.asarray(ids, "<u4").tobytes()]
+        for ids in self.ids([t.encode() for t in texts]):
+            yield [ids.astype("<u4").tobytes()]
 
 
 _ENCODERS: dict[str, JsonEncoder | PieceEncoder] = {}
@@ -183,34 +268,20 @@ def encoder(name: str) -> JsonEncoder | PieceEncoder:
     return _ENCODERS[path]
 
 
-def byte_balanced(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about CHUNK_CHARS characters, in order; a longer text is a run by itself."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > CHUNK_CHARS:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
-
-
 def count_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit (n_tokens > limit) for each row of docs.
 
-    Null and empty texts have 0 tokens; repeated rows and null keys give a row each; other columns are not read, so their
-    names may clash with the result's. An empty table gives no rows. Only lengths leave the Arrow function.
+    Null and empty texts have 0 tokens; a text of any length is cut into safe pieces; repeated rows and null keys give a row
+    each; other columns are not read, so their names may clash with the result's. An empty table gives no rows. Only
+    lengths leave the Arrow function.
     """
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts = [sum(map(len, ids)) // 4 for run in byte_balanced(texts) for ids in encode.encode(run)]
-            n_bytes = [len(t.encode()) if not t.isascii() else len(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(counts, pa.int64())], names=[key, "n_bytes", "n_tokens"])
+            for part, texts in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(encode.counts(texts), pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
-    counted = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(lengths, schema)
+    counted = docs.select(F.col(key), whole_text(text).alias("_text")).mapInArrow(tidy(lengths, keep_tokens=True), schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

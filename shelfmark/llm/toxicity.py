@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.hashing import ALNUM_LOWER, Words, _powers, mix, runs_by_bytes
+from shelfmark.llm.common import slices, tidy, whole_text
+from shelfmark.llm.hashing import ALNUM_LOWER, Words, runs_by_bytes
 
 SAMPLE = 12_000  # labelled texts that the classifier is fitted on, at most about so many
 FEATURES = 3_000
@@ -40,20 +41,14 @@ def features(texts: list[bytes], bare: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     bare: sorted hashes of the words that have no beginnings.
     """
-    words = Words(texts, ALNUM_LOWER)
-    raw = np.frombuffer(words.joined.translate(ALNUM_LOWER), np.uint8)
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(up[:-1] * raw, out=sums[1:])
+    words = Words(texts, ALNUM_LOWER, PREFIXES)
     owner = np.repeat(np.arange(len(texts)), words.last - words.first)
-    length = words.ends - words.starts
-    if len(bare):
-        length = np.where(bare[np.minimum(np.searchsorted(bare, words.hashes), len(bare) - 1)] == words.hashes, 0, length)
+    whole = bare[np.minimum(np.searchsorted(bare, words.hashes), len(bare) - 1)] == words.hashes if len(bare) else np.zeros(len(words.hashes), bool)
     hashes, owners = [words.hashes], [owner]
-    for n in PREFIXES:
-        at = np.flatnonzero(length > n)
-        hashes.append(mix((sums[words.starts[at] + n] - sums[words.starts[at]]) * down[words.starts[at]] + np.uint64(1 << 40) + np.uint64(n)))
-        owners.append(owner[at])
+    for at, heads in words.heads.values():
+        cut = ~whole[at]
+        hashes.append(heads[cut])
+        owners.append(owner[at[cut]])
     return np.concatenate(hashes), np.concatenate(owners)
 
 
@@ -145,13 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
     """Fit on a bounded sample of labelled rows that are not held out; rows without label or doc_id teach nothing.
 
     A doc_id labelled twice is toxic if any label says so. The sample is by a hash of doc_id, so it is the same each time.
-    Features are those of two toxic texts of the sample or more; only their numbers come to the driver.
+    Features are those of two toxic texts of the sample or more; only their numbers come to the driver. Null texts are empty;
+    repeated documents teach once for each row; without documents or labels of both kinds the score is constant. Of docs
+    only doc_id and text are read, of labels doc_id and toxic, so other columns may have any name.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic")).filter(~held_out(F.col("_id")))
     n = known.count()
     if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    taught = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_toxic", F.coalesce("text", F.lit("")).alias("_text"))  # sample rows at most, about
+        known = known.filter(F.shiftrightunsigned(F.xxhash64("_id", F.lit(7)), 11) < int(2**53 * (sample / n)))
+    texts = docs.select(F.col("doc_id").alias("_doc"), whole_text().alias("_text"))
+    taught = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_toxic", "_text")  # sample rows at most, about
 
     identity = identity_hashes(terms)
 
@@ -159,28 +157,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = chosen.value if chosen else None
             for batch in batches:
-                texts = [t.encode() for t in batch.column(1).to_pylist()]
-                out = []
-                for a, b in runs_by_bytes(texts):
-                    found, owner = features(texts[a:b], identity)
-                    if wanted is not None:
-                        at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                        hit = wanted[at] == found
-                        found, owner = at[hit].astype(np.int32), owner[hit]
-                    order = np.argsort(owner, kind="stable")
-                    cuts = np.searchsorted(owner[order], np.arange(b - a + 1))
-                    out += [np.unique(found[order[x:y]]).tobytes() for x, y in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "x"])
+                for part, texts in slices(batch, 1):
+                    out = []
+                    for a, b in runs_by_bytes(texts):
+                        found, owner = features(texts[a:b], identity)
+                        if wanted is not None:
+                            at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
+                            hit = wanted[at] == found
+                            found, owner = at[hit].astype(np.int32), owner[hit]
+                        order = np.argsort(owner, kind="stable")
+                        cuts = np.searchsorted(owner[order], np.arange(b - a + 1))
+                        out += [np.unique(found[order[x:y]]).tobytes() for x, y in zip(cuts, cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(out, pa.binary())], names=["y", "x"])
 
         return work
 
-    toxic = taught.filter("_toxic = 1").mapInArrow(extract(None), "y int, x binary").toArrow()
+    toxic = taught.filter("_toxic = 1").mapInArrow(tidy(extract(None)), "y int, x binary").toArrow()
     hashes = [np.frombuffer(x.as_py(), np.uint64) for x in toxic["x"]]
     del toxic
     every, often = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.empty(0, np.uint64), np.empty(0, int))
     candidates = np.union1d(every[often > 1], identity)
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
-    rows = taught.mapInArrow(extract(shared), "y int, x binary").toArrow()
+    rows = taught.mapInArrow(tidy(extract(shared)), "y int, x binary").toArrow()
     return fit([np.frombuffer(x.as_py(), np.int32) for x in rows["x"]], np.array(rows["y"], int), candidates, terms, **options)
 
 
@@ -193,20 +191,24 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score([t.encode() for t in batch.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= threshold).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
+            for part, texts in slices(batch, 2):
+                scores = shared.value.score(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array((scores >= threshold).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("_text"))
-    return rows.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), whole_text().alias("_text"))
+    return rows.mapInArrow(tidy(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score is below the threshold, with all their columns, unchanged."""
+    """The rows of docs whose score is below the threshold, with all their columns, unchanged, whatever their names.
+
+    Null and empty texts have the model's base score; each repeated row is judged alike; an empty table stays empty.
+    """
     shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score([(t or "").encode() for t in batch.column(where).to_pylist()])
-            yield batch.filter(pa.array(scores < threshold))
+            for part, texts in slices(batch, where):
+                yield part.filter(pa.array(shared.value.score(texts) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

@@ -1,22 +1,26 @@
 """WARC archives: writing captures, reading records back, and assembling transactions.
 
 Archives go through Spark's text sink: a row is a record and the line separator is the two line ends that close a record,
-so commits and retries are Spark's own and any Hadoop path will do. Reading takes whole archive files and follows each
-record's Content-Length. Records of one capture are joined through WARC-Concurrent-To.
+so commits and retries are Spark's own and any Hadoop path will do; an archive is one gzip member. Reading inflates an
+archive as it goes and follows each record's Content-Length, so a worker holds one record beside the archive as it is
+stored. Records of one capture are joined through WARC-Concurrent-To.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import HEAVY_KEYS, dealt_join, tidy, written
+
 SMALLEST_SHARED = 100  # bytes from which equal payloads are written once
-RECORDS_PER_FILE = 15_000
+FILE_BYTES = 32 << 20  # of an archive before it is compressed, by the mean size of payloads
+INFLATE_BYTES = 1 << 20
 CRLF = "\r\n"
 
 
@@ -36,23 +40,33 @@ def captures(pages: DataFrame, smallest_shared: int = SMALLEST_SHARED) -> DataFr
 
     Of equal payloads of at least `smallest_shared` bytes the one of the smallest page_id is the response. Rows of one
     page_id and payload are told apart by url, then by number. A null page_id refers to nothing and is a response; null
-    html is an empty payload. Payloads are dealt by page_id, never by content, so copies of one page don't meet in a task.
+    html is an empty payload; an empty table gives no rows; other columns are not read. Payloads are dealt by page_id and
+    digest, so copies of one page under many numbers don't meet in a task.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
-    narrow = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).filter((F.col("n") >= smallest_shared) & F.col("page_id").isNotNull())
-    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    shared = narrow.join(firsts, "digest").groupBy("page_id").agg(F.collect_set(F.struct("digest", "first")).alias("shared"))
-    counted = rows.repartition("page_id").groupBy("page_id", "url", "payload").agg(F.count("*").alias("copies"))
-    each = counted.join(shared, "page_id", "left").withColumn("digest", F.sha2("payload", 256)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    narrow = written(rows.select("page_id", "digest", F.octet_length("payload").alias("n")).filter((F.col("n") >= smallest_shared) & F.col("page_id").isNotNull()))
+    n = narrow.count()
+    firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).filter("many > 1")
+    heavy = firsts.filter(F.col("many") * HEAVY_KEYS > n).select("digest")
+    shared = dealt_join(narrow.drop("n"), firsts.drop("many"), ["digest"], n, "inner", heavy).distinct()
+    counted = rows.repartition("page_id", "digest").groupBy("page_id", "digest", "url", "payload").agg(F.count("*").alias("copies"))
+    each = counted.join(shared, ["page_id", "digest"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     each = each.withColumn("turn", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url", "copy")))
-    first = F.get(F.filter("shared", lambda s: s["digest"] == F.col("digest")), F.lit(0))["first"]
+    first = F.col("first")
     refers = F.when(first.isNotNull() & ((first != F.col("page_id")) | (F.col("turn") > 1)), first)
     return each.select("page_id", "url", "payload", "digest", F.octet_length("payload").cast("bigint").alias("n_bytes"), "turn", refers.alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, smallest_shared: int = SMALLEST_SHARED, date: str = "1970-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write a request, a response or revisit, and a metadata record for each row of pages to gzipped archives in path."""
+def write(pages: DataFrame, path: str, smallest_shared: int = SMALLEST_SHARED, date: str = "1970-01-01T00:00:00Z", records_per_file: int | None = None) -> None:
+    """Write a request, a response or revisit, and a metadata record for each row of pages to gzipped archives in path.
+
+    Rows as in `captures`; a null url has no target URI. Archives have as many records as make about FILE_BYTES, unless
+    their number is given; an empty table gives an archive without records. Columns beside page_id, url and html are not read.
+    """
+    if records_per_file is None:
+        mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+        records_per_file = max(3, int(3 * FILE_BYTES / (mean + 1_500)))
     rows = captures(pages, smallest_shared)
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     own = _uuid(F.lit("capture"), key, "digest", F.col("turn").cast("string"))
@@ -77,31 +91,55 @@ def write(pages: DataFrame, path: str, smallest_shared: int = SMALLEST_SHARED, d
     records.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers, by lower-case name, and block of each record. Raises on anything that is not a record."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        head = data[at:end].decode().split(CRLF)
-        if end < 0 or not head[0].startswith("WARC/"):
+def records_of(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers, by lower-case name, and block of each record, from chunks as they come. Raises on anything that is not a record."""
+    chunks, held, at = iter(chunks), bytearray(), 0
+
+    def reach(n: int) -> bool:
+        """Whether so many bytes are held from here on."""
+        while len(held) < n:
+            more = next(chunks, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while reach(1):
+        looked = 0
+        while (end := held.find(CRLF.encode() * 2, looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not reach(len(held) + 1):
+                raise ValueError(f"no WARC record at byte {at}")
+        head = held[:end].decode().split(CRLF)
+        if not head[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {k.lower(): v.strip() for k, v in (line.split(":", 1) for line in head[1:])}
         length = int(headers["content-length"])
-        block = view[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
-        if len(block) != length or data[at - 4 : at] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at} is cut short")
-        yield headers, block
+        if not reach(end + 8 + length) or held[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} is cut short")
+        yield headers, bytes(held[end + 4 : end + 4 + length])
+        del held[: end + 8 + length]
+        at += end + 8 + length
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    return records_of([data])
 
 
-def _members(content: bytes) -> bytes:
-    """The content of a file, of one gzip member, of several, or of none."""
-    out = []
+def inflated(content: bytes) -> Iterator[bytes]:
+    """The content of a file, of one gzip member, of several, or of none, in chunks of bounded size."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
     while content[:2] == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        out += [d.decompress(content), d.flush()]
+        while not d.eof:
+            out = d.decompress(content, INFLATE_BYTES)
+            content = d.unconsumed_tail
+            yield out
+            if not out and not content and not d.eof:
+                raise ValueError("an archive is cut short")
         content = d.unused_data
-    return b"".join(out) if out else content
 
 
 RECORDS = "record_id string, type string, uri string, concurrent_to string, refers_to string, digest string, n_bytes bigint, payload_sha256 string, fields map<string,string>"
@@ -109,20 +147,23 @@ _NAMES = ("record_id", "type", "uri", "concurrent_to", "refers_to", "digest", "n
 
 
 def read(spark: SparkSession, path: str, batch_rows: int = 5_000) -> DataFrame:
-    """A row for each record of the archives in path. Payloads are measured and digested here; they go no further."""
+    """A row for each record of the archives in path. Payloads are measured and digested here; they go no further.
+
+    An archive without records gives no rows; one that is cut short, or holds anything else, raises.
+    """
     kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for h, block in parse(_members(content.as_py())):
+                for h, block in records_of(inflated(content.as_py())):
                     n, sha, fields = None, None, []
                     if h["warc-type"] == "response":
-                        payload = bytes(block).partition(b"\r\n\r\n")[2]
+                        payload = block.partition(b"\r\n\r\n")[2]
                         n, sha = len(payload), hashlib.sha256(payload).hexdigest()
                     elif h["warc-type"] == "metadata":
-                        fields = [tuple(x.strip() for x in line.split(":", 1)) for line in bytes(block).decode().split(CRLF) if ":" in line]
+                        fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode().split(CRLF) if ":" in line]
                     rows.append((h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest"), n, sha, fields))
                     if len(rows) == batch_rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(_NAMES))
@@ -130,7 +171,7 @@ def read(spark: SparkSession, path: str, batch_rows: int = 5_000) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=list(_NAMES))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, RECORDS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(work), RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -148,12 +189,16 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture; what a revisit lacks is its response's."""
-    rows = assemble(read(spark, path))
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each capture; what a revisit lacks is its response's.
+
+    Archives are read once. Captures of null pages have a null page_id; no archives or records give no rows; of very many
+    revisits of one response only keys meet.
+    """
+    rows = assemble(written(read(spark, path)))
     page = F.col("metadata.fields")["page-id"]
-    flat = rows.select("capture_id", F.when(page != "null", page).cast("bigint").alias("page_id"), "capture.*")
-    full = flat.filter(F.col("type") == "response").select(F.col("capture_id").alias("_id"), F.col("page_id").alias("_page"), F.col("n_bytes").alias("_bytes"), F.col("payload_sha256").alias("_sha"))
-    both = flat.join(full, flat["refers_to"] == full["_id"], "left")
+    flat = written(rows.select("capture_id", F.when(page != "null", page).cast("bigint").alias("page_id"), "capture.*"))
+    full = flat.filter(F.col("type") == "response").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("_page"), F.col("n_bytes").alias("_bytes"), F.col("payload_sha256").alias("_sha"))
+    both = dealt_join(flat, full, ["refers_to"], flat.count())
     return both.select("page_id", F.coalesce("n_bytes", "_bytes").alias("payload_bytes"), F.coalesce("payload_sha256", "_sha").alias("payload_digest"), F.col("type").alias("record_type"), F.col("_page").alias("refers_to"))
 
 

@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfmark.llm import chat, decontaminate, fingerprints, jaccard, packing, secrets, substrings, tokens, toxicity, warc
@@ -281,21 +282,47 @@ def test_texts_without_id_keep_their_own_ranges(spark):
         assert got == brute_removal(rows) and (key, 26, 0) in {k[:3] for k in got}
 
 
-def test_substring_filter_passes(docs, rows, empty, monkeypatch):
-    monkeypatch.setattr(substrings, "FILTER_BITS", (64, 1024))
-    got = multiset(substrings.deduplicate(docs, 2), "doc_id", "n_words", "n_removed", "kept_sha256")
-    assert got == brute_removal(rows)
+def test_substring_pieces_and_empty_table(docs, rows, empty, monkeypatch):
+    """Many pieces, so that windows meet across them, also within one doc_id and among null ones."""
+    monkeypatch.setattr(substrings, "PIECE_BYTES", (1500, 4000))
+    more = [(7, rows[3][1] + " " + rows[0][1]), (7, rows[0][1]), (None, rows[1][1]), (None, rows[1][1] + " x " + rows[1][1])]
+    df = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id bigint, text string"))
+    got = multiset(substrings.deduplicate(df, 3), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == brute_removal(rows + more)
     assert substrings.deduplicate(empty).count() == 0
 
 
-def test_index_runs_are_compacted(spark, docs):
-    index = substrings.FingerprintIndex(spark, most_runs=2)
+def test_index_is_opened_again_and_compacted(spark, docs, rows):
+    """A session adds batches, another goes on from the folder: the outcome is that of one pass, and history isn't read again."""
+    place, got = scratch_dir(spark), Counter()
+    ids = docs.filter("doc_id is not null")
     for part in range(4):
-        index.add(substrings.count_fingerprints(docs.filter(f"doc_id % 4 = {part}")))
+        index = substrings.FingerprintIndex(spark, place, most_runs=2)
+        assert index.made >= part and len(index.runs) <= 2
+        batch = index.add(ids.filter(f"doc_id div 12 = {part}"))
         index.compact()
-    assert len(index.runs) <= 2
-    every = {r.g for r in substrings.count_fingerprints(docs.filter("doc_id is not null")).collect()}
-    assert {r.g for path in index.runs for r in index.read(path).collect()} == every
+        got += multiset(batch, "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == Counter({k: n for k, n in brute_removal(rows).items() if k[0] is not None})
+    index = substrings.FingerprintIndex(spark, place)
+    name, runs = index.history()
+    hashes = np.concatenate([substrings.restored(r.hashes)[0] for r in runs.collect()])
+    spark.sql(f"DROP TABLE {name}")
+    w = [re.findall("[^\x20\x09-\x0D]+", t) for i, t in rows if i is not None]
+    assert len(hashes) == len(np.unique(hashes)) == len({tuple(x[a : a + 20]) for x in w for a in range(len(x) - 19)})
+    again = index.add(ids.filter("doc_id = 1")).first()
+    assert again.n_removed == again.n_words > 0
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex(spark, place, window=9)
+
+
+def test_history_is_not_shuffled(spark, docs):
+    index = substrings.FingerprintIndex(spark)
+    index.add(docs.filter("doc_id < 20"))
+    name, old = index.history()
+    new = old.select("range", "hashes").withColumn("x", F.lit(1)).repartition(3)
+    plan = old.groupBy("range").cogroup(new.groupBy("range")).applyInArrow(lambda key, a, b: a, "range int, hashes binary")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(range") == 1
+    spark.sql(f"DROP TABLE {name}")
 
 
 def brute_contamination(rows, items):

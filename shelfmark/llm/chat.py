@@ -144,8 +144,8 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A turn whose text is a JSON object with a call_id is what it says: with a name a call, else a result. Other turns of
     users are calls of `answer`, of systems of `configure`, with identifier turn-N; any other turn is the result of the
-    user's turn before it in number (N - 1). A plain call waits for the call two turns before it, and for that of the turn
-    whose number is its number of words modulo 8, which may come later, or wait for it in turn. Null text is empty.
+    user's turn before it in number (N - 1). A plain call of `answer` waits for the call two turns before it, and for that of
+    the turn whose number is its number of words modulo 8, which may come later, or wait for it in turn. Null text is empty.
     """
     body = F.coalesce("text", F.lit(""))
     parsed = F.when(F.ltrim(body).startswith("{"), F.try_parse_json(body))
@@ -162,7 +162,7 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = F.array_compact(F.array(turn(F.col("place") - 2), turn(words % 8)))
     calls = rows.filter(is_call).select(
         "conv_id", F.coalesce("given", turn(F.col("place"))).alias("call_id"), name.alias("name"), args.alias("arguments"),
-        F.when(given, F.coalesce(get("$.after", "array<string>"), F.array().cast("array<string>"))).otherwise(plain).alias("after"), "place")
+        F.when(given, F.coalesce(get("$.after", "array<string>"), F.array().cast("array<string>"))).when(F.col("role") == "user", plain).otherwise(F.array().cast("array<string>")).alias("after"), "place")
     results = rows.filter(~is_call).select(
         "conv_id", F.coalesce("given", turn(F.col("place") - 1)).alias("call_id"),
         F.when(given, F.coalesce(get("$.content"), F.lit(""))).otherwise(F.col("text")).alias("content"), "place")
@@ -182,10 +182,10 @@ WITH RECURSIVE t AS (
   SELECT conv_id, turn, role IN ('user', 'system') AS is_call, role, coalesce(text, '') AS text, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda w: w <> '')) AS words,
          length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS lines FROM conversations),
 c AS (
-  SELECT conv_id, turn, 'turn-' || turn AS call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, text, words, lines,
+  SELECT conv_id, turn, role, 'turn-' || turn AS call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, text, words, lines,
          CASE WHEN role = 'user' AND (length(text) > 300 OR turn < 0 OR lines > 6 OR words < 1 OR words > 45) THEN 'value' WHEN role = 'system' AND length(text) < 40 THEN 'value' END AS fault
   FROM t WHERE is_call),
-d AS (SELECT DISTINCT a.conv_id, a.turn, b.turn AS dep FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 2, a.words % 8) WHERE a.turn <> b.turn),
+d AS (SELECT DISTINCT a.conv_id, a.turn, b.turn AS dep FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 2, a.words % 8) WHERE a.turn <> b.turn AND a.role = 'user'),
 odd AS (SELECT DISTINCT conv_id FROM d WHERE dep > turn),
 walk AS (SELECT conv_id, turn, turn AS at, 0 AS steps FROM c WHERE conv_id IN (SELECT conv_id FROM odd)
   UNION SELECT w.conv_id, w.turn, d.dep, w.steps + 1 FROM walk w JOIN d ON d.conv_id = w.conv_id AND d.turn = w.at WHERE w.steps < 10),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import HEAVY_KEYS, dealt_join, dropped, free_name, mask_of, masked, parted, scratch_dir, slices, tidy, written
+from shelfmark.llm.common import dropped, free_name, mask_of, masked, parted, scratch_dir, slices, tidy, written
 from shelfmark.llm.components import components
 from shelfmark.llm.hashing import mix, odd_constants, shingle_sets
 
@@ -219,12 +219,11 @@ def classified(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE
     links = written(dealt.mapInArrow(tidy(verify), "node bigint, links bigint, label bigint"))
     labels = components(links.select(F.col("node").alias("u"), F.col("label").alias("v")))
     per_node = nodes.select("node", "copy_of", "first", "weight").join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(labels, "node", "left")
-    per_node = written(per_node.withColumn("label", F.coalesce("label", "node")))
+    per_node = per_node.withColumn("label", F.coalesce("label", "node"))
     classes = per_node.groupBy("label").agg(F.min("first").alias("head"))
-    per_node = written(dealt_join(per_node, classes, ["label"], per_node.count(), "inner").select("node", "head", "copy_of", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    n = sketched.count()
-    heavy = per_node.filter(F.col("weight") * HEAVY_KEYS > n).select("node")
-    out = dealt_join(sketched.select("_row", "doc_id", "node", F.col("n").alias("n_shingles")), per_node.drop("weight"), ["node"], n, "left", heavy)
+    per_node = per_node.join(classes, "label").select("node", "head", "copy_of", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # Nothing is grouped after this join, so adaptive execution splits a node of very many copies.
+    out = sketched.select("_row", "doc_id", "node", F.col("n").alias("n_shingles")).join(per_node, "node", "left")
     worded = F.col("node").isNotNull()
     return out.select(
         "_row", "doc_id", F.when(worded, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -8,10 +8,12 @@ join within a scope that makes one row a part however many parts a document has.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import dealt_join, free_name, text_key, whole_text
+from shelfmark.llm.common import HEAVY_KEYS, dealt_join, free_name, parted, text_key, whole_text, written
 
 SCOPE = 200
 
@@ -24,8 +26,8 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])"
 WEAK_ID = r"""(?i:client|account|access_?key|user)[_-]?(?i:id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{4,}"""
 ENDPOINT = r"""(?i:https?|jdbc:[a-z]+|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?"""
 
-#: What any match of any of them holds, so that texts without it are passed by after one look.
-GUARD = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/]{40}|(?i:client|account|access_?key|user)[_-]?(?i:id)|://"
+#: One of these is in the lower-cased text of any assignment.
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: kind, pattern, its place in orders by kind, whether it stands by itself, what it is part of a credential as.
 KINDS = (
@@ -50,7 +52,20 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
         F.filter(zipped, lambda z: z["hit"].isNotNull()),
         lambda z, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("len"), (F.length(z["value"]) >= 6).alias("passes")),
     )
-    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(MATCHES))
+    return F.when(_may_have(text, kind) & text.rlike(pattern), made).otherwise(F.array().cast(MATCHES))
+
+
+def _may_have(text: Column, kind: str) -> Column:
+    """Cheap looks before a pattern: for words that any match holds, and for weak kinds for an identifier to link with."""
+    low = F.lower(text)
+    an_id = F.contains(text, F.lit("AKIA")) | (F.contains(low, F.lit("id")) & text.rlike(WEAK_ID))
+    if kind == "assign":
+        return reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in ASSIGN_WORDS])
+    if kind in ("access", "hex"):
+        return F.contains(text, F.lit("AKIA")) if kind == "access" else F.lit(True)
+    if kind == "linked_id":
+        return F.contains(low, F.lit("id"))
+    return an_id if kind == "linked_secret" else F.contains(text, F.lit("://")) & an_id
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,7 +78,7 @@ def scan(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id", text: str = "
     """
     body = whole_text(text)
     rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("text_hash"), F.monotonically_increasing_id().alias("_row"), body.alias("_text"))
-    found = F.when(F.col("_text").rlike(GUARD), F.concat(*[_matches(F.col("_text"), kind, pattern) for kind, pattern, *_ in KINDS])).otherwise(F.array().cast(MATCHES))
+    found = F.concat(*[_matches(F.col("_text"), kind, pattern) for kind, pattern, *_ in KINDS])
     parts = rows.select("_key", "text_hash", "_row", F.explode_outer(found).alias("m"))
     parts = parts.select("_key", "text_hash", "_row", "m.*").repartition("_row")  # all that follows is within a row
     in_kind = Window.partitionBy("_row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -118,14 +133,14 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
             F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"))))),
     )
-    maybe = F.coalesce(F.col("text").rlike(GUARD), F.lit(False))
     one, two, cuts = (free_name(docs, n) for n in ("_h1", "_h2", "_cuts"))
     h1, h2 = text_key(F.col("text"))
-    keyed = docs.filter(maybe).withColumn(one, h1).withColumn(two, h2)
-    key = F.struct(one, two)
-    spans = scan(keyed.select(key.alias("doc_id"), "text"), scope).filter(F.size("found") > 0)
-    spans = spans.select(F.col(f"doc_id.{one}").alias(one), F.col(f"doc_id.{two}").alias(two), joined.alias(cuts)).dropDuplicates([one, two])
-    both = dealt_join(keyed, spans, [one, two], keyed.count())
+    key = F.struct(h1, h2)
+    spans = scan(docs.select(key.alias("doc_id"), "text"), scope).filter(F.size("found") > 0)
+    spans = written(spans.select(F.col("doc_id._h1").alias(one), F.col("doc_id._h2").alias(two), joined.alias(cuts)))
+    heavy = spans.groupBy(one, two).agg(F.count("*").alias("_n")).filter(F.col("_n") * HEAVY_KEYS > F.lit(spans.count())).select(one, two)
+    some, others = parted(docs.withColumn(one, h1).withColumn(two, h2), F.col(one), spans.select(one).distinct())
+    both = dealt_join(some, spans.dropDuplicates([one, two]), [one, two], 0, heavy=heavy)
     n, at = F.size(cuts), F.col(cuts)
     pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(
         F.col("text"),
@@ -135,4 +150,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
     out = both.withColumn("text", F.when(at.isNull(), F.col("text")).otherwise(F.array_join(pieces, mask)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(at.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return docs.filter(~maybe).unionByName(out.select(*docs.columns))
+    return others.select(*docs.columns).unionByName(out.select(*docs.columns))

@@ -14,6 +14,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -124,16 +125,23 @@ class JsonEncoder:
     """Ids by the tokenizers library, special strings in texts as by its default, nothing added."""
 
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        self.path, self.added = path, [t["content"] for t in model["added_tokens"]]
+        direct = direct_bpe(model)
+        self.direct, self.widths = direct if direct else (None, None)
+        self._forget()
+
+    @cached_property
+    def tokenizer(self):
+        """The library's own, which plain texts of byte-level files don't need."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        direct = direct_bpe(json.loads(self.tokenizer.to_str()))
-        self.direct, self.widths = direct if direct else (None, None)
-        self._forget()
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
 
     def _forget(self) -> None:
         self.hashes, self.offsets, self.sizes, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)

@@ -5,18 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STRINGS = "array<string>"
-
-#: Words of questions, which are dropped from queries of content search.
-STOP_WORDS = ("如何", "怎么", "怎样", "为何", "为什么", "什么", "哪些", "哪里", "帮我", "请问", "一下", "能否", "吗", "我想", "我要", "想要", "需要")
+from shelfmark.fixed import CLAUSE_WORDS, CONCEPTS, STOP_WORDS
 
-#: Concept pairs for querying across languages, the most usual ones; a table of (zh, en) replaces them.
-CONCEPTS = {
-    "周报": "report weekly", "报表": "report dashboard", "技能": "skill", "检索": "search retrieve", "搜索": "search", "修复": "fix repair",
-    "测试": "test testing", "审查": "review audit", "翻译": "translate translation", "文档": "document doc", "数据": "data", "邮件": "email mail",
-    "流程": "flow process workflow", "分析": "analysis analyze", "优化": "optimize optimization", "安全": "security vulnerability", "部署": "deploy deployment",
-    "开发": "develop development coding", "页面": "page web frontend", "接口": "api interface", "工具": "tool", "服务": "service", "数据库": "database db", "报告": "report summary",
-}
+STRINGS = "array<string>"
 
 
 def none() -> Column:
@@ -42,20 +33,36 @@ def without_stop_words(found: Column) -> Column:
 
 def bridge_table(spark: SparkSession) -> DataFrame:
     """(term, other) both ways."""
-    pairs = [(zh, en) for zh, words in CONCEPTS.items() for en in words.split()]
+    pairs = [(zh, en) for zh, words in CONCEPTS.items() for en in words]
     return spark.createDataFrame(pairs + [(en, zh) for zh, en in pairs], "term string, other string")
 
 
+def _covers(t: Column, o: Column, low: Column) -> Column:
+    """Whether o covers t: by holding it, or by lying over most of it in the query."""
+    a, b, la, lb = F.position(t, low), F.position(o, low), F.length(t), F.length(o)
+    shared = F.least(a + la, b + lb) - F.greatest(a, b)
+    return (o != t) & (F.contains(o, t) | ((a > 0) & (b > 0) & ((lb > la) | ((lb == la) & (o < t))) & (2 * shared > F.least(la, lb))))
+
+
 def maximal(overlap: Column, query: Column, term=lambda x: x) -> Column:
-    """Of overlapping terms those that no other covers: by holding it, or by lying over most of it in the query."""
+    """Of overlapping terms those that no other covers."""
     low = F.lower(query)
+    return F.filter(overlap, lambda x: ~F.exists(overlap, lambda y: _covers(term(x), term(y), low)))
 
-    def covers(t: Column, o: Column) -> Column:
-        a, b, la, lb = F.position(t, low), F.position(o, low), F.length(t), F.length(o)
-        shared = F.least(a + la, b + lb) - F.greatest(a, b)
-        return (o != t) & (F.contains(o, t) | ((a > 0) & (b > 0) & ((lb > la) | ((lb == la) & (o < t))) & (2 * shared > F.least(la, lb))))
 
-    return F.filter(overlap, lambda x: ~F.exists(overlap, lambda y: covers(term(x), term(y))))
+def with_coverers(asked: DataFrame, covers=_covers) -> DataFrame:
+    """asked (qid, query, term) with `coverers`: the terms of the same query that cover a row's term.
+
+    What covers what follows from the query alone, so it is settled once a query and not for each entry it meets.
+    """
+    every = asked.groupBy("qid").agg(F.collect_set("term").alias("_every"))
+    low = F.lower("query")
+    return asked.join(every, "qid").withColumn("coverers", F.filter("_every", lambda o: covers(F.col("term"), o, low))).drop("_every")
+
+
+def uncovered(overlap: str, present: str) -> Column:
+    """Of overlap (structs with term and coverers) those of which no coverer is among the terms present."""
+    return F.filter(overlap, lambda x: (F.size(x["coverers"]) == 0) | ~F.arrays_overlap(x["coverers"], F.col(present)))
 
 
 def description_weight(text: Column) -> Column:
@@ -91,10 +98,6 @@ def identifier_parts(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), F.filter(parts, lambda p: F.length(p) > 1)))
 
 
-#: Words that a "use when" clause may begin with and that are no part of a trigger.
-CLAUSE_WORDS = "the a an user users you your they someone want wants need needs ask asks asking require requires for to and or of when is are please help with into"
-
-
 def extracted_triggers(description: Column, most: int = 8, words: int = 5) -> Column:
     """Triggers named in a description: listed after a CJK or English label, or else the phrases of a "use when" clause.
 
@@ -103,7 +106,7 @@ def extracted_triggers(description: Column, most: int = 8, words: int = 5) -> Co
     one = lambda p: F.nullif(F.regexp_extract(description, p, 1), F.lit(""))
     listed = F.coalesce(one("触发词[：:]\\s*([^\n]+)"), one("(?i)\\bTriggers?\\b[：:]\\s*([^\n]+)"))
     clause = one("(?i)(?:trigger when|use when)[：:]?\\s*([^。.；;！？!?]+)")
-    front = "(?i)^(?:(?:" + "|".join(CLAUSE_WORDS.split()) + ")[.,;:!?]*(?:\\s+|$))+"
+    front = "(?i)^(?:(?:" + "|".join(CLAUSE_WORDS) + ")[.,;:!?]*(?:\\s+|$))+"
     phrase = lambda p: F.regexp_replace(F.array_join(F.slice(F.split(F.regexp_replace(F.trim(p), front, ""), "\\s+"), 1, words), " "), "^[.,;:!?]+|[.,;:!?]+$", "")
     found = F.when(listed.isNotNull(), F.split(listed, "[、,，;；/|\\s]+")).otherwise(F.transform(F.split(F.coalesce(clause, F.lit("")), "[、,，;；/|]+"), phrase))
     return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, most)

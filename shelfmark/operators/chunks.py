@@ -62,33 +62,43 @@ def markdown_chunks(files: DataFrame, least: int = CHUNK_MIN_LINES) -> DataFrame
 
 @udtf(returnType="s int, e int, summary string")
 class PythonSegments:
-    """Top-level definitions of a Python file; short ones join what is before. No row for a file that does not parse."""
+    """Top-level definitions and assignments of a Python file, each a segment by its name or first line; what stands before
+    the first is one too, and a segment shorter than the least joins the one before. A file without any is one segment; one
+    that does not parse has no row."""
 
     def eval(self, source: str):
         try:
             tree = ast.parse(source or "")
-        except (SyntaxError, ValueError):
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        lines = (source or "").split("\n")
+
+        def said(first: int, last: int) -> str:
+            return next((x.strip() for x in lines[first - 1 : last] if x.strip()), "")[:CHUNK_SUMMARY]
+
+        marks = [n for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assign))]
+        if not marks:
+            yield 1, len(lines), said(1, len(lines))
             return
         parts: list[list] = []
-        for node in tree.body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Assign)):
-                name = getattr(node, "name", None) or ", ".join(ast.unparse(t) for t in node.targets)
-                if parts and node.end_lineno - node.lineno + 1 < CHUNK_MIN_LINES:
-                    parts[-1][1] = node.end_lineno
-                else:
-                    parts.append([node.lineno, node.end_lineno, name[:CHUNK_SUMMARY]])
-        if parts and parts[0][0] > 1:
-            parts.insert(0, [1, parts[0][0] - 1, "module"])
+        if marks[0].lineno > 1 and said(1, marks[0].lineno - 1):
+            parts.append([1, marks[0].lineno - 1, said(1, marks[0].lineno - 1)])
+        for node, after in zip(marks, [*marks[1:], None]):
+            last = min(node.end_lineno, len(lines), after.lineno - 1 if after else len(lines))
+            if parts and last - node.lineno + 1 < CHUNK_MIN_LINES:
+                parts[-1][1] = last
+            else:
+                parts.append([node.lineno, last, getattr(node, "name", "")[:CHUNK_SUMMARY] or said(node.lineno, last)])
         for s, e, summary in parts:
             yield s, e, summary
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
-    """Definitions of files that parse, windows of lines of those that don't or have none."""
+    """Definitions of files that parse, windows of lines of those that don't; blank files have no chunk."""
     spark = files.sparkSession
     spark.udtf.register("shelfmark_python_segments", PythonSegments)
     view = "shelfmark_python_files"
-    files.withColumn("source", F.array_join("lines", "\n")).createOrReplaceTempView(view)
+    files.filter(F.exists("lines", lambda x: F.trim(x) != "")).withColumn("source", F.array_join("lines", "\n")).createOrReplaceTempView(view)
     found = spark.sql(f"SELECT f.skill, f.file, f.lines, t.s, t.e, t.summary FROM {view} f, LATERAL shelfmark_python_segments(f.source) t")
     found = found.select("skill", "file", "s", "e", "summary", _text(F.col("s"), F.col("e")).alias("text"))
     rest = files.join(found.select("skill", "file").distinct(), ["skill", "file"], "left_anti")
@@ -119,13 +129,13 @@ def content_search(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataF
     fed = F.col("fed_from").isNotNull() if "fed_from" in chunks.columns else F.lit(False)
     key = ["skill", "file", "s", "e"]
     asked = queries.select("qid", "query", F.explode(T.without_stop_words(T.terms(F.col("query")))).alias("term"))
+    asked = T.with_coverers(asked, lambda t, o, low: (o != t) & F.contains(o, t)).drop("query")
     posted = chunk_postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
     n = chunks.agg(F.count("*").alias("n"))
     weights = document_frequency(posted).crossJoin(F.broadcast(n)).select("term", F.greatest(F.lit(0.1), 1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    rows = posted.join(weights, "term").join(asked, "term").groupBy("qid", *key).agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("overlap"))
-    kept = F.filter("overlap", lambda x: ~F.exists("overlap", lambda y: (x["term"] != y["term"]) & F.contains(y["term"], x["term"])))
-    rows = rows.withColumn("kept", kept)
-    in_file = F.exists("kept", lambda x: F.array_contains(T.terms(F.col("file")), x["term"]))
+    rows = posted.join(weights, "term").join(asked, "term").groupBy("qid", *key).agg(F.sort_array(F.collect_list(F.struct("term", "idf", "coverers"))).alias("overlap"))
+    rows = rows.withColumn("present", F.transform("overlap", lambda x: x["term"])).withColumn("kept", T.uncovered("overlap", "present"))
+    in_file = F.arrays_overlap(F.transform("kept", lambda x: x["term"]), T.terms(F.col("file")))
     score = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x["idf"]) + F.when(in_file, 2.0).otherwise(0.0)
     if "fed_from" in chunks.columns:
         rows = rows.join(chunks.select(*key, fed.alias("fed")), key)
@@ -143,6 +153,14 @@ def cross_feed(edges: DataFrame, chunks: DataFrame, most: int = FED_PER_SKILL) -
     return ranked.select(F.col("to").alias("skill"), "file", "s", "e", "summary", "text", F.col("skill").alias("fed_from"))
 
 
+def outline(chunks: DataFrame, most: int = 8) -> DataFrame:
+    """skill, file, n, sections: of each file how many chunks it has and the first `most` of them, as lines and summary."""
+    line = F.concat(F.lit("L"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"), F.lit(": "), "summary")
+    ranked = chunks.withColumn("r", F.row_number().over(Window.partitionBy("skill", "file").orderBy("s", "e"))).withColumn("line", line)
+    first = F.collect_list(F.when(F.col("r") <= most, F.struct("r", "line")))
+    return ranked.groupBy("skill", "file").agg(F.count("*").alias("n"), F.transform(F.array_sort(first), lambda x: x["line"]).alias("sections"))
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions: shelfmark_python_segments as a table function."""
     spark.udtf.register("shelfmark_python_segments", PythonSegments)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.operators.retrieval import document_frequency, idf
+from shelfmark.shared import shared_dir
 from shelfmark.schema import (
     EDGE_CLIQUE, EDGE_DF, EDGE_GROUP, EDGE_MIN_JACCARD, EDGE_TOP_K, EDGE_WEIGHT, HUB_FACTOR, HUB_LEAST, HUB_PRUNES, SIMILAR_MIN_SHARED, SIMILAR_PAIR_BUDGET, SIMILAR_TOP_K,
 )
@@ -51,6 +52,7 @@ def capped(pairs: DataFrame, cap: int = EDGE_TOP_K, most_rounds: int | None = No
     its lineage by a checkpoint; the outcome equals the sequential one. A node takes part in a few rounds only. Rounds go on
     until no pair is live; where most_rounds is given and does not suffice, an error says so.
     """
+    shared_dir(pairs.sparkSession)
     live, taken = pairs.select("u", "v", "weight").checkpoint(), None
     rounds = 0
     while not live.isEmpty():
@@ -196,10 +198,14 @@ def conflicts(edges: DataFrame) -> DataFrame:
     return d.alias("a").join(d.alias("b"), (F.col("a.source") == F.col("b.target")) & (F.col("a.target") == F.col("b.source"))).filter("a.source < a.target").select("a.source", "a.target")
 
 
-def hubs(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """node, degree above three times the average over entries, and five at least."""
-    mean = edges.agg((2.0 * F.count("*")).alias("ends")).crossJoin(entries.agg(F.count("*").alias("n"))).select((F.col("ends") / F.greatest("n", F.lit(1))).alias("mean"))
-    return degrees(edges).crossJoin(F.broadcast(mean)).filter((F.col("degree") > HUB_FACTOR * F.col("mean")) & (F.col("degree") >= HUB_LEAST)).select("node", "degree")
+def mean_degree(edges: DataFrame) -> DataFrame:
+    """mean: edge ends over the nodes that have any; one row."""
+    return degrees(edges).agg(F.coalesce(F.avg("degree"), F.lit(0.0)).alias("mean"))
+
+
+def hubs(edges: DataFrame) -> DataFrame:
+    """node, degree above three times the average over nodes that have edges, and five at least."""
+    return degrees(edges).crossJoin(F.broadcast(mean_degree(edges))).filter((F.col("degree") > HUB_FACTOR * F.col("mean")) & (F.col("degree") >= HUB_LEAST)).select("node", "degree")
 
 
 def dangling(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -209,29 +215,60 @@ def dangling(edges: DataFrame, entries: DataFrame) -> DataFrame:
     return lost.select("source", "target").distinct()
 
 
+def _pruned(kept: DataFrame, limit: float) -> DataFrame:
+    """kept less the lightest edges of nodes of more than `limit`, down to it; nodes in order of their first edge, until
+    more than HUB_PRUNES are gone.
+
+    Each node loses one edge at least, so HUB_PRUNES + 1 nodes are reached at most, and all but the last of them lose HUB_PRUNES
+    edges together at most: those are settled in order on the driver, the last one by a rank.
+    """
+    key = ["source", "type", "target"]
+    over = degrees(kept).filter(F.col("degree") > limit).withColumn("many", (F.col("degree") - int(limit)).cast("int"))
+    ends = kept.select(*key, "weight", F.posexplode(F.array("source", "target")).alias("side", "node")).filter("side = 0 or source <> target")
+    seen = ends.join(over, "node").groupBy("node", "many").agg(F.min(F.struct(*key, "side")).alias("seen"))
+    reached, total = [], 0
+    for r in seen.orderBy("seen").limit(HUB_PRUNES + 1).collect():
+        reached.append((r.node, r.many))
+        total += r.many
+        if total > HUB_PRUNES:
+            break
+    if not reached:
+        return kept
+    order = Window.partitionBy("node").orderBy("weight", *key)
+    gone: list[tuple] = []
+    if len(reached) > 1:
+        light = ends.filter(F.col("node").isin([n for n, _ in reached[:-1]])).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * HUB_PRUNES).orderBy("node", "r").collect()
+        for node, many in reached[:-1]:
+            free = [e for r in light if r.node == node and (e := (r.source, r.type, r.target)) not in gone]
+            gone += free[:many]
+    taken = kept.sparkSession.createDataFrame(gone, "source string, type string, target string")
+    left = kept.join(F.broadcast(taken), key, "left_anti")
+    node, many = reached[-1]
+    last = left.filter((F.col("source") == node) | (F.col("target") == node)).withColumn("node", F.lit(node)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= many).select(*key)
+    return left.join(last, key, "left_anti")
+
+
 def repaired(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """edges without the lighter way of mutual dependencies (of equal ones the later goes), without dangling contains edges,
-    with hubs pruned of their lightest edges, and with isolated skills joined by their best overlap from 0.05 on."""
+    """edges, mended: of mutual dependencies the lighter way goes, of equal ones the first by source; contains edges without
+    an entry at an end go; nodes of more than three times the mean degree before (five at least) lose their lightest edges;
+    and if there were isolated entries, entries that have no edge now get one by the greedy best overlap from 0.05 on, one a node.
+    """
+    shared_dir(edges.sparkSession)
     # Steps build on each other and are read several times, so each is cut off by a checkpoint.
-    edges, entries = edges.checkpoint(), entries.select("id", "name", "type", "ord", "description", "description_zh", "triggers").checkpoint()
+    columns = ["source", "target", "type", "direction", "weight"]
+    edges, entries = edges.select(*columns).checkpoint(), entries.select("id", "name", "type", "ord", "description", "description_zh", "triggers").checkpoint()
     mutual = conflicts(edges)
-    d = edges.filter("type = 'depends_on'").select("source", "target", "weight")
-    ways = mutual.join(d.select(F.col("source"), F.col("target"), F.col("weight").alias("w1")), ["source", "target"]).join(d.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("weight").alias("w2")), ["source", "target"])
-    drop = ways.select(F.when(F.col("w1") < F.col("w2"), F.col("source")).otherwise(F.col("target")).alias("source"), F.when(F.col("w1") < F.col("w2"), F.col("target")).otherwise(F.col("source")).alias("target"), F.lit("depends_on").alias("type"))
+    d = edges.filter("type = 'depends_on'").groupBy("source", "target").agg(F.max("weight").alias("weight"))
+    ways = mutual.join(d.withColumnRenamed("weight", "w1"), ["source", "target"]).join(d.select(F.col("target").alias("source"), F.col("source").alias("target"), F.col("weight").alias("w2")), ["source", "target"])
+    first = F.col("w2") >= F.col("w1")
+    drop = ways.select(F.when(first, F.col("source")).otherwise(F.col("target")).alias("source"), F.when(first, F.col("target")).otherwise(F.col("source")).alias("target"), F.lit("depends_on").alias("type"))
     drop = drop.unionByName(dangling(edges, entries).withColumn("type", F.lit("contains")))
     kept = edges.join(drop, ["source", "target", "type"], "left_anti").checkpoint()
-    over = hubs(kept, entries)
-    mean = kept.agg((2.0 * F.count("*")).alias("ends")).crossJoin(entries.agg(F.count("*").alias("n"))).select(F.greatest(HUB_FACTOR * F.col("ends") / F.greatest("n", F.lit(1)), F.lit(float(HUB_LEAST))).alias("limit"))
-    surplus = over.crossJoin(F.broadcast(mean)).withColumn("many", (F.col("degree") - F.floor("limit")).cast("int"))
-    # Hubs go in order until the pruned edges pass a bound; there are few hubs, so their order fits a window.
-    before = F.coalesce(F.sum("many").over(Window.orderBy(F.col("degree").desc(), "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    surplus = surplus.withColumn("before", before).filter(F.col("before") <= HUB_PRUNES)
-    ends = kept.withColumn("node", F.explode(F.array("source", "target"))).join(F.broadcast(surplus), "node")
-    gone = ends.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("weight", "type", "source", "target"))).filter("r <= many").select("source", "target", "type").distinct()
-    kept = kept.join(gone, ["source", "target", "type"], "left_anti").checkpoint()
+    limit = max(HUB_FACTOR * mean_degree(edges).first()[0], float(HUB_LEAST))
+    kept = _pruned(kept, limit).select(*columns).checkpoint()
+    if isolated(edges, entries).isEmpty():
+        return kept
     alone = isolated(kept, entries).checkpoint()
-    pairs = overlap_pairs(entries).filter("jaccard >= 0.05").checkpoint()
+    pairs = capped(overlap_pairs(entries).filter("jaccard >= 0.05").select("u", "v", F.bround("jaccard", 3).alias("weight")), 1)
     touching = pairs.join(alone, pairs["u"] == alone["id"], "left_semi").unionByName(pairs.join(alone, pairs["v"] == alone["id"], "left_semi")).distinct()
-    best = touching.withColumn("id", F.explode(F.array("u", "v"))).join(alone, "id").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("jaccard").desc(), "u", "v"))).filter("r = 1")
-    added = best.select(F.col("u").alias("source"), F.col("v").alias("target"), F.lit("overlap").alias("type"), F.lit("undirected").alias("direction"), F.bround("jaccard", 3).alias("weight")).distinct()
-    return kept.select("source", "target", "type", "direction", "weight").unionByName(added)
+    return kept.unionByName(touching.select(F.col("u").alias("source"), F.col("v").alias("target"), F.lit("overlap").alias("type"), F.lit("undirected").alias("direction"), "weight"))

@@ -44,7 +44,7 @@ def query_terms(queries: DataFrame, bridge: DataFrame | None = None) -> DataFram
 
 
 def candidates(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
-    """qid, query, entry columns, term, loc, idf: each query term that an entry of the pool has.
+    """qid, entry columns, term, coverers, loc, idf: each query term that an entry of the pool has.
 
     Postings are cut to query terms before anything is counted, so their shuffle is as large as what queries ask about.
     """
@@ -53,14 +53,15 @@ def candidates(queries: DataFrame, entries: DataFrame, options: Search = Search(
     posted = postings(found, ("id", "name", "ord", "has_references")).join(asked.select("term").distinct(), "term", "left_semi")
     size = found.agg(F.count("*").alias("n"))
     weights = document_frequency(posted).crossJoin(F.broadcast(size)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "n")  # size is one row
-    return posted.join(weights, "term").join(asked, "term")
+    return posted.join(weights, "term").join(T.with_coverers(asked).drop("query"), "term")
 
 
 def scored(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
     """qid, id, name, ord, score, evidence, kept terms: what passes the gate, before the long tail is cut."""
-    part = F.struct("term", "idf", "loc")
-    rows = candidates(queries, entries, options).groupBy("qid", "query", "id", "name", "ord", "has_references", "n").agg(F.sort_array(F.collect_list(part)).alias("overlap"))
-    kept = T.maximal(F.col("overlap"), F.col("query"), lambda x: x["term"])
+    part = F.struct("term", "idf", "loc", "coverers")
+    rows = candidates(queries, entries, options).groupBy("qid", "id", "name", "ord", "has_references", "n").agg(F.sort_array(F.collect_list(part)).alias("overlap"))
+    rows = rows.withColumn("present", F.transform("overlap", lambda x: x["term"]))
+    kept = T.uncovered("overlap", "present")
     weight = lambda loc: F.when(loc == 0, LOCATION_WEIGHT[0]).when(loc == 1, LOCATION_WEIGHT[1]).otherwise(LOCATION_WEIGHT[2])
     rows = rows.withColumn("kept", kept)
     rows = rows.withColumn("ev", F.aggregate("kept", F.lit(0.0), lambda a, x: a + F.least(x["idf"], F.lit(IDF_CAP)) * weight(x["loc"])))
@@ -71,7 +72,7 @@ def scored(queries: DataFrame, entries: DataFrame, options: Search = Search()) -
     score = F.col("ev") + F.col("bonus") + F.when(F.coalesce("has_references", F.lit(False)), REFERENCES_BONUS).otherwise(0.0)
     if options.pinned:
         score = score * F.when(F.lower("name").isin([p.lower() for p in options.pinned]), PINNED_FACTOR).otherwise(1.0)
-    return rows.select("qid", "query", "id", "name", "ord", F.round(score, 6).alias("score"), F.round("ev", 6).alias("ev"), F.transform("kept", lambda x: x["term"]).alias("evidence"))
+    return rows.select("qid", "id", "name", "ord", F.round(score, 6).alias("score"), F.round("ev", 6).alias("ev"), F.transform("kept", lambda x: x["term"]).alias("evidence"))
 
 
 def search(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
@@ -112,3 +113,42 @@ def name_twins(entries: DataFrame, most: int = 3) -> DataFrame:
     up = pairs.select(F.col("a.name").alias("name"), F.col("b.name").alias("twin"), F.col("b.ord").alias("ord"), F.col("b.excluded").alias("out"))
     both = down.unionByName(up).filter(~F.coalesce("out", F.lit(False)))
     return both.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("ord"))).filter(F.col("n") <= most).select("name", "twin")
+
+
+def collaborators(entries: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
+    """node, rank, other, weight: for entries that no edge touches, the entries, not excluded, that share most terms with them.
+
+    The share is of both entries' terms, all-digit terms aside; weight is 0.5 and twice the share, 0.95 at most. Only the
+    terms of entries without edges are joined.
+    """
+    text = T.joined(F.col("name"), F.col("description"), F.col("description_zh"), F.concat_ws(" ", "triggers"))
+    posted = entries.select("id", "ord", F.lower("name").alias("low"), F.coalesce("excluded", F.lit(False)).alias("out"), F.explode(T.terms(text)).alias("term"))
+    sizes = posted.groupBy("id").agg(F.count("*").alias("size"))
+    touched = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
+    own = posted.join(touched, "id", "left_anti").filter(~F.col("term").rlike("^[0-9]+$")).select(F.col("id").alias("node"), F.col("low").alias("own"), "term")
+    shared = own.join(posted.filter(~F.col("out")), "term").filter("low <> own").groupBy("node", "id", "ord").agg(F.count("*").alias("shared"))
+    # The union is of all terms; shared digits are in it once, so they are counted too.
+    digits = posted.filter(F.col("term").rlike("^[0-9]+$")).select("id", "term")
+    same = digits.withColumnRenamed("id", "node").join(digits, "term").groupBy("node", "id").agg(F.count("*").alias("digits"))
+    both = shared.join(same, ["node", "id"], "left").join(sizes.select(F.col("id").alias("node"), F.col("size").alias("a")), "node").join(sizes.withColumnRenamed("size", "b"), "id")
+    share = F.col("shared") / (F.col("a") + F.col("b") - F.col("shared") - F.coalesce("digits", F.lit(0)))
+    ranked = both.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.col("share").desc(), "ord"))).filter(F.col("rank") <= top)
+    return ranked.select("node", "rank", F.col("id").alias("other"), F.bround(F.least(F.lit(0.95), 0.5 + 2 * F.col("share")), 2).alias("weight"))
+
+
+def report(queries: DataFrame, entries: DataFrame, edges: DataFrame, options: Search = Search()) -> DataFrame:
+    """The hits of each query with what a reader is told beside them: twins of the name, neighbours, else collaborators, and
+    whether none of the query's CJK terms is in any evidence (gap).
+
+    qid, rank, id, name, score, tied, evidence, twins, neighbours, gap; a query without hits has one row without a name.
+    """
+    hits = search(queries, entries, options)
+    twins = name_twins(entries).groupBy("name").agg(F.array_sort(F.collect_set("twin")).alias("twins"))
+    both_ways = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "weight").unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("other"), "weight"))
+    near = both_ways.unionByName(collaborators(entries, edges).select(F.col("node").alias("id"), "other", "weight")).join(hits.select("id").distinct(), "id", "left_semi")
+    near = near.join(entries.select(F.col("id").alias("other"), F.col("name").alias("_name")), "other").groupBy("id", "_name").agg(F.max("weight").alias("weight"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("weight").desc(), "_name"))).filter("r <= 5").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_name"))), lambda x: x["_name"]).alias("neighbours"))
+    gap = queries.join(hits.groupBy("qid").agg(F.flatten(F.collect_list("evidence")).alias("_all")), "qid", "left")
+    gap = gap.select("qid", T.uncovered_gap(F.col("query"), F.coalesce("_all", T.none()), F.when(F.col("_all").isNull(), 0).otherwise(1)).alias("gap"))
+    rows = hits.select("qid", "rank", "id", "name", "score", "tied", "evidence").join(twins, "name", "left").join(near, "id", "left")
+    return gap.join(rows, "qid", "left").select("qid", "rank", "id", "name", "score", "tied", "evidence", F.coalesce("twins", T.none()).alias("twins"), F.coalesce("neighbours", T.none()).alias("neighbours"), "gap")

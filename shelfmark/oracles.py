@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from shelfmark.functions.text import CONCEPTS, STOP_WORDS
-from shelfmark.plans.planner import DEFAULT_ROUTE, PIPELINE_CUES, QUESTION_CUES, ROUTES
+import re
+
+from shelfmark.fixed import CONCEPTS, DEFAULT_ROUTE, PIPELINE_CUES, QUESTION_CUES, ROUTES, STOP_WORDS
 
 ENTRIES = """entries AS (
   SELECT *, type || ':' || name AS id, type || ' ' || lower(name) AS ord, visibility <> 'ready' AS excluded FROM (
     SELECT d.doc_id, d.lang || (d.doc_id // 12) || '-' || d.doc_id AS name,
            CASE d.doc_id % 20 WHEN 0 THEN 'mcp' WHEN 1 THEN 'connector' WHEN 2 THEN 'agent' ELSE 'skill' END AS type,
-           substr(text, 1, 400) AS description, list_slice(regexp_extract_all(lower(text), '[a-z]{5,}'), 1, 3) AS triggers, source, text AS full_text,
+           text AS description, list_slice(regexp_extract_all(lower(text), '[a-z]{5,}'), 1, 3) AS triggers, source, text AS full_text,
            n_chars > 1500 AS has_references, CASE WHEN toxic = 1 THEN 'blocked' WHEN toxic IS NULL THEN 'off-list' ELSE 'ready' END AS visibility, quality = 1 AS agent_bound
     FROM documents d LEFT JOIN labels l USING (doc_id)))"""
-QUERIES = "queries AS (SELECT item_id AS qid, substr(text, 1, 80) AS query FROM benchmark)"
+QUERIES = "queries AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 EVENTS = """hits AS (SELECT event_id, ts, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'chat' WHEN 'signup' THEN 'pipeline' WHEN 'purchase' THEN 'adopt' ELSE 'search' END AS kind,
   'q' || (user_id % 37) AS query, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS n_hits, 'k' || json_extract_string(props, '$.k') AS skill, user_id, value FROM events)"""
 DEPENDENCIES = "deps AS (SELECT a.id AS source, b.id AS target, 'depends_on' AS type, 'directed' AS direction, CAST(0.8 AS DOUBLE) AS weight FROM entries a JOIN entries b ON b.doc_id = a.doc_id // 3 WHERE a.doc_id > 0)"
@@ -46,11 +47,12 @@ SCORED = f"""{ENTRIES}, {QUERIES}, pool AS (SELECT * FROM entries WHERE NOT excl
 raw AS (SELECT id, unnest({latin('name')}) AS term, 0 AS loc FROM pool UNION ALL SELECT id, unnest({latin("array_to_string(triggers, ' ')")}), 1 FROM pool UNION ALL SELECT id, unnest({latin('description')}), 2 FROM pool),
 post AS (SELECT id, term, min(loc) AS loc FROM raw GROUP BY id, term),
 idf AS (SELECT term, greatest(0.1, 1.0 + (n - count(*) + 0.5) / (count(*) + 0.5))::DOUBLE AS idf FROM post, n GROUP BY term, n),
-qt AS (SELECT qid, query, unnest({latin('query')}) AS term FROM queries),
-ov AS (SELECT qid, query, id, term, loc, idf FROM qt JOIN post USING (term) JOIN idf USING (term)),
-mx AS (SELECT * FROM ov t WHERE NOT EXISTS (SELECT 1 FROM ov o WHERE o.qid = t.qid AND o.id = t.id AND o.term <> t.term AND (contains(o.term, t.term)
-  OR (instr(lower(t.query), t.term) > 0 AND instr(lower(t.query), o.term) > 0 AND (len(o.term) > len(t.term) OR (len(o.term) = len(t.term) AND o.term < t.term))
-      AND 2 * (least(instr(lower(t.query), t.term) + len(t.term), instr(lower(t.query), o.term) + len(o.term)) - greatest(instr(lower(t.query), t.term), instr(lower(t.query), o.term))) > least(len(t.term), len(o.term)))))),
+qt AS (SELECT *, instr(low, term) AS pos FROM (SELECT qid, lower(query) AS low, unnest({latin('query')}) AS term FROM queries)),
+cov AS (SELECT a.qid, a.term, b.term AS o FROM qt a JOIN qt b ON a.qid = b.qid AND a.term <> b.term AND (contains(b.term, a.term) OR (a.pos > 0 AND b.pos > 0 AND (len(b.term) > len(a.term) OR (len(b.term) = len(a.term) AND b.term < a.term))
+  AND 2 * (least(a.pos + len(a.term), b.pos + len(b.term)) - greatest(a.pos, b.pos)) > least(len(a.term), len(b.term))))),
+ov AS (SELECT qid, id, term, loc, idf FROM qt JOIN post USING (term) JOIN idf USING (term)),
+hid AS (SELECT DISTINCT x.qid, x.id, x.term FROM ov x JOIN cov c ON c.qid = x.qid AND c.term = x.term JOIN ov y ON y.qid = x.qid AND y.id = x.id AND y.term = c.o),
+mx AS (SELECT ov.* FROM ov ANTI JOIN hid USING (qid, id, term)),
 ev AS (SELECT qid, id, sum(least(idf, 25.0) * CASE loc WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 ELSE 0.5 END)::DOUBLE AS ev, string_agg(term, ' ' ORDER BY term) AS evidence FROM mx GROUP BY qid, id),
 nb AS (SELECT qid, id, max(CASE WHEN loc = 0 THEN idf END) AS nm FROM ov GROUP BY qid, id),
 scored AS (SELECT qid, name, ord, round(ev + CASE WHEN nm IS NULL THEN 0 ELSE least(nm, 25.0) * 2 END + CASE WHEN has_references THEN 0.5 ELSE 0 END, 6)::DOUBLE AS score, round(ev, 6)::DOUBLE AS ev, evidence
@@ -73,7 +75,7 @@ DENSE = """name || '[' || CASE type WHEN 'skill' THEN 's' WHEN 'agent' THEN 'a'
   || CASE WHEN len(one) > 400 THEN substr(one, 1, 400) || '…' ELSE one END || CASE WHEN len(triggers) > 0 THEN ' | 触发: ' || array_to_string(list_slice(triggers, 1, 8), '、') ELSE '' END"""
 LINES = f"{ENTRIES}, one AS (SELECT *, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS one FROM entries WHERE NOT excluded), dense AS (SELECT *, {DENSE} AS line FROM one)"
 QUESTIONS = "asked(qid, query) AS (VALUES (CAST(1 AS BIGINT), '如何 重算 excel 公式'), (2, '帮我写一个周报'), (3, '为什么 pipeline 失败'), (4, 'code review'))"
-PAIRS = ", ".join(f"('{zh}', '{en}')" for zh, ens in CONCEPTS.items() for en in ens.split())
+PAIRS = ", ".join(f"('{zh}', '{en}')" for zh, ens in CONCEPTS.items() for en in ens)
 STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 ORACLES: dict[str, str] = {
@@ -115,13 +117,15 @@ ORACLES: dict[str, str] = {
     "impact_two_hop": f"WITH {ENTRIES}, {DEPENDENCIES} SELECT target AS node, source AS dependent, 1 AS level FROM deps UNION ALL SELECT * FROM (SELECT DISTINCT a.target, b.source, 2 FROM deps a JOIN deps b ON b.target = a.source WHERE a.target <> b.source AND NOT EXISTS (SELECT 1 FROM deps c WHERE c.target = a.target AND c.source = b.source))",
     "graph_degree": f"WITH {GRAPH} SELECT node, count(*) AS degree FROM ways GROUP BY node",
     "graph_isolated": f"WITH {ENTRIES}, {FAMILY} SELECT id FROM entries WHERE id NOT IN (SELECT source FROM family UNION SELECT target FROM family)",
-    "graph_hubs": f"WITH {GRAPH}, m AS (SELECT 2.0 * (SELECT count(*) FROM edges) / (SELECT count(*) FROM entries) AS mean) SELECT node, count(*) AS degree FROM ways, m GROUP BY node, mean HAVING count(*) > 3 * mean AND count(*) >= 5",
+    "graph_hubs": f"WITH {GRAPH}, m AS (SELECT avg(n) AS mean FROM (SELECT count(*) AS n FROM ways GROUP BY node)) SELECT node, count(*) AS degree FROM ways, m GROUP BY node, mean HAVING count(*) > 3 * mean AND count(*) >= 5",
     "graph_dangling": f"WITH {ENTRIES}, {FAMILY}, {CONTAINS}, keep AS (SELECT id FROM entries WHERE doc_id % 9 <> 0) SELECT source, target FROM contains_e WHERE source NOT IN (SELECT id FROM keep) OR target NOT IN (SELECT id FROM keep)",
     "plain_chunks": f"WITH {PLAIN} SELECT skill, file, s, e, summary, CAST(len(text) AS INT) AS chars FROM chunks",
     "chunk_postings": f"WITH {PLAIN}, {CHUNK_TERMS} SELECT term, count(*) AS n FROM ct GROUP BY term",
     "content_search": f"""WITH {PLAIN}, {CHUNK_TERMS}, {QUERIES}, n AS (SELECT count(*) AS n FROM chunks), qt AS (SELECT qid, unnest({latin('query')}) AS term FROM queries),
       f AS (SELECT term, greatest(0.1, 1.0 + (n - count(*) + 0.5) / (count(*) + 0.5))::DOUBLE AS idf FROM ct, n GROUP BY term, n), ov AS (SELECT qid, skill, file, s, e, term, idf FROM qt JOIN ct USING (term) JOIN f USING (term)),
-      mx AS (SELECT * FROM ov t WHERE NOT EXISTS (SELECT 1 FROM ov o WHERE o.qid = t.qid AND o.file = t.file AND o.s = t.s AND o.term <> t.term AND contains(o.term, t.term))),
+      cov AS (SELECT a.qid, a.term, b.term AS o FROM qt a JOIN qt b ON a.qid = b.qid AND a.term <> b.term AND contains(b.term, a.term)),
+      hid AS (SELECT DISTINCT x.qid, x.file, x.s, x.term FROM ov x JOIN cov c ON c.qid = x.qid AND c.term = x.term JOIN ov y ON y.qid = x.qid AND y.file = x.file AND y.s = x.s AND y.term = c.o),
+      mx AS (SELECT ov.* FROM ov ANTI JOIN hid USING (qid, file, s, term)),
       sc AS (SELECT qid, skill, file, s, e, round(sum(idf) + CASE WHEN bool_or(list_contains({latin('file')}, term)) THEN 2.0 ELSE 0.0 END, 6)::DOUBLE AS score FROM mx GROUP BY qid, skill, file, s, e)
       SELECT qid, CAST(rank AS INT) AS rank, skill, file, s, e, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, skill, file, s, e) AS rank FROM sc) WHERE rank <= 5""",
     "coverage": f"""WITH {ENTRIES} SELECT count(*) AS total, CAST(sum((type = 'skill')::INT) AS BIGINT) AS skills, CAST(sum((type = 'mcp')::INT) AS BIGINT) AS mcps, CAST(sum((type = 'connector')::INT) AS BIGINT) AS connectors, CAST(sum((type = 'agent')::INT) AS BIGINT) AS agents,
@@ -138,11 +142,11 @@ ORACLES: dict[str, str] = {
       SELECT CASE WHEN len(d) + len(regexp_replace(d, '[\\x00-\\x{{2e80}}]', '', 'g')) < 15 THEN 'bad_description' WHEN len(triggers) = 0 THEN 'no_triggers' ELSE 'no_zh_description' END AS finding, name FROM s
       UNION ALL SELECT 'oversized', name FROM s WHERE octet_length(encode(full_text)) > 20000 UNION ALL SELECT 'duplicate', lower(name) FROM e GROUP BY lower(name) HAVING count(*) > 1""",
     "merge_incremental": f"""WITH {ENTRIES} SELECT name AS path, CASE WHEN doc_id % 10 = 1 THEN 'added' WHEN doc_id % 10 = 2 THEN 'removed' WHEN doc_id % 10 = 3 THEN 'updated' ELSE 'kept' END AS change FROM entries""",
-    "merge_registry": f"""WITH {ENTRIES}, r AS (SELECT name, visibility, CASE WHEN doc_id % 4 = 0 THEN '' ELSE substr(description, 1, 40) END AS rd FROM entries WHERE visibility <> 'off-list'), d AS (SELECT name, substr(description, 1, 60) AS dd FROM entries WHERE doc_id % 5 <> 0)
+    "merge_registry": f"""WITH {ENTRIES}, r AS (SELECT name, visibility, CASE WHEN doc_id % 4 = 0 THEN '' ELSE description END AS rd FROM entries WHERE visibility <> 'off-list'), d AS (SELECT name, description AS dd FROM entries WHERE doc_id % 5 <> 0)
       SELECT coalesce(r.name, d.name) AS name, coalesce(CASE WHEN len(rd) > 0 THEN rd END, dd) AS description, coalesce(r.visibility, 'off-list') AS visibility, coalesce(r.visibility, 'off-list') <> 'ready' AS excluded, CASE WHEN r.name IS NULL THEN 'disk' ELSE 'registry' END AS origin FROM r FULL JOIN d ON r.name = d.name""",
-    "upsert_import": f"""WITH {ENTRIES}, b AS (SELECT doc_id, name, substr(description, 1, 30) AS description, source AS path FROM entries), o AS (SELECT * FROM b WHERE doc_id % 4 <> 0), n AS (SELECT doc_id, name, CASE WHEN doc_id % 3 = 1 THEN 'new ' || description ELSE description END AS description, path FROM b WHERE doc_id % 3 <> 0)
+    "upsert_import": f"""WITH {ENTRIES}, b AS (SELECT doc_id, name, description AS description, source AS path FROM entries), o AS (SELECT * FROM b WHERE doc_id % 4 <> 0), n AS (SELECT doc_id, name, CASE WHEN doc_id % 3 = 1 THEN 'new ' || description ELSE description END AS description, path FROM b WHERE doc_id % 3 <> 0)
       SELECT coalesce(o.name, n.name) AS name, CASE WHEN n.name IS NULL THEN o.description ELSE n.description END AS description, coalesce(o.path, n.path) AS path, CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL OR o.description = n.description THEN 'kept' ELSE 'updated' END AS change FROM o FULL JOIN n USING (doc_id)""",
-    "registry_backfill": f"""WITH {ENTRIES}, b AS (SELECT doc_id, name, substr(description, 1, 20) AS description, source AS category, visibility AS status FROM entries)
+    "registry_backfill": f"""WITH {ENTRIES}, b AS (SELECT doc_id, name, description AS description, source AS category, visibility AS status FROM entries)
       SELECT name, description, CASE WHEN doc_id % 4 <> 0 THEN category END AS category, status, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 AND doc_id % 2 = 0 THEN 'a,b,c' WHEN doc_id % 3 = 0 THEN 'b,c' ELSE 'a,b' END AS agents
       FROM b WHERE doc_id % 3 = 0 OR (doc_id % 4 <> 0 AND doc_id % 2 = 0)""",
     "variants": f"""WITH {ENTRIES}, o AS (SELECT name || '-v2' AS name, {latin('''name || '-v2 ' || description || ' ' || array_to_string(triggers, ' ')''')} AS t FROM entries WHERE doc_id % 6 = 1), r AS (SELECT name, ord, {latin(ALL_TEXT)} AS t FROM entries WHERE visibility = 'ready'),
@@ -163,16 +167,21 @@ ORACLES: dict[str, str] = {
     "all_edges": f"""WITH {OVERLAP}, {FAMILY}, {CONTAINS}, w AS (SELECT DISTINCT id AS source, unnest(regexp_extract_all(lower(description || ' ' || array_to_string(triggers, ' ')), '[a-z0-9_-]+')) AS low FROM entries WHERE type = 'skill')
       SELECT source, target, 'family' AS type, 'undirected' AS direction, CAST(1.0 AS DOUBLE) AS weight FROM family UNION ALL SELECT source, target, 'contains', 'directed', CAST(0.7 AS DOUBLE) FROM contains_e UNION ALL SELECT u, v, 'overlap', 'undirected', weight FROM over
       UNION ALL SELECT DISTINCT w.source, e.id, 'depends_on', 'directed', CAST(0.8 AS DOUBLE) FROM w JOIN entries e ON lower(e.name) = w.low WHERE e.type IN ('skill', 'mcp') AND e.id <> w.source""",
-    "python_chunks": """SELECT source AS skill, doc_id || '.py' AS file, CAST(s AS INT) AS s, CAST(e AS INT) AS e, CASE k WHEN 0 THEN 'import os' WHEN 1 THEN 'module' ELSE 'f_' || doc_id END AS summary
-      FROM documents JOIN (VALUES (0, 1, 9), (1, 1, 2), (2, 3, 9)) v(k, s, e) ON (k = 0) = (doc_id % 5 = 0)""",
+    "python_chunks": """WITH d AS (SELECT source AS skill, doc_id, doc_id || '.py' AS file, len(string_split(text, chr(10))) AS n FROM documents),
+      plain AS (SELECT skill, file, n, unnest(range(0, CASE WHEN n + 9 <= 50 THEN 1 ELSE CAST(ceil((n + 9 - 50) / 45.0) AS BIGINT) + 1 END)) AS w FROM d WHERE doc_id % 5 = 0)
+      SELECT skill, file, 1 AS s, CAST(n + 2 AS INT) AS e, 'import os' AS summary FROM d WHERE doc_id % 5 <> 0 UNION ALL SELECT skill, file, CAST(n + 3 AS INT), CAST(n + 9 AS INT), 'f_' || doc_id FROM d WHERE doc_id % 5 <> 0
+      UNION ALL SELECT p.skill, p.file, CAST(w * 45 + 1 AS INT), CAST(least(w * 45 + 50, p.n + 9) AS INT), CASE WHEN w = 0 THEN 'import os' ELSE substr(coalesce(trim('# ' || regexp_replace(string_split(text, chr(10))[w * 45], '[^ -~]', '', 'g')), '#'), 1, 80) END
+      FROM plain p JOIN documents ON doc_id || '.py' = p.file""",
+    "file_outline": f"""WITH {PLAIN}, r AS (SELECT *, row_number() OVER (PARTITION BY skill, file ORDER BY s, e) AS r FROM chunks)
+      SELECT skill, file, count(*) AS n, string_agg('L' || s || '-' || e || ': ' || summary, chr(10) ORDER BY r) FILTER (r <= 8) AS sections FROM r GROUP BY skill, file""",
     "markdown_chunks": """WITH f AS (SELECT source AS skill, source || '/' || doc_id || '.txt' AS file, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 3 THEN '## ' || x ELSE x END) AS lines FROM documents),
       g AS (SELECT *, len(lines) AS n, list_distinct(list_concat([1], list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '^#{1,6}\\s')))) AS st FROM f WHERE len(list_filter(lines, lambda x: trim(x) <> '')) > 0),
       s AS (SELECT skill, file, lines, n, unnest(list_sort(st)) AS s FROM g), e AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY file ORDER BY s) - 1, n) AS e, row_number() OVER (PARTITION BY file ORDER BY s) AS k FROM s),
       h AS (SELECT *, sum(CASE WHEN k = 1 OR e - s + 1 >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s) AS grp FROM e), m AS (SELECT skill, file, any_value(lines) AS lines, min(s) AS s, max(e) AS e FROM h GROUP BY skill, file, grp)
       SELECT skill, file, CAST(s AS INT) AS s, CAST(e AS INT) AS e, substr(coalesce(list_filter(list_transform(lines[s:e], lambda x: trim(regexp_replace(x, '^#{1,6}\\s+', ''))), lambda x: x <> '')[1], ''), 1, 80) AS summary FROM m""",
-    "route_intents": f"""WITH t AS (SELECT conv_id, turn, ['find ', 'export the ', 'plan for ', 'what is ', '@alpha '][CAST(conv_id % 5 + 1 AS INT)] || substr(text, 1, 60) AS text FROM conversations WHERE role = 'user'),
+    "route_intents": f"""WITH t AS (SELECT conv_id, turn, ['find ', 'export the ', 'plan for ', 'what is ', '@alpha '][CAST(conv_id % 5 + 1 AS INT)] || text AS text FROM conversations WHERE role = 'user'),
       m AS (SELECT *, list_filter([{", ".join("CASE WHEN regexp_matches(text, '(?i)" + "|".join(f"(?:{p})" for p in ps) + f"') THEN '{c}' END" for c, ps in ROUTES)}], lambda x: x IS NOT NULL) AS found FROM t),
       a AS (SELECT *, CASE WHEN regexp_matches(text, '@[a-zA-Z0-9_-]+') THEN list_append(found, 'explain') ELSE found END AS every FROM m),
-      f AS (SELECT *, CASE WHEN len(every) > 0 THEN list_slice(every, 1, 3) WHEN regexp_matches(lower(text), '{"|".join(PIPELINE_CUES)}') THEN ['pipeline', 'chat', 'search'] WHEN regexp_matches(lower(text), '{"|".join(QUESTION_CUES)}') THEN ['chat', 'search'] ELSE ['{DEFAULT_ROUTE}'] END AS final FROM a)
+      f AS (SELECT *, CASE WHEN len(every) > 0 THEN list_slice(every, 1, 3) WHEN regexp_matches(lower(text), '{"|".join(map(re.escape, PIPELINE_CUES))}') THEN ['pipeline', 'chat', 'search'] WHEN regexp_matches(lower(text), '{"|".join(map(re.escape, QUESTION_CUES))}') THEN ['chat', 'search'] ELSE ['{DEFAULT_ROUTE}'] END AS final FROM a)
       SELECT conv_id, turn, final[1] AS command, array_to_string(final, ',') AS alternatives FROM f""",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +23,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def also_whole(f: Query) -> Query:
-    """Registers f, whose SQL takes beginnings of texts, and NAME_whole, the same over whole texts."""
-    QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
-    return query(f)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_topk(spark, sf_dir)
 
@@ -78,19 +71,19 @@ def exclude_glob(spark, d):
     return reports.excluded_by_globs(tables.entries(spark, d), GLOBS)
 
 
-@also_whole
-def terms_explode(spark, d, whole=False):
-    return graph.entry_terms(tables.entries(spark, d, whole))
+@query
+def terms_explode(spark, d):
+    return graph.entry_terms(tables.entries(spark, d))
 
 
-@also_whole
-def term_df(spark, d, whole=False):
-    return retrieval.document_frequency(graph.entry_terms(tables.entries(spark, d, whole)))
+@query
+def term_df(spark, d):
+    return retrieval.document_frequency(graph.entry_terms(tables.entries(spark, d)))
 
 
-@also_whole
-def term_idf(spark, d, whole=False):
-    found = retrieval.pool(tables.entries(spark, d, whole))
+@query
+def term_idf(spark, d):
+    found = retrieval.pool(tables.entries(spark, d))
     n = found.agg(F.count("*").alias("n"))
     return retrieval.document_frequency(graph.entry_terms(found)).crossJoin(F.broadcast(n)).select("term", F.round(retrieval.idf(F.col("df"), F.col("n")), 6).alias("idf"))
 
@@ -119,24 +112,24 @@ def gap_notice(spark, d):
     return rows.select("qid", T.uncovered_gap(F.col("query"), F.col("evidence"), F.size("evidence")).alias("gap"))
 
 
-@also_whole
-def search_candidates(spark, d, whole=False):
-    return retrieval.candidates(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
+@query
+def search_candidates(spark, d):
+    return retrieval.candidates(tables.queries(spark, d), tables.entries(spark, d)).groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
 
 
-@also_whole
-def search_evidence(spark, d, whole=False):
-    return retrieval.scored(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).select("qid", "name", "score", "ev", F.array_join(F.array_sort("evidence"), " ").alias("evidence"))
+@query
+def search_evidence(spark, d):
+    return retrieval.scored(tables.queries(spark, d), tables.entries(spark, d)).select("qid", "name", "score", "ev", F.array_join(F.array_sort("evidence"), " ").alias("evidence"))
 
 
-@also_whole
-def search_topk(spark, d, whole=False):
-    return retrieval.search(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).select("qid", "rank", "name", "score")
+@query
+def search_topk(spark, d):
+    return retrieval.search(tables.queries(spark, d), tables.entries(spark, d)).select("qid", "rank", "name", "score")
 
 
-@also_whole
-def search_ties(spark, d, whole=False):
-    return retrieval.search(tables.queries(spark, d, whole), tables.entries(spark, d, whole)).filter("tied").select("qid", "rank", "name")
+@query
+def search_ties(spark, d):
+    return retrieval.search(tables.queries(spark, d), tables.entries(spark, d)).filter("tied").select("qid", "rank", "name")
 
 
 @query
@@ -152,14 +145,14 @@ def name_twins(spark, d):
     return retrieval.name_twins(e.unionByName(short))
 
 
-@also_whole
-def overlap_candidates(spark, d, whole=False):
-    return graph.overlap_candidates(tables.entries(spark, d, whole)).withColumn("weight", F.round("weight", 3))
+@query
+def overlap_candidates(spark, d):
+    return graph.overlap_candidates(tables.entries(spark, d)).withColumn("weight", F.round("weight", 3))
 
 
 @query
 def overlap_edges_capped(spark, d):
-    return graph.capped(graph.overlap_candidates(tables.entries(spark, d, whole=True)).select("u", "v", "weight"))
+    return graph.capped(graph.overlap_candidates(tables.entries(spark, d)).select("u", "v", "weight"))
 
 
 @query
@@ -189,9 +182,9 @@ def _files(spark, d) -> DataFrame:
     return lines.select("source", "doc_id", F.col("source").alias("skill"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.split("text", "\n").alias("lines"))
 
 
-@also_whole
-def similar_pairs(spark, d, whole=False):
-    posted = tables.entries(spark, d, whole).select(F.col("name").alias("skill"), F.explode(T.terms(F.col("description"))).alias("term"))
+@query
+def similar_pairs(spark, d):
+    posted = tables.entries(spark, d).select(F.col("name").alias("skill"), F.explode(T.terms(F.col("description"))).alias("term"))
     return graph.similar_pairs(posted)
 
 
@@ -202,31 +195,62 @@ def _every_kind(e: DataFrame) -> DataFrame:
     return graph.all_edges(e, graph.capped(graph.overlap_candidates(e).select("u", "v", "weight")), similar)
 
 
-def _edges(spark, d, whole=False) -> tuple[DataFrame, DataFrame]:
-    e = tables.entries(spark, d, whole)
-    if whole:
-        return e, _every_kind(e).unionByName(tables.dependencies(e)).dropDuplicates(["source", "target", "type"])
-    edges = graph.family_edges(e).unionByName(graph.contains_edges(e)).unionByName(tables.dependencies(e))
-    return e, edges
+def _edges(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Entries, and their family, contains and dependency edges."""
+    e = tables.entries(spark, d)
+    return e, graph.family_edges(e).unionByName(graph.contains_edges(e)).unionByName(tables.dependencies(e))
+
+
+def _all_kinds(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Entries, and edges of all five kinds with the scenario's dependencies."""
+    e = tables.entries(spark, d)
+    return e, _every_kind(e).unionByName(tables.dependencies(e)).dropDuplicates(["source", "target", "type"])
 
 
-@also_whole
-def all_edges(spark, d, whole=False):
-    e = tables.entries(spark, d, whole)
-    if whole:
-        return _every_kind(e)
+@query
+def all_edges(spark, d):
+    """Without similar edges, and with overlap edges as they are before they are capped, as SQL can say them."""
+    e = tables.entries(spark, d)
     return graph.all_edges(e, graph.overlap_candidates(e)).withColumn("weight", F.round("weight", 3))
 
 
-@also_whole
-def related_top5(spark, d, whole=False):
-    e, edges = _edges(spark, d, whole)
+@query
+def all_edges_five_kinds(spark, d):
+    return _every_kind(tables.entries(spark, d))
+
+
+@query
+def graph_hubs_five_kinds(spark, d):
+    return graph.hubs(_all_kinds(spark, d)[1])
+
+
+@query
+def related_five_kinds(spark, d):
+    e, edges = _all_kinds(spark, d)
     return graph.related(edges, e)
 
 
-@also_whole
-def one_hop(spark, d, whole=False):
-    e, edges = _edges(spark, d, whole)
+@query
+def collaborators(spark, d):
+    e = tables.entries(spark, d)
+    return retrieval.collaborators(e, graph.family_edges(e))
+
+
+@query
+def search_report(spark, d):
+    e, edges = _edges(spark, d)
+    return retrieval.report(tables.queries(spark, d), e, edges).select("qid", "rank", "name", "score", "tied", F.array_join("twins", " ").alias("twins"), F.array_join("neighbours", " ").alias("neighbours"), "gap")
+
+
+@query
+def related_top5(spark, d):
+    e, edges = _edges(spark, d)
+    return graph.related(edges, e)
+
+
+@query
+def one_hop(spark, d):
+    e, edges = _edges(spark, d)
     return graph.neighbours(edges, e).select("node", "other", "type", "weight", "name")
 
 
@@ -235,9 +259,9 @@ def impact_two_hop(spark, d):
     return graph.impact(_edges(spark, d)[1])
 
 
-@also_whole
-def graph_degree(spark, d, whole=False):
-    return graph.degrees(_edges(spark, d, whole)[1])
+@query
+def graph_degree(spark, d):
+    return graph.degrees(_edges(spark, d)[1])
 
 
 @query
@@ -253,10 +277,9 @@ def graph_conflicts(spark, d):
     return graph.conflicts(deps.unionByName(back))
 
 
-@also_whole
-def graph_hubs(spark, d, whole=False):
-    e, edges = _edges(spark, d, whole)
-    return graph.hubs(edges, e)
+@query
+def graph_hubs(spark, d):
+    return graph.hubs(_edges(spark, d)[1])
 
 
 @query
@@ -267,7 +290,7 @@ def graph_dangling(spark, d):
 
 @query
 def graph_repair(spark, d):
-    e, edges = _edges(spark, d, whole=True)
+    e, edges = _all_kinds(spark, d)
     return graph.repaired(edges, e.filter("doc_id % 9 <> 0"))
 
 
@@ -292,15 +315,26 @@ def markdown_chunks(spark, d):
     return chunks.markdown_chunks(files).select("skill", "file", "s", "e", "summary")
 
 
-@also_whole
-def python_chunks(spark, d, whole=False):
-    if whole:  # the texts' own lines
-        return chunks.python_chunks(_files(spark, d).select("skill", F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), "lines")).select("skill", "file", "s", "e", "summary")
-    source = F.expr("array('import os', '', concat('def f_', cast(doc_id as string), '(x):'), '    a = x', '    b = a', '    c = b', '    return c', 'y = 1', if(doc_id % 5 = 0, 'def broken(', 'z = 2'))")
-    files = tables.read(spark, d, "documents").select(F.col("source").alias("skill"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), source.alias("lines"))
+@query
+def python_chunks(spark, d):
+    """Each text as the comments of a small program, which every fifth time does not parse."""
+    words = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("# "), F.regexp_replace(x, "[^ -~]", "")))
+    code = F.expr("array('', concat('def f_', cast(doc_id as string), '(x):'), '    a = x', '    b = a', '    c = b', '    return c', 'y = 1', if(doc_id % 5 = 0, 'def broken(', 'z = 2'))")
+    files = tables.read(spark, d, "documents").select(F.col("source").alias("skill"), F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), F.concat(F.array(F.lit("import os")), words, code).alias("lines"))
     return chunks.python_chunks(files).select("skill", "file", "s", "e", "summary")
 
 
+@query
+def python_text_chunks(spark, d):
+    """The texts' own lines, most of which do not parse."""
+    return chunks.python_chunks(_files(spark, d).select("skill", F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("file"), "lines")).select("skill", "file", "s", "e", "summary")
+
+
+@query
+def file_outline(spark, d):
+    return chunks.outline(chunks.plain_chunks(_files(spark, d))).withColumn("sections", F.array_join("sections", "\n"))
+
+
 @query
 def coverage(spark, d):
     return reports.coverage(tables.entries(spark, d))
@@ -338,10 +372,6 @@ def doctor_findings(spark, d):
     return reports.doctor(e.unionByName(twice))
 
 
-def _start(name: str, most: int, whole: bool):
-    return F.col(name) if whole else F.left(name, F.lit(most))
-
-
 def _snapshots(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = e.select("doc_id", F.col("name").alias("path"), F.length("full_text").cast("bigint").alias("mtime"))
     return rows.filter("doc_id % 10 <> 1"), rows.filter("doc_id % 10 <> 2").withColumn("mtime", F.when(F.col("doc_id") % 10 == 3, F.col("mtime") + 1).otherwise(F.col("mtime")))
@@ -353,32 +383,32 @@ def merge_incremental(spark, d):
     return catalog.incremental(old, new)
 
 
-@also_whole
-def merge_registry(spark, d, whole=False):
-    e = tables.entries(spark, d, whole)
-    registry = e.filter("visibility <> 'off-list'").withColumn("description", F.when(F.col("doc_id") % 4 == 0, "").otherwise(_start("description", 40, whole)))
-    disk = e.filter("doc_id % 5 <> 0").withColumn("description", _start("description", 60, whole))
+@query
+def merge_registry(spark, d):
+    e = tables.entries(spark, d)
+    registry = e.filter("visibility <> 'off-list'").withColumn("description", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("description")))
+    disk = e.filter("doc_id % 5 <> 0").withColumn("description", F.col("description"))
     return catalog.merge_registry(registry, disk)
 
 
-@also_whole
-def upsert_import(spark, d, whole=False):
-    e = tables.entries(spark, d, whole).select("doc_id", "name", _start("description", 30, whole).alias("description"), F.col("source").alias("path"), "triggers")
+@query
+def upsert_import(spark, d):
+    e = tables.entries(spark, d).select("doc_id", "name", F.col("description").alias("description"), F.col("source").alias("path"), "triggers")
     new = e.filter("doc_id % 3 <> 0").withColumn("description", F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("new "), "description")).otherwise(F.col("description")))
     return catalog.upsert(e.filter("doc_id % 4 <> 0"), new).select("name", "description", "path", "change")
 
 
-@also_whole
-def registry_backfill(spark, d, whole=False):
-    e = tables.entries(spark, d, whole).select("doc_id", "name", _start("description", 20, whole).alias("description"), F.col("source").alias("category"), F.lit(None).cast("string").alias("platform"), F.col("visibility").alias("status"))
+@query
+def registry_backfill(spark, d):
+    e = tables.entries(spark, d).select("doc_id", "name", F.col("description").alias("description"), F.col("source").alias("category"), F.lit(None).cast("string").alias("platform"), F.col("visibility").alias("status"))
     old = e.filter("doc_id % 4 <> 0").withColumn("agents", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(T.none()))
     new = e.filter("doc_id % 3 = 0").withColumn("agents", F.array(F.lit("b"), F.lit("c"))).withColumn("category", F.lit(""))
     return catalog.backfill(old, new).select("name", "description", "category", "status", F.array_join("agents", ",").alias("agents"))
 
 
-@also_whole
-def variants(spark, d, whole=False):
-    e = tables.entries(spark, d, whole)
+@query
+def variants(spark, d):
+    e = tables.entries(spark, d)
     off = e.filter("doc_id % 6 = 1").withColumn("name", F.concat("name", F.lit("-v2")))
     return catalog.variants(e.filter("visibility = 'ready'"), off)
 
@@ -434,9 +464,9 @@ def ledger_session(spark, d):
     return ledger.sessions(tables.hit_events(spark, d), "6 hours")
 
 
-@also_whole
-def route_intents(spark, d, whole=False):
-    rows = tables.read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, ("find ", "export the ", "plan for ", "what is ", "@alpha "))), (F.pmod(F.col("conv_id"), F.lit(5)) + 1).cast("int")), _start("text", 60, whole)).alias("text"))
+@query
+def route_intents(spark, d):
+    rows = tables.read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat(F.element_at(F.array(*map(F.lit, ("find ", "export the ", "plan for ", "what is ", "@alpha "))), (F.pmod(F.col("conv_id"), F.lit(5)) + 1).cast("int")), F.col("text")).alias("text"))
     return planner.route(rows).select("conv_id", "turn", "command", F.array_join("alternatives", ",").alias("alternatives"))
 
 
@@ -448,11 +478,19 @@ def dag_layers(spark, d):
 
 @query
 def pipeline_stages(spark, d):
-    e = tables.entries(spark, d, whole=True)
-    return planner.plan(tables.queries(spark, d, whole=True), e, tables.dependencies(e))
+    e = tables.entries(spark, d)
+    return planner.plan(tables.queries(spark, d), e, tables.dependencies(e))
+
+
+#: Words that entries are named by for lifecycle_stages, as the tables' own names have none of process.
+STAGE_WORDS = ("plan", "docs", "code", "test", "debug", "refactor", "cleanup", "review", "audit", "archive", "feature", "guide", "zebra")
 
 
 @query
 def lifecycle_stages(spark, d):
-    tasks = spark.createDataFrame([(1, "develop a feature module"), (2, "write a letter"), (3, "fix the tool")], "qid bigint, query string")
-    return planner.lifecycle(tasks, tables.entries(spark, d))
+    tasks = spark.createDataFrame([(1, "develop a feature module"), (2, "write a letter"), (3, "fix the zebra tool")], "qid bigint, query string")
+    e, words = tables.entries(spark, d), F.array(*map(F.lit, STAGE_WORDS))
+    word = lambda n: F.get(words, (n % len(STAGE_WORDS)).cast("int"))
+    e = e.withColumn("name", F.when(F.col("doc_id") % 3 == 0, F.concat(word(F.col("doc_id")), F.lit("-"), word(F.expr("doc_id div 13")))).otherwise(F.col("name")))
+    e = e.withColumns({"id": F.concat_ws(":", "type", "name"), "ord": F.concat("type", F.lit(" "), F.lower("name"))})
+    return planner.lifecycle(tasks, e, {"审查把关": "review-code"})

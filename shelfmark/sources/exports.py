@@ -23,6 +23,17 @@ def markdown(entries: DataFrame) -> DataFrame:
     return entries.select(F.concat(F.lit("| "), F.concat_ws(" | ", cell(F.col("name")), cell(F.col("type")), cell(F.col("description")), cell(F.array_join("triggers", "、"))), F.lit(" |")).alias("value"))
 
 
+def catalog_markdown(entries: DataFrame) -> DataFrame:
+    """type, ord, value: a section of skills and one of MCP servers: a heading with their number, and the lines of each entry."""
+    kept = entries.filter(F.col("type").isin("skill", "mcp"))
+    lines = F.array_compact(F.array(
+        F.concat(F.lit("- **"), "name", F.lit("**"), F.when(F.coalesce("has_references", F.lit(False)), " (含参考资料)").otherwise(""), F.lit(": "), F.coalesce("description", F.lit(""))),
+        F.when(F.size(F.coalesce("triggers", T.none())) > 0, F.concat(F.lit("  - 触发: "), F.array_join("triggers", "、"))),
+        F.concat(F.lit("  - 位置: `"), F.coalesce("path", F.lit("")), F.lit("`"))))
+    heads = kept.groupBy("type").agg(F.count("*").alias("n")).select("type", F.lit("").alias("ord"), F.concat(F.lit("## "), F.upper("type"), F.lit("（"), F.col("n").cast("string"), F.lit("）")).alias("value"))
+    return heads.unionByName(kept.select("type", "ord", F.array_join(lines, "\n").alias("value")))
+
+
 def csv_rows(entries: DataFrame) -> DataFrame:
     return entries.select("name", "type", "description", F.array_join("triggers", "、").alias("triggers"), "source", "has_references")
 

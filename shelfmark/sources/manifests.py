@@ -163,12 +163,44 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("description", said).withColumn("r", F.row_number().over(first)).filter("r = 1").select("name", "type", "description", T.identifier_parts(F.col("name")).alias("triggers"), "path", F.to_json("spec").alias("spec"))
 
 
+#: What parts a name from its description, in order of precedence.
+LIST_SEPARATORS = (":", "：", "|", "—", "–", " - ")
+
+
+def _bare(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(name), "^[`\"']+|[`\"']+$", ""))
+
+
 def read_list(lines: DataFrame) -> DataFrame:
-    """name, description of lines (value): bullets and numbers are dropped, the first of six separators parts the two."""
-    line = F.trim(F.regexp_replace("value", "^\\s*(?:[-*+•]|\\d+[.)、])\\s*", ""))
-    parts = F.split(line, "：|: |\\t| - | – |\\|", 2)
-    rows = lines.select(line.alias("line"), parts.alias("p")).filter("line <> '' and not startswith(line, '#')")
-    return rows.select(F.trim(F.col("p")[0]).alias("name"), F.trim(F.coalesce(F.get("p", F.lit(1)), F.lit(""))).alias("description"))
+    """name, description of lines (value): bullets and numbers are dropped; the first of the separators, by precedence, that has something before it parts the two."""
+    line = F.trim(F.regexp_replace(F.regexp_replace(F.trim("value"), "^[-*+•·]\\s*", ""), "^\\d+[.)、]\\s*", ""))
+    rows = lines.select(line.alias("line")).filter("line <> '' and not startswith(line, '#')")
+    cut = F.coalesce(*[F.when(F.length(F.trim(F.substring_index("line", sep, 1))) > 0, F.when(F.contains(F.col("line"), F.lit(sep)), F.struct(F.substring_index("line", sep, 1).alias("a"), F.expr(f"substring(line, locate('{sep}', line) + {len(sep)})").alias("b")))) for sep in LIST_SEPARATORS])
+    rows = rows.withColumn("cut", cut).select(_bare(F.coalesce("cut.a", "line")).alias("name"), F.trim(F.coalesce("cut.b", F.lit(""))).alias("description"))
+    return rows.filter("name <> ''")
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """name, description, path, triggers of a JSON list, or of an object's skills, entries, items, list or available_skills, or of one
+    object; text items are read as lines of a list. Files that are no JSON give no rows."""
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    items = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("skills", "entries", "items", "list", "available_skills")], F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    rows = text.filter("v is not null").select(F.explode(items).alias("i"))
+    get = lambda *keys, kind="string": F.coalesce(*[F.try_variant_get("i", f"$.{k}", kind) for k in keys])
+    is_text = F.schema_of_variant("i") == "STRING"
+    listed = F.coalesce(get("triggers", kind="array<string>"), F.split(get("triggers", "trigger"), "[、,，;；/|]+"), T.none())
+    objects = rows.filter(~is_text).select(_bare(F.coalesce(*[F.nullif(get(k), F.lit("")) for k in ("name", "title", "skill", "skill_name")])).alias("name"), F.trim(F.coalesce(*[F.nullif(get(k), F.lit("")) for k in ("description", "desc", "summary", "when")], F.lit(""))).alias("description"), F.coalesce(*[F.nullif(get(k), F.lit("")) for k in ("path", "dir", "location")], F.lit("")).alias("path"), F.filter(F.transform(listed, lambda t: F.trim(t)), lambda t: t != "").alias("triggers"))
+    texts = read_list(rows.filter(is_text).select(F.try_variant_get("i", "$", "string").alias("value"))).withColumns({"path": F.lit(""), "triggers": T.none()})
+    return objects.filter("name <> ''").unionByName(texts)
+
+
+def stale_share(entries: DataFrame, present: DataFrame) -> DataFrame:
+    """share, stale: how many skills with a path are on none of the paths present, and whether they are more than nine in ten;
+    null and false for fewer than three. All skills are asked."""
+    skills = entries.filter("type = 'skill' and path <> ''").select("path")
+    here = skills.join(present.select("path").distinct().withColumn("_here", F.lit(1)), "path", "left").agg(F.count("*").alias("n"), F.count("_here").alias("m"))
+    share = F.when(F.col("n") >= 3, 1 - F.col("m") / F.col("n"))
+    return here.select(share.alias("share"), F.coalesce(share > 0.9, F.lit(False)).alias("stale"))
 
 
 def content_files(spark: SparkSession, root: str, rules: tuple[str, ...] = IGNORED, most_bytes: int = FILE_BYTES) -> DataFrame:

@@ -10,11 +10,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def entries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents with their labels as entries; `ord` orders them by type and lower-cased name and settles ties.
-
-    The description is the whole text, or the first 400 characters of it that the SQL in oracles.py takes.
-    """
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels as entries, the whole text as description; `ord` orders them by type and lower-cased name and settles ties."""
     d, l = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     rows = d.join(l, "doc_id", "left")
     kind = F.col("doc_id") % 20
@@ -22,15 +19,15 @@ def entries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     name = F.concat("lang", F.expr("cast(doc_id div 12 as string)"), F.lit("-"), F.col("doc_id").cast("string"))
     rows = rows.select(
         "doc_id", name.alias("name"), F.when(kind == 0, "mcp").when(kind == 1, "connector").when(kind == 2, "agent").otherwise("skill").alias("type"),
-        (F.col("text") if whole else F.substring("text", 1, 400)).alias("description"), F.lit(None).cast("string").alias("description_zh"),
+        F.col("text").alias("description"), F.lit(None).cast("string").alias("description_zh"),
         F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)), 1, 3).alias("triggers"), "source", F.col("text").alias("full_text"),
         (F.col("n_chars") > 1500).alias("has_references"), visibility.alias("visibility"), (F.col("quality") == 1).alias("agent_bound"))
     return rows.withColumns({"excluded": F.col("visibility") != "ready", "id": F.concat_ws(":", "type", "name"), "ord": F.concat("type", F.lit(" "), F.lower("name"))})
 
 
-def queries(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Benchmark items as queries, whole or the first 80 characters that the SQL in oracles.py takes."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.col("text") if whole else F.substring("text", 1, 80)).alias("query"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
 def hit_events(spark: SparkSession, sf_dir: str) -> DataFrame:

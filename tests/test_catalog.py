@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -34,7 +35,7 @@ def one(spark, column, value):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["search_topk", "search_ties", "overlap_candidates", "all_edges", "content_search", "token_economy", "markdown_chunks", "route_intents", "variants", "ledger_session", "dag_layers"])
+@pytest.mark.parametrize("name", ["search_topk", "search_ties", "overlap_candidates", "all_edges", "content_search", "token_economy", "markdown_chunks", "route_intents", "variants", "ledger_session", "dag_layers", "search_evidence", "name_refs", "merge_registry", "python_chunks", "file_outline", "graph_hubs", "similar_pairs"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
@@ -45,30 +46,13 @@ def test_oracle(spark, name):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
 
 
-#: Over whole texts these read edges of all kinds, or texts' own lines, which their SQL does not.
-UNION = {f"{n}_whole" for n in ("all_edges", "related_top5", "one_hop", "graph_degree", "graph_hubs", "python_chunks")}
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", sorted({n for n in registry.queries() if n.endswith("_whole")} - UNION))
-def test_whole_texts(spark, name):
-    con = duckdb.connect()
-    for f in os.listdir(DATA):
-        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
-    sql = re.sub(r"\b(?:substr|left)\((text|description)(?:, 1)?, \d+\)", r"\1", registry.oracle_sql()[name.removesuffix("_whole")])
-    got = registry.queries()[name](spark, DATA)
-    columns = sorted(got.columns)
-    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
-    assert expected and sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
-
-
 def test_words_after_the_beginning_count(spark, tmp_path):
     text = "filler " * 100
     spark.createDataFrame([(i, text + w, "en", "s", 800) for i, w in enumerate(("quokka wombat", "quokka wombat", "other"), 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(3, 6)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "x " * 60 + "quokka")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     at = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
-    assert {r.name for r in at("search_topk_whole")} == {"en0-3", "en0-4"} and not at("search_topk")
+    assert {r.name for r in at("search_topk")} == {"en0-3", "en0-4"}
     assert {r.id for r in at("pipeline_stages")} >= {"skill:en0-3", "skill:en0-4"}
     assert sorted(r.weight for r in at("overlap_edges_capped")) == [0.4, 0.4, 1.0]
 
@@ -182,7 +166,7 @@ def test_files_of_each_kind_and_feeding(spark, tmp_path):
     fed = {(r.skill, r.file, r.s, r.fed_from) for r in chunks.cross_feed(edges, cut).collect()}
     assert fed == {("t", "a.md", 1, "s"), ("u", "a.md", 1, "s")}
     spark.createDataFrame([(1, "\n".join(code), "src"), (2, "plain words (\nmore", "src")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    own = registry.queries()["python_chunks_whole"](spark, str(tmp_path)).collect()
+    own = registry.queries()["python_text_chunks"](spark, str(tmp_path)).collect()
     assert sorted((r.file, r.s, r.e, r.summary) for r in own) == [("1.py", 1, 7, "f"), ("1.py", 9, 15, "C"), ("2.py", 1, 2, "plain words (")]
 
 
@@ -236,3 +220,115 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination(120)
     batch = {r.skill for r in ledger.promotions(manifests.read_hits(spark, str(src)), ["s1"]).collect()}
     assert {r.skill for r in spark.table("promoted").collect()} == batch
+
+
+def test_python_segments(spark):
+    code = ["", "# note", "import os", "A = 1", "def f(x):", *["    x += 1"] * 5, "B = [", "  1,", "]", "def g(): pass"]
+    rows = [("s", "a.py", code), ("s", "b.py", ["x + 1", *["# c"] * 60]), ("s", "c.py", ["", " "]), ("s", "d.py", ["def broken("])]
+    got = sorted((r.file, r.s, r.e, r.summary) for r in chunks.python_chunks(spark.createDataFrame(rows, "skill string, file string, lines array<string>")).collect())
+    assert got == [("a.py", 1, 4, "# note"), ("a.py", 5, 14, "f"), ("b.py", 1, 61, "x + 1"), ("d.py", 1, 1, "def broken(")]
+
+
+def brute_repair(edges, ids, pairs):
+    edges = sorted(edges, key=lambda e: (e[0], e[2], e[1]))
+    ends = lambda es: Counter(n for e in es for n in e[:2])
+    limit = max(3 * sum(ends(edges).values()) / len(ends(edges)), 5)
+    w = {e[:2]: e[3] for e in edges if e[2] == "depends_on"}
+    lighter = {(p if w[p[::-1]] >= w[p] else p[::-1]) for p in w if p[0] < p[1] and p[::-1] in w}
+    kept = [e for e in edges if not (e[2] == "depends_on" and e[:2] in lighter) and not (e[2] == "contains" and not set(e[:2]) <= ids)]
+    pruned = 0
+    for node, d in ends(kept).items():
+        if d > limit:
+            gone = sorted((e for e in kept if node in e[:2]), key=lambda e: e[3])[: d - int(limit)]
+            kept = [e for e in kept if e not in gone]
+            pruned += len(gone)
+            if pruned > 50:
+                break
+    if ids - set(ends(edges)):
+        linked = set(ends(kept))
+        kept += [(u, v, "overlap", x) for u, v, x in pairs if u not in linked or v not in linked]
+    return {(*e[:3], round(e[3], 6)) for e in kept}
+
+
+@pytest.mark.parametrize("heavy", [12, 70])
+def test_repair(spark, heavy):
+    rng = random.Random(heavy)
+    base = [f"w{i}" for i in range(60)]
+    rows = entries(spark, [(f"n{i:03}", " ".join(rng.sample(base, 8))) for i in range(90)]).cache()
+    ids = {f"skill:n{i:03}" for i in range(90)}
+    some = sorted(ids)[:80]  # ten are isolated
+    made = {(a, b, "depends_on"): round(rng.random(), 3) for a, b in (rng.sample(some, 2) for _ in range(30))}
+    made |= {(b, a, "depends_on"): x if i % 2 else round(x / 2, 3) for i, ((a, b, _), x) in enumerate(sorted(made.items())[:6])}
+    made |= {(hub, t, "overlap"): round(rng.random(), 2) for hub in some[3:9] for t in rng.sample(some, heavy) if t != hub}
+    made |= {("skill:gone", some[0], "contains"): 0.7, (some[1], some[2], "contains"): 0.7}
+    edges = [(*k, w) for k, w in made.items()]
+    pairs = brute_cap([(r.u, r.v, round(r.jaccard, 3)) for r in graph.overlap_pairs(rows).filter("jaccard >= 0.05").collect()], 1)
+    weight = {(r.u, r.v): round(r.jaccard, 3) for r in graph.overlap_pairs(rows).collect()}
+    df = spark.createDataFrame([(a, b, k, "directed", w) for a, b, k, w in edges], "source string, target string, type string, direction string, weight double")
+    got = {(r.source, r.target, r.type, round(r.weight, 6)) for r in graph.repaired(df, rows).collect()}
+    assert got == brute_repair(edges, ids, [(u, v, weight[u, v]) for u, v in pairs])
+
+
+def test_lifecycle(spark):
+    names = ["requirement-planning", "docs-lookup", "feature-development", "code-development", "test-tdd", "debug", "review-code", "code-review", "salesforce-develop", "pad-x"]
+    rows = entries(spark, [(n, f"{n.replace('-', ' ')} words") for n in names] + [("slop", "x", (), "off-list")])
+    tasks = spark.createDataFrame([(1, "develop a feature module"), (2, "write a letter"), (3, "develop the salesforce app")], "qid int, query string")
+    out = planner.lifecycle(tasks, rows, {"审查把关": "code-review"}).collect()
+    assert {r.task for r in out} == {1, 3}
+    for task in (1, 3):
+        mine = [r for r in out if r.task == task]
+        assert {r.stage for r in mine} == set(range(1, 11)) and max(Counter(r.name for r in mine if r.name).values()) == 1
+        at = {t: [(r.name, r.basis) for r in mine if r.title == t] for t in {r.title for r in mine}}
+        assert at["审查把关"] == [("code-review", "preference")] and at["清理瘦身"] == [(None, "general")]
+        assert ("salesforce-develop", "seed") in at["编码实现"] and "pad-x" not in {r.name for r in mine}
+    served, planned = planner.pipeline(tasks, rows, spark.createDataFrame([], "source string, target string, type string"))
+    assert {r.task for r in served.collect()} == {1, 3} and not {r.task for r in planned.collect()} & {1, 3}
+    assert planner.lifecycle(tasks, entries(spark, [("zebra", "nothing")])).count() == 0
+
+
+def test_collaborators_and_report(spark):
+    rows = entries(spark, [("lone", "alpha beta 77"), ("near", "alpha beta gamma"), ("far", "delta 77"), ("hidden", "alpha beta", (), "off-list"), ("near-twin", "alpha words")])
+    edges = spark.createDataFrame([("skill:near", "skill:far", "family", 0.5)], "source string, target string, type string, weight double")
+    got = {(r.node, r.other): (r["rank"], r.weight) for r in retrieval.collaborators(rows, edges).filter("node = 'skill:lone'").collect()}
+    assert got == {("skill:lone", "skill:near"): (1, 0.95), ("skill:lone", "skill:near-twin"): (2, 0.79)}  # one of seven terms
+    told = retrieval.report(ask(spark, "alpha beta", "合同"), rows, edges).collect()
+    near = next(r for r in told if r.name == "near")
+    assert near.twins == ["near-twin"] and near.neighbours == ["far"] and [r.qid for r in told if r.name is None] == [1] and not any(r.gap for r in told)
+
+
+def test_lists_and_staleness(spark, tmp_path):
+    lines = spark.createDataFrame([(x,) for x in ("- `a`: one | two", "2. b | two", "# no", " ", "c — d: e", "plain", "x - y")], "value string")
+    assert [(r.name, r.description) for r in manifests.read_list(lines).collect()] == [("a", "one | two"), ("b", "two"), ("c — d", "e"), ("plain", ""), ("x", "y")]
+    (tmp_path / "l.json").write_text('{"items": [{"title": "p", "desc": "d", "trigger": "u、v"}, "q: r", {"x": 1}], "more": 1}')
+    assert sorted((r.name, r.description, r.triggers) for r in manifests.read_items(spark, str(tmp_path / "l.json")).collect()) == [("p", "d", ["u", "v"]), ("q", "r", [])]
+    rows = spark.createDataFrame([("skill", f"/p{i}") for i in range(4)], "type string, path string")
+    told = manifests.stale_share(rows, spark.createDataFrame([("/p1",)], "path string")).first()
+    assert (told.share, told.stale) == (0.75, False) and manifests.stale_share(rows.limit(2), rows).first().share is None
+
+
+def test_exports(spark, tmp_path):
+    from shelfmark.sources import exports
+
+    rows = entries(spark, [("a", "one | two\nthree", ("t", "u")), ("b", "x")]).withColumns({"path": F.lit("/p"), "source": F.lit("s")})
+    edges = spark.createDataFrame([("skill:a", "skill:b", "family", "undirected", 1.0), ("skill:a", "skill:z", "family", "undirected", 1.0)], "source string, target string, type string, direction string, weight double")
+    read = lambda form: sorted(r.value for r in spark.read.text(f"{tmp_path}/{form}").collect())
+    for form in ("json", "md", "txt", "csv"):
+        exports.write(rows, form, f"{tmp_path}/{form}")
+    assert read("json")[1] == '{"n":"b","d":"x","g":[],"t":"skill","r":false,"s":"s"}' and read("md")[0] == "| a | skill | one \\| two three | t、u |"
+    assert read("txt") == ["a[s]: one | two three | 触发: t、u", "b[s]: x"] and spark.read.option("header", True).option("multiLine", True).csv(f"{tmp_path}/csv").count() == 2
+    nodes, links = exports.dashboard(rows, edges)
+    assert nodes.count() == 2 and links.count() == 1
+    exports.write_index(rows, edges, f"{tmp_path}/index")
+    exports.write_bundle(rows, edges, f"{tmp_path}/bundle")
+    assert spark.read.parquet(f"{tmp_path}/index/edges").count() == 2 and spark.read.text(f"{tmp_path}/bundle/L0").count() == 2
+    lines = [r.value for r in exports.catalog_markdown(rows).orderBy("type", "ord").collect()]
+    assert lines[0] == "## SKILL（2）" and lines[1] == "- **a**: one | two\nthree\n  - 触发: t、u\n  - 位置: `/p`"
+
+
+def test_sql_functions(spark):
+    from shelfmark.functions import sql
+
+    sql.register(spark)
+    text = "技能索引器 Code2 a bb"
+    assert set(spark.sql(f"SELECT shelfmark_terms('{text}')").first()[0]) == set(one(spark, T.terms, text))
+    assert spark.sql("SELECT shelfmark_tokens(10), shelfmark_weight('ab字'), shelfmark_identifier_parts('aB-cd')").first()[:] == (2, 4, ["aB-cd", "cd"])

@@ -170,7 +170,7 @@ ORACLES: dict[str, str] = {
     "python_chunks": """WITH d AS (SELECT source AS skill, doc_id, doc_id || '.py' AS file, len(string_split(text, chr(10))) AS n FROM documents),
       plain AS (SELECT skill, file, n, unnest(range(0, CASE WHEN n + 9 <= 50 THEN 1 ELSE CAST(ceil((n + 9 - 50) / 45.0) AS BIGINT) + 1 END)) AS w FROM d WHERE doc_id % 5 = 0)
       SELECT skill, file, 1 AS s, CAST(n + 2 AS INT) AS e, 'import os' AS summary FROM d WHERE doc_id % 5 <> 0 UNION ALL SELECT skill, file, CAST(n + 3 AS INT), CAST(n + 9 AS INT), 'f_' || doc_id FROM d WHERE doc_id % 5 <> 0
-      UNION ALL SELECT p.skill, p.file, CAST(w * 45 + 1 AS INT), CAST(least(w * 45 + 50, p.n + 9) AS INT), CASE WHEN w = 0 THEN 'import os' ELSE substr(coalesce(trim('# ' || regexp_replace(string_split(text, chr(10))[w * 45], '[^ -~]', '', 'g')), '#'), 1, 80) END
+      UNION ALL SELECT p.skill, p.file, CAST(w * 45 + 1 AS INT), CAST(least(w * 45 + 50, p.n + 9) AS INT), CASE WHEN w = 0 THEN 'import os' ELSE substr(list_filter(list_transform(list_concat(['import os'], list_transform(string_split(text, chr(10)), lambda x: '# ' || regexp_replace(x, '[^ -~]', '', 'g')), ['', 'def f_' || doc_id || '(x):', 'a = x', 'b = a', 'c = b', 'return c', 'y = 1', 'def broken('])[w * 45 + 1 : w * 45 + 50], lambda x: trim(x)), lambda x: x <> '')[1], 1, 80) END
       FROM plain p JOIN documents ON doc_id || '.py' = p.file""",
     "file_outline": f"""WITH {PLAIN}, r AS (SELECT *, row_number() OVER (PARTITION BY skill, file ORDER BY s, e) AS r FROM chunks)
       SELECT skill, file, count(*) AS n, string_agg('L' || s || '-' || e || ': ' || summary, chr(10) ORDER BY r) FILTER (r <= 8) AS sections FROM r GROUP BY skill, file""",

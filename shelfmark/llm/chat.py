@@ -12,10 +12,12 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import dealt_join
 from shelfmark.shared import settled
 
 CALLS = "conv_id bigint, call_id string, name string, arguments string, after array<string>, place bigint"
 DEPTH = 4  # levels of nested values that are checked against a schema, from the arguments themselves on
+SCHEMA_BYTES = 8_000_000  # of names and schemas in all, up to which they are broadcast
 #: What can be wrong with a call; the first that holds is told.
 FAULTS = ("unknown_tool", "not_json", "missing", "type", "extra", "value")
 
@@ -60,34 +62,43 @@ def _is(kind: Column, t: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def faults(value: Column, schema: Column, depth: int = DEPTH) -> Column:
-    """What of FAULTS a variant has against a JSON schema (a variant): type (one or a list), required, properties,
-    additionalProperties false, items, enum, minimum, maximum, minLength and maxLength, nested `depth` levels deep."""
+    """What of FAULTS a variant has against a JSON schema (a variant), as places in FAULTS: type (one or a list), required,
+    properties, additionalProperties false, items, enum, minimum, maximum, minLength and maxLength, nested `depth` levels deep."""
     strings, none = "array<string>", F.array().cast("array<string>")
     of = lambda path, kind: F.try_variant_get(schema, path, kind)
-    t = F.schema_of_variant(value)
     kinds = F.coalesce(of("$.type", strings), F.when(F.schema_of_variant(of("$.type", "variant")) == "STRING", F.array(of("$.type", "string"))), none)
-    keys_of = lambda m: F.coalesce(F.map_keys(m), none)
+    t = F.schema_of_variant(value)
     given = F.when(t.startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>"))
-    known = of("$.properties", "map<string,variant>")
-    is_number, is_text = _is(F.lit("number"), t), t == "STRING"
-    number, size = F.try_variant_get(value, "$", "double"), F.length(F.try_variant_get(value, "$", "string"))
-    no = lambda c: F.coalesce(c, F.lit(False))
-    enum = of("$.enum", "array<variant>")
+    parts = F.struct(t.alias("t"), given.alias("given"), kinds.alias("kinds"), of("$.properties", "map<string,variant>").alias("known"))
+    return _let(parts, lambda b: _faults(value, b, of, depth))
+
+
+def _faults(value: Column, b: Column, of, depth: int) -> Column:
+    none, no = F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(False))
+    t, given, known = b["t"], b["given"], b["known"]
+    names = lambda m: F.coalesce(F.map_keys(m), none)
+    place = lambda name: F.lit(FAULTS.index(name))
+    beyond = lambda n, least, most, kind: no(n < of(least, kind)) | no(n > of(most, kind))
+    of_value = F.when(_is(F.lit("number"), t), beyond(F.try_variant_get(value, "$", "double"), "$.minimum", "$.maximum", "double")).when(
+        t == "STRING", beyond(F.length(F.try_variant_get(value, "$", "string")), "$.minLength", "$.maxLength", "bigint"))
+    lacks = lambda have, asked: F.size(F.array_except(asked, have)) > 0
     found = F.array_compact(F.array(
-        F.when(no(F.exists(F.coalesce(of("$.required", strings), none), lambda r: given.isNotNull() & ~F.array_contains(keys_of(given), r))), "missing"),
-        F.when((F.size(kinds) > 0) & ~no(F.exists(kinds, lambda k: _is(k, t))), "type"),
-        F.when(given.isNotNull() & no(~of("$.additionalProperties", "boolean")) & no(F.exists(keys_of(given), lambda k: ~F.array_contains(keys_of(known), k))), "extra"),
-        F.when(no(~F.exists(enum, lambda e: F.to_json(e) == F.to_json(value))) | no(is_number & ((number < of("$.minimum", "double")) | no(number > of("$.maximum", "double"))))
-            | no(is_number & (number > of("$.maximum", "double"))) | no(is_text & (size < of("$.minLength", "bigint"))) | no(is_text & (size > of("$.maxLength", "bigint"))), "value"),
-    ))
+        F.when(given.isNotNull() & no(lacks(names(given), F.array_compact(of("$.required", "array<string>")))), place("missing")),
+        F.when((F.size(b["kinds"]) > 0) & ~no(F.exists(b["kinds"], lambda k: _is(k, t))), place("type")),
+        F.when(given.isNotNull() & no(~of("$.additionalProperties", "boolean")) & lacks(names(known), names(given)), place("extra")),
+        F.when(no(~F.exists(of("$.enum", "array<variant>"), lambda e: F.to_json(e) == F.to_json(value))) | no(of_value), place("value"))))
     if depth > 1:
-        entries = F.filter(F.coalesce(F.map_entries(given), F.array().cast("array<struct<key:string,value:variant>>")), lambda e: F.array_contains(keys_of(known), e["key"]))
+        pairs = "array<struct<v:variant,s:variant>>"
+        entries = F.transform(F.array_intersect(names(given), names(known)), lambda k: F.struct(F.element_at(given, k).alias("v"), F.element_at(known, k).alias("s")))
         items = of("$.items", "variant")
-        elements = F.when(t.startswith("ARRAY") & items.isNotNull(), F.try_variant_get(value, "$", "array<variant>"))
-        within = F.concat(
-            F.transform(entries, lambda e: F.struct(e["value"].alias("v"), F.element_at(known, e["key"]).alias("s"))),
-            F.transform(F.coalesce(elements, F.array().cast("array<variant>")), lambda v: F.struct(v.alias("v"), items.alias("s"))))
+        elements = F.when(t.startswith("ARRAY") & items.isNotNull(), F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.struct(v.alias("v"), items.alias("s"))))
+        within = F.concat(entries, F.coalesce(elements, F.array().cast(pairs)))
         found = F.concat(found, F.flatten(F.transform(within, lambda x: faults(x["v"], x["s"], depth - 1))))
     return found
 
@@ -95,13 +106,16 @@ def faults(value: Column, schema: Column, depth: int = DEPTH) -> Column:
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """calls with arguments as a variant (`parsed`) and `fault`: null, or the first of FAULTS that holds.
 
-    Of several schemas of one name the least text is the schema; a schema that is no JSON object allows any object.
+    Of several schemas of one name the least text is the schema; a schema that is no JSON object allows any object. Schemas
+    of up to SCHEMA_BYTES in all, as counted, are broadcast; larger tables are joined with hot names dealt.
     """
-    known = schemas.filter("name is not null").groupBy("name").agg(F.min("schema").alias("schema")).select("name", F.lit(True).alias("known"), F.try_parse_json("schema").alias("schema"))
-    both = calls.join(known, "name", "left").withColumn("parsed", F.try_parse_json("arguments"))
+    known = schemas.filter("name is not null").groupBy("name").agg(F.min("schema").alias("schema"))
+    size = known.agg(F.sum(F.octet_length("name") + F.coalesce(F.octet_length("schema"), F.lit(0)) + 16)).first()[0] or 0
+    known = known.select("name", F.lit(True).alias("known"), F.try_parse_json("schema").alias("schema"))
+    both = calls.join(F.broadcast(known), "name", "left") if size <= SCHEMA_BYTES else dealt_join(calls, known, ["name"], calls.count())
+    both = both.withColumn("parsed", F.try_parse_json("arguments"))
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    found = faults(F.col("parsed"), F.col("schema"))
-    told = F.coalesce(*[F.when(F.array_contains(found, f), f) for f in FAULTS[2:]])
+    told = F.get(F.array(*map(F.lit, FAULTS)), F.array_min(faults(F.col("parsed"), F.col("schema"))))
     fault = F.when(F.col("known").isNull(), "unknown_tool").when(~is_object, "not_json").otherwise(told)
     return both.withColumn("fault", fault).drop("schema", "known")
 

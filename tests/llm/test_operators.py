@@ -542,3 +542,22 @@ def test_chat_turns(spark):
     assert json.loads(out[1].messages)[2]["role"] == "call" and out[1].n_linked == 1 and out[1].n_orphans == 1
     plan = chat.format_conversations(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_chat_checks_alike_by_either_join(spark, monkeypatch):
+    schemas = [
+        '{"required":["x"],"additionalProperties":false,"properties":{"x":{"type":["integer","null"],"maximum":1}}}',
+        '{"properties":{"x":{"type":"object","required":["y"],"properties":{"y":{"type":"string","maxLength":2}}}}}',
+        '{"properties":{"x":{"type":"array","items":{"type":"integer"}}}}', '{"properties":{"x":{"enum":["a",[1]]}}}', "no JSON", None,
+    ]
+    given = ['{"x":1}', '{"x":null}', '{"x":2}', "{}", '{"x":1,"z":1}', '{"x":{"y":"abc"}}', '{"x":{}}', '{"x":[1,"b"]}', '{"x":"a"}']
+    expected = [
+        [None, None, "value", "missing", "extra", "type", "type", "type", "type"], ["type", "type", "type", None, "type", "value", "missing", "type", "type"],
+        ["type", "type", "type", None, "type", "type", "type", "type", "type"], ["value", "value", "value", None, "value", "value", "value", "value", None], [None] * 9, [None] * 9,
+    ]
+    calls = spark.createDataFrame([(k, str(i), f"tool{k}", g, [], i) for k in range(6) for i, g in enumerate(given)], chat.CALLS)
+    known = spark.createDataFrame([(f"tool{k}", x) for k, x in enumerate(schemas)], "name string, schema string")
+    for most in (chat.SCHEMA_BYTES, 0):
+        monkeypatch.setattr(chat, "SCHEMA_BYTES", most)
+        got = {(r.conv_id, int(r.call_id)): r.fault for r in chat.checked(calls, known).collect()}
+        assert [[got[k, i] for i in range(9)] for k in range(6)] == expected

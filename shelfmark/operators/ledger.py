@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.schema import LEDGER_KEEP, PROMOTE_AT
+from shelfmark.schema import CORRECTION_LINES, LEDGER_KEEP, PROMOTE_AT
 
 
 def gaps(events: DataFrame, top: int = 10) -> DataFrame:
@@ -59,6 +59,14 @@ def truncated(events: DataFrame, keep: float = LEDGER_KEEP) -> DataFrame:
     return ranked.withColumn("_place", place).filter(F.col("_place") <= n).select(*events.columns)
 
 
+def last_entries(lines: DataFrame, most: int = CORRECTION_LINES, mark: str = "## ") -> DataFrame:
+    """Of a log (n, line) of more than `most` lines the last, from the first entry that begins among them; where none does, all of the last."""
+    tail = lines.orderBy(F.col("n").desc()).limit(most)
+    facts = tail.agg(F.min("n").alias("_low"), F.min(F.when(F.startswith("line", F.lit(mark)), F.col("n"))).alias("_mark"))
+    facts = facts.crossJoin(F.broadcast(lines.agg(F.count("*").alias("_all")))).select(F.when(F.col("_all") > most, F.coalesce("_mark", "_low")).otherwise(F.col("_low")).alias("_from"))
+    return tail.join(F.broadcast(facts), F.col("n") >= F.col("_from")).drop("_from")
+
+
 def windows(events: DataFrame, length: str, slide: str | None = None) -> DataFrame:
     """Events, zero hits and users by tumbling or sliding window of time, and kind."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)

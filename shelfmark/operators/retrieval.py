@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.schema import EVIDENCE_GATE, GATE_POOL, IDF_CAP, LOCATION_WEIGHT, LONG_TAIL, NAME_FACTOR, PINNED_FACTOR, REFERENCES_BONUS, TIE_RATIO, Search
+from shelfmark.shared import tabled
 
 
 def pool(entries: DataFrame, options: Search = Search()) -> DataFrame:
@@ -87,6 +88,17 @@ def search(queries: DataFrame, entries: DataFrame, options: Search = Search()) -
     return rows.withColumn("tied", (group >= 2) & (F.col("score") >= TIE_RATIO * F.col("best")) & (F.col("rank") <= 4)).drop("most", "best", "ord")
 
 
+def search_or_refresh(queries: DataFrame, entries: DataFrame, refresh, options: Search = Search()) -> DataFrame:
+    """search, and once more for queries without hits where refresh(missed) gives other entries (None: nothing has changed).
+
+    refresh is called at most once, and only where a query has no hits.
+    """
+    hits = tabled(search(queries, entries, options))
+    missed = tabled(queries.join(hits.select("qid").distinct(), "qid", "left_anti"))
+    newer = None if missed.isEmpty() else refresh(missed)
+    return hits if newer is None else hits.unionByName(search(missed, newer, options))
+
+
 def single_character(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
     """For queries without terms: literal hits in name (6.0), triggers (3.0), description (1.5)."""
     rows = entries.filter(F.col("name") != options.self_name)

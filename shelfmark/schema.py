@@ -39,6 +39,9 @@ DOCTOR_WEIGHT = 15
 DOCTOR_BIG = 20_000
 LEDGER_BYTES, LEDGER_KEEP = 2_000_000, 0.66
 PROMOTE_AT = 3
+HEARTBEAT = 300  # seconds
+RECENT_EVENTS = 200
+CORRECTION_LINES = 400
 HUB_FACTOR, HUB_LEAST, HUB_PRUNES = 3, 5, 50
 
 ENTRY = (

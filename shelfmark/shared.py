@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +32,14 @@ def settled(df):
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def tabled(df):
+    """df with its lineage cut by a table in the shared folder.
+
+    A checkpoint computes df twice, and keeps the constraints of the plan before it, on which unions in later plans can fail
+    ("key not found").
+    """
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

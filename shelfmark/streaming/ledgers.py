@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shelfmark.schema import HIT_EVENT, PROMOTE_AT, USAGE_EVENT
+from shelfmark.schema import HEARTBEAT, HIT_EVENT, PROMOTE_AT, RECENT_EVENTS, USAGE_EVENT
 
 
 def hit_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -50,14 +51,60 @@ def promotions(events: DataFrame, pinned: tuple[str, ...] = (), threshold: int =
     return used.groupBy("skill").applyInPandasWithState(count, "skill string, uses bigint", "uses bigint, told boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def refresh_on_change(events: DataFrame, fingerprint, refresh, checkpoint: str, every: str = "300 seconds"):
-    """Start a heartbeat: every interval, if fingerprint(spark) is not what it was, call refresh(batch, number)."""
-    last: list = [None]
+def gate(fingerprint: str, last: str | None, idle: float, interactions: int, interval: float = HEARTBEAT, force: bool = False) -> tuple[bool, str]:
+    """Whether to refresh, and why: another fingerprint than the last (changed); none so far only sets one (first); more than
+    `interval` seconds since the last refresh, with interactions since (due); on demand (forced); else fresh."""
+    if last and fingerprint != last:
+        return True, "changed"
+    if not last:
+        return False, "first"
+    if idle > interval and interactions > 0:
+        return True, "due"
+    return (True, "forced") if force else (False, "fresh")
+
+
+def refresh_on_change(events: DataFrame, fingerprint, refresh, checkpoint: str, every: str = f"{HEARTBEAT} seconds", interval: float = HEARTBEAT, keep: int = RECENT_EVENTS, forced=lambda: False):
+    """Start a heartbeat: every interval, call refresh(batch, number) if the gate opens for fingerprint(spark).
+
+    What the gate goes by stands in the folder `<checkpoint>-gate`, one row a beat, the newest two of which stay, with the
+    newest `keep` events in `<checkpoint>-recent`; so a query that is started again goes on from there, and a beat that is
+    repeated after a failure finds the state that it found before. Times are those of the driver's clock.
+    """
+    state, recent = f"{checkpoint}-gate", f"{checkpoint}-recent"
 
     def beat(batch: DataFrame, number: int) -> None:
-        now = fingerprint(batch.sparkSession)
-        if now != last[0]:
+        spark, now = batch.sparkSession, time.time()
+        batch = batch.persist()
+        before = _before(spark, state, number)
+        found = before.first() if before is not None else None
+        last, checked, seen = (found["fingerprint"], found["checked"], found["interactions"]) if found else (None, now, 0)
+        current, seen = fingerprint(spark), seen + batch.count()
+        go, reason = gate(current, last, now - checked, seen, interval, forced())
+        if go:
             refresh(batch, number)
-            last[0] = now
+            checked, seen = now, 0
+        old = _before(spark, recent, number)
+        newest = batch if old is None else old.unionByName(batch)
+        newest.orderBy(F.col("ts").desc()).limit(keep).write.mode("overwrite").parquet(f"{recent}/beat={number}")
+        spark.createDataFrame([(current, checked, seen, reason)], "fingerprint string, checked double, interactions bigint, reason string").write.mode("overwrite").parquet(f"{state}/beat={number}")
+        for place in (state, recent):
+            _deleted(spark, f"{place}/beat={number - 2}")
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(beat).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def _before(spark: SparkSession, place: str, number: int) -> DataFrame | None:
+    """What the beat before this one wrote."""
+    where = f"{place}/beat={number - 1}"
+    return spark.read.parquet(where) if _path(spark, where)[0].exists(_path(spark, where)[1]) else None
+
+
+def _path(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _deleted(spark: SparkSession, where: str) -> None:
+    files, path = _path(spark, where)
+    files.delete(path, True)

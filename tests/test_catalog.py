@@ -1,5 +1,6 @@
 """The catalog engine against stated expectations and against its SQL."""
 
+import hashlib
 import os
 import random
 import re
@@ -332,3 +333,89 @@ def test_sql_functions(spark):
     text = "技能索引器 Code2 a bb"
     assert set(spark.sql(f"SELECT shelfmark_terms('{text}')").first()[0]) == set(one(spark, T.terms, text))
     assert spark.sql("SELECT shelfmark_tokens(10), shelfmark_weight('ab字'), shelfmark_identifier_parts('aB-cd')").first()[:] == (2, 4, ["aB-cd", "cd"])
+
+
+def brute_fingerprint(rows):
+    digest = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    groups = {}
+    for name, description in rows:
+        h = digest(f"{name}\t{description or ''}")
+        groups.setdefault(h[:3], []).append(h)
+    return digest("".join(digest("".join(sorted(groups[p]))) for p in sorted(groups)))[:12]
+
+
+def test_fingerprint(spark):
+    rows = [(f"n{i}", None if i % 7 == 0 else f"text {i % 5}") for i in range(300)]
+    mark = lambda some: catalog.fingerprint(spark.createDataFrame(some, "name string, description string")).first()[0]
+    assert mark(rows) == mark(rows[::-1]) == brute_fingerprint(rows)
+    assert mark([("n0", "new"), *rows[1:]]) != mark(rows) != mark(rows[1:]) and mark([]) == brute_fingerprint([])
+
+
+def brute_plan(seeds, edges, most=9, each=3):
+    """(mode, {(stage, id, seed, cyclic)}) of one task by plain loops."""
+    chosen = list(seeds)
+    for a, b in sorted(set(edges)):
+        if len(chosen) < most and a in chosen and b not in chosen:
+            chosen.append(b)
+    inner = {(a, b) for a, b in edges if a != b and a in chosen and b in chosen}
+    tied = {x for e in inner for x in e}
+    layer, at = {}, 1
+    while ready := {x for x in tied - layer.keys() if all(b in layer for a, b in inner if a == x)}:
+        layer |= dict.fromkeys(ready, at)
+        at += 1
+    cyclic = tied - layer.keys()
+    layer |= dict.fromkeys(cyclic, at)
+    out = set()
+    for n in set(layer.values()):
+        out |= {(n, x, x in seeds, x in cyclic) for x in sorted((x for x in layer if layer[x] == n), key=lambda x: (x not in seeds, x))[:each]}
+    last = max(layer.values(), default=0) + 1
+    return ("topological" if tied else "parallel"), out | {(last, x, x in seeds, False) for x in chosen if x not in tied}
+
+
+def test_plans_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["quokka", "wombat", "numbat", "bilby", "dunnart"]
+    rows = entries(spark, [(f"item{i}", " ".join(rng.sample(words, 2)) + f" only{i}") for i in range(30)])
+    tasks = ask(spark, "quokka", "wombat bilby", "only3 only4", "nothing there", "only29", "only1 only2")
+    edges = [(f"skill:item{a}", f"skill:item{b}") for a, b in [(rng.randrange(29), rng.randrange(29)) for _ in range(45)]] + [("skill:item1", "skill:item2"), ("skill:item2", "skill:item1"), ("skill:item3", "skill:item3")]
+    table = spark.createDataFrame([(a, b, "depends_on") for a, b in edges] + [("skill:item29", "skill:item5", "family")], "source string, target string, type string")
+    seeds = {}
+    for r in sorted(retrieval.search(tasks, rows, Search(top=6)).collect(), key=lambda r: r["rank"]):
+        seeds.setdefault(r.qid, []).append(r.id)
+    got = {}
+    for r in planner.plan(tasks, rows, table).collect():
+        got.setdefault(r.task, (r.mode, set()))[1].add((r.stage, r.id, r.seed, r.cyclic))
+    assert got == {q: brute_plan(s, edges) for q, s in seeds.items()} and {m for m, _ in got.values()} == {"topological", "parallel"}
+    assert any(x[3] for _, some in got.values() for x in some) and 3 not in got
+
+
+def test_gate_log_and_retry(spark):
+    from shelfmark.streaming.ledgers import gate
+
+    assert [gate("b", "a", 0, 0), gate("a", None, 999, 9, force=True), gate("a", "a", 301, 1), gate("a", "a", 301, 0), gate("a", "a", 300, 5, force=True), gate("a", "a", 10, 5)] == [
+        (True, "changed"), (False, "first"), (True, "due"), (False, "fresh"), (True, "forced"), (False, "fresh")]
+    log = lambda lines, most: [r.n for r in ledger.last_entries(spark.createDataFrame(list(enumerate(lines, 1)), "n int, line string"), most).orderBy("n").collect()]
+    entry = ["## day", "- why", "  what", ""]
+    assert log(entry * 4, 16) == list(range(1, 17)) and log(entry * 4, 10) == list(range(9, 17)) and log(["x"] * 9, 4) == [6, 7, 8, 9] and log(["y", *entry], 9) == [1, 2, 3, 4, 5] and log([], 4) == []
+    old, asked = entries(spark, [("one", "alpha words"), ("two", "beta words")]), []
+    both = old.unionByName(entries(spark, [("three", "gamma words")]))
+    found = lambda q, newer: {(r.qid, r.name) for r in retrieval.search_or_refresh(q, old, lambda missed: asked.append({r.qid for r in missed.collect()}) or newer).collect()}
+    assert found(ask(spark, "alpha", "gamma"), both) == {(0, "one"), (1, "three")} and asked == [{1}]
+    assert found(ask(spark, "alpha", "gamma"), None) == {(0, "one")} and found(ask(spark, "beta"), both) == {(0, "two")} and asked == [{1}, {1}]
+
+
+def test_heartbeat_goes_on_after_a_restart(spark, tmp_path):
+    from shelfmark.streaming import ledgers
+
+    src, marks, calls = tmp_path / "src", ["a"], []
+    src.mkdir()
+    for n in range(4):
+        (src / f"{n}.json").write_text("".join(f'{{"ts": "2024-01-0{n + 1}T00:00:0{i}", "kind": "search", "query": "q{n}{i}", "n_hits": 1}}\n' for i in range(3)))
+        marks[0] = "b" if n >= 2 else "a"
+        q = ledgers.refresh_on_change(ledgers.hit_stream(spark, str(src)), lambda s: marks[0], lambda batch, number: calls.append(number), str(tmp_path / "cp"), "0 seconds", keep=5, forced=lambda: n == 3)
+        q.processAllAvailable()
+        q.stop()
+    assert calls == [2, 3]  # another fingerprint, then on demand; the first beat only sets one
+    state = spark.read.parquet(f"{tmp_path}/cp-gate")
+    assert {(r.beat, r.fingerprint, r.reason, r.interactions) for r in state.collect()} == {(2, "b", "changed", 0), (3, "b", "forced", 0)}
+    assert {r.query for r in spark.read.parquet(f"{tmp_path}/cp-recent").filter("beat = 3").collect()} == {"q30", "q31", "q32", "q22", "q21"}

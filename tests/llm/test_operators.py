@@ -200,6 +200,12 @@ def test_jaccard_join(docs, rows, empty):
     assert 3 in got and not {30, 31, 32} & got and {0, 40, 41} <= got and 33 not in got
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_jaccard_join_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert multiset(jaccard.join(docs), "doc_id", "class_id", "n_links") == brute_jaccard([tuple(r) for r in docs.collect()])
+
+
 def test_exact_threshold_of_long_texts():
     missed = []
     for m in range(2276, 2600):  # 8m of 10m shingles are common

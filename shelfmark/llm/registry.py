@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, fingerprints, jaccard, packing, repair, secrets, substrings, tokens, toxicity, warc
+from shelfmark.llm import chat, decontaminate, divergence, fingerprints, jaccard, packing, repair, secrets, substrings, tokens, toxicity, warc
 from shelfmark.llm.common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +59,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(table(spark, sf_dir, "conversations"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op5_substring_dedup, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts, op11_conversation_repair)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op5_substring_dedup, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts, op11_conversation_repair, op12_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_decontamination": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_decontamination": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}

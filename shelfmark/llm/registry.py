@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import chat, decontaminate, divergence, fingerprints, jaccard, packing, repair, secrets, substrings, tokens, toxicity, warc
+from shelfmark.llm import chat, decontaminate, divergence, fingerprints, jaccard, language_model, packing, repair, secrets, substrings, tokens, toxicity, warc
 from shelfmark.llm.common import scratch_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op5_substring_dedup, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts, op11_conversation_repair, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_ngram_jaccard, op4_toxicity, op5_substring_dedup, op6_packing, op7_fingerprints, op8_secrets, op9_warc, op10_token_counts, op11_conversation_repair, op12_source_divergence, op13_language_model)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -50,19 +50,21 @@ def maximal(overlap: Column, query: Column, term=lambda x: x) -> Column:
     return F.filter(overlap, lambda x: ~F.exists(overlap, lambda y: _covers(term(x), term(y), low)))
 
 
-def with_coverers(asked: DataFrame, covers=_covers) -> DataFrame:
-    """asked (qid, query, term) with `coverers`: the terms of the same query that cover a row's term.
+def asked(rows: DataFrame, covers=_covers) -> DataFrame:
+    """qid, terms, coverers of rows (qid, query, term): a query's terms in order, and of each the places of those that cover it.
 
     What covers what follows from the query alone, so it is settled once a query and not for each entry it meets.
     """
-    every = asked.groupBy("qid").agg(F.collect_set("term").alias("_every"))
     low = F.lower("query")
-    return asked.join(every, "qid").withColumn("coverers", F.filter("_every", lambda o: covers(F.col("term"), o, low))).drop("_every")
+    every = rows.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.first("query").alias("query"))
+    places = lambda t: F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: covers(t, F.get("terms", i), low))
+    return every.select("qid", "terms", F.transform("terms", places).alias("coverers"))
 
 
-def uncovered(overlap: str, present: str) -> Column:
-    """Of overlap (structs with term and coverers) those of which no coverer is among the terms present."""
-    return F.filter(overlap, lambda x: (F.size(x["coverers"]) == 0) | ~F.arrays_overlap(x["coverers"], F.col(present)))
+def uncovered(overlap: str, coverers: str) -> Column:
+    """Of overlap (structs with `pos`, a term's place in its query) those of which no coverer overlaps too."""
+    present = F.transform(overlap, lambda x: x["pos"])
+    return F.filter(overlap, lambda x: ~F.arrays_overlap(F.get(coverers, x["pos"]), present))
 
 
 def description_weight(text: Column) -> Column:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from shelfmark.functions import text as T
-from shelfmark.operators.retrieval import document_frequency
+from shelfmark.operators.retrieval import candidates, numbered, shortlist
 from shelfmark.schema import CHUNK_LINES, CHUNK_MIN_LINES, CHUNK_OVERLAP, CHUNK_SUMMARY, CHUNKS_PER_SKILL, FED_PER_SKILL
+from shelfmark.shared import tabled
+
+CHUNK_KEYS = ("skill", "file", "s", "e")
 
 #: Words that mark a section worth feeding to dependents; replaceable.
 KEY_SECTION = r"(?i)\b(usage|example|quick ?start|install|api|parameters?|options?|config(uration)?|overview|workflow|rules?|constraints?|output|input)\b|用法|示例|参数|配置|流程|规则"
@@ -121,27 +124,42 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_postings(chunks: DataFrame) -> DataFrame:
-    return chunks.select("skill", "file", "s", "e", F.explode(T.terms(T.joined(F.col("summary"), F.col("file"), F.col("skill"), F.col("text")))).alias("term"))
+    return chunks.select("skill", "file", "s", "e", F.explode(chunk_terms()).alias("term"))
+
+
+def content_plan(queries: DataFrame) -> DataFrame:
+    """qid, terms, coverers of each query without stop words; a term is covered by those that hold it."""
+    rows = queries.select("qid", "query", F.explode(T.without_stop_words(T.terms(F.col("query")))).alias("term"))
+    return T.asked(rows, lambda t, o, low: (o != t) & F.contains(o, t))
+
+
+def chunk_terms() -> Column:
+    return T.terms(T.joined(F.col("summary"), F.col("file"), F.col("skill"), F.col("text")))
 
 
 def content_search(queries: DataFrame, chunks: DataFrame, top: int = 5) -> DataFrame:
     """qid, rank, skill, file, s, e, score: chunks by uncapped weights of maximal terms, +2 for one in the file's name, +0.5 if fed."""
+    asked = tabled(content_plan(queries))
     fed = F.col("fed_from").isNotNull() if "fed_from" in chunks.columns else F.lit(False)
-    key = ["skill", "file", "s", "e"]
-    asked = queries.select("qid", "query", F.explode(T.without_stop_words(T.terms(F.col("query")))).alias("term"))
-    asked = T.with_coverers(asked, lambda t, o, low: (o != t) & F.contains(o, t)).drop("query")
-    posted = chunk_postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
-    n = chunks.agg(F.count("*").alias("n"))
-    weights = document_frequency(posted).crossJoin(F.broadcast(n)).select("term", F.greatest(F.lit(0.1), 1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    rows = posted.join(weights, "term").join(asked, "term").groupBy("qid", *key).agg(F.sort_array(F.collect_list(F.struct("term", "idf", "coverers"))).alias("overlap"))
-    rows = rows.withColumn("present", F.transform("overlap", lambda x: x["term"])).withColumn("kept", T.uncovered("overlap", "present"))
-    in_file = F.arrays_overlap(F.transform("kept", lambda x: x["term"]), T.terms(F.col("file")))
-    score = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x["idf"]) + F.when(in_file, 2.0).otherwise(0.0)
-    if "fed_from" in chunks.columns:
-        rows = rows.join(chunks.select(*key, fed.alias("fed")), key)
-        score = score + F.when(F.col("fed"), 0.5).otherwise(0.0)
-    rows = rows.withColumn("score", F.round(score, 6))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), *key))).filter(F.col("rank") <= top).select("qid", "rank", *key, "score")
+    heads = numbered(chunks.withColumn("fed", fed), (*CHUNK_KEYS, "fed"), chunk_terms())
+    rows = candidates(asked, heads.select("k", F.explode("terms").alias("term")), heads.agg(F.count("*").alias("n")))
+    return content_hits(asked, rows, heads.drop("terms"), top)
+
+
+def content_hits(asked: DataFrame, rows: DataFrame, heads: DataFrame, top: int = 5) -> DataFrame:
+    """content_search, from candidates (k, qid, pos, idf) and heads (k, CHUNK_KEYS, fed)."""
+    rows = tabled(rows.select("qid", "k", "pos", "idf"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        found = rows.join(pairs, ["qid", "k"], "left_semi").groupBy("qid", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "idf"))).alias("overlap")).join(asked, "qid").join(heads, "k")
+        found = found.withColumn("kept", T.uncovered("overlap", "coverers"))
+        in_file = F.arrays_overlap(F.transform("kept", lambda x: F.get("terms", x["pos"])), T.terms(F.col("file")))
+        score = F.aggregate("kept", F.lit(0.0), lambda a, x: a + x["idf"]) + F.when(in_file, 2.0).otherwise(0.0) + F.when(F.col("fed"), 0.5).otherwise(0.0)
+        return found.select("qid", "k", *CHUNK_KEYS, F.round(score, 6).alias("score"))
+
+    pairs = rows.groupBy("qid", "k").agg((F.sum("idf") + 2.5).alias("bound"))
+    found = exact(shortlist(pairs, exact, top)).dropDuplicates(["qid", *CHUNK_KEYS])
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), *CHUNK_KEYS))).filter(F.col("rank") <= top).select("qid", "rank", *CHUNK_KEYS, "score")
 
 
 def cross_feed(edges: DataFrame, chunks: DataFrame, most: int = FED_PER_SKILL) -> DataFrame:

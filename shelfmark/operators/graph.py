@@ -2,47 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.operators.retrieval import document_frequency, idf
-from shelfmark.shared import shared_dir
+from shelfmark.shared import shared_dir, tabled
 from shelfmark.schema import (
     EDGE_CLIQUE, EDGE_DF, EDGE_GROUP, EDGE_MIN_JACCARD, EDGE_TOP_K, EDGE_WEIGHT, HUB_FACTOR, HUB_LEAST, HUB_PRUNES, SIMILAR_MIN_SHARED, SIMILAR_PAIR_BUDGET, SIMILAR_TOP_K,
 )
 
 
+def entry_text() -> Column:
+    return T.joined(F.col("name"), F.col("description"), F.col("description_zh"), F.concat_ws(" ", "triggers"))
+
+
 def entry_terms(entries: DataFrame) -> DataFrame:
     """id, term: distinct terms of name, descriptions and triggers."""
-    text = T.joined(F.col("name"), F.col("description"), F.col("description_zh"), F.concat_ws(" ", "triggers"))
-    return entries.select("id", F.explode(T.terms(text)).alias("term"))
+    return entries.select("id", F.explode(T.terms(entry_text())).alias("term"))
 
 
-def overlap_pairs(entries: DataFrame, df_range: tuple[int, int] = EDGE_DF) -> DataFrame:
-    """u, v, shared, jaccard: pairs of skills by shared terms of middling frequency.
+def overlap_pairs(entries: DataFrame, df_range: tuple[int, int] = EDGE_DF, least: float = 0.0) -> DataFrame:
+    """u, v, shared, jaccard: pairs of skills by shared terms of middling frequency, from a Jaccard similarity of `least` on.
 
     A term's postings are at most df_range[1] long, so a term makes a bounded number of pairs however large the catalog is.
+    Entries are tokenised once. What a pair can share beyond the terms counted is bounded by each side's number of frequent
+    ones, so whole sets of terms are joined only for pairs that may reach `least`.
     """
-    posted = entry_terms(entries.filter("type = 'skill'"))
-    sizes = posted.groupBy("id").agg(F.count("*").alias("size"))
+    skills = entries.filter("type = 'skill'")
+    sets = tabled(skills.select("id", T.terms(entry_text()).alias("terms")).filter(F.size("terms") > 0).withColumn("k", F.monotonically_increasing_id()))
+    posted = sets.select("k", F.explode("terms").alias("term"))
+    df = tabled(document_frequency(posted))
     lo, hi = df_range
-    rare = posted.join(document_frequency(posted).filter(F.col("df").between(lo, hi)).select("term"), "term")
-    a, b = rare.select(F.col("term").alias("t"), F.col("id").alias("u")), rare.select(F.col("term").alias("t"), F.col("id").alias("v"))
-    pairs = a.join(b, "t").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("shared"))
-    both = pairs.join(sizes.select(F.col("id").alias("u"), F.col("size").alias("nu")), "u").join(sizes.select(F.col("id").alias("v"), F.col("size").alias("nv")), "v")
-    full = both.select("u", "v", "shared", "nu", "nv")
-    # The union is of full term sets; what they share beyond rare terms is counted for candidates alone.
-    common = posted.join(document_frequency(posted).filter(F.col("df") > hi).select("term"), "term").groupBy("id").agg(F.collect_set("term").alias("common"))
-    full = full.filter("shared >= 2").join(common.select(F.col("id").alias("u"), F.col("common").alias("cu")), "u", "left").join(common.select(F.col("id").alias("v"), F.col("common").alias("cv")), "v", "left")
-    also = F.coalesce(F.size(F.array_intersect("cu", "cv")), F.lit(0))
-    also = F.when(F.col("cu").isNull() | F.col("cv").isNull(), 0).otherwise(also)
-    union = F.col("nu") + F.col("nv") - F.col("shared") - also
-    return full.select("u", "v", "shared", (F.col("shared") / union).alias("jaccard"))
+    rare = posted.join(df.filter(F.col("df").between(lo, hi)).select("term"), "term")
+    pairs = rare.withColumnRenamed("k", "u").join(rare.withColumnRenamed("k", "v"), "term").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    frequent = posted.join(df.filter(F.col("df") > hi).select("term"), "term").groupBy("k").agg(F.count("*").alias("frequent"))
+    sizes = sets.select("k", F.size("terms").alias("n")).join(frequent, "k", "left").na.fill(0, ["frequent"])
+    for end in ("u", "v"):
+        pairs = pairs.join(sizes.select(F.col("k").alias(end), F.col("n").alias(f"n{end}"), F.col("frequent").alias(f"f{end}")), end)
+    able = pairs.filter(F.col("shared") >= least * (F.col("nu") + F.col("nv") - F.col("shared") - F.least("fu", "fv"))).select("u", "v", "shared")
+    for end in ("u", "v"):
+        able = able.join(sets.select(F.col("k").alias(end), F.col("id").alias(f"i{end}"), F.col("terms").alias(f"t{end}")), end)
+    union = F.size("tu") + F.size("tv") - F.size(F.array_intersect("tu", "tv"))
+    found = able.select(F.least("iu", "iv").alias("u"), F.greatest("iu", "iv").alias("v"), "shared", (F.col("shared") / union).alias("jaccard"))
+    return found.filter(F.col("jaccard") >= least)
 
 
 def overlap_candidates(entries: DataFrame) -> DataFrame:
-    return overlap_pairs(entries).filter(F.col("jaccard") >= EDGE_MIN_JACCARD).select("u", "v", "shared", F.bround("jaccard", 3).alias("weight"))
+    return overlap_pairs(entries, least=EDGE_MIN_JACCARD).select("u", "v", "shared", F.bround("jaccard", 3).alias("weight"))
 
 
 def capped(pairs: DataFrame, cap: int = EDGE_TOP_K, most_rounds: int | None = None) -> DataFrame:
@@ -114,11 +121,16 @@ def name_references(entries: DataFrame) -> DataFrame:
     by_word = words.join(plain, "low").filter("source <> target").select("source", "target")
     other = named.filter(~F.col("low").rlike("^[a-z0-9_-]+$"))
     texts = entries.filter("type = 'skill'").select(F.col("id").alias("source"), F.lower(T.joined(F.col("description"), F.concat_ws(" ", "triggers"))).alias("body"))
-    # Names with other characters are few; each shares its first plain run with the text, which is the key.
-    first = other.withColumn("key", F.regexp_extract("low", "[a-z0-9]+", 0)).filter("key <> ''")
-    keys = texts.select("source", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("key"))
-    literal = F.concat(F.lit("(?<![a-z0-9_-])\\Q"), F.col("low"), F.lit("\\E(?![a-z0-9_-])"))
-    by_text = keys.join(first, "key").filter(F.contains("body", "low") & F.rlike("body", literal)).filter("source <> target").select("source", "target")
+    # A name with other characters is looked up by its longest plain run, which the text must have as a whole run; bodies
+    # are brought in once for each text that has the run of any such name.
+    runs = F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("run")))), 1)["run"]
+    keyed = other.filter(F.size(runs) > 0).select("low", "target", longest.alias("key"))
+    keys = texts.select("source", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))).alias("key"))
+    maybe = keys.join(keyed, "key").groupBy("source").agg(F.collect_list(F.struct("low", "target")).alias("names"))
+    literal = lambda low: F.concat(F.lit("(?<![a-z0-9_-])\\Q"), low, F.lit("\\E(?![a-z0-9_-])"))
+    held = F.filter("names", lambda x: F.contains(F.col("body"), x["low"]) & F.rlike(F.col("body"), literal(x["low"])))
+    by_text = texts.join(maybe, "source").select("source", F.explode(held).alias("x")).select("source", "x.target").filter("source <> target")
     return by_word.unionByName(by_text).distinct().withColumns({"type": F.lit("depends_on"), "direction": F.lit("directed"), "weight": F.lit(EDGE_WEIGHT["depends_on"])})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from shelfmark.functions import text as T
 from shelfmark.schema import EVIDENCE_GATE, GATE_POOL, IDF_CAP, LOCATION_WEIGHT, LONG_TAIL, NAME_FACTOR, PINNED_FACTOR, REFERENCES_BONUS, TIE_RATIO, Search
 from shelfmark.shared import tabled
 
+ENTRY_KEYS = ("id", "name", "ord", "has_references")
+
 
 def pool(entries: DataFrame, options: Search = Search()) -> DataFrame:
     """The entries that can be found: not excluded, or off-list where that is asked for; unbound ones drop out of agent_only, unknown ones stay."""
@@ -21,12 +25,17 @@ def pool(entries: DataFrame, options: Search = Search()) -> DataFrame:
     return entries.filter(keep)
 
 
+def entry_postings() -> Column:
+    """An entry's terms as structs (term, loc) at their best place: 0 name, 1 trigger, 2 description."""
+    name, triggers = T.terms(F.col("name")), T.terms(F.concat_ws(" ", "triggers"))
+    said = T.terms(T.joined(F.col("description"), F.col("description_zh")))
+    place = lambda terms, loc: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(loc).alias("loc")))
+    return F.concat(place(name, 0), place(F.array_except(triggers, name), 1), place(F.array_except(said, F.concat(name, triggers)), 2))
+
+
 def postings(entries: DataFrame, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keep columns, term, loc: each entry's terms at their best place (0 name, 1 trigger, 2 description)."""
-    place = lambda text, loc: F.transform(T.terms(text), lambda t: F.struct(t.alias("term"), F.lit(loc).alias("loc")))
-    found = F.concat(place(F.col("name"), 0), place(F.concat_ws(" ", "triggers"), 1), place(T.joined(F.col("description"), F.col("description_zh")), 2))
-    rows = entries.select(*keep, F.explode(found).alias("p")).select(*keep, "p.term", "p.loc")
-    return rows.groupBy(*keep, "term").agg(F.min("loc").alias("loc"))
+    """keep columns, term, loc, without a shuffle."""
+    return entries.select(*keep, F.explode(entry_postings()).alias("p")).select(*keep, "p.term", "p.loc")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:
@@ -44,48 +53,103 @@ def query_terms(queries: DataFrame, bridge: DataFrame | None = None) -> DataFram
     return rows.unionByName(rows.join(bridge, "term").select("qid", "query", F.col("other").alias("term"))).distinct()
 
 
-def candidates(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
-    """qid, entry columns, term, coverers, loc, idf: each query term that an entry of the pool has.
+def plan(queries: DataFrame, options: Search = Search()) -> DataFrame:
+    """qid, terms, coverers of each query."""
+    return T.asked(query_terms(queries, T.bridge_table(queries.sparkSession) if options.bridge else None))
+
+
+def numbered(entries: DataFrame, keep: tuple[str, ...], terms: Column) -> DataFrame:
+    """keep columns, k (a number of the row's own), terms: written, so numbers last and texts are tokenised once."""
+    return tabled(entries.select(*keep, terms.alias("terms")).withColumn("k", F.monotonically_increasing_id()))
+
+
+def candidates(asked: DataFrame, posted: DataFrame, size: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """posted's columns (k, term and perhaps loc), qid, pos, idf, n: each term of a query that an entry has, with its place in the query's terms.
+
+    asked: of `plan`; size: one row with n, the number of entries. Postings are cut to query terms and written before anything
+    is counted, so their shuffle is as large as what queries ask about. df (term, df): of all entries, where it is kept.
+    """
+    wanted = asked.select("qid", F.posexplode("terms").alias("pos", "term"))
+    posted = tabled(posted.join(wanted.select("term").distinct(), "term", "left_semi"))
+    df = document_frequency(posted) if df is None else df.join(wanted.select("term").distinct(), "term", "left_semi")
+    weights = df.join(F.broadcast(size)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "n")  # size is one row
+    return posted.join(tabled(wanted.join(weights, "term")), "term")
+
+
+def shortlist(pairs: DataFrame, exact: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """Of pairs (qid, k, bound: no less than the score) those that may be among the `most` best of their query.
 
-    Postings are cut to query terms before anything is counted, so their shuffle is as large as what queries ask about.
+    The first few by bound are scored exactly; a pair whose bound is below the score that `most` of them reach is out. Queries
+    with fewer keep all their pairs. The ranks are cut to that number before they are shuffled.
     """
-    found = pool(entries, options)
-    asked = query_terms(queries, T.bridge_table(entries.sparkSession) if options.bridge else None)
-    posted = postings(found, ("id", "name", "ord", "has_references")).join(asked.select("term").distinct(), "term", "left_semi")
-    size = found.agg(F.count("*").alias("n"))
-    weights = document_frequency(posted).crossJoin(F.broadcast(size)).select("term", idf(F.col("df"), F.col("n")).alias("idf"), "n")  # size is one row
-    return posted.join(weights, "term").join(T.with_coverers(asked).drop("query"), "term")
+    pairs = tabled(pairs)
+    first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "k"))).filter(F.col("r") <= 4 * most)
+    sure = exact(first.select("qid", "k")).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))).filter(F.col("r") == most)
+    return pairs.join(sure.select("qid", F.col("score").alias("least")), "qid", "left").filter("least is null or bound + 0.00001 >= least").select("qid", "k")
+
+
+def entry_candidates(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plan, candidates and heads (k and the entries' keys) of the pool."""
+    found, asked = pool(entries, options), tabled(plan(queries, options))
+    heads = numbered(found, ENTRY_KEYS, entry_postings())
+    return asked, candidates(asked, heads.select("k", F.explode("terms").alias("p")).select("k", "p.term", "p.loc"), heads.agg(F.count("*").alias("n"))), heads.drop("terms")
+
+
+def place_weight(loc: Column) -> Column:
+    return F.when(loc == 0, LOCATION_WEIGHT[0]).when(loc == 1, LOCATION_WEIGHT[1]).otherwise(LOCATION_WEIGHT[2])
 
 
 def scored(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
     """qid, id, name, ord, score, evidence, kept terms: what passes the gate, before the long tail is cut."""
-    part = F.struct("term", "idf", "loc", "coverers")
-    rows = candidates(queries, entries, options).groupBy("qid", "id", "name", "ord", "has_references", "n").agg(F.sort_array(F.collect_list(part)).alias("overlap"))
-    rows = rows.withColumn("present", F.transform("overlap", lambda x: x["term"]))
-    kept = T.uncovered("overlap", "present")
-    weight = lambda loc: F.when(loc == 0, LOCATION_WEIGHT[0]).when(loc == 1, LOCATION_WEIGHT[1]).otherwise(LOCATION_WEIGHT[2])
-    rows = rows.withColumn("kept", kept)
-    rows = rows.withColumn("ev", F.aggregate("kept", F.lit(0.0), lambda a, x: a + F.least(x["idf"], F.lit(IDF_CAP)) * weight(x["loc"])))
+    asked, rows, heads = entry_candidates(queries, entries, options)
+    return weighed(asked, rows, heads, bounded(rows, options), options)
+
+
+def _gate() -> Column:
+    return EVIDENCE_GATE * F.least(F.lit(1.0), F.col("n") / GATE_POOL)
+
+
+def bounded(rows: DataFrame, options: Search) -> DataFrame:
+    """qid, k, bound: pairs that may pass the gate, with the score they have at most, as if no term covered another."""
+    sums = rows.groupBy("qid", "k").agg(F.sum(F.least("idf", F.lit(IDF_CAP)) * place_weight(F.col("loc"))).alias("ev"), F.max(F.when(F.col("loc") == 0, F.col("idf"))).alias("named"), F.first("n").alias("n"))
+    bound = F.col("ev") + F.coalesce(F.least("named", F.lit(IDF_CAP)) * NAME_FACTOR, F.lit(0.0)) + REFERENCES_BONUS
+    return sums.filter((F.col("ev") + 0.00001 >= _gate()) | F.col("named").isNotNull()).select("qid", "k", (bound * (PINNED_FACTOR if options.pinned else 1.0)).alias("bound"))
+
+
+def weighed(asked: DataFrame, rows: DataFrame, heads: DataFrame, pairs: DataFrame, options: Search = Search()) -> DataFrame:
+    """scored, of some pairs; the terms of a query and what covers them are joined to entries, not to each of their terms."""
+    rows = rows.join(pairs.select("qid", "k"), ["qid", "k"], "left_semi")
+    rows = rows.groupBy("qid", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "loc", "idf"))).alias("overlap"), F.first("n").alias("n")).join(asked, "qid")
+    rows = rows.withColumn("kept", T.uncovered("overlap", "coverers"))
+    rows = rows.withColumn("ev", F.aggregate("kept", F.lit(0.0), lambda a, x: a + F.least(x["idf"], F.lit(IDF_CAP)) * place_weight(x["loc"])))
     named = F.filter("overlap", lambda x: x["loc"] == 0)
     rows = rows.withColumn("bonus", F.when(F.size(named) > 0, F.least(F.array_max(F.transform(named, lambda x: x["idf"])), F.lit(IDF_CAP)) * NAME_FACTOR).otherwise(0.0))
-    gate = EVIDENCE_GATE * F.least(F.lit(1.0), F.col("n") / GATE_POOL)
-    rows = rows.filter((F.col("ev") >= gate) | (F.size(named) > 0))
+    rows = rows.filter((F.col("ev") >= _gate()) | (F.size(named) > 0)).join(heads, "k")
     score = F.col("ev") + F.col("bonus") + F.when(F.coalesce("has_references", F.lit(False)), REFERENCES_BONUS).otherwise(0.0)
     if options.pinned:
         score = score * F.when(F.lower("name").isin([p.lower() for p in options.pinned]), PINNED_FACTOR).otherwise(1.0)
-    return rows.select("qid", "id", "name", "ord", F.round(score, 6).alias("score"), F.round("ev", 6).alias("ev"), F.transform("kept", lambda x: x["term"]).alias("evidence"))
+    rows = rows.select("qid", "k", "id", F.struct(F.round(score, 6).alias("score"), F.round("ev", 6).alias("ev"), "name", "ord", F.transform("kept", lambda x: F.get("terms", x["pos"])).alias("evidence")).alias("x"))
+    best = rows.groupBy("qid", "id").agg(F.max_by("k", "x").alias("k"), F.max("x").alias("x"))  # repeated entries are one
+    return best.select("qid", "id", "x.name", "x.ord", "x.score", "x.ev", "x.evidence", "k")
 
 
 def search(queries: DataFrame, entries: DataFrame, options: Search = Search()) -> DataFrame:
     """The best entries of each query: qid, rank, id, name, score, ev, evidence, tied."""
-    rows = scored(queries, entries, options)
+    asked, rows, heads = entry_candidates(queries, entries, options)
+    rows = tabled(rows)
+    pairs = shortlist(bounded(rows, options), lambda some: weighed(asked, rows, heads, some, options).select("qid", "k", "score"), options.limit)
+    return ranked(weighed(asked, rows, heads, pairs, options), options)
+
+
+def ranked(rows: DataFrame, options: Search = Search()) -> DataFrame:
+    """search, from what is scored."""
     by_query = Window.partitionBy("qid")
     rows = rows.withColumn("most", F.max("ev").over(by_query)).filter(F.col("score") >= F.greatest(F.lit(options.min_score), LONG_TAIL * F.col("most")))
     rows = rows.withColumn("rank", F.row_number().over(by_query.orderBy(F.col("score").desc(), "ord"))).filter(F.col("rank") <= options.limit)
     best = F.max("score").over(by_query)
     rows = rows.withColumn("best", best)
     group = F.sum(F.when(F.col("score") >= TIE_RATIO * F.col("best"), 1).otherwise(0)).over(by_query)
-    return rows.withColumn("tied", (group >= 2) & (F.col("score") >= TIE_RATIO * F.col("best")) & (F.col("rank") <= 4)).drop("most", "best", "ord")
+    return rows.withColumn("tied", (group >= 2) & (F.col("score") >= TIE_RATIO * F.col("best")) & (F.col("rank") <= 4)).drop("most", "best", "ord", "k")
 
 
 def search_or_refresh(queries: DataFrame, entries: DataFrame, refresh, options: Search = Search()) -> DataFrame:

@@ -114,7 +114,9 @@ def gap_notice(spark, d):
 
 @query
 def search_candidates(spark, d):
-    return retrieval.candidates(tables.queries(spark, d), tables.entries(spark, d)).groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
+    _, rows, heads = retrieval.entry_candidates(tables.queries(spark, d), tables.entries(spark, d))
+    rows = rows.join(heads, "k")
+    return rows.groupBy("qid", "name").agg(F.count("*").alias("n_terms"), F.min("loc").cast("int").alias("best_place"))
 
 
 @query

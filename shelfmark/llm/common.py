@@ -62,6 +62,20 @@ def written(df: DataFrame, path: str | None = None, partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> tuple[DataFrame, str]:
+    """df written to the shared folder as a table in n buckets of a key, and the table's name: grouping it by the key or joining
+    it by it moves no row of it. The caller drops the table, and with it the files (`unbucketed`)."""
+    spark, name = df.sparkSession, f"shelfmark_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
+def unbucketed(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dropped(spark, f"{shared_dir(spark)}/{name}")
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

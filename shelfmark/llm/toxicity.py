@@ -1,10 +1,12 @@
 """A toxicity classifier with a counterfactual penalty, learnt here and applied to whole texts.
 
-Features say whether a word, or a beginning of one, occurs in a text; identity terms have no beginnings, so that a swap of
-them changes a text's features in those words only. Weights are evidence for
-toxicity and never negative. Training minimises logistic loss, an L2 penalty, and
-the squared change of the score when identity terms of a labelled text are swapped for others of their kind: what a text
-says about a group must not depend on which group it names. The model is a bounded list of hashes and weights.
+Features say whether a word, or a beginning of one, occurs in a text. Identity terms come in forms: plurals, possessives,
+derived words and compounds by FORMS; no form has beginnings, so a swap changes a text's features in those words only. Weights
+are evidence for toxicity and never negative. Training minimises logistic loss, an L2 penalty, and the squared change of the
+score's logit when a form in a labelled text is swapped for the same form of another term of its kind, or left out: what a
+text says must not depend on which group it names, nor on its naming one. The logit is paired, not the probability: toxic
+texts are near 1 whatever they name, so a change of their probability would let a weight stand that a neutral sentence bears
+alone. The model is a bounded list of hashes and weights.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ SAMPLE = 12_000  # labelled texts that the classifier is fitted on, at most abou
 FEATURES = 3_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
-PENALTY = 1.0
+PENALTY = 10.0
 
 #: Identity terms by kind; a term is swapped for others of its kind. Replaceable by the caller.
 IDENTITY_TERMS = {
@@ -35,6 +37,21 @@ IDENTITY_TERMS = {
     "age and ability": ("old", "young", "elderly", "teenage", "disabled", "blind", "deaf", "autistic"),
 }
 
+#: What stands before and after a term in its forms; and endings that may fall away before them.
+FORMS = (("", "non", "anti", "pro", "ex"), ("", "s", "es", "\u2019s", "s\u2019", "ity", "ness", "ism", "ist", "ists", "hood", "ish"))
+ENDINGS = ("ist", "ish")
+
+
+def form(term: str, before: str, after: str) -> set[str]:
+    return {before + root + after for root in (term, *(term.removesuffix(e) for e in ENDINGS))}
+
+
+def forms(terms: dict[str, tuple[str, ...]]) -> list[np.ndarray]:
+    """Sorted hashes of words that swap with each other: one form of all terms of a kind."""
+    groups = [[w.encode() for t in group for w in sorted(form(t, before, after))] for group in terms.values() for before in FORMS[0] for after in FORMS[1]]
+    hashes = Words([w for g in groups for w in g], ALNUM_LOWER).hashes  # each is one word
+    return [np.unique(x) for x in np.split(hashes, np.cumsum([len(g) for g in groups])[:-1])]
+
 
 def features(texts: list[bytes], bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and beginnings of longer words of each text, with the text's number, for all texts together.
@@ -57,7 +74,8 @@ def word_hash(word: str) -> int:
 
 
 def identity_hashes(terms: dict[str, tuple[str, ...]]) -> np.ndarray:
-    return np.array(sorted({word_hash(t) for group in terms.values() for t in group}), np.uint64)
+    """Of all forms of all terms, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *forms(terms)]))
 
 
 @dataclass
@@ -65,7 +83,7 @@ class Model:
     hashes: np.ndarray  # sorted
     weights: np.ndarray
     bias: float
-    bare: np.ndarray  # sorted hashes of the identity terms
+    bare: np.ndarray  # sorted hashes of the identity terms' forms
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -92,24 +110,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, terms: di
     expected = df * (n_pos / n)
     # Only evidence for toxicity counts: what is merely usual in other texts would let a long text hide it.
     chi = np.where((df >= 3) & (pos > expected), (np.abs(pos - expected) - 0.5) ** 2 / np.maximum(expected * (1 - n_pos / n), 1e-9), 0)
-    identity = {kind: np.array(sorted({word_hash(t) for t in words}), np.uint64) for kind, words in terms.items()}
+    identity = forms(terms)
     best = np.argsort(-chi, kind="stable")[: min(n_features, int((chi > 0).sum()))]
-    chosen = np.union1d(known[best], np.concatenate(list(identity.values())) if identity else np.empty(0, np.uint64))
+    chosen = np.union1d(known[best], np.concatenate(identity) if identity else np.empty(0, np.uint64))
     to = np.full(len(known), -1, np.int32)
     at = np.minimum(np.searchsorted(known, chosen), max(len(known) - 1, 0))
     there = known[at] == chosen
     to[at[there]] = np.flatnonzero(there)
     hit = to[flat] >= 0
     r, c = owner[hit], to[flat[hit]]
-    # The swaps: in each text, each identity term for each other of its kind; a swap changes the score by the difference of two weights.
+    # The swaps: in each text, each form for the same of each other term of its kind, and for none (the last number, of no weight).
     swaps: dict[tuple[int, int], int] = {}
-    for group in identity.values():
+    texts_with = np.bincount(c, minlength=len(chosen))
+    for group in identity:
         at = np.searchsorted(chosen, group)
-        there = np.isin(c, at)
-        for f, count in zip(*np.unique(c[there], return_counts=True)):
-            for g in at:
+        for f in at[texts_with[at] > 0].tolist():
+            for g in [*at.tolist(), len(chosen)]:
                 if g != f:
-                    swaps[int(f), int(g)] = swaps.get((int(f), int(g)), 0) + int(count)
+                    swaps[f, g] = swaps.get((f, g), 0) + int(texts_with[f])
     one, other = (np.array([k[i] for k in swaps], int) for i in (0, 1))
     share = np.array(list(swaps.values()), float) / n
     w, b, y = np.zeros(len(chosen)), float(np.log(prior / (1 - prior))), labels.astype(float)
@@ -119,8 +137,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray, terms: di
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
         grad = np.bincount(c, weights=g[r], minlength=len(w)) + l2 * w / len(w) * 10
         if len(share):
-            change = 2 * penalty * share * (w[one] - w[other])
-            grad += np.bincount(one, weights=change, minlength=len(w)) - np.bincount(other, weights=change, minlength=len(w))
+            change = 2 * penalty * share * (w[one] - np.r_[w, 0.0][other])
+            grad += (np.bincount(one, weights=change, minlength=len(w) + 1) - np.bincount(other, weights=change, minlength=len(w) + 1))[:-1]
         g_b = g.sum()
         m_w, v_w = 0.9 * m_w + 0.1 * grad, 0.999 * v_w + 0.001 * grad**2
         m_b, v_b = 0.9 * m_b + 0.1 * g_b, 0.999 * v_b + 0.001 * g_b**2
@@ -141,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
 
     A doc_id labelled twice is toxic if any label says so. The sample is by a hash of doc_id, so it is the same each time.
     Features are those of two toxic texts of the sample or more; only their numbers come to the driver. Null texts are empty;
-    repeated documents teach once for each row; without documents or labels of both kinds the score is constant. Of docs
-    only doc_id and text are read, of labels doc_id and toxic, so other columns may have any name.
+    repeated documents teach once for each row; without documents or labels of both kinds the score is constant. A text of any
+    length is read whole, in slices, and leaves its features alone. Of docs only doc_id and text are read, of labels doc_id and toxic, so other columns may have any name.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic")).filter(~held_out(F.col("_id")))
     n = known.count()
@@ -185,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: dict[
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; null and empty texts get the model's base score.
 
-    Repeated rows and null doc_ids keep their rows (a null doc_id is not held out); no other column is read.
+    Repeated rows and null doc_ids keep their rows (a null doc_id is not held out); texts of any length are read whole, in
+    slices; an empty table gives no rows; no other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -202,7 +221,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def keep_civil(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns, unchanged, whatever their names.
 
-    Null and empty texts have the model's base score; each repeated row is judged alike; an empty table stays empty.
+    Null and empty texts have the model's base score; each repeated row is judged alike; texts of any length are read whole,
+    in slices; an empty table stays empty.
     """
     shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 

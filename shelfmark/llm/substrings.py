@@ -39,6 +39,7 @@ NO_ID = (1 << 63) - 1
 LATER = 1 << 40  # a place after all starts within a document
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+_PIECES = "doc_id bigint, _d bigint, text string, piece bigint"
 _RUN = "range int, kind int, piece bigint, hashes binary, gone binary, first binary"
 
 
@@ -69,6 +70,21 @@ def held(ascending: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (ascending[at] == values if len(ascending) else np.zeros(len(values), bool)), at
 
 
+def verified(run: np.ndarray, checks: np.ndarray, hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which hashes are in an ascending run with their check; a run may have a hash with several checks."""
+    inside, at = held(run, hashes)
+    found = inside & (checks[at] == wanted) if len(run) else inside
+    left = np.flatnonzero(inside & ~found)
+    at = at[left] + 1
+    while len(left):
+        still = at < len(run)
+        still[still] = run[at[still]] == hashes[left[still]]
+        left, at = left[still], at[still]
+        found[left] = checks[at] == wanted[left]
+        left, at = left[~found[left]], at[~found[left]] + 1
+    return found
+
+
 def repeats(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether an equal key stands earlier, by document, then by start."""
     order = np.lexsort((at, doc, keys))
@@ -162,9 +178,7 @@ def merged(key: tuple, old: pa.Table | None, new: pa.Table) -> pa.Table:
         known = np.zeros(len(h1), bool)
         for raw in old.column("hashes").to_pylist() if old is not None else ():
             if raw:
-                run, verify = restored(raw)
-                inside, at = held(run, h1)
-                known |= inside & (verify[at] == c1 if len(run) else inside)
+                known |= verified(*restored(raw), h1, c1)
         many = np.bincount(group) > 1
         # Place of each piece's first occurrence: exact where the document may be another piece's too, else after its first document.
         doc, start = np.array([r["lo"] for r in rows])[from_], np.full(len(hashes), LATER)
@@ -193,15 +207,22 @@ def merged(key: tuple, old: pa.Table | None, new: pa.Table) -> pa.Table:
         "hashes": pa.array(run, pa.binary()), "gone": pa.array(go, pa.binary()), "first": pa.array(once, pa.binary())})
 
 
-def compacted(key: tuple, table: pa.Table) -> pa.Table:
-    """One range of several runs in one; they have no hash in common."""
-    both = [restored(raw) for raw in table.column("hashes").to_pylist()]
-    hashes, checks = (np.concatenate(c) for c in zip(*both))
-    order = np.argsort(hashes, kind="stable")
-    hashes, checks = hashes[order], checks[order]
-    rows = [stored(hashes[a : a + ROW_HASHES], checks[a : a + ROW_HASHES]) for a in range(0, len(hashes), ROW_HASHES)]
-    none = pa.array([None] * len(rows), pa.binary())
-    return pa.table({"range": pa.array([key[0].as_py()] * len(rows), pa.int32()), "kind": pa.array([0] * len(rows), pa.int32()), "piece": pa.array([None] * len(rows), pa.int64()), "hashes": pa.array(rows, pa.binary()), "gone": none, "first": none})
+def compacted(ranges: int):
+    """One range of several runs in one, as the one or more ranges that it is now; the runs have no hash in common."""
+    shift = np.uint64(64 - ranges.bit_length() + 1)
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        both = [restored(raw) for raw in table.column("hashes").to_pylist()]
+        hashes, checks = (np.concatenate(c) for c in zip(*both))
+        order = np.argsort(hashes, kind="stable")
+        hashes, checks = hashes[order], checks[order]
+        of = (hashes >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(hashes), np.int64)
+        cuts = [*np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist(), len(hashes)] if len(hashes) else [0]
+        rows = [(int(of[a]), stored(hashes[a : min(a + ROW_HASHES, b)], checks[a : min(a + ROW_HASHES, b)])) for first, b in zip(cuts, cuts[1:]) for a in range(first, b, ROW_HASHES)]
+        none = pa.array([None] * len(rows), pa.binary())
+        return pa.table({"range": pa.array([r for r, _ in rows], pa.int32()), "kind": pa.array([0] * len(rows), pa.int32()), "piece": pa.array([None] * len(rows), pa.int64()), "hashes": pa.array([h for _, h in rows], pa.binary()), "gone": none, "first": none})
+
+    return work
 
 
 def stripped(window: int):
@@ -233,10 +254,20 @@ def stripped(window: int):
     return work
 
 
+def ranges_for(size: int) -> int:
+    """Ranges, a power of two, for texts of so many bytes."""
+    return max(LEAST_RANGES, 1 << (size // 6 // RANGE_HASHES).bit_length())
+
+
 class FingerprintIndex:
     """Window hashes of all documents so far, in a folder that executors share; opened again, it goes on where it was.
 
-    expected_bytes: of all texts that the index is meant for; it fixes how many ranges there are when the index is made.
+    expected_bytes: of all texts that the index is meant for; ranges are as many as those ask for, and are split when runs are
+    compacted after more has come. The manifest names each batch by a key with its run and its pieces, so that a batch that
+    comes again, after a driver was lost at whatever moment, gets the answer it got before and joins nothing twice.
+
+    A window is told by 80 bits, 64 of them in a batch's own removal, all from 64-bit hashes of words: at n windows some
+    n * n / 2**81 are taken for others.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, window: int = WINDOW, most_runs: int = MOST_RUNS, expected_bytes: int = 0) -> None:
@@ -248,9 +279,12 @@ class FingerprintIndex:
                 raise ValueError(f"the index in {self.path} is of windows of {state['window']} words")
             self.number, self.runs, self.made = max(found), state["runs"], state["made"]
             self.ranges, self.buckets, self.window = state["ranges"], state["buckets"], window
+            self.batches, self.bytes = state["batches"], state["bytes"]
         else:
             self.number, self.runs, self.made, self.window = 0, [], 0, window
-            self.ranges = max(LEAST_RANGES, 1 << (expected_bytes // 6 // RANGE_HASHES).bit_length())
+            self.batches: dict[str, dict] = {}
+            self.bytes = 0
+            self.ranges = ranges_for(expected_bytes)
             self.buckets = min(self.ranges, max(shuffle_width(spark), 12))
 
     def _hadoop(self, path: str):
@@ -268,7 +302,7 @@ class FingerprintIndex:
         self.number += 1
         draft, fs = self._hadoop(f"{self.path}/manifest/{self.number}.draft")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"window": self.window, "ranges": self.ranges, "buckets": self.buckets, "runs": self.runs, "made": self.made}).encode()))
+        out.write(bytearray(json.dumps({"window": self.window, "ranges": self.ranges, "buckets": self.buckets, "runs": self.runs, "made": self.made, "batches": self.batches, "bytes": self.bytes}).encode()))
         out.close()
         fs.rename(draft, self._hadoop(f"{self.path}/manifest/{self.number}.json")[0])
         dropped(self.spark, f"{self.path}/manifest/{self.number - 1}.json")
@@ -282,10 +316,10 @@ class FingerprintIndex:
             writer.bucketBy(self.buckets, by).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
 
-    def _table(self, path: str, columns: str, by: str, partitions: str = "") -> str:
+    def _table(self, path: str, columns: str, by: str, partitions: str = "", buckets: int = 0) -> str:
         """A name for bucketed files that are there."""
         name = f"shelfmark_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {partitions} CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {partitions} CLUSTERED BY ({by}) INTO {buckets or self.buckets} BUCKETS LOCATION '{path}'")
         return name
 
     def history(self) -> tuple[str | None, DataFrame | None]:
@@ -296,48 +330,74 @@ class FingerprintIndex:
         self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
         return name, self.spark.table(name).filter(F.col("run").isin(self.runs) & (F.col("kind") == 0)).select("range", "hashes")
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, key: str | None = None) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256, kept of each row of a batch, which joins the index.
 
         All documents of the index count as earlier than those of the batch; within it order is by doc_id, then start. The
         batch is written in pieces, its hashes merged, and its run committed, when this returns; only the removal itself
-        is still to be run. Rows as in `deduplicate`.
+        is still to be run, from what is written. Rows as in `deduplicate`. key: the batch's name, by default a digest of its
+        rows; a batch of a name that the index has is not read, but answered as before, until it is settled.
         """
-        text, key = F.coalesce("text", F.lit("")), F.col("doc_id").cast("bigint")
-        rows = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(NO_ID)).alias("_d"), F.xxhash64(text).alias("_tag"), text.alias("text"))
-        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        text, number = F.coalesce("text", F.lit("")), F.col("doc_id").cast("bigint")
+        rows = docs.select(number.alias("doc_id"), F.coalesce(number, F.lit(NO_ID)).alias("_d"), F.xxhash64(text).alias("_tag"), text.alias("text"))
+        mark = F.sum(F.xxhash64("_d", "_tag", F.xxhash64("text", F.lit(5))).cast("decimal(38,0)"))
+        size, n, digest = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), mark).first()
+        key = key or f"{n} {size} {digest}"
+        if key in self.batches:
+            return self.answer(key)
         most = min(PIECE_BYTES[1], max(PIECE_BYTES[0], 64 * self.ranges))
         parts = max(1, min(-(-size // most), 4 * self.buckets))
-        cut = rows.repartitionByRange(parts, "_d", "_tag").sortWithinPartitions("_d", "_tag").drop("_tag").mapInArrow(tidy(_pieces(most)), "doc_id bigint, _d bigint, text string, piece bigint")
-        place = f"{self.path}/batch-{uuid.uuid4().hex}"
+        cut = rows.repartitionByRange(parts, "_d", "_tag").sortWithinPartitions("_d", "_tag").drop("_tag").mapInArrow(tidy(_pieces(most)), _PIECES)
+        place = f"{self.path}/batch-{hashlib.sha256(key.encode()).hexdigest()[:32]}"
         self._bucketed(cut, place, "piece")
-        name = self._table(place, "doc_id bigint, _d bigint, text string, piece bigint", "piece")
-        pieces = self.spark.table(name)
-        blocks = pieces.groupBy("piece").applyInArrow(blocks_of(self.window, self.ranges), _BLOCKS)
+        name = self._table(place, _PIECES, "piece")
+        blocks = self.spark.table(name).groupBy("piece").applyInArrow(blocks_of(self.window, self.ranges), _BLOCKS)
         old_name, old = self.history()
         if old is None:
             rows = blocks.groupBy("range").applyInArrow(_first_batch, _RUN)
         else:
             rows = old.groupBy("range").cogroup(blocks.groupBy("range")).applyInArrow(merged, _RUN)
         self.made += 1
-        run = f"{self.path}/runs/run={self.made}"
-        self._bucketed(rows, run, "range", ("kind",))
-        told = self.spark.read.schema(_RUN).parquet(run).filter("kind = 1").select("piece", "gone", "first")
-        out = pieces.groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(stripped(self.window), RESULT)
+        self._bucketed(rows, f"{self.path}/runs/run={self.made}", "range", ("kind",))
         for table in (name, old_name):
             if table:
                 self.spark.sql(f"DROP TABLE {table}")
-        self.runs = [*self.runs, self.made]
+        self.runs, self.bytes = [*self.runs, self.made], self.bytes + size
+        self.batches[key] = {"run": self.made, "place": place, "buckets": self.buckets}
         self._commit()
+        return self.answer(key)
+
+    def answer(self, key: str) -> DataFrame:
+        """What `add` gave for a batch, from its pieces and what its run tells of them."""
+        batch = self.batches[key]
+        if batch["place"] is None:
+            raise ValueError(f"batch {key!r} is settled: its answer was read, and its pieces are gone")
+        told = self.spark.read.schema(_RUN).parquet(f"{self.path}/runs/run={batch['run']}").filter("kind = 1").select("piece", "gone", "first")
+        name = self._table(batch["place"], _PIECES, "piece", buckets=batch["buckets"])
+        out = self.spark.table(name).groupBy("piece").cogroup(told.groupBy("piece")).applyInArrow(stripped(self.window), RESULT)
+        self.spark.sql(f"DROP TABLE {name}")
         return out
 
+    def settle(self, *keys: str) -> None:
+        """Batches (all, if none is named) whose answers have been read for good: their texts and what runs tell of them go."""
+        for key in keys or list(self.batches):
+            batch = self.batches[key]
+            if batch["place"] is not None:
+                gone = [batch["place"], f"{self.path}/runs/run={batch['run']}/kind=1"]
+                self.batches[key] = batch | {"place": None}
+                self._commit()
+                dropped(self.spark, *gone)
+
     def compact(self) -> None:
-        """Merge the runs into one when they are more than most_runs; what runs tell of their batches stays."""
+        """Merge the runs into one when they are more than most_runs; what runs tell of their batches stays. Ranges are split
+        if what has come by now asks for more of them."""
         if len(self.runs) <= self.most_runs:
             return
         name, rows = self.history()
         self.made += 1
-        self._bucketed(rows.groupBy("range").applyInArrow(compacted, _RUN), f"{self.path}/runs/run={self.made}", "range", ("kind",))
+        self.ranges = max(self.ranges, ranges_for(self.bytes))
+        self.buckets = max(self.buckets, min(self.ranges, shuffle_width(self.spark)))
+        self._bucketed(rows.groupBy("range").applyInArrow(compacted(self.ranges), _RUN), f"{self.path}/runs/run={self.made}", "range", ("kind",))
         self.spark.sql(f"DROP TABLE {name}")
         old, self.runs = self.runs, [self.made]
         self._commit()
@@ -370,8 +430,9 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, p
     Every word in a window of `window` words that also starts earlier (smaller doc_id, or same document and earlier start)
     is removed; windows are of the input, not of what is left. Null and empty texts have no words; texts of fewer words
     than a window lose none. Repeated rows have one doc_id and start, so neither is earlier than the other; of several
-    texts of one doc_id earlier starts count. A null doc_id comes after all others. An empty table gives no rows. Other
-    columns are not read, so their names may clash with any here.
+    texts of one doc_id earlier starts count. A null doc_id comes after all others. An empty table gives no rows. A text of
+    any length is a piece by itself, hashed bit by bit. Other columns are not read, so their names may clash with any here.
+    On a path where the same rows were added before, all batches are answered as they were then.
     """
     rows = docs.select("doc_id", "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -380,7 +441,7 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, p
     cuts = sorted(set(cuts or []))
     key, out = F.col("doc_id").cast("bigint"), None
     for i in range(len(cuts) + 1):
-        here: Column = F.lit(True) if i < len(cuts) else F.lit(True)
+        here: Column = F.lit(True)
         if i:
             here = here & (F.coalesce(key > cuts[i - 1], F.lit(True)) if i == len(cuts) else key > cuts[i - 1])
         if i < len(cuts):

@@ -321,6 +321,51 @@ def test_index_is_opened_again_and_compacted(spark, docs, rows):
         substrings.FingerprintIndex(spark, place, window=9)
 
 
+def test_a_batch_that_comes_again_gets_its_answer(spark, docs, rows, monkeypatch):
+    """A driver is lost after each step of a batch: before its run is written, before the commit, and before the answer is read."""
+    place, got = scratch_dir(spark), Counter()
+    batch = lambda part: docs.filter("doc_id is not null").filter(f"doc_id div 16 = {part}")
+    for part in range(3):
+        for lost in ("_bucketed", "_commit", None):
+            index = substrings.FingerprintIndex(spark, place)
+            if lost:
+                with monkeypatch.context() as m:
+                    m.setattr(index, lost, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+                    with pytest.raises(OSError):
+                        index.add(batch(part))
+            else:
+                index.add(batch(part))  # the answer is never read
+        index = substrings.FingerprintIndex(spark, place)
+        runs = list(index.runs)
+        got += multiset(index.add(batch(part)), "doc_id", "n_words", "n_removed", "kept_sha256")
+        assert index.runs == runs
+        index.compact()
+    assert got == Counter({k: n for k, n in brute_removal(rows).items() if k[0] is not None})
+    index.settle()
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex(spark, place).add(batch(0))
+    assert len(index.runs) and index.add(docs.filter("doc_id = 1"), key="once more").first().n_removed > 0
+
+
+def test_ranges_are_split_when_runs_are_compacted(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "LEAST_RANGES", 2)
+    monkeypatch.setattr(substrings, "RANGE_HASHES", 200)
+    index, got = substrings.FingerprintIndex(spark, most_runs=1), Counter()
+    assert index.ranges == 2
+    for part in range(4):
+        got += multiset(index.add(docs.filter("doc_id is not null").filter(f"doc_id div 12 = {part}")), "doc_id", "n_words", "n_removed", "kept_sha256")
+        index.compact()
+    assert index.ranges > 8 and got == Counter({k: n for k, n in brute_removal(rows).items() if k[0] is not None})
+
+
+def test_equal_hashes_with_other_checks():
+    run, checks = np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 1, 2, 3, 4], "<u2")
+    wanted = [(3, 1), (3, 2), (5, 3), (5, 2), (5, 7), (9, 4), (10, 4), (0, 1)]
+    got = substrings.verified(run, checks, np.array([h for h, _ in wanted], np.uint64), np.array([c for _, c in wanted], "<u2"))
+    assert got.tolist() == [True, False, True, True, False, True, False, False]
+    assert not substrings.verified(run[:0], checks[:0], run, checks).any()
+
+
 def test_history_is_not_shuffled(spark, docs):
     index = substrings.FingerprintIndex(spark)
     index.add(docs.filter("doc_id < 20"))

@@ -62,13 +62,13 @@ def merge_registry(registry: DataFrame, disk: DataFrame) -> DataFrame:
     return both.select(F.coalesce("rn", "dn").alias("name"), description.alias("description"), visibility.alias("visibility"), (visibility != "ready").alias("excluded"), F.when(listed, "registry").otherwise("disk").alias("origin"))
 
 
-def variants(ready: DataFrame, others: DataFrame, least: int = 4) -> DataFrame:
+def variants(ready: DataFrame, others: DataFrame, least: int = 4, names: bool = True) -> DataFrame:
     """name, variant_of, jaccard: off-list names that go on from a listed one by a hyphen, or it from them, if their texts agree.
 
-    Names are joined by equality on hyphen prefixes; of several listed ones the most similar, then the first, is taken.
+    names: whether a name's own terms are of its text. Names are joined by equality on hyphen prefixes; of several listed ones the most similar, then the first, is taken.
     """
     def rows(df):
-        return df.select("name", F.lower("name").alias("low"), "ord", T.terms(T.joined(F.col("name"), F.col("description"), F.concat_ws(" ", "triggers"))).alias("t"))
+        return df.select("name", F.lower("name").alias("low"), "ord", T.terms(T.joined(*([F.col("name")] if names else []), F.col("description"), F.concat_ws(" ", "triggers"))).alias("t"))
 
     def prefixes(df):
         parts = F.split("low", "-")
@@ -83,6 +83,61 @@ def variants(ready: DataFrame, others: DataFrame, least: int = 4) -> DataFrame:
     return first_seen(pairs, F.col("name"), F.col("jaccard").desc(), "ord").select("name", F.col("of").alias("variant_of"), F.bround("jaccard", 6).alias("jaccard"))
 
 
+#: What an entry of a list says; an entry whose signature over these is as it was has not changed.
+SIGNED = ("description", "triggers", "path", "category", "platform", "excluded", "agents", "agent_bound", "description_zh")
+INDEXED = "name string, description string, triggers array<string>, path string, mtime bigint, ord string, visibility string, excluded boolean, exclude_reason string, variant_of string, origin string, signature string"
+OFF_LIST = "not on the list of what can be used"
+
+
+def signed(listed: DataFrame) -> DataFrame:
+    """listed with a signature over SIGNED; of a column that it lacks as null."""
+    fields = [(F.col(c) if c in listed.columns else F.lit(None)).alias(c) for c in SIGNED]
+    return listed.withColumn("signature", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256))
+
+
+def reconcile(listed: DataFrame, disk: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """The next index out of a list, what is on disk, and the last index: INDEXED columns and change; rows that go say removed.
+
+    listed: name, description, triggers, visibility (ready or blocked), ord, and others of SIGNED; disk: name, description,
+    triggers, path, mtime, ord; last: what this gave before, less removed rows. The list comes first: its entries are added,
+    updated by signature, or kept as they were. What else is on disk is off-list, unless it is a variant of a ready entry by
+    name and text, then it can be used. A disk entry of a path whose time is as it was is taken from the last index. A variant
+    whose base is gone falls back, which updates it; one that stays a variant is no change, so a second run changes nothing.
+    The first entry of a name counts on either side. All joins are by name or path.
+    """
+    low = lambda df: df.withColumn("low", F.lower("name"))
+    spark = listed.sparkSession
+    last = spark.createDataFrame([], INDEXED) if last is None else last.filter("change <> 'removed'") if "change" in last.columns else last
+    last = low(last.select(*[c.split()[0] for c in INDEXED.split(", ")]))
+    names = [c.split()[0] for c in INDEXED.split(", ")]
+    mtime = F.col("mtime").cast("bigint") if "mtime" in listed.columns else F.lit(None).cast("bigint")
+    path = F.col("path") if "path" in listed.columns else F.lit(None).cast("string")
+    now = low(first_seen(signed(listed.withColumn("excluded", ~F.col("visibility").eqNullSafe("ready"))), F.lower("name"), "ord"))
+    now = now.select("low", F.struct("name", "description", "triggers", path.alias("path"), mtime.alias("mtime"), "ord", "visibility", "excluded", F.when(F.col("excluded"), F.concat(F.lit("listed as "), F.col("visibility"))).alias("exclude_reason"), F.lit(None).cast("string").alias("variant_of"), F.lit("list").alias("origin"), "signature").alias("n"))
+    before = last.filter("origin = 'list'").select("low", F.struct(*names).alias("o"))
+    both = now.join(before, "low", "full")
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o.signature") == F.col("n.signature"), "kept").otherwise("updated")
+    of_list = both.withColumn("change", change).withColumn("e", F.when(F.col("change").isin("kept", "removed"), F.col("o")).otherwise(F.col("n"))).select("low", "e.*", "change")
+
+    found = disk.select("path", F.col("mtime").cast("bigint").alias("mtime"), F.struct("name", "description", "triggers", "ord").alias("n"))
+    held = last.filter("origin = 'disk'")
+    known = held.select("path", F.col("mtime").alias("was"), F.struct("name", "description", "triggers", "ord").alias("o"))
+    same = F.coalesce(F.col("was") == F.col("mtime"), F.lit(False))
+    read = found.join(known, "path", "left").select("path", "mtime", F.when(same, F.col("o")).otherwise(F.col("n")).alias("e"), (~same).alias("read")).select("path", "mtime", "e.*", "read")
+    ours = low(first_seen(read, F.lower("name"), "ord")).join(now.select("low"), "low", "left_anti")
+    ready = now.filter("n.visibility = 'ready'").select("n.*")
+    bases = variants(ready, ours, names=False).select(F.lower("name").alias("low"), F.lower("variant_of").alias("variant_of"))
+    was = held.select("low", F.col("variant_of").isNotNull().alias("was_variant"))
+    rows = ours.join(bases, "low", "left").join(was, "low", "left")
+    is_variant = F.col("variant_of").isNotNull()
+    change = F.when(F.col("was_variant").isNull(), "added").when((is_variant != F.col("was_variant")) | F.col("read") & ~is_variant, "updated").otherwise("kept")
+    of_disk = rows.select(
+        "low", "name", "description", "triggers", "path", "mtime", "ord", F.when(is_variant, "ready").otherwise("off-list").alias("visibility"), (~is_variant).alias("excluded"),
+        F.when(~is_variant, OFF_LIST).alias("exclude_reason"), "variant_of", F.lit("disk").alias("origin"), F.lit(None).cast("string").alias("signature"), change.alias("change"))
+    lost = held.join(ours.select("low"), "low", "left_anti").select("low", *names).withColumn("change", F.lit("removed"))
+    return of_list.unionByName(of_disk).unionByName(lost).drop("low")
+
+
 def upsert(old: DataFrame, new: DataFrame, compare_triggers: bool = False) -> DataFrame:
     """name, description, path, triggers, change: new rows win unless description and path are what they were."""
     o = old.select(F.lower("name").alias("low"), F.struct("name", "description", "path", "triggers").alias("o"))

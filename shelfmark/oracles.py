@@ -152,6 +152,32 @@ ORACLES: dict[str, str] = {
     "variants": f"""WITH {ENTRIES}, o AS (SELECT name || '-v2' AS name, {latin('''name || '-v2 ' || description || ' ' || array_to_string(triggers, ' ')''')} AS t FROM entries WHERE doc_id % 6 = 1), r AS (SELECT name, ord, {latin(ALL_TEXT)} AS t FROM entries WHERE visibility = 'ready'),
       p AS (SELECT o.name, r.name AS variant_of, r.ord, len(list_intersect(o.t, r.t)) AS i, len(list_distinct(list_concat(o.t, r.t))) AS u FROM o JOIN r ON starts_with(o.name, r.name || '-') AND len(r.name) >= 4)
       SELECT name, variant_of, round_even(i::DOUBLE / u, 6)::DOUBLE AS jaccard FROM p WHERE i >= 2 AND i::DOUBLE / u >= 0.12""",
+    "reconcile": f"""WITH {ENTRIES}, l AS (SELECT unnest([1, 2]) AS run, doc_id, name, description, triggers, ord, visibility, type FROM entries),
+      li AS (SELECT run, name, CASE WHEN doc_id % 10 = 5 AND run = 2 THEN description || ' rewritten' ELSE description END AS description, triggers, ord, visibility FROM l WHERE visibility <> 'off-list' AND doc_id % 10 <> run),
+      di AS (SELECT run, doc_id, CASE WHEN doc_id % 6 = 1 THEN name || '-v2' ELSE name END AS name, description, triggers, ord, doc_id % 11 = 3 AND run = 2 AS touched FROM l WHERE doc_id % 7 <> run),
+      off AS (SELECT di.* FROM di ANTI JOIN li ON li.run = di.run AND lower(li.name) = lower(di.name)),
+      tx AS (SELECT run, name, ord, {latin("description || ' ' || array_to_string(triggers, ' ')")} AS t FROM li WHERE visibility = 'ready'),
+      pr AS (SELECT o.run, o.name, tx.name AS base, tx.ord, len(list_intersect({latin("o.description || ' ' || array_to_string(o.triggers, ' ')")}, tx.t)) AS i, len(list_distinct(list_concat({latin("o.description || ' ' || array_to_string(o.triggers, ' ')")}, tx.t))) AS u
+        FROM off o JOIN tx ON tx.run = o.run AND least(len(o.name), len(tx.name)) >= 4 AND (starts_with(lower(o.name), lower(tx.name) || '-') OR starts_with(lower(tx.name), lower(o.name) || '-'))),
+      va AS (SELECT run, name, base FROM (SELECT *, row_number() OVER (PARTITION BY run, name ORDER BY i::DOUBLE / u DESC, ord) AS r FROM pr WHERE i >= 2 AND i::DOUBLE / u >= 0.12) WHERE r = 1),
+      ix AS (SELECT o.*, lower(va.base) AS variant_of FROM off o LEFT JOIN va ON va.run = o.run AND va.name = o.name)
+      SELECT coalesce(n.name, o.name) AS name, 'list' AS origin, CASE WHEN coalesce(n.visibility, o.visibility) = 'ready' THEN 'ready' ELSE 'blocked' END AS visibility, coalesce(n.visibility, o.visibility) <> 'ready' AS excluded, CAST(NULL AS VARCHAR) AS variant_of,
+        CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' WHEN n.description = o.description THEN 'kept' ELSE 'updated' END AS change
+      FROM (SELECT * FROM li WHERE run = 2) n FULL JOIN (SELECT * FROM li WHERE run = 1) o ON o.name = n.name
+      UNION ALL SELECT coalesce(n.name, o.name), 'disk', CASE WHEN CASE WHEN n.name IS NULL THEN o.variant_of ELSE n.variant_of END IS NULL THEN 'off-list' ELSE 'ready' END,
+        CASE WHEN n.name IS NULL THEN o.variant_of ELSE n.variant_of END IS NULL, CASE WHEN n.name IS NULL THEN o.variant_of ELSE n.variant_of END,
+        CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' WHEN (n.variant_of IS NULL) <> (o.variant_of IS NULL) OR (n.touched AND n.variant_of IS NULL) THEN 'updated' ELSE 'kept' END
+      FROM (SELECT * FROM ix WHERE run = 2) n FULL JOIN (SELECT * FROM ix WHERE run = 1) o ON o.name = n.name""",
+    "index_generations": f"""WITH {ENTRIES}, g AS (SELECT unnest([1, 2]) AS generation, * FROM entries), ge AS (SELECT * FROM g WHERE generation = 2 OR doc_id % 3 <> 0),
+      ns AS (SELECT *, lower(regexp_split_to_array(name, '[-_.]')[1]) AS ns FROM ge WHERE len(regexp_split_to_array(name, '[-_.]')) >= 2 AND len(regexp_split_to_array(name, '[-_.]')[1]) >= 3),
+      fm AS (SELECT generation, ns, count(*) AS n, min(id) AS root FROM ns GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40),
+      ed AS (SELECT a.generation, a.id AS source FROM ns a JOIN ns b ON a.generation = b.generation AND a.ns = b.ns AND a.id < b.id JOIN fm f ON f.generation = a.generation AND f.ns = a.ns WHERE f.n <= 6
+        UNION ALL SELECT f.generation, f.root FROM ns a JOIN fm f ON f.generation = a.generation AND f.ns = a.ns WHERE f.n > 6 AND a.id <> f.root)
+      SELECT CAST(generation AS BIGINT) AS generation, id, type, visibility, (SELECT count(*) FROM ed WHERE ed.generation = ge.generation AND ed.source = ge.id) AS edges FROM ge""",
+    "content_update": """WITH k AS (SELECT doc_id % 4 AS k, doc_id % 8 AS m FROM documents), c AS (
+      SELECT 1 AS run, 'added' AS change FROM k WHERE k <> 3
+      UNION ALL SELECT 2, CASE k WHEN 0 THEN 'kept' WHEN 1 THEN 'updated' WHEN 2 THEN 'removed' ELSE 'added' END FROM k WHERE k <> 3 OR m = 3 UNION ALL SELECT 2, 'added' FROM k WHERE k = 2
+      UNION ALL SELECT 3, CASE WHEN k <> 3 OR m = 3 THEN 'kept' ELSE 'added' END FROM k) SELECT CAST(run AS BIGINT) AS run, change, count(*) AS files FROM c GROUP BY run, change""",
     "ledger_gap": f"WITH {EVENTS} SELECT query, count(*) AS n FROM hits WHERE kind = 'search' AND n_hits = 0 GROUP BY query ORDER BY n DESC, query LIMIT 10",
     "ledger_hits": f"WITH {EVENTS} SELECT skill, count(*) AS n FROM hits WHERE n_hits > 0 AND kind <> 'adopt' GROUP BY skill",
     "ledger_adopt": f"WITH {EVENTS} SELECT skill, count(*) AS n FROM hits WHERE kind = 'adopt' GROUP BY skill",
@@ -185,3 +211,5 @@ ORACLES: dict[str, str] = {
       f AS (SELECT *, CASE WHEN len(every) > 0 THEN list_slice(every, 1, 3) WHEN regexp_matches(lower(text), '{"|".join(map(re.escape, PIPELINE_CUES))}') THEN ['pipeline', 'chat', 'search'] WHEN regexp_matches(lower(text), '{"|".join(map(re.escape, QUESTION_CUES))}') THEN ['chat', 'search'] ELSE ['{DEFAULT_ROUTE}'] END AS final FROM a)
       SELECT conv_id, turn, final[1] AS command, array_to_string(final, ',') AS alternatives FROM f""",
 }
+
+ORACLES |= {"content_frequencies": ORACLES["chunk_postings"], "content_search_kept": ORACLES["content_search"]}

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.operators import catalog, chunks, graph, ledger, reports, retrieval
+from shelfmark.operators import catalog, chunks, content, graph, ledger, reports, retrieval
 from shelfmark.oracles import ORACLES
 from shelfmark.plans import planner
 from shelfmark.schema import PROMOTE_AT, Search
+from shelfmark.shared import shared_dir
 from shelfmark.sources import tables
+from shelfmark.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,6 +418,83 @@ def variants(spark, d):
     return catalog.variants(e.filter("visibility = 'ready'"), off)
 
 
+def _listed(e: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
+    """A list and a disk of two moments: entries come, change and go, and move between them; some of the disk have names of bases."""
+    on = e.filter(f"visibility <> 'off-list' and doc_id % 10 <> {run}")
+    rewritten = F.when((F.col("doc_id") % 10 == 5) & F.lit(run == 2), F.concat("description", F.lit(" rewritten"))).otherwise(F.col("description"))
+    listed = on.select("name", rewritten.alias("description"), "triggers", "ord", F.when(F.col("visibility") == "ready", "ready").otherwise("blocked").alias("visibility"))
+    disk = e.filter(f"doc_id % 7 <> {run}").withColumn("name", F.when(F.col("doc_id") % 6 == 1, F.concat("name", F.lit("-v2"))).otherwise(F.col("name")))
+    mtime = F.length("full_text").cast("bigint") + F.when((F.col("doc_id") % 11 == 3) & F.lit(run == 2), 1).otherwise(0)
+    return listed, disk.select("name", "description", "triggers", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), mtime.alias("mtime"), "ord")
+
+
+@query
+def reconcile(spark, d):
+    """The second of two runs over a list and a disk that changed between them, the index kept in generations."""
+    e, store = tables.entries(spark, d), Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    last = store.commit(store.current(), {"index": catalog.reconcile(*_listed(e, 1))})
+    done = store.commit(last, {"index": catalog.reconcile(*_listed(e, 2), store.read(last, "index"))})
+    return store.read(done, "index").select("name", "origin", "visibility", "excluded", "variant_of", "change")
+
+
+@query
+def index_generations(spark, d):
+    """Entries that two generations of an index have, as a reader of the first sees them beside one of the second."""
+    e, store = tables.entries(spark, d), Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    some = e.filter("doc_id % 3 <> 0")
+    first = store.commit(store.current(), {"entries": some.select("id", "type", "visibility"), "edges": graph.family_edges(some).select("source", "target")})
+    second = store.commit(first, {"entries": e.select("id", "type", "visibility"), "edges": graph.family_edges(e).select("source", "target")})
+    out = None
+    for g in (first, store.current()):
+        degree = store.read(g, "edges").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("edges"))
+        one = store.read(g, "entries").join(degree, "id", "left").select(F.lit(g.number - first.number + 1).cast("bigint").alias("generation"), "id", "type", "visibility", F.coalesce("edges", F.lit(0)).alias("edges"))
+        out = one if out is None else out.unionByName(one)
+    assert second.number == first.number + 1
+    return out
+
+
+def _file_states(spark, d) -> list[DataFrame]:
+    """Files at three moments; the last is of all documents. A fourth of them comes late, a fourth changes, others go."""
+    files, kind = _files(spark, d), F.col("doc_id") % 4
+    lines = F.when(kind == 1, F.reverse("lines")).otherwise(F.col("lines"))
+    first = files.filter(kind != 3).select("skill", F.when(kind == 2, F.concat("file", F.lit(".old"))).otherwise(F.col("file")).alias("file"), F.lit(1).cast("bigint").alias("mtime"), lines.alias("lines"))
+    second = files.filter((kind != 3) | (F.col("doc_id") % 8 == 3)).select("skill", "file", F.when(kind == 1, 2).otherwise(1).cast("bigint").alias("mtime"), "lines")
+    return [first, second, files.select("skill", "file", F.when(kind == 1, 2).otherwise(1).cast("bigint").alias("mtime"), "lines")]
+
+
+def _updated(spark, d) -> tuple[Store, object, list[DataFrame]]:
+    store, told, index = Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"), [], None
+    for files in _file_states(spark, d):
+        index, counts = content.update(store, files, chunks.plain_chunks, most=1 << 30)
+        told.append(counts)
+    return store, index, told
+
+
+@query
+def content_update(spark, d):
+    """What each of three updates of a kept content index changed, of each kind how many files."""
+    _, _, told = _updated(spark, d)
+    out = None
+    for i, counts in enumerate(told, 1):
+        one = counts.select(F.lit(i).cast("bigint").alias("run"), "change", F.col("count").alias("files"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def content_frequencies(spark, d):
+    """Document frequencies of a content index that was updated twice, kept by adding and subtracting."""
+    store, index, _ = _updated(spark, d)
+    return content.frequencies(store, index).select("term", F.col("df").alias("n"))
+
+
+@query
+def content_search_kept(spark, d):
+    """content_search over an index that was updated twice."""
+    store, index, _ = _updated(spark, d)
+    return content.search(store, index, tables.queries(spark, d))
+
+
 @query
 def catalog_fingerprint(spark, d):
     return catalog.fingerprint(tables.entries(spark, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.schema import EDGE_MIN_JACCARD
+from shelfmark.shared import tabled
 
 #: Entity types by priority when a name is used twice.
 TYPE_PRIORITY = ("skill", "mcp", "connector", "agent")
@@ -114,6 +115,7 @@ def reconcile(listed: DataFrame, disk: DataFrame, last: DataFrame | None = None)
     path = F.col("path") if "path" in listed.columns else F.lit(None).cast("string")
     now = low(first_seen(signed(listed.withColumn("excluded", ~F.col("visibility").eqNullSafe("ready"))), F.lower("name"), "ord"))
     now = now.select("low", F.struct("name", "description", "triggers", path.alias("path"), mtime.alias("mtime"), "ord", "visibility", "excluded", F.when(F.col("excluded"), F.concat(F.lit("listed as "), F.col("visibility"))).alias("exclude_reason"), F.lit(None).cast("string").alias("variant_of"), F.lit("list").alias("origin"), "signature").alias("n"))
+    now = tabled(now)
     before = last.filter("origin = 'list'").select("low", F.struct(*names).alias("o"))
     both = now.join(before, "low", "full")
     change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o.signature") == F.col("n.signature"), "kept").otherwise("updated")
@@ -124,7 +126,7 @@ def reconcile(listed: DataFrame, disk: DataFrame, last: DataFrame | None = None)
     known = held.select("path", F.col("mtime").alias("was"), F.struct("name", "description", "triggers", "ord").alias("o"))
     same = F.coalesce(F.col("was") == F.col("mtime"), F.lit(False))
     read = found.join(known, "path", "left").select("path", "mtime", F.when(same, F.col("o")).otherwise(F.col("n")).alias("e"), (~same).alias("read")).select("path", "mtime", "e.*", "read")
-    ours = low(first_seen(read, F.lower("name"), "ord")).join(now.select("low"), "low", "left_anti")
+    ours = tabled(low(first_seen(read, F.lower("name"), "ord")).join(now.select("low"), "low", "left_anti"))
     ready = now.filter("n.visibility = 'ready'").select("n.*")
     bases = variants(ready, ours, names=False).select(F.lower("name").alias("low"), F.lower("variant_of").alias("variant_of"))
     was = held.select("low", F.col("variant_of").isNotNull().alias("was_variant"))

@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import dealt_join
-from shelfmark.shared import settled
+from shelfmark.shared import settled, tabled
 
 CALLS = "conv_id bigint, call_id string, name string, arguments string, after array<string>, place bigint"
-DEPTH = 4  # levels of nested values that are checked against a schema, from the arguments themselves on
+IN_ROW = 2_000  # calls of a conversation that are put in order within one row; larger conversations go by rounds
 SCHEMA_BYTES = 8_000_000  # of names and schemas in all, up to which they are broadcast
 #: What can be wrong with a call; the first that holds is told.
-FAULTS = ("unknown_tool", "not_json", "missing", "type", "extra", "value")
+FAULTS = ("unknown_tool", "not_json", "missing", "type", "extra", "value", "unsupported_schema")
+#: Keywords of a schema that are checked, and those that ask for nothing; any other is told as unsupported_schema.
+CHECKED = ("type", "required", "properties", "additionalProperties", "items", "enum", "const", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "pattern")
+ASK_NOTHING = ("title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly")
 
 #: The schemas of the two tools that plain turns are read as calls of.
 TURN_SCHEMAS = (
@@ -28,21 +31,46 @@ TURN_SCHEMAS = (
 )
 
 
-def _levels(calls: DataFrame) -> DataFrame:
+def _levels(calls: DataFrame, in_row: int = IN_ROW) -> DataFrame:
     """conv_id, call_id, level for conversations where a call depends on one at a later place.
 
-    A round gives the next level to calls that wait for nothing, and takes them off the counts of those that wait for them;
-    it is a join on identifiers and cuts its lineage by a checkpoint. What still waits when a round frees nothing is in a
-    cycle, or behind one, and gets level -1.
+    The level is the number of calls in the longest chain that a call waits for; a call in a cycle, or behind one, has level
+    -1. A conversation of up to in_row calls is one row of numbers; larger ones go by rounds over joins.
     """
     deps = calls.select("conv_id", "call_id", "place", F.explode("after").alias("dep"))
     links = deps.join(calls.select("conv_id", F.col("call_id").alias("dep"), F.col("place").alias("dep_place")), ["conv_id", "dep"]).filter("dep <> call_id")
     odd = links.filter("dep_place > place").select("conv_id").distinct()
-    links = settled(links.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct())
-    if links.isEmpty():
-        return calls.sparkSession.createDataFrame([], "conv_id bigint, call_id string, level int")
-    waits = links.groupBy("conv_id", "call_id").agg(F.count("*").alias("waits"))
+    links = tabled(links.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct())
+    waits = links.groupBy("conv_id", "call_id").agg(F.collect_list("dep").alias("deps"))
     state = calls.join(links.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "call_id").distinct()
+    many = tabled(state.groupBy("conv_id").count().filter(F.col("count") > in_row).select("conv_id"))
+    rows = state.join(many, "conv_id", "left_anti").join(waits, ["conv_id", "call_id"], "left").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("call_id", "deps"))).alias("calls"))
+    near = rows.select("conv_id", F.explode(F.arrays_zip(F.col("calls.call_id").alias("call_id"), longest_chains("calls").alias("level"))).alias("x")).select("conv_id", "x.call_id", F.col("x.level").cast("int").alias("level"))
+    if many.isEmpty():
+        return near
+    return near.unionByName(_rounds(state.join(many, "conv_id", "left_semi"), links.join(many, "conv_id", "left_semi")))
+
+
+def longest_chains(calls: str) -> Column:
+    """Levels of an array of (call_id, deps): each pass gives a call one more than the highest of those it waits for, until
+    nothing changes; what still grows after as many passes as there are calls waits for itself."""
+    none = F.array().cast("array<int>")
+    ids = F.transform(calls, lambda c: c["call_id"])
+    places = F.transform(calls, lambda c: F.coalesce(F.transform(c["deps"], lambda d: (F.array_position(ids, d) - 1).cast("int")), none))
+    start = F.transform(calls, lambda c: F.lit(0))
+
+    def climbed(wait: Column) -> Column:
+        passed = lambda now: F.transform(wait, lambda own: F.coalesce(F.array_max(F.transform(own, lambda i: F.get(now, i))) + 1, F.lit(0)))
+        step = lambda a, _: F.when(a["still"], a).otherwise(_let(passed(a["now"]), lambda n: F.struct(n.alias("now"), (n == a["now"]).alias("still"))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(wait)), F.struct(start.alias("now"), F.lit(False).alias("still")), step, lambda a: a["now"])
+
+    return F.transform(_let(places, climbed), lambda n: F.when(n >= F.size(calls), -1).otherwise(n))
+
+
+def _rounds(state: DataFrame, links: DataFrame) -> DataFrame:
+    """Levels by rounds: each gives the next level to calls that wait for nothing, and takes them off the counts of those that
+    wait for them. What still waits when a round frees nothing is in a cycle, or behind one."""
+    waits = links.groupBy("conv_id", "call_id").agg(F.count("*").alias("waits"))
     state = state.join(waits, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(None).cast("int").alias("level"))
     for level in count():
         state = settled(state.withColumn("level", F.coalesce("level", F.when(F.col("waits") == 0, F.lit(level)))))
@@ -67,40 +95,57 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def faults(value: Column, schema: Column, depth: int = DEPTH) -> Column:
-    """What of FAULTS a variant has against a JSON schema (a variant), as places in FAULTS: type (one or a list), required,
-    properties, additionalProperties false, items, enum, minimum, maximum, minLength and maxLength, nested `depth` levels deep."""
-    strings, none = "array<string>", F.array().cast("array<string>")
+def faults(value: Column, schema: Column, depth: int) -> Column:
+    """What of FAULTS a variant has against a JSON schema (a variant), as places in FAULTS, by the keywords in CHECKED.
+
+    A level's values are checked together, and lead to those of the next; `depth` levels, as many as schemas have.
+    """
+    pairs = lambda v, s: F.struct(v.alias("v"), s.alias("s"))
+    begin = F.struct(F.array(pairs(value, schema)).alias("todo"), F.array().cast("array<int>").alias("found"))
+
+    def step(a: Column, _: Column) -> Column:
+        told = F.transform(a["todo"], lambda x: _told(x["v"], x["s"]))
+        return F.when(F.size(a["todo"]) == 0, a).otherwise(_let(told, lambda t: F.struct(
+            F.flatten(F.transform(t, lambda x: x["within"])).alias("todo"), F.concat(a["found"], F.flatten(F.transform(t, lambda x: x["found"]))).alias("found"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), begin, step, lambda a: a["found"])
+
+
+def _told(value: Column, schema: Column) -> Column:
+    """found: a value's own faults; within: the values in it, each with its schema."""
+    strings, none, no = "array<string>", F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(False))
     of = lambda path, kind: F.try_variant_get(schema, path, kind)
+    place = lambda name: F.lit(FAULTS.index(name))
+    names = lambda m: F.coalesce(F.map_keys(m), none)
     kinds = F.coalesce(of("$.type", strings), F.when(F.schema_of_variant(of("$.type", "variant")) == "STRING", F.array(of("$.type", "string"))), none)
     t = F.schema_of_variant(value)
-    given = F.when(t.startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>"))
-    parts = F.struct(t.alias("t"), given.alias("given"), kinds.alias("kinds"), of("$.properties", "map<string,variant>").alias("known"))
-    return _let(parts, lambda b: _faults(value, b, of, depth))
-
+    parts = F.struct(
+        t.alias("t"), F.when(t.startswith("OBJECT"), F.try_variant_get(value, "$", "map<string,variant>")).alias("given"),
+        F.when(t.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")).alias("items"), kinds.alias("kinds"), of("$.properties", "map<string,variant>").alias("known"))
 
-def _faults(value: Column, b: Column, of, depth: int) -> Column:
-    none, no = F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(False))
-    t, given, known = b["t"], b["given"], b["known"]
-    names = lambda m: F.coalesce(F.map_keys(m), none)
-    place = lambda name: F.lit(FAULTS.index(name))
-    beyond = lambda n, least, most, kind: no(n < of(least, kind)) | no(n > of(most, kind))
-    of_value = F.when(_is(F.lit("number"), t), beyond(F.try_variant_get(value, "$", "double"), "$.minimum", "$.maximum", "double")).when(
-        t == "STRING", beyond(F.length(F.try_variant_get(value, "$", "string")), "$.minLength", "$.maxLength", "bigint"))
-    lacks = lambda have, asked: F.size(F.array_except(asked, have)) > 0
-    found = F.array_compact(F.array(
-        F.when(given.isNotNull() & no(lacks(names(given), F.array_compact(of("$.required", "array<string>")))), place("missing")),
-        F.when((F.size(b["kinds"]) > 0) & ~no(F.exists(b["kinds"], lambda k: _is(k, t))), place("type")),
-        F.when(given.isNotNull() & no(~of("$.additionalProperties", "boolean")) & lacks(names(known), names(given)), place("extra")),
-        F.when(no(~F.exists(of("$.enum", "array<variant>"), lambda e: F.to_json(e) == F.to_json(value))) | no(of_value), place("value"))))
-    if depth > 1:
-        pairs = "array<struct<v:variant,s:variant>>"
+    def body(b: Column) -> Column:
+        t, given, items, known = b["t"], b["given"], b["items"], b["known"]
+        beyond = lambda n, least, most, kind: no(n < of(least, kind)) | no(n > of(most, kind))
+        text = F.try_variant_get(value, "$", "string")
+        of_value = F.when(_is(F.lit("number"), t), beyond(F.try_variant_get(value, "$", "double"), "$.minimum", "$.maximum", "double")).when(
+            t == "STRING", beyond(F.length(text), "$.minLength", "$.maxLength", "bigint") | no(~F.rlike(text, of("$.pattern", "string")))).when(
+            t.startswith("ARRAY"), beyond(F.size(items), "$.minItems", "$.maxItems", "bigint"))
+        other = no(~F.exists(of("$.enum", "array<variant>"), lambda e: F.to_json(e) == F.to_json(value))) | no(F.to_json(of("$.const", "variant")) != F.to_json(value))
+        lacks = lambda have, asked: F.size(F.array_except(asked, have)) > 0
+        asked = names(F.try_variant_get(schema, "$", "map<string,variant>"))
+        more = of("$.additionalProperties", "variant")
+        odd = lacks(F.array(*map(F.lit, (*CHECKED, *ASK_NOTHING))), asked) | no(F.schema_of_variant(more) != "BOOLEAN")
+        found = F.array_compact(F.array(
+            F.when(given.isNotNull() & no(lacks(names(given), F.array_compact(of("$.required", strings)))), place("missing")),
+            F.when((F.size(b["kinds"]) > 0) & ~no(F.exists(b["kinds"], lambda k: _is(k, t))), place("type")),
+            F.when(given.isNotNull() & no(~of("$.additionalProperties", "boolean")) & lacks(names(known), names(given)), place("extra")),
+            F.when(other | no(of_value), place("value")), F.when(odd, place("unsupported_schema"))))
         entries = F.transform(F.array_intersect(names(given), names(known)), lambda k: F.struct(F.element_at(given, k).alias("v"), F.element_at(known, k).alias("s")))
-        items = of("$.items", "variant")
-        elements = F.when(t.startswith("ARRAY") & items.isNotNull(), F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.struct(v.alias("v"), items.alias("s"))))
-        within = F.concat(entries, F.coalesce(elements, F.array().cast(pairs)))
-        found = F.concat(found, F.flatten(F.transform(within, lambda x: faults(x["v"], x["s"], depth - 1))))
-    return found
+        one = of("$.items", "variant")
+        elements = F.when(one.isNotNull(), F.transform(items, lambda v: F.struct(v.alias("v"), one.alias("s"))))
+        return F.struct(found.alias("found"), F.concat(entries, F.coalesce(elements, F.array().cast("array<struct<v:variant,s:variant>>"))).alias("within"))
+
+    return _let(parts, body)
 
 
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -110,12 +155,15 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     of up to SCHEMA_BYTES in all, as counted, are broadcast; larger tables are joined with hot names dealt.
     """
     known = schemas.filter("name is not null").groupBy("name").agg(F.min("schema").alias("schema"))
-    size = known.agg(F.sum(F.octet_length("name") + F.coalesce(F.octet_length("schema"), F.lit(0)) + 16)).first()[0] or 0
+    # A schema is at most as deep as it has keywords that lead to others.
+    nested = F.regexp_count(F.coalesce("schema", F.lit("")), F.lit('"(properties|items)"')) + 1
+    size, depth = known.agg(F.sum(F.octet_length("name") + F.coalesce(F.octet_length("schema"), F.lit(0)) + 16), F.max(nested)).first()
+    size = size or 0
     known = known.select("name", F.lit(True).alias("known"), F.try_parse_json("schema").alias("schema"))
     both = calls.join(F.broadcast(known), "name", "left") if size <= SCHEMA_BYTES else dealt_join(calls, known, ["name"], calls.count())
     both = both.withColumn("parsed", F.try_parse_json("arguments"))
     is_object = F.coalesce(F.schema_of_variant("parsed").startswith("OBJECT"), F.lit(False))
-    told = F.get(F.array(*map(F.lit, FAULTS)), F.array_min(faults(F.col("parsed"), F.col("schema"))))
+    told = F.get(F.array(*map(F.lit, FAULTS)), F.array_min(faults(F.col("parsed"), F.col("schema"), depth or 1)))
     fault = F.when(F.col("known").isNull(), "unknown_tool").when(~is_object, "not_json").otherwise(told)
     return both.withColumn("fault", fault).drop("schema", "known")
 
@@ -201,9 +249,10 @@ c AS (
   FROM t WHERE is_call),
 d AS (SELECT DISTINCT a.conv_id, a.turn, b.turn AS dep FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 2, a.words % 8) WHERE a.turn <> b.turn AND a.role = 'user'),
 odd AS (SELECT DISTINCT conv_id FROM d WHERE dep > turn),
+size AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id),
 walk AS (SELECT conv_id, turn, turn AS at, 0 AS steps FROM c WHERE conv_id IN (SELECT conv_id FROM odd)
-  UNION SELECT w.conv_id, w.turn, d.dep, w.steps + 1 FROM walk w JOIN d ON d.conv_id = w.conv_id AND d.turn = w.at WHERE w.steps < 10),
-levels AS (SELECT conv_id, turn, CASE WHEN max(steps) = 10 THEN 2147483646 ELSE max(steps) END AS level FROM walk GROUP BY conv_id, turn),
+  UNION SELECT w.conv_id, w.turn, d.dep, w.steps + 1 FROM walk w JOIN d ON d.conv_id = w.conv_id AND d.turn = w.at JOIN size s ON s.conv_id = w.conv_id WHERE w.steps < s.n),
+levels AS (SELECT conv_id, turn, CASE WHEN max(steps) = max(n) THEN 2147483646 ELSE max(steps) END AS level FROM walk JOIN size USING (conv_id) GROUP BY conv_id, turn),
 lc AS (SELECT c.*, coalesce(level, 0) AS level FROM c LEFT JOIN levels USING (conv_id, turn)),
 r AS (SELECT a.conv_id, a.turn, 'turn-' || (a.turn - 1) AS call_id, a.text, c.turn AS call_turn, c.level FROM t a LEFT JOIN lc c ON a.conv_id = c.conv_id AND c.turn = a.turn - 1 WHERE NOT a.is_call),
 m AS (

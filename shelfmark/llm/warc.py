@@ -20,6 +20,7 @@ from shelfmark.llm.common import HEAVY_KEYS, dealt_join, tidy, written
 
 SMALLEST_SHARED = 100  # bytes from which equal payloads are written once
 FILE_BYTES = 32 << 20  # of an archive before it is compressed, by the mean size of payloads
+LARGE_PAYLOAD, MOST_BYTES = 256 << 10, 1 << 30  # a payload above the first shares no archive with smaller ones
 INFLATE_BYTES = 1 << 20
 CRLF = "\r\n"
 
@@ -62,12 +63,23 @@ def write(pages: DataFrame, path: str, smallest_shared: int = SMALLEST_SHARED, d
     """Write a request, a response or revisit, and a metadata record for each row of pages to gzipped archives in path.
 
     Rows as in `captures`; a null url has no target URI. Archives have as many records as make about FILE_BYTES, unless
-    their number is given; an empty table gives an archive without records. Columns beside page_id, url and html are not read.
+    their number is given, and no more than MOST_BYTES before they are packed, whatever sizes follow each other: payloads
+    above LARGE_PAYLOAD go to archives of their own, as many as fit by the largest of them, one at least. An empty table gives
+    an archive without records. Columns beside page_id, url and html are not read.
     """
-    if records_per_file is None:
-        mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
-        records_per_file = max(3, int(3 * FILE_BYTES / (mean + 1_500)))
-    rows = captures(pages, smallest_shared)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    mean, largest = pages.agg(F.avg(F.when(size <= LARGE_PAYLOAD, size)), F.max(size)).first()
+    captured = captures(pages, smallest_shared)
+    fit = lambda most, each: max(3, 3 * int(most / (each + 1_500)))
+    small = records_per_file or min(fit(FILE_BYTES, mean or 0), fit(MOST_BYTES, LARGE_PAYLOAD))
+    if (largest or 0) <= LARGE_PAYLOAD:
+        _written(captured, path, date, small, "overwrite")
+    else:
+        _written(captured.filter(F.col("n_bytes") <= LARGE_PAYLOAD), path, date, small, "overwrite")
+        _written(captured.filter(F.col("n_bytes") > LARGE_PAYLOAD), path, date, records_per_file or fit(FILE_BYTES, largest), "append")
+
+
+def _written(rows: DataFrame, path: str, date: str, records_per_file: int, mode: str) -> None:
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     own = _uuid(F.lit("capture"), key, "digest", F.col("turn").cast("string"))
     uri = F.regexp_replace("url", r"[\x00-\x20]", "%20")
@@ -88,7 +100,7 @@ def write(pages: DataFrame, path: str, smallest_shared: int = SMALLEST_SHARED, d
         F.concat(F.lit("page-id: "), key, F.lit(CRLF)),
     )
     records = rows.select(F.explode(F.array(request, capture, metadata)).alias("value"))
-    records.write.mode("overwrite").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    records.write.mode(mode).option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def records_of(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -74,7 +74,7 @@ CHUNK_TERMS = f"ct AS (SELECT skill, file, s, e, unnest({latin('''summary || ' '
 DENSE = """name || '[' || CASE type WHEN 'skill' THEN 's' WHEN 'agent' THEN 'a' WHEN 'connector' THEN 'c' ELSE 'm' END || CASE WHEN has_references THEN 'R' ELSE '' END || ']: '
   || CASE WHEN len(one) > 400 THEN substr(one, 1, 400) || '…' ELSE one END || CASE WHEN len(triggers) > 0 THEN ' | 触发: ' || array_to_string(list_slice(triggers, 1, 8), '、') ELSE '' END"""
 LINES = f"{ENTRIES}, one AS (SELECT *, trim(regexp_replace(description, '\\s+', ' ', 'g')) AS one FROM entries WHERE NOT excluded), dense AS (SELECT *, {DENSE} AS line FROM one)"
-QUESTIONS = "asked(qid, query) AS (VALUES (CAST(1 AS BIGINT), '如何 重算 excel 公式'), (2, '帮我写一个周报'), (3, '为什么 pipeline 失败'), (4, 'code review'))"
+QUESTIONS = "questions(n, question) AS (VALUES (1, '如何 重算 excel 公式'), (2, '帮我写一个周报'), (3, '为什么 pipeline 失败'), (4, 'code review')), asked AS (SELECT item_id AS qid, question || ' ' || text AS query FROM benchmark JOIN questions ON n = item_id % 4 + 1)"
 PAIRS = ", ".join(f"('{zh}', '{en}')" for zh, ens in CONCEPTS.items() for en in ens)
 STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
@@ -90,7 +90,12 @@ ORACLES: dict[str, str] = {
     "term_idf": f"WITH {ENTRIES}, {ENTRY_TERMS}, n AS (SELECT count(*) AS n FROM entries WHERE NOT excluded) SELECT term, round(greatest(0.1, 1.0 + (n - count(*) + 0.5) / (count(*) + 0.5))::DOUBLE, 6) AS idf FROM et JOIN entries USING (id), n WHERE NOT excluded GROUP BY term, n",
     "stop_terms": f"WITH {QUESTIONS} SELECT qid, term FROM (SELECT qid, unnest({terms('query')}) AS term FROM asked) WHERE len(list_filter({STOPS}, lambda s: contains(term, s))) = 0",
     "bridge_terms": f"WITH {QUESTIONS}, t AS (SELECT qid, unnest({terms('query')}) AS term FROM asked), p(zh, en) AS (VALUES {PAIRS}) SELECT qid, term FROM t UNION SELECT qid, en FROM t JOIN p ON zh = term UNION SELECT qid, zh FROM t JOIN p ON en = term",
-    "gap_notice": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), true), (2, false), (3, false), (4, false), (5, false)) t(qid, gap)",
+    "gap_notice": f"""WITH {ENTRIES}, gaps(n, question, found) AS (VALUES (1, '代码审查', ['decision', 'review']), (2, '代码审查', ['代码']), (3, 'code review', ['code']), (4, '合同管理', ['合同双']), (5, '合同', CAST([] AS VARCHAR[]))),
+      g AS (SELECT id, list_filter({terms("question || ' ' || array_to_string(triggers, ' ')")}, lambda t: regexp_matches(t, '[一-鿿]')) AS cjk, list_concat(found, CASE WHEN n = 5 THEN [] ELSE triggers END) AS ev FROM entries JOIN gaps ON n = doc_id % 5 + 1)
+      SELECT id, len(cjk) > 0 AND len(ev) > 0 AND len(list_filter(cjk, lambda t: len(list_filter(ev, lambda e: contains(e, t) OR contains(t, e))) > 0)) = 0 AS gap FROM g""",
+    "list_mirror": f"""WITH {ENTRIES}, i AS (SELECT doc_id, source || substr('/:?', CAST(doc_id % 3 + 1 AS BIGINT), 1) || (doc_id // 9) AS name, source || '_' || (doc_id // 9) AS safe, has_references AND length(trim(full_text)) > 40 AS whole FROM entries),
+      r AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY doc_id) AS n FROM i)
+      SELECT CASE WHEN n = 1 THEN safe ELSE safe || '-' || n END AS dirname, name, NOT whole AS stub, CASE WHEN doc_id % 4 = 0 THEN 'updated' ELSE 'kept' END AS change FROM r""",
     "search_candidates": f"WITH {SCORED} SELECT qid, name, count(*) AS n_terms, CAST(min(loc) AS INT) AS best_place FROM ov JOIN pool USING (id) GROUP BY qid, name",
     "search_evidence": f"WITH {SCORED} SELECT qid, name, score, ev, evidence FROM scored",
     "search_topk": f"WITH {TOP} SELECT qid, CAST(rank AS INT) AS rank, name, score FROM top",

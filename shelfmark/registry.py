@@ -14,7 +14,7 @@ from shelfmark.oracles import ORACLES
 from shelfmark.plans import planner
 from shelfmark.schema import PROMOTE_AT, Search
 from shelfmark.shared import shared_dir
-from shelfmark.sources import tables
+from shelfmark.sources import mirror, tables
 from shelfmark.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,16 +94,20 @@ def term_idf(spark, d):
 QUESTIONS = [(1, "如何 重算 excel 公式"), (2, "帮我写一个周报"), (3, "为什么 pipeline 失败"), (4, "code review")]
 
 
+def _asked(spark, d) -> DataFrame:
+    """The items of the benchmark as questions, each after one of QUESTIONS."""
+    asked = spark.createDataFrame(QUESTIONS, "n bigint, question string")
+    return tables.queries(spark, d).withColumn("n", F.col("qid") % len(QUESTIONS) + 1).join(F.broadcast(asked), "n").select("qid", F.concat_ws(" ", "question", "query").alias("query"))
+
+
 @query
 def stop_terms(spark, d):
-    q = spark.createDataFrame(QUESTIONS, "qid bigint, query string")
-    return q.select("qid", F.explode(T.without_stop_words(T.terms(F.col("query")))).alias("term"))
+    return _asked(spark, d).select("qid", F.explode(T.without_stop_words(T.terms(F.col("query")))).alias("term"))
 
 
 @query
 def bridge_terms(spark, d):
-    q = spark.createDataFrame(QUESTIONS, "qid bigint, query string")
-    return retrieval.query_terms(q, T.bridge_table(spark)).select("qid", "term")
+    return retrieval.query_terms(_asked(spark, d), T.bridge_table(spark)).select("qid", "term")
 
 
 GAPS = [(1, "代码审查", ["decision", "review"]), (2, "代码审查", ["代码"]), (3, "code review", ["code"]), (4, "合同管理", ["合同双"]), (5, "合同", [])]
@@ -111,8 +115,21 @@ GAPS = [(1, "代码审查", ["decision", "review"]), (2, "代码审查", ["代
 
 @query
 def gap_notice(spark, d):
-    rows = spark.createDataFrame(GAPS, "qid bigint, query string, evidence array<string>")
-    return rows.select("qid", T.uncovered_gap(F.col("query"), F.col("evidence"), F.size("evidence")).alias("gap"))
+    """Whether the evidence of entries, as one of GAPS has it beside their triggers, leaves a question's CJK terms open."""
+    gaps = spark.createDataFrame(GAPS, "n bigint, question string, found array<string>")
+    rows = tables.entries(spark, d).withColumn("n", F.col("doc_id") % len(GAPS) + 1).join(F.broadcast(gaps), "n")
+    evidence = F.concat("found", F.when(F.col("n") == 5, T.none()).otherwise(F.col("triggers")))
+    return rows.select("id", T.uncovered_gap(F.concat_ws(" ", "question", F.array_join("triggers", " ")), evidence, F.size(evidence)).alias("gap"))
+
+
+@query
+def list_mirror(spark, d):
+    """Names and kinds of the documents that mirror a list, after it changed once: what was kept, and what was written."""
+    e, store = tables.entries(spark, d), Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    marks = F.element_at(F.array(*map(F.lit, "/:?")), (F.col("doc_id") % 3 + 1).cast("int"))
+    items = e.select("doc_id", F.concat("source", marks, F.expr("cast(doc_id div 9 as string)")).alias("name"), "description", F.when(F.col("has_references"), F.col("full_text")).alias("body"), F.col("doc_id").alias("ord"))
+    mirror.mirror(store, items.withColumn("description", F.when(F.col("doc_id") % 4 == 0, "before").otherwise(F.col("description"))).drop("doc_id"))
+    return mirror.mirror(store, items.drop("doc_id"))[1]
 
 
 @query

@@ -157,6 +157,9 @@ ORACLES: dict[str, str] = {
     "variants": f"""WITH {ENTRIES}, o AS (SELECT name || '-v2' AS name, {latin('''name || '-v2 ' || description || ' ' || array_to_string(triggers, ' ')''')} AS t FROM entries WHERE doc_id % 6 = 1), r AS (SELECT name, ord, {latin(ALL_TEXT)} AS t FROM entries WHERE visibility = 'ready'),
       p AS (SELECT o.name, r.name AS variant_of, r.ord, len(list_intersect(o.t, r.t)) AS i, len(list_distinct(list_concat(o.t, r.t))) AS u FROM o JOIN r ON starts_with(o.name, r.name || '-') AND len(r.name) >= 4)
       SELECT name, variant_of, round_even(i::DOUBLE / u, 6)::DOUBLE AS jaccard FROM p WHERE i >= 2 AND i::DOUBLE / u >= 0.12""",
+    "front_matter": r"""WITH l AS (SELECT doc_id, doc_id % 4 AS k, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS lines FROM documents)
+      SELECT doc_id, CASE WHEN k = 3 THEN 'Entry ' ELSE 'entry ' END || doc_id AS name, 'Entry ' || doc_id AS h1,
+        CASE k WHEN 0 THEN array_to_string(lines, ' ') WHEN 1 THEN array_to_string(lines, chr(10)) WHEN 2 THEN regexp_replace(lines[1], '["''\\]', '', 'g') ELSE '' END AS description FROM l WHERE len(lines) > 0""",
     "reconcile": f"""WITH {ENTRIES}, l AS (SELECT unnest([1, 2]) AS run, doc_id, name, description, triggers, ord, visibility, type FROM entries),
       li AS (SELECT run, name, CASE WHEN doc_id % 10 = 5 AND run = 2 THEN description || ' rewritten' ELSE description END AS description, triggers, ord, visibility FROM l WHERE visibility <> 'off-list' AND doc_id % 10 <> run),
       di AS (SELECT run, doc_id, CASE WHEN doc_id % 6 = 1 THEN name || '-v2' ELSE name END AS name, description, triggers, ord, doc_id % 11 = 3 AND run = 2 AS touched FROM l WHERE doc_id % 7 <> run),

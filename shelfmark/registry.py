@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions import manifest
 from shelfmark.functions import text as T
 from shelfmark.operators import catalog, chunks, content, graph, ledger, reports, retrieval
 from shelfmark.oracles import ORACLES
@@ -445,6 +446,17 @@ def _listed(e: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     return listed, disk.select("name", "description", "triggers", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), mtime.alias("mtime"), "ord")
 
 
+@query
+def front_matter(spark, d):
+    """Fields of manifests that are written about all documents: blocks folded and literal, a quoted line, and none at all."""
+    kind, lines = F.col("doc_id") % 4, F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "^[\\s\\p{Z}]+|[\\s\\p{Z}]+$", "")), lambda x: x != "")
+    block = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("\n  "), x)), "")
+    value = F.when(kind == 0, F.concat(F.lit(" >-"), block)).when(kind == 1, F.concat(F.lit(" |"), block)).otherwise(F.concat(F.lit(' "'), F.translate(F.element_at("lines", 1), "\"'\\", ""), F.lit('"')))
+    rows = tables.read(spark, d, "documents").withColumn("lines", lines).filter(F.size("lines") > 0)
+    text = F.when(kind == 3, F.concat(F.lit("## About\n\n# Entry "), "doc_id", F.lit("\n"))).otherwise(F.concat(F.lit("---\nname: 'entry "), "doc_id", F.lit("'\nmeta:\n  a: b\ndescription:"), value, F.lit("\n---\n# *Entry* "), "doc_id", F.lit("\n")))
+    return rows.select("doc_id", manifest.fields(text).alias("m")).select("doc_id", "m.name", "m.description", "m.h1")
+
+
 @query
 def reconcile(spark, d):
     """The second of two runs over a list and a disk that changed between them, the index kept in generations."""

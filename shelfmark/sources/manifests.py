@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions import manifest
 from shelfmark.functions import text as T
 from shelfmark.schema import FILE_BYTES, HIT_EVENT, USAGE_EVENT
 
@@ -55,56 +55,12 @@ def ignored(path: Column, is_dir: Column, rules: tuple[str, ...] = IGNORED) -> C
     return verdict
 
 
-def parse_manifest(text: str) -> dict:
-    """Fields of a front matter: scalars, quoted ones, block scalars, continued lines; lists of a key by dashes or brackets. Nested maps are left out."""
-    lines = text.replace("\r\n", "\n").lstrip("﻿").split("\n")
-    out: dict = {}
-    body_from = 0
-    if lines and lines[0].strip() == "---":
-        end = next((i for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), None)
-        if end is not None:
-            body_from, i = end + 1, 1
-            while i < end:
-                m = re.match(r"([A-Za-z_][\w-]*):(?:[ \t]+(.*)|)$", lines[i])
-                i += 1
-                if not m:
-                    continue
-                key, value = m[1].lower(), (m[2] or "").strip()
-                more = []
-                while i < end and (not lines[i].strip() or lines[i][:1] in " \t"):
-                    more.append(lines[i].strip())
-                    i += 1
-                if re.fullmatch(r"[|>][-+]?\d*", value):
-                    out[key] = ("\n" if value[0] == "|" else " ").join(more).strip()
-                elif not value and more and any(x.startswith("- ") for x in more):
-                    out[key] = [x[2:].strip().strip("\"'") for x in more if x.startswith("- ")]
-                elif not value and any(re.match(r"[\w-]+:(\s|$)", x) for x in more):
-                    continue
-                elif value[:1] == "[" and value[-1:] == "]":
-                    out[key] = [x.strip().strip("\"'") for x in value[1:-1].split(",") if x.strip()]
-                else:
-                    whole = " ".join([value, *filter(None, more)]).strip()
-                    out[key] = whole[1:-1] if len(whole) > 1 and whole[0] == whole[-1] and whole[0] in "\"'" else whole
-    body = lines[body_from:]
-    first = next((x.strip() for x in body if x.strip()), "")
-    out["h1"] = re.sub(r"[#*_`]", "", first).strip()[:40] if first.startswith("# ") else ""
-    paragraph = next((x.strip() for x in body if x.strip() and not x.lstrip().startswith("#")), "")
-    out.setdefault("name", out["h1"])
-    out["description"] = out.get("description") or paragraph[:300]
-    return out
+parse_manifest = manifest.parse
 
 
 def parsed(texts: DataFrame) -> DataFrame:
     """path, name, description, description_zh, triggers, h1 of manifest texts (path, text)."""
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [parse_manifest(t or "") for t in frame["text"]]
-            text = lambda r, k: r.get(k) if isinstance(r.get(k), str) else None
-            many = lambda v: v if isinstance(v, list) else [x.strip() for x in re.split("[、,，;；]", v) if x.strip()] if v else []
-            yield pd.DataFrame({"path": frame["path"], "name": [text(r, "name") for r in rows], "description": [text(r, "description") for r in rows], "description_zh": [text(r, "description_zh") for r in rows], "listed": [many(r.get("triggers")) for r in rows], "h1": [r["h1"] for r in rows]})
-
-    rows = texts.select("path", "text").mapInPandas(work, "path string, name string, description string, description_zh string, listed array<string>, h1 string")
+    rows = texts.select("path", manifest.fields("text").alias("m")).select("path", "m.*")
     alias = F.when(F.col("h1").rlike("[\\u4e00-\\u9fff]"), F.array("h1")).otherwise(T.none())
     found = F.when(F.size("listed") > 0, F.col("listed")).otherwise(T.extracted_triggers(F.coalesce("description", F.lit(""))))
     return rows.withColumn("triggers", F.slice(F.array_distinct(F.concat(found, alias)), 1, 10)).drop("listed")

@@ -10,7 +10,7 @@ from pyspark.sql.functions import udtf
 
 from shelfmark.functions import text as T
 from shelfmark.operators.retrieval import candidates, numbered, shortlist
-from shelfmark.schema import CHUNK_LINES, CHUNK_MIN_LINES, CHUNK_OVERLAP, CHUNK_SUMMARY, CHUNKS_PER_SKILL, FED_PER_SKILL
+from shelfmark.schema import CHUNK_LINES, CHUNK_MIN_LINES, CHUNK_OVERLAP, CHUNK_SUMMARY, CHUNKS_PER_SKILL, FED_FILES, FED_PER_SKILL
 from shelfmark.shared import tabled
 
 CHUNK_KEYS = ("skill", "file", "s", "e")
@@ -162,12 +162,26 @@ def content_hits(asked: DataFrame, rows: DataFrame, heads: DataFrame, top: int =
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), *CHUNK_KEYS))).filter(F.col("rank") <= top).select("qid", "rank", *CHUNK_KEYS, "score")
 
 
-def cross_feed(edges: DataFrame, chunks: DataFrame, most: int = FED_PER_SKILL) -> DataFrame:
-    """Key sections of what a skill depends on, contains or is contained in, as chunks of it; edges by skill name."""
+def cross_feed(edges: DataFrame, chunks: DataFrame, most: int = FED_PER_SKILL, files: int = FED_FILES, entries: DataFrame | None = None) -> DataFrame:
+    """Key sections of what a skill depends on, contains or is contained in, as chunks of it; edges by skill name.
+
+    Budgets: of a dependency its main file (skill.md) and the first `files` others by name; of a skill `most` sections in all,
+    dealt to its dependencies in order of their names, to a dependency's files in that order, and to a file's sections from the
+    top, so what one leaves over goes on to the next. Of dependencies that are connectors without files (entries: name, type,
+    description) the description is a section.
+    """
     d = edges.filter(F.col("type").isin("depends_on", "contains")).select(F.col("source").alias("to"), F.col("target").alias("skill"))
-    d = d.unionByName(edges.filter("type = 'contains'").select(F.col("target").alias("to"), F.col("source").alias("skill"))).distinct()
-    rows = chunks.filter(F.col("text").rlike(KEY_SECTION)).join(d, "skill")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("to").orderBy("skill", "file", "s"))).filter(F.col("r") <= most)
+    d = d.unionByName(edges.filter("type = 'contains'").select(F.col("target").alias("to"), F.col("source").alias("skill"))).filter("to <> skill").distinct()
+    main = F.lower("file").rlike("(^|/)skill\\.md$")
+    own = chunks.filter(F.col("text").rlike(KEY_SECTION)).withColumn("_main", main.cast("int"))
+    # The first budget is of a dependency alone, so its sections are cut before they are dealt to all that depend on it.
+    own = own.withColumn("_f", F.dense_rank().over(Window.partitionBy("skill", "_main").orderBy("file"))).filter((F.col("_main") == 1) | (F.col("_f") <= files))
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("skill").orderBy(F.desc("_main"), "file", "s"))).filter(F.col("_n") <= most)
+    own = own.select(*CHUNK_KEYS, "summary", "text", "_n")
+    if entries is not None:
+        told = entries.filter("type = 'mcp' and description <> ''").join(chunks.select(F.col("skill").alias("name")).distinct(), "name", "left_anti")
+        own = own.unionByName(told.select(F.col("name").alias("skill"), F.concat(F.lit("MCP@"), "name").alias("file"), F.lit(1).alias("s"), F.lit(1).alias("e"), F.left("description", F.lit(CHUNK_SUMMARY)).alias("summary"), F.col("description").alias("text"), F.lit(1).alias("_n")))
+    ranked = own.join(d, "skill").withColumn("r", F.row_number().over(Window.partitionBy("to").orderBy("skill", "_n"))).filter(F.col("r") <= most)
     return ranked.select(F.col("to").alias("skill"), "file", "s", "e", "summary", "text", F.col("skill").alias("fed_from"))
 
 

@@ -157,6 +157,15 @@ ORACLES: dict[str, str] = {
     "variants": f"""WITH {ENTRIES}, o AS (SELECT name || '-v2' AS name, {latin('''name || '-v2 ' || description || ' ' || array_to_string(triggers, ' ')''')} AS t FROM entries WHERE doc_id % 6 = 1), r AS (SELECT name, ord, {latin(ALL_TEXT)} AS t FROM entries WHERE visibility = 'ready'),
       p AS (SELECT o.name, r.name AS variant_of, r.ord, len(list_intersect(o.t, r.t)) AS i, len(list_distinct(list_concat(o.t, r.t))) AS u FROM o JOIN r ON starts_with(o.name, r.name || '-') AND len(r.name) >= 4)
       SELECT name, variant_of, round_even(i::DOUBLE / u, 6)::DOUBLE AS jaccard FROM p WHERE i >= 2 AND i::DOUBLE / u >= 0.12""",
+    "cross_feed": """WITH f AS (SELECT source AS skill, CASE WHEN doc_id % 50 = 0 THEN source || '/' || doc_id || '/SKILL.md' ELSE source || '/' || doc_id || '.txt' END AS file, doc_id % 50 = 0 AS main, string_split(text, chr(10)) AS lines FROM documents),
+      w AS (SELECT *, unnest(range(0, CAST(greatest(1, ceil(len(lines) / 12.0)) AS BIGINT))) AS w FROM f WHERE len(list_filter(lines, lambda x: trim(x) <> '')) > 0),
+      c AS (SELECT skill, file, main, CAST(w * 12 + 1 AS INT) AS s, CAST(least(w * 12 + 12, len(lines)) AS INT) AS e FROM w),
+      r AS (SELECT *, dense_rank() OVER (PARTITION BY skill, main ORDER BY file) AS fr, row_number() OVER (PARTITION BY skill ORDER BY main DESC, file, s) AS n FROM c),
+      o AS (SELECT * FROM r WHERE (main OR fr <= 5) AND n <= 50),
+      e AS (SELECT DISTINCT source, 'src' || t AS target, CASE WHEN t % 2 = 0 THEN 'contains' ELSE 'depends_on' END AS type FROM (SELECT source, unnest([CAST(substr(source, 4) AS INT) + 1, CAST(substr(source, 4) AS INT) + 2]) AS t FROM documents)),
+      d AS (SELECT source AS to_, target AS skill FROM e UNION SELECT target, source FROM e WHERE type = 'contains'),
+      x AS (SELECT d.to_, o.*, row_number() OVER (PARTITION BY to_ ORDER BY o.skill, o.n) AS rr FROM o JOIN d ON d.skill = o.skill AND d.to_ <> d.skill)
+      SELECT to_ AS skill, file, s, e, skill AS fed_from FROM x WHERE rr <= 50""",
     "front_matter": r"""WITH l AS (SELECT doc_id, doc_id % 4 AS k, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS lines FROM documents)
       SELECT doc_id, CASE WHEN k = 3 THEN 'Entry ' ELSE 'entry ' END || doc_id AS name, 'Entry ' || doc_id AS h1,
         CASE k WHEN 0 THEN array_to_string(lines, ' ') WHEN 1 THEN array_to_string(lines, chr(10)) WHEN 2 THEN regexp_replace(lines[1], '["''\\]', '', 'g') ELSE '' END AS description FROM l WHERE len(lines) > 0""",

@@ -446,6 +446,17 @@ def _listed(e: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     return listed, disk.select("name", "description", "triggers", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), mtime.alias("mtime"), "ord")
 
 
+@query
+def cross_feed(spark, d):
+    """Sections of documents about the language of their source, fed to sources by what they depend on, within both budgets."""
+    files = _files(spark, d).withColumn("file", F.when(F.col("doc_id") % 50 == 0, F.concat("skill", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/SKILL.md"))).otherwise(F.col("file")))
+    made = chunks.plain_chunks(files, 12, 0).withColumn("text", F.concat(F.lit("usage: "), "text"))
+    n = F.expr("cast(substring(source, 4) as int)")
+    sources = tables.read(spark, d, "documents").select("source").distinct()
+    edges = sources.select("source", F.explode(F.array(n + 1, n + 2)).alias("n")).select("source", F.concat(F.lit("src"), F.col("n").cast("string")).alias("target"), F.when(F.col("n") % 2 == 0, "contains").otherwise("depends_on").alias("type"))
+    return chunks.cross_feed(edges, made).select("skill", "file", "s", "e", "fed_from")
+
+
 @query
 def front_matter(spark, d):
     """Fields of manifests that are written about all documents: blocks folded and literal, a quoted line, and none at all."""

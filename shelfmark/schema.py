@@ -33,7 +33,7 @@ CHUNK_MIN_LINES = 5
 CHUNK_SUMMARY = 80
 CHUNKS_PER_SKILL = 200
 FILE_BYTES = 500_000
-FED_PER_SKILL = 50
+FED_PER_SKILL, FED_FILES = 50, 5
 SEEDS, EXPANDED, STAGE_SKILLS = 6, 9, 3
 DOCTOR_WEIGHT = 15
 DOCTOR_BIG = 20_000

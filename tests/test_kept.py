@@ -141,3 +141,18 @@ def test_reconcile_reuses_what_was_read(spark):
     assert [(r.description, r.change) for r in second] == [("as first read", "kept")]
     third = catalog.reconcile(listed(spark), disk(spark, ("one", "read anew", 2)), first).collect()
     assert [(r.description, r.change) for r in third] == [("read anew", "updated")]
+
+
+def test_cross_feed_within_two_budgets(spark):
+    """The main file first, then so many others by name; what one dependency leaves over goes on to the next; connectors by description."""
+    made = lambda skill, file, n: [(skill, file, i, i, f"{skill} {i}", "usage of it") for i in range(1, n + 1)]
+    rows = [*made("b", "b.md", 2), *made("b", "SKILL.md", 3), *made("b", "a.md", 1), *made("b", "c.md", 4), *made("c", "skill.md", 9), ("c", "x.md", 1, 1, "", "nothing to tell")]
+    part = spark.createDataFrame(rows, "skill string, file string, s int, e int, summary string, text string")
+    edges = spark.createDataFrame([("a", "b", "depends_on"), ("a", "c", "depends_on"), ("d", "c", "contains"), ("a", "m", "depends_on"), ("a", "gone", "family")], "source string, target string, type string")
+    entries = spark.createDataFrame([("m", "mcp", "what it does"), ("c", "mcp", "has files")], "name string, type string, description string")
+    got = [(r.skill, r.fed_from, r.file, r.s) for r in chunks.cross_feed(edges, part, most=8, files=2, entries=entries).collect()]
+    want = [("b", "SKILL.md", i) for i in (1, 2, 3)] + [("b", "a.md", 1), ("b", "b.md", 1), ("b", "b.md", 2)] + [("c", "skill.md", 1), ("c", "skill.md", 2)]
+    assert sorted(g[1:] for g in got if g[0] == "a") == sorted(want)
+    assert sorted(g[1:] for g in got if g[0] == "d") == [("c", "skill.md", i) for i in range(1, 9)]
+    few = [r.file for r in chunks.cross_feed(edges.filter("target = 'm'"), part, entries=entries).collect()]
+    assert few == ["MCP@m"]

@@ -114,6 +114,14 @@ def extracted_triggers(description: Column, most: int = 8, words: int = 5) -> Co
     return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, most)
 
 
+def synthesized_triggers(name: Column, description: Column, declared: Column, most: int = 8) -> Column:
+    """What is declared, then the parts of the name, then what the description names: the first of those alike but for case, in order."""
+    every = F.concat(F.coalesce(declared, none()), identifier_parts(name), extracted_triggers(F.coalesce(description, F.lit(""))))
+    every = F.filter(F.transform(every, lambda t: F.trim(t)), lambda t: t != "")
+    first = lambda found: F.filter(found, lambda t, i: F.array_position(F.transform(found, lambda x: F.lower(x)), F.lower(t)) == i + 1)
+    return F.slice(F.get(F.transform(F.array(every), first), F.lit(0)), 1, most)
+
+
 def safe_dirname(name: Column) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "[^\\w\\u4e00-\\u9fff.-]", "_"), "\\.\\.", "__"), "^[. ]+|[. ]+$", ""), F.lit(120))
 

@@ -157,6 +157,17 @@ ORACLES: dict[str, str] = {
     "variants": f"""WITH {ENTRIES}, o AS (SELECT name || '-v2' AS name, {latin('''name || '-v2 ' || description || ' ' || array_to_string(triggers, ' ')''')} AS t FROM entries WHERE doc_id % 6 = 1), r AS (SELECT name, ord, {latin(ALL_TEXT)} AS t FROM entries WHERE visibility = 'ready'),
       p AS (SELECT o.name, r.name AS variant_of, r.ord, len(list_intersect(o.t, r.t)) AS i, len(list_distinct(list_concat(o.t, r.t))) AS u FROM o JOIN r ON starts_with(o.name, r.name || '-') AND len(r.name) >= 4)
       SELECT name, variant_of, round_even(i::DOUBLE / u, 6)::DOUBLE AS jaccard FROM p WHERE i >= 2 AND i::DOUBLE / u >= 0.12""",
+    "nearest_documents": """WITH e AS (SELECT doc_id, lang || doc_id AS name, '/r/' || (doc_id // 100) || '/' || (doc_id // 10) AS folder FROM documents),
+      r AS (SELECT '/r/' || (doc_id // 100) || '/' || (doc_id // 10) AS folder, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(ltrim(trim(x), '#'))), lambda x: len(x) >= 7 AND x[1] NOT IN ('[', '!'))[1] AS line FROM documents WHERE doc_id % 30 = 0),
+      p AS (SELECT doc_id // 100 AS h, 'package ' || lang || doc_id AS line FROM documents WHERE doc_id % 100 = 5)
+      SELECT e.doc_id, e.name, CASE WHEN e.doc_id % 10 = 2 THEN e.folder || '/skills/' || e.name || '/SKILL.md' WHEN r.line IS NOT NULL THEN e.folder || '/README.md' WHEN p.line IS NOT NULL THEN '/r/' || (e.doc_id // 100) || '/package.json' END AS found,
+        CASE WHEN e.doc_id % 10 = 2 THEN 'the skill of ' || e.name ELSE coalesce(r.line, p.line) END AS found_description
+      FROM e LEFT JOIN r ON r.folder = e.folder LEFT JOIN p ON p.h = e.doc_id // 100""",
+    "synthesized_triggers": f"""WITH {ENTRIES}, t AS (SELECT id, triggers, name || '_Extra' || triggers[1] AS name FROM entries WHERE len(triggers) > 0),
+      w AS (SELECT id, list_concat(list_transform(triggers[1:2], lambda x: upper(x[1]) || x[2:]), [name], list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[-_:. /]+'), lambda x: len(x) > 1), list_reverse(triggers)) AS found FROM t),
+      u AS (SELECT id, unnest(found) AS t, generate_subscripts(found, 1) AS i FROM w),
+      f AS (SELECT id, arg_min(t, i) AS t, min(i) AS i FROM u GROUP BY id, lower(t)), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM f)
+      SELECT id, string_agg(t, '|' ORDER BY i) AS triggers FROM r WHERE n <= 8 GROUP BY id""",
     "cross_feed": """WITH f AS (SELECT source AS skill, CASE WHEN doc_id % 50 = 0 THEN source || '/' || doc_id || '/SKILL.md' ELSE source || '/' || doc_id || '.txt' END AS file, doc_id % 50 = 0 AS main, string_split(text, chr(10)) AS lines FROM documents),
       w AS (SELECT *, unnest(range(0, CAST(greatest(1, ceil(len(lines) / 12.0)) AS BIGINT))) AS w FROM f WHERE len(list_filter(lines, lambda x: trim(x) <> '')) > 0),
       c AS (SELECT skill, file, main, CAST(w * 12 + 1 AS INT) AS s, CAST(least(w * 12 + 12, len(lines)) AS INT) AS e FROM w),

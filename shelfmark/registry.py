@@ -15,7 +15,7 @@ from shelfmark.oracles import ORACLES
 from shelfmark.plans import planner
 from shelfmark.schema import PROMOTE_AT, Search
 from shelfmark.shared import shared_dir
-from shelfmark.sources import mirror, tables
+from shelfmark.sources import mirror, nearest, tables
 from shelfmark.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,6 +446,28 @@ def _listed(e: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     return listed, disk.select("name", "description", "triggers", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), mtime.alias("mtime"), "ord")
 
 
+@query
+def nearest_documents(spark, d):
+    """Of entities in folders of ten the document nearest to each: a skill of its name, its folder's readme, the package above."""
+    docs = tables.read(spark, d, "documents")
+    n, folder = F.col("doc_id"), F.concat(F.lit("/r/"), F.expr("cast(doc_id div 100 as string)"), F.lit("/"), F.expr("cast(doc_id div 10 as string)"))
+    name = F.concat("lang", F.col("doc_id").cast("string"))
+    entities = docs.select("doc_id", name.alias("name"), F.concat(folder, F.lit("/conf.json")).alias("path"))
+    skill = docs.filter(n % 10 == 2).select(F.concat(folder, F.lit("/skills/"), name, F.lit("/SKILL.md")).alias("path"), F.concat(F.lit("---\nname: "), name, F.lit("\ndescription: >\n  the skill\n  of "), name, F.lit("\n---\n")).alias("text"))
+    readme = docs.filter((n % 10 == 0) & (n % 30 == 0)).select(F.concat(folder, F.lit("/README.md")).alias("path"), "text")
+    package = docs.filter(n % 100 == 5).select(F.concat(F.lit("/r/"), F.expr("cast(doc_id div 100 as string)"), F.lit("/package.json")).alias("path"), F.to_json(F.struct(F.concat(F.lit("package "), name).alias("description"))).alias("text"))
+    found = nearest.nearest(entities, nearest.described(skill.unionByName(readme).unionByName(package)))
+    return found.select("doc_id", "name", "found", "found_description")
+
+
+@query
+def synthesized_triggers(spark, d):
+    e = tables.entries(spark, d)
+    name, said = F.concat("name", F.lit("_Extra"), F.element_at("triggers", 1)), F.concat(F.lit("Use when: "), F.array_join(F.reverse("triggers"), ", "), F.lit(". And so on"))
+    rows = e.filter(F.size("triggers") > 0).select("id", name.alias("name"), said.alias("said"), F.transform("triggers", lambda t: F.concat(F.lit(" "), F.initcap(t))).alias("declared"))
+    return rows.select("id", F.array_join(T.synthesized_triggers(F.col("name"), F.col("said"), F.slice("declared", 1, 2)), "|").alias("triggers"))
+
+
 @query
 def cross_feed(spark, d):
     """Sections of documents about the language of their source, fed to sources by what they depend on, within both budgets."""

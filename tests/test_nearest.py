@@ -24,7 +24,7 @@ def test_nearest_folder_and_first_place(spark):
     got = {(r.name, r.path): (r.description, r.found) for r in nearest.introspected(entities, documents).collect()}
     assert got == {
         ("one", "/a/b/conf.json"): ("from a skill", "/a/b/skills/one/SKILL.md"), ("two", "/a/b/conf.json"): ("Says what it is", "/a/b/README.md"), ("three", "/a/x/conf.json"): ("a package", "/a/package.json"),
-        ("four", "/c/conf.json"): ("its own", "/c/readme.md"), ("five", "/d/e/f/conf.json"): ("mcp five", None), ("two", "/conf.json"): ("mcp two", None), (None, None): ("mcp", None)}
+        ("four", "/c/conf.json"): ("its own", "/c/readme.md"), ("five", "/d/e/f/conf.json"): ("mcp five", None), ("two", "/conf.json"): ("from a skill", "/two/SKILL.md"), (None, None): ("mcp", None)}
     triggers = {(r.name, r.path): list(r.triggers) for r in nearest.introspected(entities, documents).collect() if r.name}
     assert triggers["three", "/a/x/conf.json"] == ["k", "l", "three"] and triggers["four", "/c/conf.json"] == ["own", "four"] and triggers["two", "/a/b/conf.json"] == ["declared", "two"]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import manifest
 from shelfmark.functions import text as T
-from shelfmark.operators import catalog, chunks, content, graph, ledger, reports, retrieval
+from shelfmark.operators import answers, catalog, chunks, content, graph, ledger, reports, retrieval
 from shelfmark.oracles import ORACLES
 from shelfmark.plans import planner
 from shelfmark.schema import PROMOTE_AT, Search
@@ -446,6 +446,15 @@ def _listed(e: DataFrame, run: int) -> tuple[DataFrame, DataFrame]:
     return listed, disk.select("name", "description", "triggers", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("path"), mtime.alias("mtime"), "ord")
 
 
+@query
+def chat_answers(spark, d):
+    """Answers by stages to the items of the benchmark, over entries that name and triggers alone describe; contents are of all."""
+    e, edges = _edges(spark, d)
+    files = e.filter("type = 'skill'").select(F.col("name").alias("skill"), F.concat("name", F.lit(".txt")).alias("file"), F.split("full_text", "\n").alias("lines"))
+    rows = answers.chat(tables.queries(spark, d), e.withColumn("description", F.lit("")), edges.select("source", "target", "weight"), chunks.plain_chunks(files))
+    return rows.select("qid", "rank", "name", "score", "basis", "weak", "gap", *[F.array_join(c, "|").alias(c) for c in ("twins", "neighbours", "passages")])
+
+
 @query
 def nearest_documents(spark, d):
     """Of entities in folders of ten the document nearest to each: a skill of its name, its folder's readme, the package above."""

@@ -147,20 +147,43 @@ def similar_edges(chunk_terms: DataFrame, entries: DataFrame, least: float = EDG
     return capped(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.bround("weight", 3).alias("weight")), cap)
 
 
-def _similar(chunk_terms: DataFrame, df_range: tuple[int, int] = EDGE_DF, min_shared: int = SIMILAR_MIN_SHARED, budget: int = SIMILAR_PAIR_BUDGET) -> DataFrame:
-    posted = chunk_terms.select("skill", "term").distinct()
-    n = posted.agg(F.countDistinct("skill").alias("n"))
+def _budgeted(posted: DataFrame, df_range: tuple[int, int], budget: int | None) -> DataFrame:
+    """term, df, used: terms of middling frequency, and whether the pairs that they and all rarer ones make stay within the budget."""
     df = document_frequency(posted).filter(F.col("df").between(*df_range))
+    if budget is None:
+        return df.withColumn("used", F.lit(True))
+    df = tabled(df)
     by_df = df.groupBy("df").agg(F.count("*").alias("c")).withColumn("pairs", F.col("c") * F.expr("df * (df - 1) div 2"))
     ahead = F.sum("pairs").over(Window.orderBy("df").rowsBetween(Window.unboundedPreceding, -1))  # a row for each df, a few dozen
-    df = df.join(F.broadcast(by_df.withColumn("ahead", F.coalesce(ahead, F.lit(0))).select("df", "ahead")), "df")
+    by_df = by_df.withColumn("ahead", F.coalesce(ahead, F.lit(0)))
+    # One frequency is cut within at most: rarer ones are used whole, more frequent ones not at all.
+    whole = (F.col("ahead") + F.col("pairs") <= budget).alias("whole")
+    df = df.join(F.broadcast(by_df.select("df", "ahead", whole, (F.col("ahead") < budget).alias("some"))), "df")
     inside = F.row_number().over(Window.partitionBy("df").orderBy("term")) - 1
-    used = df.withColumn("before", F.col("ahead") + inside * F.expr("df * (df - 1) div 2")).filter(F.col("before") < budget).crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n")).alias("idf"))
-    rare = posted.join(used, "term")
-    total = rare.groupBy("skill").agg(F.sum("idf").alias("w"))
-    pairs = rare.select("term", "idf", F.col("skill").alias("u")).join(rare.select("term", F.col("skill").alias("v")), "term").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("shared"), F.sum("idf").alias("s")).filter(F.col("shared") >= min_shared)
-    both = pairs.join(total.select(F.col("skill").alias("u"), F.col("w").alias("wu")), "u").join(total.select(F.col("skill").alias("v"), F.col("w").alias("wv")), "v")
-    return both.select("u", "v", "shared", (F.col("s") / (F.col("wu") + F.col("wv") - F.col("s"))).alias("weight"))
+    cut = df.filter("some and not whole").withColumn("used", F.col("ahead") + inside * F.expr("df * (df - 1) div 2") < budget)
+    rest = df.filter("whole or not some").withColumn("used", F.col("whole"))
+    return cut.select("term", "df", "used").unionByName(rest.select("term", "df", "used"))
+
+
+def similar_dropped(chunk_terms: DataFrame, df_range: tuple[int, int] = EDGE_DF, budget: int | None = SIMILAR_PAIR_BUDGET) -> DataFrame:
+    """terms, dropped, pairs_dropped: of the terms that similar pairs may be made from, what the budget leaves out."""
+    told = _budgeted(chunk_terms.select("skill", "term").distinct(), df_range, budget)
+    lost = F.when(~F.col("used"), F.expr("df * (df - 1) div 2")).otherwise(0)
+    return told.agg(F.count("*").alias("terms"), F.count_if(~F.col("used")).alias("dropped"), F.coalesce(F.sum(lost), F.lit(0)).alias("pairs_dropped"))
+
+
+def _similar(chunk_terms: DataFrame, df_range: tuple[int, int] = EDGE_DF, min_shared: int = SIMILAR_MIN_SHARED, budget: int | None = SIMILAR_PAIR_BUDGET) -> DataFrame:
+    """u, v, shared, weight; budget None: of all terms in the range, whatever their number."""
+    posted = tabled(chunk_terms.select("skill", "term").distinct())
+    skills = tabled(posted.select("skill").distinct().withColumn("k", F.monotonically_increasing_id()))
+    n = skills.agg(F.count("*").alias("n"))
+    used = _budgeted(posted, df_range, budget).filter("used").crossJoin(F.broadcast(n)).select("term", idf(F.col("df"), F.col("n")).alias("idf"))
+    rare = tabled(posted.join(used, "term").join(skills, "skill").select("term", "idf", "k"))
+    total = rare.groupBy("k").agg(F.sum("idf").alias("w"))
+    pairs = rare.select("term", "idf", F.col("k").alias("u")).join(rare.select("term", F.col("k").alias("v")), "term").filter("u < v").groupBy("u", "v").agg(F.count("*").alias("shared"), F.sum("idf").alias("s")).filter(F.col("shared") >= min_shared)
+    for end in ("u", "v"):
+        pairs = pairs.join(total.join(skills, "k").select(F.col("k").alias(end), F.col("w").alias(f"w{end}"), F.col("skill").alias(f"s{end}")), end)
+    return pairs.select(F.least("su", "sv").alias("u"), F.greatest("su", "sv").alias("v"), "shared", (F.col("s") / (F.col("wu") + F.col("wv") - F.col("s"))).alias("weight"))
 
 
 def all_edges(entries: DataFrame, overlap: DataFrame | None = None, similar: DataFrame | None = None) -> DataFrame:

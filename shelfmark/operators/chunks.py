@@ -116,13 +116,6 @@ def chunk_files(files: DataFrame) -> DataFrame:
     return once.withColumn("r", F.row_number().over(Window.partitionBy("skill").orderBy("file", "s", "e"))).filter(F.col("r") <= CHUNKS_PER_SKILL).drop("r")
 
 
-def with_ids(chunks: DataFrame) -> DataFrame:
-    """chunk_id from 0 in order of skill, file and line; numbered within skills, so no window holds all chunks."""
-    sizes = chunks.groupBy("skill").agg(F.count("*").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("skill").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a skill
-    return chunks.join(sizes.withColumn("_base", base).drop("_n"), "skill").withColumn("chunk_id", F.col("_base") + F.row_number().over(Window.partitionBy("skill").orderBy("file", "s", "e")) - 1).drop("_base")
-
-
 def chunk_postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("skill", "file", "s", "e", F.explode(chunk_terms()).alias("term"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.schema import CORRECTION_LINES, LEDGER_KEEP, PROMOTE_AT
+from shelfmark.schema import CORRECTION_LINES, LEDGER_BYTES, LEDGER_KEEP, PROMOTE_AT
+from shelfmark.sources.manifests import read_hits
 
 
 def gaps(events: DataFrame, top: int = 10) -> DataFrame:
@@ -59,6 +60,16 @@ def truncated(events: DataFrame, keep: float = LEDGER_KEEP) -> DataFrame:
     return ranked.withColumn("_place", place).filter(F.col("_place") <= n).select(*events.columns)
 
 
+def rotated(spark: SparkSession, path: str, into: str, most: int = LEDGER_BYTES, keep: float = LEDGER_KEEP) -> bool:
+    """Where the files of a hit ledger take more than `most` bytes, write its newest events (`truncated`) as a ledger in `into`; whether that was so."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getContentSummary(place).getLength() <= most:
+        return False
+    truncated(read_hits(spark, path), keep).write.json(into)
+    return True
+
+
 def last_entries(lines: DataFrame, most: int = CORRECTION_LINES, mark: str = "## ") -> DataFrame:
     """Of a log (n, line) of more than `most` lines the last, from the first entry that begins among them; where none does, all of the last."""
     tail = lines.orderBy(F.col("n").desc()).limit(most)

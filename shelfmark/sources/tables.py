@@ -37,11 +37,6 @@ def hit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", 0).otherwise(1).alias("n_hits"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("skill"), "user_id", "event_type", "value")
 
 
-def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents of a source as one file: skill, file, line (from 1 within its document), doc_id, text."""
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("skill"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("line", F.col("i") + 1).drop("i")
-
-
 def dependencies(entries_df: DataFrame) -> DataFrame:
     """The directed acyclic graph of entries i on i div 3."""
     a = entries_df.filter("doc_id > 0").select(F.expr("doc_id div 3").alias("on"), F.col("id").alias("source"))

@@ -156,3 +156,14 @@ def test_cross_feed_within_two_budgets(spark):
     assert sorted(g[1:] for g in got if g[0] == "d") == [("c", "skill.md", i) for i in range(1, 9)]
     few = [r.file for r in chunks.cross_feed(edges.filter("target = 'm'"), part, entries=entries).collect()]
     assert few == ["MCP@m"]
+
+
+def test_a_ledger_is_rotated_when_it_is_large(spark, tmp_path):
+    from shelfmark.operators import ledger
+    from shelfmark.sources.manifests import read_hits
+
+    rows = spark.range(90).selectExpr("timestamp_seconds(id * 4000) as ts", "'chat' as kind", "concat('s', id) as skill", "1 as n_hits")
+    rows.write.json(str(tmp_path / "hits"))
+    assert not ledger.rotated(spark, str(tmp_path / "hits"), str(tmp_path / "none"))
+    assert ledger.rotated(spark, str(tmp_path / "hits"), str(tmp_path / "newest"), most=1_000)
+    assert {r.skill for r in read_hits(spark, str(tmp_path / "newest")).collect()} == {f"s{i}" for i in range(31, 90)}

@@ -249,3 +249,19 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     is_again = F.col(mark) == again["_again"]
     once = some.join(again, is_again, "left_semi").dropDuplicates([mark])
     return others.unionByName(some.join(again, is_again, "left_anti")).unionByName(once).drop(mark)
+
+
+#: All pairs that share a shingle, and classes by walking links; doc_ids are taken to be there and to differ, as the given tables have them.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END)) AS h FROM d
+), s AS (SELECT doc_id, unnest(h) AS h FROM sets),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN sets a ON a.doc_id = u JOIN sets b ON b.doc_id = v WHERE 5 * c >= 4 * (len(a.h) + len(b.h) - c)),
+walk AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT walk.a, l.v FROM walk JOIN l ON l.u = walk.b)
+SELECT doc_id, (SELECT min(b) FROM walk WHERE a = sets.doc_id) AS class_id, (SELECT count(*) FROM l WHERE u = sets.doc_id) AS n_links,
+  CASE WHEN len(h) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(h, ','))) END AS copy_of, CAST(len(h) AS BIGINT) AS n_shingles
+FROM sets
+"""

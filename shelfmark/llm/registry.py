@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_decontamination": decontaminate.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}
+    return {"op1_chat_formatting": chat.ORACLE_SQL, "op2_decontamination": decontaminate.ORACLE_SQL, "op3_ngram_jaccard": jaccard.ORACLE_SQL, "op5_substring_dedup": substrings.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op11_conversation_repair": repair.ORACLE_SQL, "op12_source_divergence": divergence.ORACLE_SQL}

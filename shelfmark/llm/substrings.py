@@ -450,3 +450,15 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, p
         index.compact()
         out = done if out is None else out.unionByName(done)
     return out
+
+
+#: The rule as it is stated; doc_ids are taken to be there and to differ, as the given tables have them.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda s: {'s': s, 'key': md5(array_to_string(w[s:s + 19], ' '))})) AS x FROM d WHERE len(w) >= 20),
+ranked AS (SELECT doc_id, x.s AS s, row_number() OVER (PARTITION BY x.key ORDER BY doc_id, x.s) AS r FROM starts),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM ranked WHERE r > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+told AS (SELECT x.doc_id, count(*) AS n_words, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (g.p IS NULL) AS kept FROM words x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN told USING (doc_id)
+"""

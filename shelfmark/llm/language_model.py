@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import bucketed, dropped, release_worker_memory, scratch_dir, shuffle_width, slices, tidy, unbucketed, whole_text, written
 from shelfmark.llm.hashing import NOT_SPACE, Words, mix
-from shelfmark.llm.seating import seated
+from shelfmark.llm.seating import drawn, seated
 
 ROUNDS, BURN_IN = 3, 1
 STRENGTH = 1.0
@@ -286,7 +286,7 @@ def _answered(number: int, m: dict | None):
         else:
             rng = np.random.default_rng([SEED, number, 1 << 32, key[0].as_py()])
             weight = np.full(len(words), (STRENGTH + m["d1"] * m["T"]) / (m["V"] + 1))
-            tables, _ = seated(customers, weight, m["d1"], None, rng)
+            tables = drawn(customers, weight, m["d1"], rng)
         every = np.stack([count, customers, tables, as_context, open_tables])
         for part, a, b in zip(parts, [0, *ends[:-1]], ends):
             yield pa.RecordBatch.from_pylist([{"part": part, "share": key[0].as_py(), "numbers": packed(every[:, at[a:b]], "<i8")}], _ANSWER)

@@ -1,24 +1,124 @@
-"""Chinese-restaurant seating of many dishes at once: Gibbs moves of single customers, in numpy.
+"""Chinese-restaurant seating of many dishes at once: Gibbs moves of single customers, and whole dishes drawn from their odds.
 
 A dish of a restaurant has `c` customers at tables of its own. One that is taken out comes back to a table of n others with
 weight n - d, or to a new table with weight (strength + d * tables of the restaurant) * probability of the dish in the
 parent. Restaurants of one level are shared out to many tasks, so the number of a restaurant's tables and the parent's
-probabilities are those of the round before. A sweep moves up to MOVES customers of each dish, drawn at random. Dishes of
-more than LARGE customers keep no seats: their number of tables is drawn from its Poisson limit.
+probabilities are those of the round before. A sweep moves every customer of a dish of at most SEATED once. What endless
+sweeps lead to is known: t tables with odds weight**t times a generalised Stirling number of c and t. Dishes of more than
+SEATED customers keep no seats, as all their customers are moved at once by drawing t from these odds: by the numbers'
+recursion up to EXACT customers, by their contour integral above.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 
-MOVES = 16
-LARGE = 1_024
+SEATED = 16
+EXACT = 1_024
+CELLS = 1 << 20  # odds held at once
+FAINT = 25.0  # odds of less than exp(-FAINT) of the largest end a range
+NODES = (np.arange(64) + 0.5) * (5 / 64)
+
+
+@lru_cache(4)
+def stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: of c customers (row) at t tables (column), seats weighted by n - d."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, most):
+        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - d * np.arange(1, c + 1))
+        out[c + 1, 2 : c + 2] = np.logaddexp(out[c + 1, 2 : c + 2], out[c, 1 : c + 1])
+    return out
+
+
+def _saddle(c: int, t: float, d: float) -> tuple[float, float]:
+    """Where exp(p) * (1 - (1 - exp(-p / c))**d)**t is least on the real axis, and how sharply it falls off across."""
+
+    def slope(p: float) -> float:
+        x = -math.expm1(-p / c)
+        rest = -math.expm1(d * math.log(x))
+        return 1 - t * d * x ** (d - 1) * math.exp(-p / c) / (rest * c) if rest else 1 - t / c
+
+    low, high = -30.0, math.log(30.0 * c)
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(math.exp(middle)) < 0 else (low, middle)
+    p = max(math.exp(high), 2.0)  # no nearer to the branch point
+    return p, max((slope(p * 1.001) - slope(p * 0.999)) / (0.002 * p), 1e-300)
+
+
+def log_odds(c: int, weight: float, d: float, t: np.ndarray, middle: float) -> np.ndarray:
+    """Logarithms of the odds of t tables, up to a constant, by the integral of [z**c] ((1 - (1 - z)**d) * weight / d)**t / t!.
+
+    z = exp(-p / c) runs around 0 inside the cut from 1 on; p passes the saddle of `middle` tables on a parabola or a line.
+    """
+    p, sharp = _saddle(c, min(middle, 0.999 * c), d)
+    if p > c / 20:  # t is no small share of c: once around, on a circle within the cut
+        wide = 3 / math.sqrt(sharp)
+        at, step = p + 1j * wide * np.sinh(NODES), 1j * wide * np.cosh(NODES)
+    else:
+        wide = min(0.5, 1.5 / (p * math.sqrt(sharp)))
+        y = wide * np.sinh(NODES)
+        at, step = p * (1 + 1j * y) ** 2, 2j * p * (1 + 1j * y) * wide * np.cosh(NODES)
+    held = (at.real - p > -60) & (np.abs(at.imag) < math.pi * c)
+    at, step = at[held], step[held]
+    logs = np.log1p(-((-np.expm1(-at / c)) ** d))
+    base = math.log1p(-((-math.expm1(-p / c)) ** d))
+    out = []
+    for some in np.array_split(t, max(1, len(t) * len(at) // CELLS)):
+        if -base * some[-1] < 0.5:  # the integral of exp(p) alone is 0
+            parts, scale = np.expm1(some[:, None] * logs), 0.0
+        else:
+            parts, scale = np.exp(some[:, None] * (logs - base)), base
+        parts *= np.exp(at - p) * step
+        values = parts.sum(axis=1).imag
+        values[values < 1e-13 * np.abs(parts).sum(axis=1)] = 0  # rounding, far from `middle`
+        with np.errstate(divide="ignore"):
+            out.append(some * scale + np.log(values))
+    factorial = np.cumsum(np.log(t)) - math.log(t[0])
+    return np.concatenate(out) + (t - t[0]) * math.log(weight / d) - factorial
+
+
+def _large(c: int, weight: float, d: float, rng: np.random.Generator) -> int:
+    """Tables of one dish: odds of all numbers of tables that count, found from a first guess on."""
+    middle = min(c, 1 + weight * math.log1p((c - 1) / (weight + 1)))
+    reach = 8 * math.sqrt(middle) + 16
+    while True:
+        t = np.arange(max(1, int(middle - reach)), min(c, int(middle + reach)) + 1)
+        log = log_odds(c, weight, d, t, middle)
+        best = int(np.argmax(log))
+        if (t[0] == 1 or log[0] < log[best] - FAINT) and (t[-1] == c or log[-1] < log[best] - FAINT) and abs(t[best] - middle) <= reach / 2 + 8:
+            break
+        if 0 < best < len(t) - 1 and abs(t[best] - middle) <= reach / 2 + 8:
+            reach *= 1.5
+        elif not 0 < best < len(t) - 1:
+            reach *= 2
+        middle = float(t[best])
+    odds = np.cumsum(np.exp(log - log[best]))
+    return int(t[min(np.searchsorted(odds, rng.random() * odds[-1], side="right"), len(t) - 1)])
 
 
-def limit(c: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes by the Poisson limit of how many of their customers open one."""
-    more = rng.poisson(weight * np.log1p((c - 1) / (weight + 1)))
-    return np.minimum(1 + more, c)
+def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish, drawn from their odds given the weight: all of its customers are moved at once."""
+    c, out = c.astype(np.int64), (c > 0).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    for n, a, b in zip(sizes.tolist(), first, [*first[1:], len(c)]):
+        if n < 2:
+            continue
+        rows = order[a:b]
+        if n > EXACT:
+            out[rows] = [_large(n, w, d, rng) for w in weight[rows].tolist()]
+            continue
+        t, log = np.arange(1, n + 1), stirling(d)[n, 1 : n + 1]
+        for some in np.array_split(rows, -(-len(rows) * n // CELLS)):
+            odds = log + np.log(weight[some])[:, None] * t
+            odds = np.cumsum(np.exp(odds - odds.max(axis=1, keepdims=True)), axis=1)
+            out[some] = np.minimum(1 + (odds <= (rng.random(len(some)) * odds[:, -1])[:, None]).sum(axis=1), n)
+    return out
 
 
 def _begun(c: np.ndarray, t: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -49,12 +149,12 @@ def seated(c: np.ndarray, weight: np.ndarray, discount: float, state: tuple[np.n
     weight: (strength + d * tables) * parent's probability, per dish; state: of the sweep before, or None at the start.
     """
     tables = (c > 0).astype(np.int64)
-    large = np.flatnonzero(c > LARGE)
-    tables[large] = limit(c[large], weight[large], rng)
-    own = np.flatnonzero((c > 1) & (c <= LARGE))
+    many = np.flatnonzero(c > SEATED)
+    tables[many] = drawn(c[many], weight[many], discount, rng)
+    own = np.flatnonzero((c > 1) & (c <= SEATED))
     n, a = c[own].astype(np.int64), weight[own]
     if state is None:
-        t = limit(n, a, rng)
+        t = drawn(n, a, discount, rng)
         seat = _begun(n, t, rng)
     else:
         t = state[0].astype(np.int64)
@@ -69,12 +169,12 @@ def seated(c: np.ndarray, weight: np.ndarray, discount: float, state: tuple[np.n
     stack = np.zeros(len(seat), np.int64)
     stack[first[dish] + free] = free_at - first[dish]
     order = np.argsort(-n, kind="stable")
-    for move in range(MOVES):
+    for move in range(SEATED):  # the customer of that number, of every dish that has one
         rows = order[: int(np.searchsorted(-n[order], -move, side="left"))]  # dishes of more than `move` customers
         if not len(rows):
             break
         f, m = first[rows], n[rows]
-        i = (rng.random(len(rows)) * m).astype(np.int64)
+        i = move
         old = seat[f + i]
         size[f + old] -= 1
         gone = size[f + old] == 0
@@ -89,7 +189,7 @@ def seated(c: np.ndarray, weight: np.ndarray, discount: float, state: tuple[np.n
         left = np.flatnonzero(~new)
         while len(left):  # another customer's table, taken with (n - d) / n
             j = (rng.random(len(left)) * (m[left] - 1)).astype(np.int64)
-            j += j >= i[left]
+            j += j >= i
             at = seat[f[left] + j]
             held = size[f[left] + at]
             sure = rng.random(len(left)) * held < held - discount

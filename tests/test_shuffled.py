@@ -34,3 +34,17 @@ def test_reconcile_moves_a_text_to_the_row_that_takes_it_alone(spark):
     last = tabled(catalog.reconcile(listed, disk))
     moved = shuffled(spark, lambda: catalog.reconcile(listed, disk, last).write.format("noop").mode("overwrite").save())
     assert moved < 3 * sum(map(len, said))
+
+
+def test_search_moves_postings_and_not_pairs(spark):
+    """All entries have all terms of all queries; what is shuffled follows the entries' postings, not their pairs with queries."""
+    from shelfmark.operators import retrieval
+
+    rng, words = random.Random(5), [f"word{i}" for i in range(40)]
+    rows = [(f"skill:n{i}", f"n{i}", f"skill n{i}", " ".join(rng.sample(words, 40))) for i in range(400)]
+    e = spark.createDataFrame(rows, "id string, name string, ord string, description string").selectExpr("*", "cast(null as string) as description_zh", "array('x1') as triggers", "'ready' as visibility", "false as excluded", "true as agent_bound", "false as has_references")
+    q = spark.createDataFrame([(i, " ".join(rng.sample(words, 8))) for i in range(300)], "qid long, query string")
+    postings = 400 * 40
+    moved = shuffled(spark, lambda: retrieval.scored(tabled(q), tabled(e)).write.format("noop").mode("overwrite").save())
+    print("moved", moved)
+    assert moved < 40 * postings

@@ -48,3 +48,14 @@ def test_search_moves_postings_and_not_pairs(spark):
     moved = shuffled(spark, lambda: retrieval.scored(tabled(q), tabled(e)).write.format("noop").mode("overwrite").save())
     print("moved", moved)
     assert moved < 40 * postings
+
+
+def test_similar_pairs_move_no_frequent_terms(spark):
+    """Terms of nearly all skills, most postings, can make no pair and stay where they are."""
+    from shelfmark.operators import graph
+
+    rows = [(f"s{i}", f"common{j}") for i in range(600) for j in range(200)] + [(f"s{i}", f"rare{i // 3}-{j}") for i in range(600) for j in range(4)]
+    posted = tabled(spark.createDataFrame(rows, "skill string, term string"))
+    found = []
+    moved = shuffled(spark, lambda: found.extend(graph.similar_pairs(posted).collect()))
+    assert len(found) == 600 and moved < 5 * len(rows)

@@ -20,7 +20,7 @@ SEATED = 16
 EXACT = 1_024
 CELLS = 1 << 20  # odds held at once
 FAINT = 25.0  # odds of less than exp(-FAINT) of the largest end a range
-NODES = (np.arange(64) + 0.5) * (5 / 64)
+NODES, FINE = ((np.arange(n) + 0.5) * (5 / n) for n in (64, 256))
 
 
 @lru_cache(4)
@@ -55,10 +55,13 @@ def log_odds(c: int, weight: float, d: float, t: np.ndarray, middle: float) -> n
 
     z = exp(-p / c) runs around 0 inside the cut from 1 on; p passes the saddle of `middle` tables on a parabola or a line.
     """
-    p, sharp = _saddle(c, min(middle, 0.999 * c), d)
-    if p > c / 20:  # t is no small share of c: once around, on a circle within the cut
+    p, sharp = _saddle(c, min(middle, c - 0.25), d)
+    if p > c / 20 and sharp * c * c < 100:  # t is nearly c: the whole circle counts, in equal steps
+        at = p + 1j * math.pi * c * (np.arange(len(FINE)) + 0.5) / len(FINE)
+        step = np.full(len(at), 1j * c)
+    elif p > c / 20:  # t is no small share of c: once around, on a circle within the cut
         wide = 3 / math.sqrt(sharp)
-        at, step = p + 1j * wide * np.sinh(NODES), 1j * wide * np.cosh(NODES)
+        at, step = p + 1j * wide * np.sinh(FINE), 1j * wide * np.cosh(FINE)
     else:
         wide = min(0.5, 1.5 / (p * math.sqrt(sharp)))
         y = wide * np.sinh(NODES)
@@ -82,21 +85,34 @@ def log_odds(c: int, weight: float, d: float, t: np.ndarray, middle: float) -> n
     return np.concatenate(out) + (t - t[0]) * math.log(weight / d) - factorial
 
 
+def _typical(c: int, weight: float, d: float) -> tuple[float, float]:
+    """Mean and spread that the number of tables has where c is large.
+
+    Tables are a Poisson number of sizes with weights d * (1 - d) ... (n - 1 - d) / n! * z**n, given that they sum up to c; z is
+    where they do so on average: weight * z * (1 - z)**(d - 1) = c. log_odds is only good around this mean, where its contour
+    passes; elsewhere rounding outweighs the odds.
+    """
+    want, low, high = math.log(c) - math.log(weight), -80.0, math.log(1e3 / (1 - d))
+    for _ in range(80):  # of s = -log(1 - z)
+        middle = (low + high) / 2
+        s = math.exp(middle)
+        low, high = (middle, high) if math.log(-math.expm1(-s)) + (1 - d) * s < want else (low, middle)
+    z, rest = -math.expm1(-s), math.exp(-s)
+    mean = -math.expm1(-d * s) * weight / d
+    return min(max(mean, 1.0), float(c)), math.sqrt(max(mean - c * rest / (rest + z * (1 - d)), 0.0))
+
+
 def _large(c: int, weight: float, d: float, rng: np.random.Generator) -> int:
-    """Tables of one dish: odds of all numbers of tables that count, found from a first guess on."""
-    middle = min(c, 1 + weight * math.log1p((c - 1) / (weight + 1)))
-    reach = 8 * math.sqrt(middle) + 16
+    """Tables of one dish, from the odds of all numbers of tables that count: a range around their mean, widened until it ends in faint odds."""
+    middle, spread = _typical(c, weight, d)
+    reach = 8 * spread + 16
     while True:
         t = np.arange(max(1, int(middle - reach)), min(c, int(middle + reach)) + 1)
         log = log_odds(c, weight, d, t, middle)
         best = int(np.argmax(log))
-        if (t[0] == 1 or log[0] < log[best] - FAINT) and (t[-1] == c or log[-1] < log[best] - FAINT) and abs(t[best] - middle) <= reach / 2 + 8:
+        if (t[0] == 1 or log[0] < log[best] - FAINT) and (t[-1] == c or log[-1] < log[best] - FAINT):
             break
-        if 0 < best < len(t) - 1 and abs(t[best] - middle) <= reach / 2 + 8:
-            reach *= 1.5
-        elif not 0 < best < len(t) - 1:
-            reach *= 2
-        middle = float(t[best])
+        reach *= 2
     odds = np.cumsum(np.exp(log - log[best]))
     return int(t[min(np.searchsorted(odds, rng.random() * odds[-1], side="right"), len(t) - 1)])
 

@@ -1,5 +1,7 @@
 """Tables of dishes of any size against their exact odds, and sweeps that move every customer."""
 
+import signal
+
 import numpy as np
 import pytest
 
@@ -42,3 +44,34 @@ def test_a_sweep_moves_every_customer():
     state = (np.full(n, c, np.uint32), np.ones(n * c, np.uint32))
     tables, _ = seating.seated(np.full(n, c), np.full(n, 1e-9), 0.5, state, np.random.default_rng(3))
     assert tables.mean() < 6
+
+
+@pytest.mark.parametrize("c,weight,d", [(86_306, 69_774.0, 0.666), (209_213, 271_957.0, 0.28), (146_387, 3_356_007.0, 0.881), (9_231_817, 292_638.0, 0.908)])
+def test_dishes_of_many_tables_end_near_their_mean(c, weight, d):
+    """A first guess far from the mean never ended: rounding outweighs the odds there."""
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(30)
+    try:
+        tables = seating.drawn(np.array([c]), np.array([weight]), d, np.random.default_rng(4))
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    # 1 - z of the average size: weight * z * (1 - z)**(d - 1) = c, by halving
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        rest = (low + high) / 2
+        low, high = (low, rest) if weight * (1 - rest) * rest ** (d - 1) < c else (rest, high)
+    mean = weight / d * (1 - rest**d)
+    spread = np.sqrt(mean - c * rest / (rest + (1 - rest) * (1 - d)))
+    assert abs(tables[0] - mean) < 6 * spread + 6
+
+
+@pytest.mark.parametrize("weight", [20_000.0, 1e6, 1e8])
+def test_odds_hold_where_nearly_all_tables_have_one_customer(weight):
+    d, c, t = 0.6, 1_400, np.arange(1_300, 1_401)
+    want = seating.stirling(d, c)[c, 1_300:] + np.log(weight) * t
+    got = seating.log_odds(c, weight, d, t, float((t * np.exp(want - want.max())).sum() / np.exp(want - want.max()).sum()))
+    np.testing.assert_allclose(np.exp(got - got.max()), np.exp(want - want.max()), atol=2e-5)

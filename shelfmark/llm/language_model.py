@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import bucketed, dropped, release_worker_memory, scratch_dir, shuffle_width, slices, tidy, unbucketed, whole_text, written
@@ -136,11 +136,32 @@ def hot_contexts(rows: DataFrame) -> np.ndarray:
     return np.sort(hot.astype(np.int64).view(np.uint64))
 
 
+def together(keys: np.ndarray) -> np.ndarray:
+    """An order that brings equal 64-bit hashes together, each in order of place.
+
+    Places are sorted along in the low bits, which is several times as fast as sorting places by keys. Two hashes that are equal
+    in all other bits may take turns, so what is the same may come in several runs.
+    """
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    return (order & low).astype(np.int64)
+
+
+def runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    other = np.zeros(len(columns[0]), bool)
+    other[:1] = True
+    for x in columns:
+        other[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(other)
+
+
 def distinct(before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the tokens by pair, where a pair begins in it, and the pairs."""
-    order = np.lexsort((own, before))
+    """Order of the tokens by pair, where a run of a pair begins in it, and the pairs; seldom a pair has several runs."""
+    order = together(pair(before, own))
     v, w = before[order], own[order]
-    begins = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(v) else np.empty(0, np.int64)
+    begins = runs_of(v, w)
     return order, begins, v[begins], w[begins]
 
 
@@ -152,13 +173,16 @@ def _counted(hot: np.ndarray, n: int):
             before, own, doc = sequences(texts)
             order, begins, v, w = distinct(before, own)
             c = np.add.reduceat(teach[doc[order]].astype(np.int64), begins)
+            by = together(v)
+            v, w, c = v[by], w[by], c[by]
             by, cuts = sorted_parts(dealt(v, w, hot, n), n)
+            v, w, c = v[by], w[by], c[by].astype("<u4")
             out = []
             for p in range(n):
-                rows = by[cuts[p] : cuts[p + 1]]
-                if len(rows):
-                    first = np.flatnonzero(np.r_[True, v[rows][1:] != v[rows][:-1]])
-                    out.append({"part": p, "contexts": packed(v[rows][first], "<u8"), "runs": packed(np.diff(np.r_[first, len(rows)]), "<u4"), "words": packed(w[rows], "<u8"), "counts": packed(c[rows], "<u4")})
+                rows = slice(cuts[p], cuts[p + 1])
+                if cuts[p + 1] > cuts[p]:
+                    first = runs_of(v[rows])
+                    out.append({"part": p, "contexts": packed(v[rows][first], "<u8"), "runs": packed(np.diff(np.r_[first, cuts[p + 1] - cuts[p]]), "<u4"), "words": packed(w[rows], "<u8"), "counts": packed(c[rows], "<u4")})
             yield pa.RecordBatch.from_pylist(out, _COUNTED)
 
     return tidy(run)
@@ -175,6 +199,11 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def nothing(spark: SparkSession, columns: str) -> DataFrame:
+    """An empty table, without tasks that make it."""
+    return spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in columns.split(", "))])
+
+
 def _merged(hot: np.ndarray):
     """One part's pairs, in order of context and word; words are numbers into `known`, the part's words and hot contexts."""
 
@@ -184,10 +213,13 @@ def _merged(hot: np.ndarray):
         v, w, c = np.repeat(joined(rows["contexts"], "<u8"), runs), joined(rows["words"], "<u8"), joined(rows["counts"], "<u4").astype(np.int64)
         order, begins, v, w = distinct(v, w)
         c = np.add.reduceat(c[order], begins)
-        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        contexts = v[first]
-        known = np.unique(np.r_[w, contexts[np.isin(contexts, hot)]])
-        row = {"part": key[0].as_py(), "contexts": packed(contexts, "<u8"), "runs": packed(np.diff(np.r_[first, len(v)]), "<u4"), "words": packed(np.searchsorted(known, w), "<u4"), "counts": packed(c, "<u8"), "known": packed(known, "<u8"), "ones": int((c == 1).sum()), "twos": int((c == 2).sum())}
+        contexts, of_context = np.unique(v, return_inverse=True)
+        known, of_word = np.unique(np.r_[w, contexts[np.isin(contexts, hot)]], return_inverse=True)
+        place = of_context * len(known) + of_word[: len(w)]
+        order = np.argsort(place)
+        first = runs_of(place[order])
+        place, c = place[order][first], np.add.reduceat(c[order], first)
+        row = {"part": key[0].as_py(), "contexts": packed(contexts, "<u8"), "runs": packed(np.bincount(place // len(known), minlength=len(contexts)), "<u4"), "words": packed(place % len(known), "<u4"), "counts": packed(c, "<u8"), "known": packed(known, "<u8"), "ones": int((c == 1).sum()), "twos": int((c == 2).sum())}
         return pa.Table.from_pylist([row], _PART)
 
     return run
@@ -313,9 +345,9 @@ class Model:
         self.hot = hot_contexts(rows)
         self.parts, self.name = bucketed(rows.mapInArrow(_counted(self.hot, self.n), ddl(_COUNTED)).groupBy("part").applyInArrow(_merged(self.hot), ddl(_PART)), "part", shuffle_width(spark))
         ones, twos = self.parts.agg(F.sum("ones"), F.sum("twos")).first()
-        m, old, told = None, [], spark.createDataFrame([], ddl(_SENT))
+        m, old, told = None, [], nothing(spark, ddl(_SENT))
         self.totals: dict[int, dict] = {}
-        self.told = spark.createDataFrame([], f"round int, {ddl(_SENT)}")
+        self.told = nothing(spark, f"round int, {ddl(_SENT)}")
         for number in range(ROUNDS + 1):
             sent_at, state_at, answers_at = (scratch_dir(spark) for _ in range(3))
             sent = written(self.parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_sampled(self.hot, max(1, self.n // PARTS_PER_SHARE), number, m), ddl(_SENT)), sent_at)
@@ -348,11 +380,10 @@ def _asked(hot: np.ndarray, n: int, turn: int):
                 rows = order[cuts[p] : cuts[p + 1]]
                 if len(rows):
                     key, text = pair(before[rows], own[rows]), doc[rows]
-                    by = np.argsort(key, kind="stable")  # texts ascend within a key
+                    by = together(key)  # texts ascend within a run of a key
                     key, text = key[by], text[by]
-                    other = np.r_[True, key[1:] != key[:-1]]
-                    cells = np.flatnonzero(other | np.r_[True, text[1:] != text[:-1]])
-                    heads = np.flatnonzero(other[cells])
+                    cells = runs_of(key, text)
+                    heads = runs_of(key[cells])
                     yield pa.RecordBatch.from_pylist([{"part": p, "block": number, "keys": packed(key[cells][heads], "<u8"), "runs": packed(np.diff(np.r_[heads, len(cells)]), "<u4"), "texts": packed(text[cells], "<u2" if len(texts) < 1 << 16 else "<u4"), "times": packed(np.diff(np.r_[cells, len(key)]), "<u4"), "n_texts": len(texts)}], _ASKED)
             number += 1
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfmark.llm import language_model as lm
@@ -121,3 +122,18 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
     assert [tuple(r) for r in lm.scores(frame(spark, [(held, "some words")])).collect()] == [(held, True, 3, 0, 0, 0.0, 0.0)]
     assert lm.scores(frame(spark, [(held, "x")]).limit(0)).collect() == []
+
+
+def test_pairs_are_counted_once_even_where_hashes_nearly_meet():
+    """Hashes that differ in their lowest bits alone may come in several runs; merged parts name each pair once, in order."""
+    keys = np.array([8, 9, 8, 1 << 60, 9, 8, 1 << 60], np.uint64)
+    order = lm.together(keys)
+    assert sorted(order.tolist()) == list(range(7)) and order.tolist()[-2:] == [3, 6]
+    assert [i for i in order.tolist() if keys[i] == 8] == [0, 2, 5] and lm.together(keys[:0]).tolist() == []
+    rng = np.random.default_rng(2)
+    v, w = rng.integers(0, 9, 3_000).astype(np.uint64), rng.integers(0, 40, 3_000).astype(np.uint64)
+    rows = pa.table({"runs": [np.ones(3_000, "<u4").tobytes()], "contexts": [v.tobytes()], "words": [w.tobytes()], "counts": [np.ones(3_000, "<u4").tobytes()]})
+    row = lm._merged(np.array([3], np.uint64))((pa.scalar(0),), rows).to_pylist()[0]
+    known, runs = lm.opened(row["known"], "<u8"), lm.opened(row["runs"], "<u4")
+    got = list(zip(np.repeat(lm.opened(row["contexts"], "<u8"), runs).tolist(), known[lm.opened(row["words"], "<u4")].tolist()))
+    assert dict(zip(got, lm.opened(row["counts"], "<u8").tolist())) == Counter(zip(v.tolist(), w.tolist())) and got == sorted(set(got))

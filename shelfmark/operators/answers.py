@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.operators.chunks import content_search
+from shelfmark.operators.chunks import content_finder
 from shelfmark.operators.retrieval import collaborators, name_twins, search
 from shelfmark.schema import Search
 from shelfmark.shared import tabled
@@ -57,7 +57,7 @@ def neighbours(hits: DataFrame, entries: DataFrame, edges: DataFrame, most: int
     tied = tabled(ways.join(wanted, "id", "left_semi"))
     alone = wanted.join(tied.select("id").distinct(), "id", "left_anti")
     if not alone.isEmpty():
-        tied = tied.unionByName(collaborators(entries, edges).select(F.col("node").alias("id"), "other", F.col("weight").cast("double").alias("weight")).join(alone, "id", "left_semi"))
+        tied = tied.unionByName(collaborators(entries, edges, only=alone).select(F.col("node").alias("id"), "other", F.col("weight").cast("double").alias("weight")).join(alone, "id", "left_semi"))
     near = tied.join(entries.select(F.col("id").alias("other"), F.col("name").alias("_name")), "other").groupBy("id", "_name").agg(F.max("weight").alias("weight"))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "_name"))).filter(F.col("r") <= most)
     return near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "_name"))), lambda x: x["_name"]).alias("neighbours"))
@@ -69,13 +69,13 @@ def chat(queries: DataFrame, entries: DataFrame, edges: DataFrame, chunks: DataF
     weak: the first hit has one term of evidence; gap: CJK terms of the question are in no evidence; passages: where the
     contents meet the question, for all questions. chunks, or find (see `answered`) over a kept index.
     """
-    find = find or (lambda asked, top: content_search(asked, chunks, top))
+    find, edges = find or content_finder(chunks, queries), tabled(edges.select("source", "target", "weight"))
     hits = answered(queries, entries, find, refresh, options)
     gap = queries.join(hits.groupBy("qid").agg(F.flatten(F.collect_list("evidence")).alias("_all")), "qid", "left")
     gap = gap.select("qid", T.uncovered_gap(F.col("query"), F.coalesce("_all", T.none()), F.when(F.col("_all").isNull(), 0).otherwise(1)).alias("gap"))
     line = F.concat("skill", F.lit(" / "), "file", F.lit(":"), F.col("s").cast("string"), F.lit("-"), F.col("e").cast("string"))
     said = find(queries, PASSAGES).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("at")))), lambda x: x["at"]).alias("passages"))
-    twins = name_twins(entries).groupBy("name").agg(F.array_sort(F.collect_set("twin")).alias("twins"))
+    twins = name_twins(entries, only=hits).groupBy("name").agg(F.array_sort(F.collect_set("twin")).alias("twins"))
     rows = hits.join(neighbours(hits, entries, edges), "id", "left").join(twins, "name", "left").withColumn("weak", (F.col("rank") == 1) & (F.size("evidence") == 1))
     every = gap.join(rows, "qid", "left").join(said, "qid", "left")
     return every.select("qid", "rank", "id", "name", "score", F.coalesce("basis", F.lit("open")).alias("basis"), F.coalesce("weak", F.lit(False)).alias("weak"), "gap", *[F.coalesce(c, T.none()).alias(c) for c in ("twins", "neighbours", "passages")])

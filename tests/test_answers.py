@@ -1,6 +1,7 @@
 """Answers by stages: each runs on what the one before left open, and on nothing if it left nothing."""
 
 from shelfmark.operators import answers, chunks
+from shelfmark.operators.retrieval import name_twins
 from shelfmark.schema import ENTRY
 
 
@@ -36,3 +37,18 @@ def test_stages(spark):
     found.clear(), refreshed.clear()
     assert [r.basis for r in answers.answered(asked((1, "excel formulas")), entries, find, refresh).collect()] == ["entries", "entries"]
     assert found == [] and refreshed == []
+
+
+def test_contents_are_read_once_and_twins_sought_for_hits(spark, monkeypatch):
+    entries = entry(spark, ("excel-tool", "reads spreadsheets", False), ("excel-tool-pro", "plots", False), ("notes", "keeps what was said", False), ("notes-old", "", False))
+    made = chunks.plain_chunks(spark.createDataFrame([("notes", "n.md", ["zebras"]), ("notes", "n.md", ["zebras"])], "skill string, file string, lines array<string>"))
+    terms, read = chunks.chunk_terms, []
+    monkeypatch.setattr(chunks, "chunk_terms", lambda: read.append(1) or terms())
+    asked = spark.createDataFrame([(1, "spreadsheets"), (2, "zebras"), (3, "quux")], "qid long, query string")
+    edges = spark.createDataFrame([], "source string, target string, weight double")
+    rows = {(r.qid, r.rank): r for r in answers.chat(asked, entries, edges, made).collect()}
+    assert len(read) == 1
+    assert {k: (r.name, list(r.twins), list(r.passages)) for k, r in rows.items()} == {(1, 1): ("excel-tool", ["excel-tool-pro"], []), (2, 1): ("notes", ["notes-old"], ["notes / n.md:1-1"]), (3, None): (None, [], [])}
+    every = {(r.name, r.twin) for r in name_twins(entries).collect()}
+    some = spark.createDataFrame([("notes",), ("excel-tool-pro",)], "name string")
+    assert {(r.name, r.twin) for r in name_twins(entries, only=some).collect()} == {x for x in every if x[0] in ("notes", "excel-tool-pro")} != set()

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 16  # of texts that are hashed at once: the running sums stay near the processor
 BLOCK_WORDS = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 _SEP = 32
@@ -94,7 +95,7 @@ class Words:
         heads: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in beginnings}
         at, before = 0, 0
         while at < len(blank):
-            until = min(at + CHUNK_BYTES, len(blank))
+            until = min(at + PIECE_BYTES, len(blank))
             cut = blank.rfind(b" ", at, until)
             if cut < 0:  # a word longer than a piece; a blank ends the texts
                 cut = blank.index(b" ", until)

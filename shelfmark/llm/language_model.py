@@ -2,8 +2,9 @@
 
 Every word (and the start of a text) is a context with a restaurant; the dishes are the words after it. All restaurants share
 a parent, that of words alone, whose parent is uniform over the known words and one for all others. Seats are sampled by
-Gibbs (seating.py) in ROUNDS rounds; tables of the contexts are customers of the parent. A word's probability is the mean of
-its predictive probabilities over the rounds after the first BURN_IN.
+blocked Gibbs (seating.py) in ROUNDS rounds: each moves all customers of a dish at once, by the exact odds of its number of
+tables. Tables of the contexts are customers of the parent. A word's probability is the mean of its predictive probabilities
+over the rounds after the first BURN_IN.
 
 The work is dealt by contexts, those with a large share of all tokens by context and word, so that no part holds a hot one. A
 part is a row of packed arrays. In each round a part sends for each of its words the tables it has, and shares of the parent
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import bucketed, dropped, release_worker_memory, scratch_dir, shuffle_width, slices, tidy, unbucketed, whole_text, written
 from shelfmark.llm.hashing import NOT_SPACE, Words, mix
-from shelfmark.llm.seating import drawn, seated
+from shelfmark.llm.seating import drawn
 
 ROUNDS, BURN_IN = 3, 1
 STRENGTH = 1.0
@@ -42,6 +43,7 @@ TOKENS = bytes(c + 32 if 65 <= c <= 90 else NOT_SPACE[c] for c in range(256))
 START, END = (int(x) for x in mix(np.array([0x5354415254, 0x454E44], np.uint64)))
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 SEED = 7
+SLOTS = np.uint64((1 << 18) - 1)  # of hot contexts, of which there are far fewer
 
 
 def held_out(doc_id: Column) -> Column:
@@ -58,15 +60,24 @@ def part_of(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def dealt(v: np.ndarray, w: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """The part of each pair: by context, or by both where the context is hot."""
-    out = part_of(v, n)
-    if len(hot):
-        many = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
-        out[many] = part_of(pair(v[many], w[many]), n)
+def among(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which are hot: each has a slot by its last bits, and the few that share one are compared by themselves."""
+    if not len(hot):
+        return np.zeros(len(v), bool)
+    slot = (hot & SLOTS).astype(np.int64)
+    place = np.zeros(int(SLOTS) + 1, np.uint16)
+    place[slot] = np.arange(len(hot))
+    out = hot[place[(v & SLOTS).astype(np.int64)]] == v
+    for x in hot[place[slot] != np.arange(len(hot))]:
+        out |= v == x
     return out
 
 
+def dealt(v: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """The part of each pair, from its context and the hash of both: by context, or by both where the context is hot."""
+    return part_of(np.where(among(v, hot), key, v) if len(hot) else v, n)
+
+
 def sorted_parts(parts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order by part, and where each part begins in it."""
     parts = parts.astype(np.uint16 if n < 1 << 16 else np.uint32)  # short numbers sort faster
@@ -82,6 +93,16 @@ def opened(x, dtype: str) -> np.ndarray:
     return np.frombuffer(x.as_py() if hasattr(x, "as_py") else x, dtype)
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs, after eight bytes that say how many."""
+    size = next(b for b in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * b - (b == 8))
+    return packed(np.array([size]), "<i8") + packed(x, f"<u{size}")
+
+
+def widened(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{int(np.frombuffer(x, '<i8', 1)[0])}", offset=8)
+
+
 def joined(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
     return np.concatenate([np.empty(0, dtype), *(np.frombuffer(x, dtype) for x in column.to_pylist())])
 
@@ -175,7 +196,7 @@ def _counted(hot: np.ndarray, n: int):
             c = np.add.reduceat(teach[doc[order]].astype(np.int64), begins)
             by = together(v)
             v, w, c = v[by], w[by], c[by]
-            by, cuts = sorted_parts(dealt(v, w, hot, n), n)
+            by, cuts = sorted_parts(dealt(v, pair(v, w), hot, n), n)
             v, w, c = v[by], w[by], c[by].astype("<u4")
             out = []
             for p in range(n):
@@ -190,7 +211,7 @@ def _counted(hot: np.ndarray, n: int):
 
 _COUNTED = pa.schema([("part", pa.int64()), ("contexts", pa.binary()), ("runs", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 _PART = pa.schema([*_COUNTED, ("known", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())])
-_SENT = pa.schema([("part", pa.int64()), ("share", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary()), ("state", pa.binary()), ("sizes", pa.binary()), ("tables", pa.binary())])
+_SENT = pa.schema([("part", pa.int64()), ("share", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary()), ("tables", pa.binary())])
 _ANSWER = pa.schema([("part", pa.int64()), ("share", pa.int64()), ("numbers", pa.binary()), ("totals", pa.list_(pa.int64()))])
 
 
@@ -210,10 +231,9 @@ def _merged(hot: np.ndarray):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         release_worker_memory()
         runs = joined(rows["runs"], "<u4")
-        v, w, c = np.repeat(joined(rows["contexts"], "<u8"), runs), joined(rows["words"], "<u8"), joined(rows["counts"], "<u4").astype(np.int64)
-        order, begins, v, w = distinct(v, w)
-        c = np.add.reduceat(c[order], begins)
-        contexts, of_context = np.unique(v, return_inverse=True)
+        w, c = joined(rows["words"], "<u8"), joined(rows["counts"], "<u4").astype(np.int64)
+        contexts, of_context = np.unique(joined(rows["contexts"], "<u8"), return_inverse=True)
+        of_context = np.repeat(of_context, runs)
         known, of_word = np.unique(np.r_[w, contexts[np.isin(contexts, hot)]], return_inverse=True)
         place = of_context * len(known) + of_word[: len(w)]
         order = np.argsort(place)
@@ -235,7 +255,7 @@ class _Part:
         self.first = np.cumsum(self.runs) - self.runs
         self.hot = np.flatnonzero(np.isin(self.contexts, hot))
         self.hot_at = np.searchsorted(self.known, self.contexts[self.hot])
-        told = [opened(a["numbers"], "<i8").reshape(5, -1) for a in sorted(answers, key=lambda a: a["share"])]
+        told = [widened(a["numbers"]).reshape(5, -1).astype(np.int64) for a in sorted(answers, key=lambda a: a["share"])]
         #: of each known word: count, customers and tables at the parent, count and tables as a hot context
         self.numbers = np.concatenate(told, axis=1) if told else None
 
@@ -264,22 +284,21 @@ def _stated(rows: list[dict]) -> tuple[dict | None, list[dict]]:
 
 
 def _sampled(hot: np.ndarray, shares: int, number: int, m: dict | None):
-    """A round of one part: seats, and for each share of the parent its words' tables."""
+    """A round of one part: its tables, and for each share of the parent its words' tables."""
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table, told: pa.Table) -> pa.Table:
         release_worker_memory()
         state, answers = _stated(told.to_pylist())
         x = _Part(part.to_pylist()[0], answers, hot)
         rng = np.random.default_rng([SEED, number, key[0].as_py()])
-        seats = (np.empty(0, np.uint32), np.empty(0, np.uint32))
         if m is None:
             tables = (x.c > 0).astype(np.int64)
         else:
             tables = opened(state["tables"], "<u4").astype(np.int64)
-            weight = (STRENGTH + m["d2"] * x.of_contexts(tables, 4))[x.context] * x.parent(m)[x.w]
-            before = (opened(state["state"], "<u4"), opened(state["sizes"], "<u4")) if number > 1 else None
-            tables, seats = seated(x.c, weight, m["d2"], before, rng)
-        out = [{"part": key[0].as_py(), "share": -1, "state": packed(seats[0], "<u4"), "sizes": packed(seats[1], "<u4"), "tables": packed(tables, "<u4")}]
+            spare = STRENGTH + m["d2"] * x.of_contexts(tables, 4)
+            tables, several = (x.c > 0).astype(np.int64), np.flatnonzero(x.c > 1)
+            tables[several] = drawn(x.c[several], spare[x.context[several]] * x.parent(m)[x.w[several]], m["d2"], rng)
+        out = [{"part": key[0].as_py(), "share": -1, "tables": packed(tables, "<u4")}]
         size = len(x.known)
         numbers = np.zeros((4, size), np.int64)  # count and tables as a word; as a hot context
         numbers[0], numbers[1] = np.bincount(x.w, x.c, size), np.bincount(x.w, tables, size)
@@ -289,7 +308,7 @@ def _sampled(hot: np.ndarray, shares: int, number: int, m: dict | None):
         for s in range(shares):
             a, b = int(cuts[s]), int(cuts[s + 1])
             if b > a:
-                out.append({"part": key[0].as_py(), "share": s, "words": packed(x.known[a:b], "<u8"), "numbers": packed(numbers[:, a:b], "<i8")})
+                out.append({"part": key[0].as_py(), "share": s, "words": packed(x.known[a:b], "<u8"), "numbers": narrow(numbers[:, a:b])})
         return pa.Table.from_pylist(out, _SENT)
 
     return run
@@ -305,7 +324,7 @@ def _answered(number: int, m: dict | None):
             for r in batch.select(["part", "words", "numbers"]).to_pylist():
                 parts.append(r["part"])
                 words.append(opened(r["words"], "<u8"))
-                given.append(opened(r["numbers"], "<i8").reshape(4, -1))
+                given.append(widened(r["numbers"]).reshape(4, -1))
         ends = np.cumsum([len(w) for w in words])
         words, at = np.unique(np.concatenate(words), return_inverse=True)
         sums = np.zeros((4, len(words)), np.int64)
@@ -321,7 +340,7 @@ def _answered(number: int, m: dict | None):
             tables = drawn(customers, weight, m["d1"], rng)
         every = np.stack([count, customers, tables, as_context, open_tables])
         for part, a, b in zip(parts, [0, *ends[:-1]], ends):
-            yield pa.RecordBatch.from_pylist([{"part": part, "share": key[0].as_py(), "numbers": packed(every[:, at[a:b]], "<i8")}], _ANSWER)
+            yield pa.RecordBatch.from_pylist([{"part": part, "share": key[0].as_py(), "numbers": narrow(every[:, at[a:b]])}], _ANSWER)
         totals = [int((count > 0).sum()), int(count.sum()), int(customers.sum()), int(tables.sum()), int((customers == 1).sum()), int((customers == 2).sum())]
         yield pa.RecordBatch.from_pylist([{"part": -1, "share": key[0].as_py(), "totals": totals}], _ANSWER)
 
@@ -361,7 +380,7 @@ class Model:
             old = [state_at, answers_at]
             if number > BURN_IN:
                 old, self.totals[number] = [], m
-                self.told = self.told.unionByName(told.drop("sizes", "state").withColumn("round", F.lit(number)), allowMissingColumns=True)
+                self.told = self.told.unionByName(told.withColumn("round", F.lit(number)), allowMissingColumns=True)
 
 
 def _asked(hot: np.ndarray, n: int, turn: int):
@@ -371,26 +390,30 @@ def _asked(hot: np.ndarray, n: int, turn: int):
         number = TaskContext.get().partitionId() << 33
         for texts, ids, teach in blocks(batches):
             before, own, doc = sequences(texts)
-            to = dealt(before, own, hot, n)
+            key = pair(before, own)
+            to = dealt(before, key, hot, n)
             if turn == 0:
                 head = pa.RecordBatch.from_pylist([{"part": number % n, "block": number, "ids": [None if i is None else str(i) for i in ids], "head": packed(np.stack([np.bincount(doc, minlength=len(texts)), ~teach]), "<i8")}], _ASKED)
                 yield head
-            order, cuts = sorted_parts(to, n)
+            asking = np.flatnonzero(to % np.uint64(PASSES) == np.uint64(turn))
+            order, cuts = sorted_parts(to[asking], n)
+            order = asking[order]
+            every_key, every_text = key[order], doc[order]
             for p in range(turn, n, PASSES):
-                rows = order[cuts[p] : cuts[p + 1]]
-                if len(rows):
-                    key, text = pair(before[rows], own[rows]), doc[rows]
+                rows = slice(cuts[p], cuts[p + 1])
+                if cuts[p + 1] > cuts[p]:
+                    key, text = every_key[rows], every_text[rows]
                     by = together(key)  # texts ascend within a run of a key
                     key, text = key[by], text[by]
                     cells = runs_of(key, text)
                     heads = runs_of(key[cells])
-                    yield pa.RecordBatch.from_pylist([{"part": p, "block": number, "keys": packed(key[cells][heads], "<u8"), "runs": packed(np.diff(np.r_[heads, len(cells)]), "<u4"), "texts": packed(text[cells], "<u2" if len(texts) < 1 << 16 else "<u4"), "times": packed(np.diff(np.r_[cells, len(key)]), "<u4"), "n_texts": len(texts)}], _ASKED)
+                    yield pa.RecordBatch.from_pylist([{"part": p, "block": number, "keys": packed(key[cells][heads], "<u8"), "runs": narrow(np.diff(np.r_[heads, len(cells)])), "texts": narrow(text[cells]), "times": narrow(np.diff(np.r_[cells, len(key)]))}], _ASKED)
             number += 1
 
     return tidy(run)
 
 
-_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("runs", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("n_texts", pa.int64()), ("ids", pa.list_(pa.string())), ("head", pa.binary())])
+_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("runs", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("ids", pa.list_(pa.string())), ("head", pa.binary())])
 _SUMS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.string())), ("head", pa.binary()), ("texts", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary())])
 
 
@@ -416,9 +439,9 @@ def _scored(hot: np.ndarray, totals: dict[int, dict]):
             order = np.argsort(keys)
             keys = keys[order]
             for r in asked:
-                at = np.repeat(order[np.searchsorted(keys, opened(r["keys"], "<u8"))], opened(r["runs"], "<u4"))
-                doc = opened(r["texts"], "<u2" if r["n_texts"] < 1 << 16 else "<u4")
-                times = opened(r["times"], "<u4").astype(np.float64)
+                at = np.repeat(order[np.searchsorted(keys, opened(r["keys"], "<u8"))], widened(r["runs"]))
+                doc = widened(r["texts"])
+                times = widened(r["times"]).astype(np.float64)
                 texts = np.flatnonzero(np.bincount(doc))
                 sums = [np.bincount(doc, v[at] * times)[texts] for v in (score, base, count > 0)]
                 out.append({"block": r["block"], "part": key[0].as_py(), "texts": packed(texts, "<u4"), "score": packed(sums[0], "<f8"), "base": packed(sums[1], "<f8"), "known": packed(sums[2], "<u4")})
@@ -453,8 +476,9 @@ def scores(docs: DataFrame) -> DataFrame:
     model = Model(rows)
     found = None
     for turn in range(PASSES):
-        asked = rows.mapInArrow(_asked(model.hot, model.n, turn), ddl(_ASKED)).unionByName(model.told, allowMissingColumns=True)
-        sums = written(model.parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_scored(model.hot, model.totals), ddl(_SUMS)))
+        own = F.col("part") % PASSES == turn  # no block asks another part in this pass
+        asked = rows.mapInArrow(_asked(model.hot, model.n, turn), ddl(_ASKED)).unionByName(model.told.filter(own), allowMissingColumns=True)
+        sums = written(model.parts.filter(own).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_scored(model.hot, model.totals), ddl(_SUMS)))
         found = sums if found is None else found.unionByName(sums)
     unbucketed(docs.sparkSession, model.name)
     out = found.groupBy("block").applyInArrow(_totalled, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")

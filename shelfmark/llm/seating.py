@@ -6,7 +6,8 @@ parent. Restaurants of one level are shared out to many tasks, so the number of
 probabilities are those of the round before. A sweep moves every customer of a dish of at most SEATED once. What endless
 sweeps lead to is known: t tables with odds weight**t times a generalised Stirling number of c and t. Dishes of more than
 SEATED customers keep no seats, as all their customers are moved at once by drawing t from these odds: by the numbers'
-recursion up to EXACT customers, by their contour integral above.
+recursion up to EXACT customers, by their contour integral above. `drawn` moves dishes of any size in this way, and needs no
+seats of the sweep before.
 """
 
 from __future__ import annotations
@@ -117,15 +118,37 @@ def _large(c: int, weight: float, d: float, rng: np.random.Generator) -> int:
     return int(t[min(np.searchsorted(odds, rng.random() * odds[-1], side="right"), len(t) - 1)])
 
 
+def _few(n: int, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes of n customers each, few enough for the odds themselves: one number of tables after another."""
+    odds = np.exp(stirling(d, SEATED)[n, 1 : n + 1])
+    total = np.full(len(weight), odds[-1])
+    for x in odds[-2::-1]:
+        total *= weight
+        total += x
+    u = rng.random(len(weight)) * total
+    out, power, below = np.ones(len(weight), np.int64), np.ones(len(weight)), np.full(len(weight), odds[0])
+    for x in odds[1:]:
+        out += below <= u
+        power *= weight
+        below += x * power
+    return out
+
+
 def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish, drawn from their odds given the weight: all of its customers are moved at once."""
-    c, out = c.astype(np.int64), (c > 0).astype(np.int64)
-    order = np.argsort(c, kind="stable")
+    out = (c > 0).astype(np.int64)
+    several = np.flatnonzero(c > 1)
+    short = np.minimum(c[several], 0xFFFF).astype(np.uint16)  # short numbers sort faster; longer ones are sorted among themselves
+    order = np.argsort(short, kind="stable")
+    tail = order[int(np.searchsorted(short[order], 0xFFFF)) :]
+    tail[:] = tail[np.argsort(c[several[tail]], kind="stable")]
+    order = several[order]
     sizes, first = np.unique(c[order], return_index=True)
-    for n, a, b in zip(sizes.tolist(), first, [*first[1:], len(c)]):
-        if n < 2:
-            continue
+    for n, a, b in zip(sizes.tolist(), first, [*first[1:], len(order)]):
         rows = order[a:b]
+        if n <= SEATED and 1e-15 < weight[rows].min() and weight[rows].max() < 1e15:  # no power is too small or too large
+            out[rows] = _few(n, weight[rows], d, rng)
+            continue
         if n > EXACT:
             out[rows] = [_large(n, w, d, rng) for w in weight[rows].tolist()]
             continue

@@ -137,3 +137,40 @@ def test_pairs_are_counted_once_even_where_hashes_nearly_meet():
     known, runs = lm.opened(row["known"], "<u8"), lm.opened(row["runs"], "<u4")
     got = list(zip(np.repeat(lm.opened(row["contexts"], "<u8"), runs).tolist(), known[lm.opened(row["words"], "<u4")].tolist()))
     assert dict(zip(got, lm.opened(row["counts"], "<u8").tolist())) == Counter(zip(v.tolist(), w.tolist())) and got == sorted(set(got))
+
+
+def test_rounds_send_numbers_in_as_few_bytes_as_they_need_and_keep_no_seats():
+    rng = np.random.default_rng(4)
+    v, w = np.repeat(np.arange(90, dtype=np.uint64), 40), rng.integers(0, 900, 3_600).astype(np.uint64)
+    rows = pa.table({"runs": [np.ones(3_600, "<u4").tobytes()], "contexts": [v.tobytes()], "words": [w.tobytes()], "counts": [np.ones(3_600, "<u4").tobytes()]})
+    part, none = lm._merged(np.empty(0, np.uint64))((pa.scalar(0),), rows), lm._SENT.empty_table()
+    known = len(np.unique(w))
+    sent = lm._sampled(np.empty(0, np.uint64), 1, 0, None)((pa.scalar(0),), part, none).to_pylist()
+    assert sum(len(r["numbers"] or b"") for r in sent) <= 8 + 4 * known
+    answers = [r for b in lm._answered(0, None)((pa.scalar(0),), iter(pa.Table.from_pylist(sent[1:], lm._SENT).to_batches())) for r in b.to_pylist()]
+    assert len(answers[0]["numbers"]) <= 8 + 5 * known
+    x = lm._Part(part.to_pylist()[0], answers[:1], np.empty(0, np.uint64))
+    assert x.numbers[0].tolist() == np.unique(w, return_counts=True)[1].tolist()
+    assert set(sent[0]) <= {"part", "share", "words", "numbers", "tables"} and len(sent[0]["tables"]) == 4 * len(x.c)
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**62])
+def test_narrow_numbers_come_back(most):
+    x = np.array([0, most // 2, most])
+    assert lm.widened(lm.narrow(x)).tolist() == x.tolist() and lm.widened(lm.narrow(x[:0])).tolist() == []
+
+
+def test_hot_contexts_that_share_a_slot_are_told_apart():
+    hot = np.sort(np.array([5, 5 + (1 << 18), 5 + (1 << 40), 77, (1 << 63) + 77], np.uint64))
+    v = np.r_[hot, hot + np.uint64(1 << 30), np.arange(300, dtype=np.uint64)]
+    assert lm.among(v, hot).tolist() == np.isin(v, hot).tolist() and not lm.among(v, hot[:0]).any()
+
+
+def test_pieces_change_no_hash_of_a_word(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join("xyz"[i % 3] * rng.choice([1, 3, 70, 400]) for i in range(rng.randrange(60))).encode() for _ in range(50)] + [b"", b"  ", b"a" * 70_000]
+    whole = lm.sequences(texts)
+    for size in (64, 1_000, 1 << 20):
+        monkeypatch.setitem(lm.Words.__init__.__globals__, "PIECE_BYTES", size)
+        for a, b in zip(whole, lm.sequences(texts)):
+            assert a.tolist() == b.tolist()

@@ -75,3 +75,16 @@ def test_odds_hold_where_nearly_all_tables_have_one_customer(weight):
     want = seating.stirling(d, c)[c, 1_300:] + np.log(weight) * t
     got = seating.log_odds(c, weight, d, t, float((t * np.exp(want - want.max())).sum() / np.exp(want - want.max()).sum()))
     np.testing.assert_allclose(np.exp(got - got.max()), np.exp(want - want.max()), atol=2e-5)
+
+
+@pytest.mark.parametrize("c", [2, 3, 9, 16])
+@pytest.mark.parametrize("weight", [1e-18, 0.01, 0.8, 40.0, 1e18])
+def test_small_dishes_are_drawn_by_their_exact_odds(c, weight):
+    """A dish's tables, drawn at once as those of large dishes are, among dishes of other sizes."""
+    d, n = 0.6, 20_000
+    log = seating.stirling(d, 16)[c, 1 : c + 1] + np.log(weight) * np.arange(1, c + 1)
+    p = np.exp(log - log.max())
+    counts = np.r_[np.full(n, c), 0, 1, 5, 700, 70_000, 2_000, 66_000]
+    tables = seating.drawn(counts, np.r_[np.full(n, weight), np.ones(7)], d, np.random.default_rng(6))
+    np.testing.assert_allclose(np.bincount(tables[:n], minlength=c + 1)[1:] / n, p / p.sum(), atol=0.015)
+    assert tables[n : n + 2].tolist() == [0, 1] and (1 <= tables[n + 2 :]).all() and (tables[n + 2 :] <= counts[n + 2 :]).all()

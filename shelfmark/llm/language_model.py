@@ -141,7 +141,7 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of each block with half of a hot one's share, and the number of tokens (without a word)."""
     for texts, _, _ in blocks(batches):
-        before, _, _ = sequences(texts)
+        before = np.r_[Words(texts, TOKENS).hashes, np.full(len(texts), np.uint64(START))]  # something follows each of these
         words, n = np.unique(before, return_counts=True)
         many = n * 2 * HOT > len(before)
         yield pa.RecordBatch.from_arrays([pa.array([*words[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[many].tolist(), len(before)], pa.int64())], ["word", "n"])
@@ -370,8 +370,8 @@ class Model:
         for number in range(ROUNDS + 1):
             sent_at, state_at, answers_at = (scratch_dir(spark) for _ in range(3))
             sent = written(self.parts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_sampled(self.hot, max(1, self.n // PARTS_PER_SHARE), number, m), ddl(_SENT)), sent_at)
-            answers = written(sent.filter("share >= 0").groupBy("share").applyInArrow(_answered(number, m), ddl(_ANSWER)), answers_at)
-            state = written(sent.filter("share < 0"), state_at)
+            answers = written(sent.filter("share >= 0").select("part", "share", "words", "numbers").groupBy("share").applyInArrow(_answered(number, m), ddl(_ANSWER)), answers_at)
+            state = written(sent.filter("share < 0").select("part", "share", "tables"), state_at)
             sums = answers.filter("part < 0").select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
             v, total, customers, tables, ones1, twos1 = [x.n for x in sorted(sums)] or [0] * 6
             m = {"V": v, "N": total, "C": customers, "T": tables, "d2": discount(ones or 0, twos or 0), "d1": m["d1"] if m else discount(ones1, twos1)}

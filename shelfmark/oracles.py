@@ -113,8 +113,7 @@ ORACLES: dict[str, str] = {
       w AS (SELECT DISTINCT source, unnest(regexp_extract_all(body, '[a-z0-9_-]+')) AS low FROM r WHERE type = 'skill')
       SELECT DISTINCT w.source, e.id AS target FROM w JOIN entries e ON lower(e.name) = w.low WHERE e.type IN ('skill', 'mcp') AND e.id <> w.source""",
     "similar_pairs": f"""WITH {ENTRIES}, p AS (SELECT name AS skill, unnest({latin('description')}) AS term FROM entries), n AS (SELECT count(DISTINCT skill) AS n FROM p), f AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) BETWEEN 2 AND 40),
-      g AS (SELECT term, df, coalesce(sum(df * (df - 1) // 2) OVER (ORDER BY df, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
-      r AS (SELECT skill, term, greatest(0.1, 1.0 + (n - df + 0.5) / (df + 0.5))::DOUBLE AS idf FROM p JOIN g USING (term), n WHERE before < 1000000), t AS (SELECT skill, sum(idf) AS w FROM r GROUP BY skill)
+      r AS (SELECT skill, term, greatest(0.1, 1.0 + (n - df + 0.5) / (df + 0.5))::DOUBLE AS idf FROM p JOIN f USING (term), n), t AS (SELECT skill, sum(idf) AS w FROM r GROUP BY skill)
       SELECT u, v, shared, round(s / (a.w + b.w - s), 6) AS weight FROM (SELECT x.skill AS u, y.skill AS v, count(*) AS shared, sum(x.idf) AS s FROM r x JOIN r y ON x.term = y.term AND x.skill < y.skill GROUP BY 1, 2 HAVING count(*) >= 3) JOIN t a ON a.skill = u JOIN t b ON b.skill = v""",
     "related_top5": f"""WITH {GRAPH}, b AS (SELECT w.*, e.ord, row_number() OVER (PARTITION BY node, other ORDER BY weight DESC, w.type) AS r FROM ways w JOIN entries e ON e.id = other WHERE NOT e.excluded)
       SELECT node, CAST(rank AS INT) AS rank, other, type, weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, ord) AS rank FROM b WHERE r = 1) WHERE rank <= 5""",

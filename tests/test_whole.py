@@ -21,3 +21,8 @@ def test_similar_edges_of_terms_beyond_a_million_pairs(spark, crowded):
     got = graph.similar_edges(crowded, e).collect()
     late = [n for r in got if r.u.startswith("skill:late") for n in (r.u, r.v)]
     assert len(set(late)) == 40 and max(map(late.count, late)) == 3 and all(r.weight == 1 for r in got)
+
+
+def test_similar_pairs_of_terms_beyond_a_million_pairs(spark, crowded):
+    got = graph.similar_pairs(crowded).groupBy(F.substring("u", 1, 4).alias("kind"), "shared").agg(F.count("*").alias("n"), F.min("weight").alias("w"))
+    assert {tuple(r) for r in got.filter("kind = 'late'").collect()} == {("late", 4, 780, 1.0)} and got.agg(F.sum("n")).first()[0] == 780 + 10 * 741

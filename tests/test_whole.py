@@ -1,5 +1,8 @@
 """Whole jobs: what caps on work once left out."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,3 +29,21 @@ def test_similar_edges_of_terms_beyond_a_million_pairs(spark, crowded):
 def test_similar_pairs_of_terms_beyond_a_million_pairs(spark, crowded):
     got = graph.similar_pairs(crowded).groupBy(F.substring("u", 1, 4).alias("kind"), "shared").agg(F.count("*").alias("n"), F.min("weight").alias("w"))
     assert {tuple(r) for r in got.filter("kind = 'late'").collect()} == {("late", 4, 780, 1.0)} and got.agg(F.sum("n")).first()[0] == 780 + 10 * 741
+
+
+def test_repair_prunes_every_hub(spark):
+    """Hubs joined with each other, far more than 50 edges too many; brute force takes them one by one."""
+    rng = random.Random(6)
+    hubs, rest = [f"skill:h{i:02}" for i in range(30)], [f"skill:n{i:04}" for i in range(900)]
+    made = {(*sorted((h, x)), "overlap"): rng.randrange(9) / 10 for h in hubs for x in rng.sample(rest, 25) + rng.sample(hubs, 14) if x != h}
+    kept = sorted(((a, b, k, w) for (a, b, k), w in made.items()), key=lambda e: (e[0], e[2], e[1]))
+    degree = Counter(n for e in kept for n in e[:2])
+    limit, pruned = max(3 * sum(degree.values()) / len(degree), 5), 0
+    for node, d in degree.items():
+        if d > limit:
+            gone = set(sorted((e for e in kept if node in e[:2]), key=lambda e: e[3])[: d - int(limit)])
+            kept, pruned = [e for e in kept if e not in gone], pruned + len(gone)
+    e = spark.createDataFrame([(n, n[6:], "skill", n, "", None, []) for n in hubs + rest if n in degree], "id string, name string, type string, ord string, description string, description_zh string, triggers array<string>")
+    edges = spark.createDataFrame([(*k, "undirected", w) for k, w in made.items()], "source string, target string, type string, direction string, weight double")
+    got = {(r.source, r.target, r.type, r.weight) for r in graph.repaired(edges, e, prunes=None).collect()}
+    assert pruned > 500 and got == set(kept)

@@ -3,11 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import graph
+from shelfmark.operators import alike, graph
 from shelfmark.shared import tabled
+from test_shuffled import shuffled
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +49,33 @@ def test_repair_prunes_every_hub(spark):
     edges = spark.createDataFrame([(*k, "undirected", w) for k, w in made.items()], "source string, target string, type string, direction string, weight double")
     got = {(r.source, r.target, r.type, r.weight) for r in graph.repaired(edges, e, prunes=None).collect()}
     assert pruned > 500 and got == set(kept)
+
+
+def test_most_alike_sends_no_more_for_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(alike, "BLOCK", 32)
+    rng = random.Random(7)
+    words = [f"w{i:03}" for i in range(300)]
+    rows = [(f"i{i:04}", f"o{i:04}", f"n{i:04}", False, rng.sample(words, 60)) for i in range(1500)]
+    sets = tabled(spark.createDataFrame(rows, "id string, ord string, low string, out boolean, terms array<string>"))
+    found, given = [], sets.filter("id < 'i0512'").select("id")
+    moved = shuffled(spark, lambda: found.extend(alike.most_alike(sets, given, 3).collect()))
+    assert len(found) == 3 * 512 and moved < 20 * 1500 * 60
+
+
+def test_most_alike_over_pieces_of_a_task(monkeypatch):
+    monkeypatch.setattr(alike, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = [{"id": f"i{i}", "ord": f"o{i % 7}", "low": f"n{i}", "size": 5, "terms": rng.sample(range(12), 4), "digits": [20 + i % 2]} for i in range(30)]
+    typed = pa.schema([("id", pa.string()), ("ord", pa.string()), ("low", pa.string()), ("size", pa.int64()), ("terms", pa.list_(pa.int64())), ("digits", pa.list_(pa.int64()))])
+    table = pa.Table.from_pylist(rows, typed)
+
+    class Sent:
+        value = alike._bytes(table)
+
+    got = {(r["node"], r["id"], round(r["share"], 9)) for b in alike._best(Sent, 3)(iter(table.to_batches(max_chunksize=3))) for r in b.to_pylist()}
+    share = lambda a, b: len(s := set(a["terms"]) & set(b["terms"])) / (10 - len(s) - len(set(a["digits"]) & set(b["digits"])))
+    want = set()
+    for a in rows:
+        first = sorted((-share(a, b), b["ord"], b["id"]) for b in rows if b is not a and share(a, b))[:3]
+        want |= {(a["id"], i, round(-s, 9)) for s, _, i in first}
+    assert got == want
